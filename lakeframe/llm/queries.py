@@ -7,15 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .jaccard_join import jaccard_components
+from .packing import pack_sequences
 from .suffix_dedup import suffix_array_dedup
+from .toxicity import toxicity
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_sequences(table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_array_dedup": op1_suffix_array_dedup}
+    found = (op1_suffix_array_dedup, op6_toxicity, op9_best_fit_packing, op10_jaccard_join)
+    return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
