@@ -298,12 +298,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, common_share: float = 0.005) -> DataFrame:
+def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, common_share: float = 0.005, with_key: bool = False) -> DataFrame:
     """Per row of documents: doc_id, n_shingles, component_id (the least doc_id that links reach, its own included).
 
     Null, empty and blank texts have no shingles and are alone; shorter texts than words count as one shingle;
     repeated rows are in one component; a null doc_id takes part but is never a component's id, unless it is alone.
-    Other columns are not read.
+    Other columns are not read. with_key adds the row's key and its component as the digest of one of its sets.
     """
     spark = documents.sparkSession
     keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), "text")
@@ -337,6 +337,17 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
     found = connected_components(links)
     roots = found.select(F.col("node").alias("d"), F.col("root")).unionByName(found.select(F.col("root").alias("d"), F.col("root")).distinct())
     named = roots.join(one_row.select("d", "rep"), "d")
-    named = named.join(named.groupBy("root").agg(F.min("rep").alias("comp_rep")), "root").select("d", "comp_rep")
-    classes = one_row.select("d", "rep").join(named, "d", "left").select("d", F.coalesce("comp_rep", "rep").alias("component"))
-    return rows.join(classes.withColumn("full", F.lit(True)), "d", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    named = named.join(named.groupBy("root").agg(F.min("rep").alias("comp_rep")), "root").select("d", "root", "comp_rep")
+    classes = one_row.select("d", "rep").join(named, "d", "left").select("d", F.coalesce("comp_rep", "rep").alias("component"), F.coalesce("root", "d").alias("root"))
+    key = ["k", "root"] if with_key else []
+    return rows.join(classes, "d", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *key)
+
+
+def drop_near_duplicates(documents: DataFrame) -> DataFrame:
+    """documents with one row of each component, that of the least doc_id; texts without words all stay."""
+    found = jaccard_components(documents, with_key=True)
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")).alias("x"))
+    chosen = first.select(F.col("x.k").alias("k"), F.lit(True).alias("one")).unionByName(found.where("n_shingles = 0").select("k", F.lit(False).alias("one")).distinct())
+    keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), row_key().alias("k"))
+    kept = keyed.join(chosen, "k").withColumn("nth", F.row_number().over(Window.partitionBy("k").orderBy(F.lit(1)))).where("not one or nth = 1")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])

@@ -292,14 +292,17 @@ def _cut_out(with_text: bool, columns: list[str]):
 
 
 def suffix_array_dedup(documents: DataFrame, span: int = SPAN, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """Per row of documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text).
+    """Per row of documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, and a struct of the row).
 
     Strings are of UTF-8 bytes and judged on the input. Null text counts as empty (kept_text stays null); texts
     shorter than span lose nothing; repeated rows are copies of each other, so both lose what they share; a null
-    doc_id is returned as it is; other columns are not read. kept_text drops bytes of characters that a cut splits.
+    doc_id is returned as it is; other columns, whatever their names, go into the struct "row" if with_text is set,
+    else they are not read. kept_text drops bytes of characters that a cut splits.
     """
     spark = documents.sparkSession
-    keyed = documents.select("doc_id", row_key().alias("k"), F.col("text").cast("binary").alias("text"))
+    others = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
+    row = [F.struct(*others).alias("row")] if with_text else []
+    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), F.col("text").cast("binary").alias("text"), *row)
     found = keyed.select("k", "text").mapInArrow(_emit_anchors(span, gram), "h long, c long, k long, at int")
     by_anchor = Window.partitionBy("h")
     in_order = by_anchor.orderBy("c")
@@ -313,10 +316,23 @@ def suffix_array_dedup(documents: DataFrame, span: int = SPAN, gram: int = GRAM,
     # of a context that occurs often one row is enough for the others of its anchor to be compared with
     unsettled = near.where("varied").withColumn("open", F.max(~F.col("settled")).over(by_anchor)).where("open and not as_last")
     wanted = unsettled.groupBy("k").agg(F.collect_list(F.struct("h", "at")).alias("wanted"))
-    texts = keyed.select("doc_id", "k", "text")
-    contexts = texts.join(wanted, "k").select("k", "text", "wanted").mapInArrow(_emit_contexts(span, gram), "h long, k long, at int, left binary, right binary")
+    contexts = keyed.join(wanted, "k").select("k", "text", "wanted").mapInArrow(_emit_contexts(span, gram), "h long, k long, at int, left binary, right binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_sort_contexts(span, gram), "k long, lo int, hi int")
     ranges = settled.unionByName(ranged).groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return texts.join(ranges, "k", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "ranges").mapInArrow(_cut_out(with_text, ["doc_id"]), schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    kept = ["doc_id"]
+    if with_text:
+        schema = f"doc_id long, row {keyed.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+        kept.append("row")
+    return keyed.join(ranges, "k", "left").select(*kept, "text", "ranges").mapInArrow(_cut_out(with_text, kept), schema)
+
+
+def cut_repeats(documents: DataFrame) -> DataFrame:
+    """documents with repeated strings cut out of their texts; n_chars, if there, follows; no row goes."""
+    found = suffix_array_dedup(documents, with_text=True)
+    columns = []
+    for c in documents.columns:
+        made = F.col("kept_text") if c == "text" else F.length("kept_text").cast(documents.schema[c].dataType) if c == "n_chars" else F.col("row").getField(c)
+        columns.append(made.alias(c))
+    return found.select(*columns)
