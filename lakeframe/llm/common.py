@@ -50,6 +50,15 @@ def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the column's bytes stay within limit; a longer row comes alone."""
+    for batch in batches:
+        values = batch.column(column).cast(pa.large_binary())
+        offsets = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+        for i, j in slices(offsets, limit):
+            yield batch.slice(i, j - i)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 

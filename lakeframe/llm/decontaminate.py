@@ -28,6 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
+
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 16
 THRESHOLD = 0.6
@@ -155,7 +158,7 @@ def matches(text: str | None, index: ItemIndex, threshold: float = THRESHOLD) ->
 
 def _search(index: ItemIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             row, item, score, question, answer = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 for found, (s, q, a) in sorted(matches(text, index).items()):
@@ -209,7 +212,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def keep(index: ItemIndex):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts(batches):
                 clean = [not matches(text, index) for text in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

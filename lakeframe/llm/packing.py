@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, texts_of
+from .common import cut, parts, texts_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -61,7 +61,7 @@ def encode(text: str, words: dict) -> np.ndarray:
 def _pieces(tokenizer: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordIds(_tokenizer_path(tokenizer))
-        for batch in batches:
+        for batch in parts(batches):
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for i, text in enumerate(texts_of(batch.column("text"))):
                 ids = encode(text, words)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 #: (bytes below, least ratio, greatest ratio); fitted to clean texts of each length, with a margin of about an eighth.
 BANDS = (
     (64, 0.0, 1.6),
@@ -88,7 +90,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     compress = zstandard.ZstdCompressor(level=LEVEL).compress
-    for batch in batches:
+    for batch in parts(batches):
         rows = []
         for text in batch.column("text").to_pylist():
             text = text or ""

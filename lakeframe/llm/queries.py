@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import contaminated
+from .html_extract import extract_main_text
 from .jaccard_join import jaccard_components
+from .language import identify_languages
 from .packing import pack_sequences
+from .quality import quality_bands
+from .sharding import place_documents, placement_sql
 from .suffix_dedup import suffix_array_dedup
+from .token_counts import edit_aware_counts
 from .toxicity import toxicity
 
 
@@ -22,10 +27,30 @@ def op2_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op4_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_bands(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return place_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_aware_counts(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "documents"))
 
@@ -35,9 +60,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_suffix_array_dedup, op2_bm25_decontamination, op6_toxicity, op9_best_fit_packing, op10_jaccard_join)
+    found = (
+        op1_suffix_array_dedup,
+        op2_bm25_decontamination,
+        op3_html_extraction,
+        op4_language_mixtures,
+        op5_compression_bands,
+        op6_toxicity,
+        op7_lookup_sharding,
+        op8_edit_aware_counts,
+        op9_best_fit_packing,
+        op10_jaccard_join,
+    )
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only placement is plain SQL; the others are tested against brute force, round trips or held-out rows."""
+    return {"op7_lookup_sharding": placement_sql()}
