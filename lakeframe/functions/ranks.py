@@ -19,7 +19,8 @@ def global_row_number(df: DataFrame, by: str, ties: list[str], name: str = "rn",
 
     Rows are cut into value ranges; each is numbered by itself, after as many rows as the ranges before it hold.
     """
-    key = F.col(by).cast("double")
+    kind = dict(df.dtypes)[by]
+    key = (F.col(by).cast("timestamp") if kind == "timestamp_ntz" else F.col(by)).cast("double")
     edges = _buckets(df, key, buckets)
     bucket = F.lit(0)
     for e in edges:
