@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Texts of a batch are worked on in slices of about so many bytes, which bounds a task's memory.
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, whose texts reach Python in batches of a few MB: their number of rows alone bounds nothing."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(name).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def row_key() -> F.Column:
     """A 64-bit key of a document's row: repeated rows, which get equal results, share it; it is never null."""
     return F.xxhash64("doc_id", "text")

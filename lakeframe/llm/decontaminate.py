@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import bounded, parts
 
 
 K1, B = 1.2, 0.75
@@ -198,7 +198,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     Null and empty texts hold nothing; null items and items without words are left out; repeated rows of a document
     are reported once each; repeated items are reported under each id; empty tables give no rows.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("k"), "text")
+    rows = bounded(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("k"), "text")
     schema = "doc_id long, k long, item_id long, score double, question_overlap double, answer_overlap double"
     found = None
     for index in indexes(benchmark):
@@ -219,5 +219,5 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     for index in indexes(benchmark):
-        documents = documents.mapInArrow(keep(index), documents.schema)
+        documents = bounded(documents).mapInArrow(keep(index), documents.schema)
     return documents

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import bounded, parts
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -231,5 +231,5 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     Null and empty pages, and pages without text, have an empty text; markup is read leniently, so nothing in it is an
     error; each row is read by itself, with null ids and urls kept; other columns are not read.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
+    rows = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -3,13 +3,15 @@
 1. Rows with equal shingle sets form a class, known by a 64-bit digest of the set; one row of each goes on.
 2. Prefix filter: in one order of all shingles (by hash, those that are common in some part of the input last), two
    sets of similarity >= 80 % share at least l of their first n - ceil(0.8 n) + l shingles. So a set none or few of
-   whose prefix shingles occur in another set's prefix has no partner and leaves.
+   whose prefix shingles occur in another set's prefix has no partner and leaves; then those leave whose shingles were
+   shared with such sets.
 3. The rest is chained: within a shingle's sets, in order of size, each is tied to the next unless their sizes alone
    rule a link out. Components of these ties are a partition that no link crosses.
 4. Each component's sets meet once. A signature tree over them (nodes hold OR-combined bitmaps and size ranges) is
    traversed against itself; a pair of nodes goes if even its greatest possible overlap is too small, or if all its
    sets are connected already. Pairs of leaves that remain are compared exactly, most promising first.
-   Components of more than BLOCK sets are dealt out as pairs of blocks, which loses no pair.
+   Components of more than BLOCK sets are cut into blocks by size and dealt out as those pairs of blocks whose sizes
+   allow a link, which loses none.
 5. Found links give the final components.
 """
 
@@ -23,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, grouped_batches, mix64, row_key
+from .common import BATCH_BYTES, bounded, cut, grouped_batches, mix64, parts, row_key
 
 WORDS = 5
 PERCENT = 80
-BLOCK = 4096
+BLOCK = 2048
 LEAF = 32
 #: Rows of (key, component) up to which the candidates are broadcast; beyond, texts and candidates are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -41,14 +43,18 @@ class _WordHashes(dict):
     """Hashes of words; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
 
 def shingle_set(text: str | None, hashes: dict, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word shingles."""
+    """Sorted distinct 64-bit hashes of the text's word shingles.
+
+    The top bits count how often a word follows itself, so that the order of hashes puts shingles such as "of of of of
+    of", which many repetitive texts share, last.
+    """
     if not text:
         return np.zeros(0, np.uint64)
     found = text.encode("utf-8", "surrogatepass").lower().split()  # ASCII lower case, ASCII white space
@@ -60,7 +66,10 @@ def shingle_set(text: str | None, hashes: dict, words: int = WORDS) -> np.ndarra
     for i in range(min(words, len(h))):
         total = (total + h[i : i + n]) * _STEP
         total ^= total >> np.uint64(29)
-    return np.unique(mix64(total))
+    same = np.zeros(n, np.uint64)
+    for i in range(min(words, len(h)) - 1):
+        same += h[i : i + n] == h[i + 1 : i + 1 + n]
+    return np.unique(mix64(total) >> np.uint64(3) | np.minimum(same, 7) << np.uint64(61))
 
 
 def digest_of(shingles: np.ndarray) -> int:
@@ -70,7 +79,7 @@ def digest_of(shingles: np.ndarray) -> int:
 
 
 def _slack(n: np.ndarray | int) -> np.ndarray | int:
-    return np.maximum(1, n // 16)
+    return np.maximum(1, n // 16)  # l
 
 
 def _sets_with_common(part_share: float, words: int):
@@ -78,7 +87,7 @@ def _sets_with_common(part_share: float, words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in parts(batches, limit=BATCH_BYTES):
             sets = [shingle_set(x, hashes, words) for x in batch.column("text").to_pylist()]
             n, d = np.array([len(x) for x in sets], np.int64), np.array([digest_of(x) for x in sets], np.int64)
             kind = np.zeros(len(sets), np.int8)
@@ -89,7 +98,7 @@ def _sets_with_common(part_share: float, words: int):
                 everything = np.sort(np.concatenate([sets[x] for x in some]))
                 edges = np.flatnonzero(np.concatenate(([True], everything[1:] != everything[:-1]))) if len(everything) else np.zeros(0, np.int64)
                 count = np.diff(np.append(edges, len(everything)))
-                often = count >= max(16, part_share * len(some))
+                often = count >= max(4, part_share * len(some))
                 if often.any():
                     m, tokens = int(often.sum()), everything[edges[often]].view(np.int64)
                     none = pa.nulls(m, pa.int64())
@@ -102,7 +111,7 @@ def _emit_prefixes(common: np.ndarray, words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         seen: set[int] = set()  # copies of a set in one partition count once
-        for batch in batches:
+        for batch in parts(batches):
             tokens, digests, sizes, rows = [], [], [], 0
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, hashes, words)
@@ -137,9 +146,9 @@ def _prefix_batch(tokens: list, digests: list, sizes: list) -> pa.RecordBatch:
 def _emit_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in parts(batches):
             sets = [shingle_set(x, hashes, words) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("comp"), batch.column("d"), batch.column("blocks"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["comp", "d", "blocks", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("groups"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["d", "groups", "shingles"])
 
     return run
 
@@ -178,32 +187,20 @@ def signature_tree_links(sets: list[np.ndarray], percent: int = PERCENT, fanout:
     """Links that connect whatever sets of the given similarity connect: a spanning forest of the join's graph."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
-    order = np.lexsort((np.array([s[0] if len(s) else 0 for s in sets], np.uint64), size))  # alike sets near each other
+    band = np.floor(np.log(np.maximum(size, 1)) / np.log(1.25))
+    order = np.lexsort((np.array([s[0] if len(s) else 0 for s in sets], np.uint64), band))  # alike sets near each other
     sets, size = [sets[i] for i in order], size[order]
     forest, links = _Forest(n), []
     words = int(np.clip(2 ** np.ceil(np.log2(max(1, np.median(size)) / 16)), 1, 1024))
     maps = _bits(sets, words)
-    ones = np.bitwise_count(maps).sum(axis=1).astype(np.int64)
-
-    def linked(x: int, ys: np.ndarray) -> None:
-        """Compare x exactly with those of ys that its bitmap allows and that it isn't connected to."""
-        both = np.bitwise_count(maps[ys] & maps[x]).sum(axis=1).astype(np.int64)
-        most = np.minimum(size[x] - ones[x], size[ys] - ones[ys]) + both  # tokens that share a bit may all be common
-        ys = ys[(100 + percent) * np.minimum(most, np.minimum(size[ys], size[x])) >= percent * (size[ys] + size[x])]
-        for y in ys.tolist():
-            if forest.root(x) == forest.root(y):
-                continue
-            common = len(sets[x]) + len(sets[y]) - len(np.union1d(sets[x], sets[y]))
-            if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
-                links.append((int(order[x]), int(order[y])))
-                forest.join(x, y)
+    extra = size - np.bitwise_count(maps).sum(axis=1).astype(np.int64)
 
     # levels[0]: leaves of LEAF sets; each node has its range of sets, OR bitmap, size range and greatest slack
     levels = []
     starts = np.arange(0, n, LEAF)
     while True:
         ends = np.append(starts[1:], n)
-        levels.append({"a": starts, "b": ends, "or": np.bitwise_or.reduceat(maps, starts, axis=0), "low": size[starts], "high": size[ends - 1], "extra": np.maximum.reduceat(size - ones, starts)})
+        levels.append({"a": starts, "b": ends, "or": np.bitwise_or.reduceat(maps, starts, axis=0), "low": np.minimum.reduceat(size, starts), "high": np.maximum.reduceat(size, starts), "extra": np.maximum.reduceat(extra, starts)})
         if len(starts) == 1:
             break
         starts = starts[::fanout]
@@ -213,7 +210,7 @@ def signature_tree_links(sets: list[np.ndarray], percent: int = PERCENT, fanout:
         node = levels[k]
         a, b, c, d = int(node["a"][i]), int(node["b"][i]), int(node["a"][j]), int(node["b"][j])
         if i != j:
-            if 100 * node["high"][i] < percent * node["low"][j]:
+            if 100 * node["high"][i] < percent * node["low"][j] or 100 * node["high"][j] < percent * node["low"][i]:
                 continue
             most = int(np.bitwise_count(node["or"][i] & node["or"][j]).sum()) + min(int(node["extra"][i]), int(node["extra"][j]))
             if (100 + percent) * most < percent * (node["low"][i] + node["low"][j]):
@@ -227,11 +224,18 @@ def signature_tree_links(sets: list[np.ndarray], percent: int = PERCENT, fanout:
             right = range(j * fanout, min((j + 1) * fanout, len(below)))
             stack.extend((k - 1, x, y) for x in reversed(left) for y in reversed(right) if x <= y)
             continue
-        for x in range(a, b):
-            ys = np.arange(x + 1, b) if i == j else np.arange(c, d)
-            ys = ys[100 * size[x] >= percent * size[ys]]
-            if len(ys):
-                linked(x, ys)
+        both = np.bitwise_count(maps[a:b, None, :] & maps[None, c:d, :]).sum(axis=2, dtype=np.int64)
+        most = both + np.minimum(extra[a:b, None], extra[None, c:d])  # tokens that share a bit may all be common
+        least = np.minimum(size[a:b, None], size[None, c:d])
+        able = (100 + percent) * np.minimum(most, least) >= percent * (size[a:b, None] + size[None, c:d])
+        for x, y in np.argwhere(np.triu(able, 1) if i == j else able).tolist():
+            x, y = x + a, y + c
+            if forest.root(x) == forest.root(y):
+                continue
+            common = len(sets[x]) + len(sets[y]) - len(np.union1d(sets[x], sets[y]))
+            if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                links.append((int(order[x]), int(order[y])))
+                forest.join(x, y)
     return links, forest
 
 
@@ -298,7 +302,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, common_share: float = 0.005, with_key: bool = False) -> DataFrame:
+def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, common_share: float = 0.002, with_key: bool = False) -> DataFrame:
     """Per row of documents: doc_id, n_shingles, component_id (the least doc_id that links reach, its own included).
 
     Null, empty and blank texts have no shingles and are alone; shorter texts than words count as one shingle;
@@ -306,32 +310,37 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
     Other columns are not read. with_key adds the row's key and its component as the digest of one of its sets.
     """
     spark = documents.sparkSession
-    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), "text")
+    keyed = bounded(documents).select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), "text")
     made = cut(keyed.mapInArrow(_sets_with_common(common_share, words), "kind byte, doc_id long, k long, d long, n long"))
     rows = made.where("kind = 0").select("doc_id", "k", "d", "n")
     common = made.where("kind = 1").groupBy("d").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d").limit(COMMON_LIMIT)
     common = np.sort(np.array([r.d for r in common.select("d").collect()], np.int64).view(np.uint64))
     prefixes = keyed.select("text").mapInArrow(_emit_prefixes(common, words, percent), "tok long, d long, n int")
     by_token = Window.partitionBy("tok")
-    shared = prefixes.select("tok", "d", "n", (F.min("d").over(by_token) < F.max("d").over(by_token)).alias("met")).where("met").select("tok", "d", "n")
-    shared = cut(shared)
+    met = F.min("d").over(by_token) < F.max("d").over(by_token)
+    shared = cut(prefixes.select("tok", "d", "n", met.alias("met")).where("met").select("tok", "d", "n"))
     # at least as many shared prefix shingles as the smallest possible partner calls for
     enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 16))
-    able = shared.groupBy("d", "n").agg(F.count_distinct("tok").alias("met")).where(F.col("met") >= enough).select("d")
+    for _ in range(2):  # what was shared only with sets that have left is shared no more
+        able = shared.groupBy("d", "n").agg(F.count_distinct("tok").alias("met")).where(F.col("met") >= enough).select("d")
+        shared = shared.join(able, "d", "left_semi").select("tok", "d", "n", met.alias("met")).where("met").select("tok", "d", "n")
     in_size = by_token.orderBy("n", "d")
-    ties = shared.join(able, "d", "left_semi").select("d", "n", F.lag("d").over(in_size).alias("last"), F.lag("n").over(in_size).alias("last_n"))
+    ties = shared.select("d", "n", F.lag("d").over(in_size).alias("last"), F.lag("n").over(in_size).alias("last_n"))
     ties = ties.where(f"last <> d and 100 * last_n >= {percent} * n").select(F.greatest("d", "last").alias("a"), F.least("d", "last").alias("b")).distinct()
     loose = connected_components(ties)
     loose = loose.select(F.col("node").alias("d"), F.col("root").alias("comp")).unionByName(loose.select(F.col("root").alias("d"), F.col("root").alias("comp")).distinct())
-    counted = loose.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    one_row = rows.where("n > 0").groupBy("d").agg(F.min("k").alias("k"), F.min("doc_id").alias("rep"))
-    chosen = cut(loose.join(counted, "comp").join(one_row, "d").select("k", "d", "comp", "blocks"))
+    one_row = rows.where("n > 0").groupBy("d").agg(F.min("k").alias("k"), F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    block = F.floor((F.row_number().over(Window.partitionBy("comp").orderBy("n", "d")) - 1) / BLOCK).cast("int")
+    members = cut(loose.join(one_row, "d").select("k", "d", "comp", "n", block.alias("block")))
+    ranges = members.groupBy("comp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    others = ranges.select("comp", F.col("block").alias("other"), F.col("low").alias("other_low"))
+    pairs = ranges.join(others, "comp").where(f"block <= other and 100 * high >= {percent} * other_low").select("comp", "block", "other", F.xxhash64("comp", "block", "other").alias("g"))
+    groups = pairs.select("comp", "block", "g").union(pairs.where("block < other").select("comp", "other", "g")).groupBy("comp", "block").agg(F.collect_list("g").alias("groups"))
+    chosen = cut(members.join(groups, ["comp", "block"]).select("k", "d", "groups"))
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    sets = keyed.select("k", "text").join(chosen, "k").select("comp", "d", "blocks", "text").mapInArrow(_emit_sets(words), "comp long, d long, blocks int, shingles binary")
-    own = F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "d", "shingles")
+    sets = keyed.select("k", "text").join(chosen, "k").select("d", "groups", "text").mapInArrow(_emit_sets(words), "d long, groups array<long>, shingles binary")
+    dealt = sets.select(F.explode("groups").alias("g"), "d", "shingles")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = dealt.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_verify(percent), "a long, b long")
     found = connected_components(links)

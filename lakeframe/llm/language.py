@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, slices
+from .common import bounded, byte_column, slices
 
 BUCKET_BITS = 16
 SMOOTHING = 0.5
@@ -70,7 +70,7 @@ def _sum_counts(rows: pa.Table) -> pa.Table:
 
 def train_languages(documents: DataFrame) -> LanguageModel:
     """A model of the languages in the column lang; there are few of them, whatever the size of the table."""
-    known = documents.where("lang is not null and text is not null")
+    known = bounded(documents).where("lang is not null and text is not null")
     languages = sorted(r.lang for r in known.select("lang").distinct().collect())
     counted = known.select("lang", text_bytes().alias("bytes")).mapInArrow(_count(languages), "lang string, counts binary")
     found = {r.lang: np.frombuffer(r.counts, np.int64) for r in counted.groupBy("lang").applyInArrow(_sum_counts, "lang string, counts binary").collect()}
@@ -158,6 +158,6 @@ def identify_languages(documents: DataFrame) -> DataFrame:
     first language by name; other columns are not read.
     """
     model = train_languages(documents.where(held_out_fold(3) != 1).select("lang", "text"))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("bytes"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = bounded(documents).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("bytes"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     found = rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", F.coalesce(held_out_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

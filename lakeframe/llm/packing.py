@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parts, texts_of
+from .common import bounded, cut, parts, texts_of
 
 CAPACITY = 4096
 END_ID = 1
@@ -86,7 +86,7 @@ def _pieces(tokenizer: str, capacity: int, with_ids: bool):
 
 def tokenised_pieces(documents: DataFrame, tokenizer: str, capacity: int, with_ids: bool = False) -> DataFrame:
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, capacity, with_ids), schema)
+    return bounded(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, capacity, with_ids), schema)
 
 
 def packing_plan(counts: dict[int, int], capacity: int) -> np.ndarray:

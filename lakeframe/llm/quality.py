@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import bounded, parts
 
 #: (bytes below, least ratio, greatest ratio); fitted to clean texts of each length, with a margin of about an eighth.
 BANDS = (
@@ -112,4 +112,4 @@ def quality_bands(documents: DataFrame) -> DataFrame:
     a null doc_id is kept as it is; a line is a duplicate if it equals an earlier one exactly; other columns are not read.
     """
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, chunks_out double"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_judge, schema)
+    return bounded(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_judge, schema)

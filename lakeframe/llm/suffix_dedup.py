@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_column, grouped_batches, mix64, row_key, slices
+from .common import bounded, byte_column, grouped_batches, mix64, row_key, slices
 
 SPAN = 200
 GRAM = 64
@@ -302,7 +302,7 @@ def suffix_array_dedup(documents: DataFrame, span: int = SPAN, gram: int = GRAM,
     spark = documents.sparkSession
     others = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
     row = [F.struct(*others).alias("row")] if with_text else []
-    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), F.col("text").cast("binary").alias("text"), *row)
+    keyed = bounded(documents).select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), F.col("text").cast("binary").alias("text"), *row)
     found = keyed.select("k", "text").mapInArrow(_emit_anchors(span, gram), "h long, c long, k long, at int")
     by_anchor = Window.partitionBy("h")
     in_order = by_anchor.orderBy("c")

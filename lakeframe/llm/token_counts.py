@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import bounded, parts
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Characters beyond its end that a pre-token depends on: a run of spaces gives its last one to a word after it.
@@ -203,4 +203,4 @@ def edit_aware_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataF
     kept; other columns are not read.
     """
     schema = "doc_id long, n_tokens long, n_edits long, n_tokens_edited long, n_chars_scanned long"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_count(tokenizer), schema)
+    return bounded(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_count(tokenizer), schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, slices
+from .common import bounded, byte_column, slices
 
 ORDERS = (4, 5, 6)
 BUCKET_BITS = 18
@@ -136,7 +136,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    rows = documents.select("doc_id", "text").join(known, "doc_id").select(F.col("toxic"), F.xxhash64("text", "doc_id").alias("h"), text_bytes().alias("bytes"))
+    rows = bounded(documents).select("doc_id", "text").join(known, "doc_id").select(F.col("toxic"), F.xxhash64("text", "doc_id").alias("h"), text_bytes().alias("bytes"))
     schema = "block int, counts binary, n0 long, n1 long"
     blocks = rows.select("toxic", "bytes").mapInArrow(_count, schema).groupBy("block").applyInArrow(_sum_blocks, schema).collect()  # BLOCKS rows
     slot = np.full(1 << BUCKET_BITS, -1, np.int16)
@@ -188,7 +188,7 @@ def _score(model: ToxicityModel, columns: list[str]):
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, text and score of every row; null and empty texts get the score of no feature at all."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("bytes"))
+    rows = bounded(documents).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("bytes"))
     return rows.mapInArrow(_score(model, ["doc_id"]), "doc_id long, score double")
 
 
