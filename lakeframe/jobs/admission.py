@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import null_if_nan, rounded, sorted_json
+from ..functions.exprs import hash_uniform, null_if_nan, rounded, sorted_json
 from ..operators import contract, profile
 from ..operators.registry_ops import shared_folder
 from ..sources import io
@@ -310,8 +309,6 @@ _FOLD = _uniform("key", SEED, "leakage")
     SELECT feature, round(1 - sum(ss - 2 * coalesce(fit, mean) * s + n * coalesce(fit, mean) * coalesce(fit, mean)) / (sum(ss) - sum(s) * sum(s) / sum(n)), 6) AS r2, sum(n)::BIGINT AS n_test
     FROM c JOIN m USING (feature) WHERE n > 0 GROUP BY 1""")
 def leakage_single_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.exprs import hash_uniform
-
     found = contract.single_feature_scores(line(spark, sf_dir), ["l_returnflag", "o_orderpriority", "c_mktsegment", "p_type"], "y", hash_uniform("key", SEED, "leakage") >= 0.25)
     return found.withColumn("r2", rounded("r2"))
 
@@ -319,8 +316,6 @@ def leakage_single_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 @job()
 def leakage_single_feature_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for numeric features in 64 quantile bins, whose borders are approximate."""
-    from ..functions.exprs import hash_uniform
-
     return contract.single_feature_scores(_leaky(spark, sf_dir), ["l_quantity", "l_discount", "p_size", "settled"], "y", hash_uniform("key", SEED, "leakage") >= 0.25)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,9 +110,14 @@ def drift_report(df: DataFrame, side: str, numeric: list[str], categorical: list
     sizes = {r[side]: r["count"] for r in df.groupBy(side).count().collect()}  # two rows
     if min(sizes.get("reference", 0), sizes.get("current", 0)) < settings.drift_min_rows or not numeric + categorical:
         raise ValueError(f"drift needs {settings.drift_min_rows} rows on either side and a shared feature")
-    ks = ks_statistic(df, side, numeric).select("feature", F.lit("ks").alias("test"), F.col("d").alias("statistic"), kolmogorov_p(F.col("d"), F.col("n_ref"), F.col("n_cur")).alias("p"))
-    chi = chi_square(level_counts(df, side, categorical)).select("feature", F.lit("chi_square").alias("test"), "statistic", chi2_p("statistic", F.col("df").cast("double")).alias("p"))
-    return ks.unionByName(chi).withColumn("drifted", F.col("p") < settings.drift_p_value)
+    found = []
+    if numeric:
+        ks = ks_statistic(df, side, numeric)
+        found.append(ks.select("feature", F.lit("ks").alias("test"), F.col("d").alias("statistic"), kolmogorov_p(F.col("d"), F.col("n_ref"), F.col("n_cur")).alias("p")))
+    if categorical:
+        chi = chi_square(level_counts(df, side, categorical))
+        found.append(chi.select("feature", F.lit("chi_square").alias("test"), "statistic", chi2_p("statistic", F.col("df").cast("double")).alias("p")))
+    return reduce(DataFrame.unionByName, found).withColumn("drifted", F.col("p") < settings.drift_p_value)
 
 
 def drift_verdict(report: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
