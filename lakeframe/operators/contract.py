@@ -58,7 +58,7 @@ def column_audit(df: DataFrame, problem: Problem, settings: Settings = SETTINGS,
     one = df.agg(*aggregates)
     rows = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.kind).alias("kind"), F.lit(len(f.levels)).alias("n_levels"), F.lit(f.nullable).alias("nullable"), F.col(f"{f.name}__null").alias("n_null"), F.col(f"{f.name}__distinct").alias("n_unique")) for f in declared])
     long = one.select("n_rows", F.explode(rows).alias("c")).select("n_rows", "c.*")
-    long = long.withColumn("null_share", F.round(F.col("n_null") / F.col("n_rows"), 6)).withColumn("cardinality_share", F.round(F.col("n_unique") / F.col("n_rows"), 6))
+    long = long.withColumn("null_share", F.round(F.try_divide("n_null", "n_rows"), 6)).withColumn("cardinality_share", F.round(F.try_divide("n_unique", "n_rows"), 6))
     issues = F.array_compact(F.array(
         F.when(F.col("n_unique") <= 1, "constant"), F.when(F.col("null_share") >= settings.high_null_share, "mostly null"),
         F.when((F.col("kind") == "categorical") & (F.col("cardinality_share") >= settings.high_cardinality_share), "id-like"),
@@ -114,7 +114,10 @@ def duplicate_shares(df: DataFrame, features: list[str], target: str) -> DataFra
 
 def correlations(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """Absolute Pearson correlation over complete pairs; null for fewer than two distinct values."""
-    made = [F.when(F.min(F.when(F.col(target).isNotNull(), F.col(c))) < F.max(F.when(F.col(target).isNotNull(), F.col(c))), F.abs(F.corr(c, target))).alias(c) for c in features]
+    made = []
+    for c in features:
+        x, y = F.when(F.col(target).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(target))
+        made.append(F.abs(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))).alias(c))
     return unpivot_row(df.agg(*made), features, "correlation")
 
 
@@ -150,5 +153,5 @@ def single_feature_scores(df: DataFrame, features: list[str], target: str, fold:
     mean = rows.where("train").groupBy("feature").agg(F.avg("t").alias("mean"))
     cells = cells.where("n > 0").join(mean, "feature").withColumn("fit", F.coalesce("fit", "mean"))
     return cells.groupBy("feature").agg(
-        (1 - F.sum(F.col("ss") - 2 * F.col("fit") * F.col("s") + F.col("n") * F.col("fit") * F.col("fit")) / (F.sum("ss") - F.sum("s") * F.sum("s") / F.sum("n"))).alias("r2"), F.sum("n").alias("n_test")
+        (1 - F.try_divide(F.sum(F.col("ss") - 2 * F.col("fit") * F.col("s") + F.col("n") * F.col("fit") * F.col("fit")), F.sum("ss") - F.sum("s") * F.sum("s") / F.sum("n"))).alias("r2"), F.sum("n").alias("n_test")
     )

@@ -20,7 +20,7 @@ def level_counts(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
 
 def level_shares(counts: DataFrame) -> DataFrame:
     w = Window.partitionBy("feature")
-    return counts.withColumn("share_ref", F.col("n_ref") / F.sum("n_ref").over(w)).withColumn("share_cur", F.col("n_cur") / F.sum("n_cur").over(w))
+    return counts.withColumn("share_ref", F.try_divide(F.col("n_ref"), F.sum("n_ref").over(w))).withColumn("share_cur", F.try_divide(F.col("n_cur"), F.sum("n_cur").over(w)))
 
 
 def total_variation(counts: DataFrame) -> DataFrame:
@@ -59,13 +59,13 @@ def ks_statistic(df: DataFrame, side: str, columns: list[str], bands: int = 64)
     )
     order = Window.partitionBy("feature", "band").orderBy("value")
     joined = values.join(F.broadcast(offsets), ["feature", "band"])  # at most bands rows a feature
-    gap = F.abs((F.col("before_r") + F.sum("r").over(order)) / F.col("n_ref") - (F.col("before_c") + F.sum("c").over(order)) / F.col("n_cur"))
+    gap = F.abs(F.try_divide(F.col("before_r") + F.sum("r").over(order), F.col("n_ref")) - F.try_divide(F.col("before_c") + F.sum("c").over(order), F.col("n_cur")))
     return joined.withColumn("gap", gap).groupBy("feature").agg(F.max("gap").alias("d"), F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"))
 
 
 def kolmogorov_p(d: Column, n: Column, m: Column) -> Column:
     """Asymptotic two-sample p-value: 2 sum (-1)^(k-1) exp(-2 k^2 l^2), as a column."""
-    lam = d * F.sqrt(n * m / (n + m))
+    lam = d * F.sqrt(F.try_divide(n * m, n + m))
     terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2 * k * k * lam * lam))
     total = 2 * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
     return F.when(lam < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
@@ -102,9 +102,6 @@ def chi2_sf(x: float | None, df: float | None) -> float | None:
     return math.exp(log_front) * h
 
 
-chi2_p = F.udf(chi2_sf, "double")  # on one row for each feature
-
-
 def drift_report(df: DataFrame, side: str, numeric: list[str], categorical: list[str], settings: Settings = SETTINGS) -> DataFrame:
     """A row for each feature with its statistic and p-value; refuses sides with too few rows."""
     sizes = {r[side]: r["count"] for r in df.groupBy(side).count().collect()}  # two rows
@@ -116,6 +113,7 @@ def drift_report(df: DataFrame, side: str, numeric: list[str], categorical: list
         found.append(ks.select("feature", F.lit("ks").alias("test"), F.col("d").alias("statistic"), kolmogorov_p(F.col("d"), F.col("n_ref"), F.col("n_cur")).alias("p")))
     if categorical:
         chi = chi_square(level_counts(df, side, categorical))
+        chi2_p = F.udf(chi2_sf, "double")  # on one row for each feature
         found.append(chi.select("feature", F.lit("chi_square").alias("test"), "statistic", chi2_p("statistic", F.col("df").cast("double")).alias("p")))
     return reduce(DataFrame.unionByName, found).withColumn("drifted", F.col("p") < settings.drift_p_value)
 

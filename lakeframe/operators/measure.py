@@ -56,7 +56,7 @@ def auc(df: DataFrame, positive: Column, score: Column, places: int = 9) -> Data
     order = Window.partitionBy("band").orderBy("s")
     ranked = bands.join(F.broadcast(before), "band").withColumn("neg", F.col("n") - F.col("pos"))
     below = F.col("neg_before") + F.sum("neg").over(order) - F.col("neg")
-    return ranked.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2)).agg((F.sum("wins") / (F.sum("pos") * F.sum("neg"))).alias("roc_auc"))
+    return ranked.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2)).agg(F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
 def quantile_higher(df: DataFrame, score: Column, level: float) -> Column:
