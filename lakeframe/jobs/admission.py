@@ -348,10 +348,10 @@ def duplicate_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @job("""
-    WITH s AS (SELECT l_orderkey, l_linenumber, date_diff('hour', date_trunc('hour', o_orderdate), date_trunc('hour', l_shipdate)) AS hours, 24.0 * 60 AS planned, l_linestatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-    SELECT CASE WHEN l_linestatus = 'F' AND hours > 1.15 * planned THEN 'LATE' WHEN l_linestatus = 'O' AND hours > planned AND hours < 8760 THEN 'OVERDUE' ELSE 'ON TIME' END AS status, count(*) AS n, min(hours) AS least, max(hours) AS most FROM s GROUP BY 1""")
+    WITH s AS (SELECT l_orderkey, l_linenumber, date_diff('hour', date_trunc('hour', o_orderdate), date_trunc('hour', l_shipdate)) AS hours, 24 * 60 AS planned, l_linestatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT CASE WHEN l_linestatus = 'F' AND 100 * hours > 115 * planned THEN 'LATE' WHEN l_linestatus = 'O' AND hours > planned AND hours < 8760 THEN 'OVERDUE' ELSE 'ON TIME' END AS status, count(*) AS n, min(hours) AS least, max(hours) AS most FROM s GROUP BY 1""")
 def transit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     hours = ((F.unix_timestamp(F.date_trunc("hour", "l_shipdate")) - F.unix_timestamp(F.date_trunc("hour", "o_orderdate"))) / 3600).cast("long")
-    status = F.when((F.col("l_linestatus") == "F") & (F.col("hours") > 1.15 * 24 * 60), "LATE").when((F.col("l_linestatus") == "O") & (F.col("hours") > 24 * 60) & (F.col("hours") < 8760), "OVERDUE").otherwise("ON TIME")
+    status = F.when((F.col("l_linestatus") == "F") & (100 * F.col("hours") > 115 * 24 * 60), "LATE").when((F.col("l_linestatus") == "O") & (F.col("hours") > 24 * 60) & (F.col("hours") < 8760), "OVERDUE").otherwise("ON TIME")
     return joined.withColumn("hours", hours).groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.min("hours").alias("least"), F.max("hours").alias("most"))
