@@ -55,7 +55,7 @@ def data(seed):
 def test_against_brute_force(spark, seed, monkeypatch):
     docs, items = data(seed)
     if seed == 2:
-        monkeypatch.setattr(decontaminate, "INDEX_BYTES", 900)
+        monkeypatch.setattr(decontaminate, "INDEX_BYTES", 900)  # several parts
     documents = spark.createDataFrame([(d, t, "clash") for d, t in docs], "doc_id long, text string, item_id string")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     wanted = brute(docs, items)

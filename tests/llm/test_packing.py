@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
-from lakeframe.llm.packing import pack_sequences, packing_plan
+from lakeframe.llm.packing import WordEncoder, pack_sequences, packing_plan
 
 
 def check_plan(counts, capacity):
@@ -52,6 +52,15 @@ def test_plans():
         assert used <= first_fit_decreasing(counts, 100) * 1.02 + 1
 
 
+def test_words_are_encoded_as_in_whole_texts():
+    encoder = WordEncoder("word_bpe_49k.json", limit=50)
+    rng = random.Random(5)
+    alphabet = [chr(c) for c in range(0x250)] + ["'s", "'", "'ll", "  ", "\n", "don't", "<|endoftext|>", "Σ", "日", "\u0301", "\u2003"]
+    for _ in range(1500):
+        text = "".join(rng.choices(alphabet, k=rng.randint(0, 12)))
+        assert next(encoder.encode([text])).tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+
+
 def test_pack(spark):
     from public_tokenizers import path
 
