@@ -25,46 +25,56 @@ from .common import bounded, cut, parts, texts_of
 CAPACITY = 4096
 END_ID = 1
 BUCKETS = 64
-_SPACE = re.compile(r"[ \t\n\r]+")
-
-
-class _WordIds(dict):
-    """Ids of a run of text without spaces; forgets all when it has grown large.
-
-    The tokenizer drops white space and no token spans it, so such runs are encoded one by one.
-    """
-
-    def __init__(self, path: str) -> None:
+#: Lower-case letters of Latin scripts, up to U+024F.
+_LATIN = "a-z\\xaa\\xb5\\xba\\xdf-\\xf6\\xf8-\\u024f"
+#: The tokenizer's own pre-tokens in lower-cased text of those letters; what it calls space has no separators of files.
+_PRETOKEN = re.compile(rf"[{_LATIN}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|(?:[^\s0-9{_LATIN}]|[\x1c-\x1f])+")
+#: Characters beyond those, once in lower case: other scripts and marks, and numbers that are no digits.
+_OTHER = re.compile(r"[^\x00-\u024f]|[\xb2\xb3\xb9\xbc-\xbe]")
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: How byte-level vocabularies write bytes: printable ones as themselves, the others from U+0100 on.
+_BYTE_NAMES = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PLAIN)}
+
+
+class WordEncoder:
+    """Ids of texts, word by word: merges never cross words, so each distinct one is encoded once."""
+
+    def __init__(self, name: str, limit: int = 300_000) -> None:
+        import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) > 200_000:
-            self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = found = np.array(ids, "<u4").tobytes()
-        return found
-
-
-def _tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def encode(text: str, words: dict) -> np.ndarray:
-    ids = b"".join(map(words.__getitem__, _SPACE.split(text))) if text else b""
-    return np.append(np.frombuffer(ids, "<u4"), np.uint32(END_ID)).astype("<u4")
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.known: dict[str, bytes] = {}
+        self.limit = limit
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        merge = self.tokenizer.model.tokenize
+        for word in words - self.known.keys():
+            named = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(_BYTE_NAMES)
+            self.known[word] = np.array([t.id for t in merge(named)], "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text and the end id."""
+        end = np.uint32(END_ID).tobytes()
+        lower = [t.lower() for t in texts]
+        split = [None if "<|" in t or not t.isascii() and _OTHER.search(t) else _PRETOKEN.findall(t) for t in lower]
+        self._learn(set().union(*(x for x in split if x)))
+        known = self.known.__getitem__
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                yield np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END_ID], "<u4")
+            else:
+                yield np.frombuffer(b"".join([*map(known, words), end]), "<u4")
 
 
 def _pieces(tokenizer: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _WordIds(_tokenizer_path(tokenizer))
+        encoder = WordEncoder(tokenizer)
         for batch in parts(batches):
             row, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, text in enumerate(texts_of(batch.column("text"))):
-                ids = encode(text, words)
+            for i, ids in enumerate(encoder.encode(texts_of(batch.column("text")))):
                 for j in range(0, len(ids), capacity):
                     some = ids[j : j + capacity]
                     row.append(i)
