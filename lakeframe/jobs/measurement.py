@@ -240,12 +240,12 @@ def residual_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @job(f"""
-    WITH {LINE_SQL}, o AS (SELECT o_orderpriority, key, pred, y - pred AS e FROM line WHERE l_returnflag = 'A'),
-    w AS (SELECT o_orderpriority, key, avg(e) OVER c AS rolling_mean, stddev_samp(e) OVER c AS rolling_std, count(*) OVER c AS n FROM o WINDOW c AS (PARTITION BY o_orderpriority ORDER BY pred, key ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING))
+    WITH {LINE_SQL}, o AS (SELECT o_orderpriority, c_mktsegment, p_type, key, pred, y - pred AS e FROM line),
+    w AS (SELECT key, avg(e) OVER c AS rolling_mean, stddev_samp(e) OVER c AS rolling_std, count(*) OVER c AS n FROM o WINDOW c AS (PARTITION BY o_orderpriority, c_mktsegment, p_type ORDER BY pred, key ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING))
     SELECT key, CASE WHEN n >= 5 THEN round(rolling_mean, 6) END AS rolling_mean, CASE WHEN n >= 5 THEN round(rolling_std, 6) END AS rolling_std FROM w""")
 def residual_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centred rolling mean and deviation of the residual in the order of the prediction, within each priority."""
-    df = line(spark, sf_dir).where("l_returnflag = 'A'").withColumn("e", F.col("y") - F.col("pred"))
-    w = Window.partitionBy("o_orderpriority").orderBy("pred", "key").rowsBetween(-7, 7)
+    """Centred rolling mean and deviation of the residual in the order of the prediction, within each segment."""
+    df = line(spark, sf_dir).withColumn("e", F.col("y") - F.col("pred"))
+    w = Window.partitionBy("o_orderpriority", "c_mktsegment", "p_type").orderBy("pred", "key").rowsBetween(-7, 7)
     enough = F.count("*").over(w) >= 5
     return df.select("key", F.when(enough, rounded(F.avg("e").over(w))).alias("rolling_mean"), F.when(enough, rounded(F.stddev_samp("e").over(w))).alias("rolling_std"))

@@ -59,22 +59,28 @@ def auc(df: DataFrame, positive: Column, score: Column, places: int = 9) -> Data
     return ranked.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2)).agg(F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
-def quantile_higher(df: DataFrame, score: Column, level: float) -> Column:
+def quantile_higher(df: DataFrame, score: Column, level: float, at_once: int = 1_000_000) -> Column:
     """A driver-side number: the smallest order statistic at or above the level; exact for any number of rows.
 
-    Approximate quantiles bracket it, then an exact count below the bracket and a sort within give the rank.
+    Approximate quantiles bracket it, again and again, until few rows are left; exact counts below the bracket and of
+    the values within give the rank.
     """
     scored = df.select(score.alias("s")).where(F.col("s").isNotNull() & ~F.isnan("s"))
-    n = scored.count()
+    inside, below, bracket = scored, 0, None
+    n = m = scored.count()
     rank = higher_rank(n, level)
-    if not n:
-        return F.lit(None).cast("double")
-    low, high = scored.select(F.percentile_approx("s", [max(0.0, (rank - 1) / n - 0.002), min(1.0, rank / n + 0.002)], 20_000)).first()[0]
-    below = scored.where(F.col("s") < low).count()
-    inside = scored.where((F.col("s") >= low) & (F.col("s") <= high)).groupBy("s").agg(F.count("*").alias("c")).orderBy("s")
-    cumulative = inside.withColumn("cum", F.sum("c").over(Window.orderBy("s")) + below)  # about half a percent of the distinct scores
-    found = cumulative.where(F.col("cum") >= rank).agg(F.min("s")).first()[0]
-    return F.lit(found)
+    while m > at_once:
+        share = (rank - below) / m
+        found = tuple(inside.select(F.percentile_approx("s", [max(0.0, share - 0.002), min(1.0, share + 0.002)], 20_000)).first()[0])
+        if found == bracket:  # ties
+            break
+        bracket = found
+        below = scored.where(F.col("s") < bracket[0]).count()
+        inside = scored.where(F.col("s").between(*bracket))
+        m = inside.count()
+    values = inside.groupBy("s").agg(F.count("*").alias("c"))
+    cumulative = values.withColumn("cum", F.sum("c").over(Window.orderBy("s")) + below)
+    return F.lit(cumulative.where(F.col("cum") >= rank).agg(F.min("s")).first()[0]).cast("double")
 
 
 def conformal_level(n: int, coverage: float) -> float:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,9 @@ HANDOFFS = {"direct": (0, 1), "single_transfer": (1, 3), "multi_leg": (3, 7), "l
 
 
 def weighted(u: Column, levels: tuple[tuple[str, float], ...]) -> Column:
-    out, top = F.lit(levels[-1][0]), 1.0
-    for name, weight in reversed(levels[:-1]):
-        top -= levels[[x for x, _ in levels].index(name) + 1][1]
+    tops = list(accumulate(weight for _, weight in levels))
+    out = F.lit(levels[-1][0])
+    for (name, _), top in reversed(list(zip(levels, tops, strict=True))[:-1]):
         out = F.when(u < top, name).otherwise(out)
     return out
 
