@@ -18,18 +18,18 @@ from pyspark.sql import functions as F
 
 from .common import bounded, parts
 
-#: (bytes below, least ratio, greatest ratio); fitted to clean texts of each length, with a margin of about an eighth.
+#: (bytes below, least ratio, greatest ratio); set a little beyond the range that clean texts of each length have.
 BANDS = (
     (64, 0.0, 1.6),
     (128, 0.7, 1.7),
-    (256, 0.85, 2.0),
-    (512, 1.05, 2.1),
-    (1024, 1.15, 2.25),
-    (2048, 1.35, 2.45),
-    (4096, 1.5, 2.5),
-    (16384, 1.6, 2.7),
-    (65536, 1.7, 2.85),
-    (1 << 62, 1.75, 3.2),
+    (256, 0.85, 1.85),
+    (512, 1.05, 2.0),
+    (1024, 1.15, 2.1),
+    (2048, 1.35, 2.25),
+    (4096, 1.5, 2.32),
+    (16384, 1.6, 2.52),
+    (65536, 1.7, 2.65),
+    (1 << 62, 1.75, 2.85),
 )
 CHUNK = 2048
 CHUNK_BAND = (1.3, 2.6)
