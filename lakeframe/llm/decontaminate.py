@@ -4,9 +4,9 @@ The index holds impacts: an item's BM25 contribution for a term, as a share of t
 threshold serves short and long items alike. Every passage of every document is a query: windows of twice the longest
 item's words, one item's length apart, so each place in a text where an item could stand lies whole in some window.
 
-- Items are sorted by length and grouped in blocks; each term has its greatest impact per block. Running sums of these
-  along a document bound what any item of a block can reach in a window, for all windows and blocks at once; blocks
-  below the threshold are skipped (block-max).
+- Running sums of each word's greatest impact bound what any item can reach in a window, for all windows at once.
+- Items are sorted by length and grouped in blocks; each term has its greatest impact per block, and blocks whose sum
+  over a window's terms is below the threshold are skipped (block-max).
 - In the blocks left, a document-at-a-time WAND with pivots retrieves every item at or above the threshold.
 - A retrieved item is verified: a large enough share of the 3-word shingles of its question (its first part) and of
   its answer (its last words) must stand in the window.
@@ -18,7 +18,8 @@ needed and each part is searched in turn, with term statistics over all items.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -30,99 +31,124 @@ from pyspark.sql import functions as F
 
 from .common import bounded, parts
 
-
 K1, B = 1.2, 0.75
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 4
 THRESHOLD = 0.6
 QUESTION_OVERLAP = 0.6
 ANSWER_OVERLAP = 0.6
 ANSWER_SHARE = 0.25
-INDEX_BYTES = 32 << 20
+INDEX_BYTES = 8 << 20
 #: Words of a window at most; longer items are found by any of their windows of this length.
 LONGEST = 512
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+_WORD = re.compile(r"\w+")
+
+
+def words_of(text: str | None) -> list[str]:
+    """Words in lower case, without what stands around them."""
+    return _WORD.findall((text or "").lower())
 
 
-def _shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
+def _shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
 
 
+def _runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges starts..ends, one range after the other."""
+    size = ends - starts
+    return np.repeat(starts - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+
+
 @dataclass
 class ItemIndex:
     items: list[int]  # ids, by place
-    terms: dict[bytes, int]
-    postings: list[list[tuple[int, float]]]  # by term: (place, impact), by place
-    block_max: np.ndarray  # (terms + 1) x blocks; the last row, of words that are no term, is 0
+    terms: dict[str, int]
+    # postings of a term t: entries first[t] to first[t + 1], by place
+    first: np.ndarray
+    place: np.ndarray
+    impact: np.ndarray
+    # its blocks and their greatest impacts: entries block_first[t] to block_first[t + 1]
+    block_first: np.ndarray
+    block: np.ndarray
+    block_max: np.ndarray
+    highest: np.ndarray  # a term's greatest impact on any item; the last entry, of words that are no term, is 0
     question: list[set]
     answer: list[set]
     window: int
     stride: int
-    highest: np.ndarray  # a term's greatest impact on any item
 
 
-def build_index(rows: list[tuple[int, list[bytes]]], frequency: Counter, n_items: int, mean_length: float) -> ItemIndex:
+def build_index(rows: list[tuple[int, list[str]]], frequency: Counter, n_items: int, mean_length: float) -> ItemIndex:
     rows = sorted((r for r in rows if r[1]), key=lambda r: (len(r[1]), r[0]))
-    terms: dict[bytes, int] = {}
-    postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
+    terms: dict[str, int] = {}
+    found: list[tuple[int, int, float]] = []
     for place, (_, words) in enumerate(rows):
         weight = {}
         for term, tf in Counter(words).items():
             idf = math.log(1 + (n_items - frequency[term] + 0.5) / (frequency[term] + 0.5))
             weight[term] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean_length))
         total = sum(weight.values())
-        for term, w in weight.items():
-            postings[terms.setdefault(term, len(terms))].append((place, w / total))
-    blocks = -(-len(rows) // BLOCK_ITEMS)
-    block_max = np.zeros((len(terms) + 1, max(1, blocks)), np.float32)
-    for t, found in postings.items():
-        for place, w in found:
-            block_max[t, place // BLOCK_ITEMS] = max(block_max[t, place // BLOCK_ITEMS], w)
+        found += [(terms.setdefault(term, len(terms)), place, w / total) for term, w in weight.items()]
+    found.sort()
+    term, place, impact = (np.array(x, t) for x, t in zip(zip(*found, strict=True) if found else ((), (), ()), (np.int64, np.int64, np.float64), strict=True))
+    first = np.searchsorted(term, np.arange(len(terms) + 1))
+    key = term * (len(rows) + 1) + place // BLOCK_ITEMS
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    block_max = np.maximum.reduceat(impact, head) if len(head) else impact
+    highest = np.append(np.maximum.reduceat(impact, first[:-1]) if len(terms) else [], 0.0)
     cuts = [max(1, len(w) - max(1, round(len(w) * ANSWER_SHARE))) for _, w in rows]
     stride = min(max((len(w) for _, w in rows), default=1), LONGEST)
     return ItemIndex(
-        [i for i, _ in rows], terms, [postings[t] for t in range(len(terms))], block_max,
-        [_shingles(w[:c]) for (_, w), c in zip(rows, cuts, strict=True)], [_shingles(w[max(0, min(c, len(w) - 3)) :]) for (_, w), c in zip(rows, cuts, strict=True)],
-        2 * stride, stride, block_max.max(axis=1).astype(np.float64),
+        [i for i, _ in rows], terms, first, place, impact, np.searchsorted(term[head], np.arange(len(terms) + 1)), place[head] // BLOCK_ITEMS, block_max, highest,
+        [_shingles(w[:c]) for (_, w), c in zip(rows, cuts, strict=True)], [_shingles(w[max(0, min(c, len(w) - 3)) :]) for (_, w), c in zip(rows, cuts, strict=True)], 2 * stride, stride,
     )
 
 
-def wand(index: ItemIndex, query: list[int], blocks: set[int], threshold: float) -> list[tuple[int, float]]:
+def blocks_above(index: ItemIndex, query: np.ndarray, threshold: float) -> np.ndarray:
+    """Blocks whose greatest impacts over the query's terms sum to threshold or more."""
+    at = _runs(index.block_first[query], index.block_first[query + 1])
+    bound = np.bincount(index.block[at], weights=index.block_max[at], minlength=-(-len(index.items) // BLOCK_ITEMS))
+    return np.flatnonzero(bound >= threshold - 1e-6)
+
+
+def wand(index: ItemIndex, query: np.ndarray, blocks: np.ndarray, threshold: float) -> list[tuple[int, float]]:
     """Every item of these blocks whose impacts over the query's distinct terms sum to threshold or more."""
+    inside = np.zeros(-(-len(index.items) // BLOCK_ITEMS), bool)
+    inside[blocks] = True
     lists = []
-    for t in query:
-        found = [x for x in index.postings[t] if x[0] // BLOCK_ITEMS in blocks]
-        if found:
-            lists.append([found, 0, max(w for _, w in found)])
+    for t in query.tolist():
+        places, impacts = index.place[index.first[t] : index.first[t + 1]], index.impact[index.first[t] : index.first[t + 1]]
+        here = inside[places // BLOCK_ITEMS]
+        if here.any():
+            lists.append([places[here].tolist(), impacts[here].tolist(), 0, float(impacts[here].max())])
     done = []
     while lists:
-        lists.sort(key=lambda x: x[0][x[1]][0])
+        lists.sort(key=lambda x: x[0][x[2]])
         bound, pivot = 0.0, None
         for x in lists:
-            bound += x[2]
+            bound += x[3]
             if bound >= threshold - 1e-9:
-                pivot = x[0][x[1]][0]
+                pivot = x[0][x[2]]
                 break
         if pivot is None:
             break
-        if lists[0][0][lists[0][1]][0] == pivot:
+        if lists[0][0][lists[0][2]] == pivot:
             score = 0.0
             for x in lists:
-                if x[0][x[1]][0] != pivot:
+                if x[0][x[2]] != pivot:
                     break
-                score += x[0][x[1]][1]
-                x[1] += 1
+                score += x[1][x[2]]
+                x[2] += 1
             if score >= threshold - 1e-9:
                 done.append((pivot, score))
         else:
             for x in lists:
-                if x[0][x[1]][0] >= pivot:
+                if x[0][x[2]] >= pivot:
                     break
-                while x[1] < len(x[0]) and x[0][x[1]][0] < pivot:
-                    x[1] += 1
-        lists = [x for x in lists if x[1] < len(x[0])]
+                while x[2] < len(x[0]) and x[0][x[2]] < pivot:
+                    x[2] += 1
+        lists = [x for x in lists if x[2] < len(x[0])]
     return done
 
 
@@ -142,11 +168,11 @@ def matches(text: str | None, index: ItemIndex, threshold: float = THRESHOLD) ->
     for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True):
         query = np.unique(ids[a:b])
         query = query[query < none]
-        blocks = np.flatnonzero(index.block_max[query].sum(axis=0) >= threshold - 1e-4)
+        blocks = blocks_above(index, query, threshold)
         if not len(blocks):
             continue
         inside = None
-        for place, score in wand(index, query.tolist(), set(blocks.tolist()), threshold):
+        for place, score in wand(index, query, blocks, threshold):
             inside = _shingles(words[a:b]) if inside is None else inside
             question = len(index.question[place] & inside) / len(index.question[place])
             answer = len(index.answer[place] & inside) / len(index.answer[place])
@@ -173,23 +199,27 @@ def _search(index: ItemIndex):
     return run
 
 
+def _split_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([words_of(x) for x in batch.column("text").to_pylist()], pa.list_(pa.string()))], names=["item_id", "words"])
+
+
 def indexes(benchmark: DataFrame) -> Iterator[ItemIndex]:
-    """The index, in parts of about INDEX_BYTES of text."""
+    """The index, in parts of about INDEX_BYTES of text, with term statistics over all items."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // INDEX_BYTES))
-    words = F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    total = items.select(F.size(words).alias("n")).agg(F.count("*"), F.avg("n")).first()
-    for part in range(parts):
-        rows = [(r.item_id, words_of(r.text)) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()]
-        if parts == 1:
+    n_parts = max(1, -(-size // INDEX_BYTES))
+    split = items.mapInArrow(_split_items, "item_id long, words array<string>")
+    total, mean = split.agg(F.count("*"), F.avg(F.size("words"))).first()
+    for part in range(n_parts):
+        own = split.where(F.pmod(F.xxhash64("item_id"), F.lit(n_parts)) == part)
+        rows = [(r.item_id, r.words) for r in own.collect()]
+        if n_parts == 1:
             frequency = Counter(w for _, found in rows for w in set(found))
         else:
-            wanted = sorted({w.decode("utf-8", "replace") for _, found in rows for w in found})
-            session = benchmark.sparkSession
-            counted = items.select("item_id", F.explode(F.array_distinct(words)).alias("w")).join(session.createDataFrame([(w,) for w in wanted], "w string"), "w").groupBy("w").count()
-            frequency = Counter({r.w.encode(): r["count"] for r in counted.collect()})
-        yield build_index(rows, frequency, total[0], float(total[1] or 1))
+            words = split.select(F.explode(F.array_distinct("words")).alias("w")).join(own.select(F.explode("words").alias("w")).distinct(), "w", "left_semi")
+            frequency = Counter({r.w: r["count"] for r in words.groupBy("w").count().collect()})
+        yield build_index(rows, frequency, total, float(mean or 1))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
