@@ -34,10 +34,12 @@ NOISE_WORDS = frozenset(
     "footer header masthead banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "comment comments disqus reply replies respond related recommended recommendations widget toolbar pagination pager search skip".split()
 )
+#: Beside these they only tell how the page around them is laid out ("has-sidebar").
+LAYOUT_WORDS = frozenset("has with without no".split())
 
 _TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORD = re.compile(r"[A-Za-z0-9]+")
+_WORD = re.compile(r"[a-z0-9]+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 _CLASSY = re.compile(r"\b(?:class|id|role|hidden)\b", re.I)
 
@@ -50,9 +52,10 @@ def is_noise(tag: str, attributes: str) -> bool:
     if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes):
         return True
     for name, a, b, c in _MARK.findall(attributes):
-        words = {w.lower() for w in _WORD.findall(a or b or c)}
-        if words & (NOISE_ROLES if name.lower() == "role" else NOISE_WORDS):
-            return True
+        for mark in (a or b or c).lower().split():
+            words = set(_WORD.findall(mark))
+            if words & (NOISE_ROLES if name.lower() == "role" else NOISE_WORDS) and not words & LAYOUT_WORDS:
+                return True
     return False
 
 

@@ -22,6 +22,12 @@ def test_articles():
     assert extract_text(page("<article><ul><li>one<li>two <i>it</i></ul><table><tr><td>a<td>b</table></article>")) == "one\ntwo it\na\nb"
 
 
+def test_marks():
+    body = '<div class="page has-sidebar"><div id="content"><h1>T</h1><p>One two three.</p><p>Four five.</p></div>{}</div>'
+    for extra in ('<div class="sidebar-left"><p>Other stories</p></div>', '<div id="cookie-notice"><p>We use cookies</p></div>', '<ul class="Share-Links"><li>Share</li></ul>', '<div role="navigation"><p>Go</p></div>', "<section id=comments><p>First!</p></section>", '<div hidden><p>x</p></div>'):
+        assert extract_text(page(body.format(extra))) == "T\nOne two three.\nFour five.", extra
+
+
 def test_odd_input():
     for x in (None, "", " ", "<", "<p", "<!--", "<script>", '<a href="x', "</div></p>", "<html><body></body></html>"):
         assert extract_text(x).strip("<") == ""
