@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded, byte_column, slices
 
@@ -212,7 +213,7 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """documents without the rows that the classifier calls toxic; all columns stay as they are."""
     model = train_toxicity(documents, labels.select("doc_id", "toxic").where(held_out_fold(5) != 0))
-    names = documents.columns
-    rows = documents.withColumn("bytes", text_bytes())
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    return rows.mapInArrow(_score(model, names), f"{fields}, score double").where("score < 0.5").select(*names)
+    rows = bounded(documents).select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), text_bytes().alias("bytes"))
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
+    kept = rows.mapInArrow(_score(model, ["row"]), schema).where("score < 0.5")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in documents.columns])

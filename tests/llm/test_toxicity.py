@@ -32,6 +32,7 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted == true[r.doc_id] for r in held) >= 0.97 * len(held)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found if r.doc_id is not None)
+    documents = documents.selectExpr("*", "1 as `score`", "2 as bytes", "3 as `odd name`", "4 as row")
     kept = drop_toxic(documents, known)
     assert kept.columns == documents.columns
     assert kept.count() == sum(r.predicted == 0 for r in found)
