@@ -43,7 +43,7 @@ class _WordHashes(dict):
     """Hashes of words; forgets all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -343,7 +343,7 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
     dealt = sets.select(F.explode("groups").alias("g"), "d", "shingles")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = dealt.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_verify(percent), "a long, b long")
-    found = connected_components(links)
+    found = connected_components(cut(links))  # cut, so that one Python worker a task is enough
     roots = found.select(F.col("node").alias("d"), F.col("root")).unionByName(found.select(F.col("root").alias("d"), F.col("root")).distinct())
     named = roots.join(one_row.select("d", "rep"), "d")
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("comp_rep")), "root").select("d", "root", "comp_rep")
