@@ -5,7 +5,7 @@ can matter:
 
 1. Winnowing picks anchors: positions whose GRAM-byte hash is least in a window of SPAN - GRAM + 1 positions. Equal
    strings of SPAN bytes hold equal anchors at equal places, so whatever repeats has an anchor that repeats.
-2. Anchors are shuffled by hash. An anchor whose whole context (SPAN - GRAM bytes before, SPAN after) occurs again is
+2. Anchors are shuffled by hash, after copies of a context in one batch have been settled on the spot. An anchor whose whole context (SPAN - GRAM bytes before, SPAN after) occurs again is
    settled: all of that context goes. One whose hash is alone has no repeat.
 3. For the rest, contexts meet by anchor and are sorted as suffixes (to the right) and prefixes (to the left):
    multikey quicksort on 8-byte keys to a shallow depth, then blind tries for groups that still tie. Common-prefix
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded, byte_column, grouped_batches, mix64, row_key, slices
 
@@ -202,8 +203,15 @@ def _emit_anchors(span: int, gram: int):
                 if offsets[j] - offsets[i] < span:
                     continue
                 row, at, h, c = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], span, gram)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, keys[i:j][row], at.astype(np.int32))], names=["h", "c", "k", "at"])
+                if not len(row):
+                    continue
+                order = np.lexsort((c, h))
+                row, at, h, c = keys[i:j][row[order]], at[order], h[order], c[order]
+                again = np.concatenate(([False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])))
+                sure = again | np.append(again[1:], False)
+                # one row speaks for a context to the others of its anchor; its copies here are settled and go anywhere
+                h = np.where(again, mix64(row.view(np.uint64) + at.astype(np.uint64)).view(np.int64), h)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, row, at.astype(np.int32), sure)], names=["h", "c", "k", "at", "sure"])
 
     return run
 
@@ -303,28 +311,28 @@ def suffix_array_dedup(documents: DataFrame, span: int = SPAN, gram: int = GRAM,
     others = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
     row = [F.struct(*others).alias("row")] if with_text else []
     keyed = bounded(documents).select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), F.col("text").cast("binary").alias("text"), *row)
-    found = keyed.select("k", "text").mapInArrow(_emit_anchors(span, gram), "h long, c long, k long, at int")
+    found = keyed.select("k", "text").mapInArrow(_emit_anchors(span, gram), "h long, c long, k long, at int, sure boolean")
     by_anchor = Window.partitionBy("h")
     in_order = by_anchor.orderBy("c")
     near = found.select(
-        "h", "c", "k", "at",
+        "h", "c", "k", "at", "sure",
         (F.lag("c").over(in_order) == F.col("c")).alias("as_last"),
         (F.lead("c").over(in_order) == F.col("c")).alias("as_next"),
         (F.min("c").over(by_anchor) < F.max("c").over(by_anchor)).alias("varied"),
-    ).select("h", "k", "at", "varied", F.coalesce("as_last", F.lit(False)).alias("as_last"), (F.coalesce("as_last", F.lit(False)) | F.coalesce("as_next", F.lit(False))).alias("settled"))
+    ).select("h", "k", "at", "varied", F.coalesce("as_last", F.lit(False)).alias("as_last"), (F.col("sure") | F.coalesce("as_last", F.lit(False)) | F.coalesce("as_next", F.lit(False))).alias("settled"))
     settled = near.where("settled").select("k", (F.col("at") - (span - gram)).alias("lo"), (F.col("at") + span).alias("hi"))
     # of a context that occurs often one row is enough for the others of its anchor to be compared with
     unsettled = near.where("varied").withColumn("open", F.max(~F.col("settled")).over(by_anchor)).where("open and not as_last")
     wanted = unsettled.groupBy("k").agg(F.collect_list(F.struct("h", "at")).alias("wanted"))
-    contexts = keyed.join(wanted, "k").select("k", "text", "wanted").mapInArrow(_emit_contexts(span, gram), "h long, k long, at int, left binary, right binary")
+    # all columns, though few are needed: so this join and the last one read the same shuffle of the texts
+    contexts = keyed.join(wanted, "k").select(*keyed.columns, "wanted").mapInArrow(_emit_contexts(span, gram), "h long, k long, at int, left binary, right binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_sort_contexts(span, gram), "k long, lo int, hi int")
     ranges = settled.unionByName(ranged).groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    kept = ["doc_id"]
-    if with_text:
-        schema = f"doc_id long, row {keyed.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-        kept.append("row")
+    kept = ["doc_id", *["row"] * with_text]
+    counts = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    texts = [T.StructField(c, T.StringType()) for c in ("kept_sha256", *["kept_text"] * with_text)]
+    schema = T.StructType([*(keyed.schema[c] for c in kept), *counts, *texts])
     return keyed.join(ranges, "k", "left").select(*kept, "text", "ranges").mapInArrow(_cut_out(with_text, kept), schema)
 
 

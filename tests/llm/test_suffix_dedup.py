@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from lakeframe.llm.suffix_dedup import blind_trie_order, suffix_array_dedup
+from lakeframe.llm.suffix_dedup import blind_trie_order, cut_repeats, suffix_array_dedup
 
 
 def brute(texts, span):
@@ -60,6 +60,13 @@ def test_empty_table_and_null_id(spark):
     assert sorted(r.n_removed for r in suffix_array_dedup(docs).collect()) == [0, 300]
 
 
+def test_other_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a" * 300 + "b", 7, "x"), (2, "c", 8, None)], "doc_id long, text string, k long, `odd name` string").selectExpr("*", "5 as row", "6 as ranges", "0 as n_chars")
+    found = cut_repeats(docs)
+    assert found.columns == docs.columns
+    assert sorted(map(tuple, found.collect())) == [(1, "b", 7, "x", 5, 6, 1), (2, "c", 8, None, 5, 6, 1)]
+
+
 def test_blind_trie():
     rng = random.Random(5)
     values = list({int.from_bytes(bytes(rng.choices(b"ab", k=9)), "big") for _ in range(200)})
