@@ -135,7 +135,7 @@ def conformal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = with_part(cls(spark, sf_dir))
     own = F.when(F.col("truth") == "high", F.col("p_high")).when(F.col("truth") == "low", F.col("p_low")).otherwise(F.col("p_mid"))
     calibration = parts.where("part = 'calibration'")
-    t = measure.quantile_higher(calibration, 1 - own, measure.conformal_level(calibration.count(), 0.9)) + 1e-12
+    t = measure.quantile_higher(calibration, 1 - own, lambda n: measure.conformal_level(n, 0.9)) + 1e-12
     inside = F.filter(F.array(*[F.when(1 - F.col(f"p_{c}") <= t, c) for c in CLASSES]), lambda c: c.isNotNull())
     return parts.where("part = 'test'").select("key", F.array_join(inside, ",").alias("classes"), (1 - own <= t).alias("covered"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import unpivot
+from ..functions.ranks import bucket_of
 from ..spec import SETTINGS, Feature, Problem, Settings
 
 _CAST = {"numeric": "double", "categorical": "string", "boolean": "boolean", "datetime": "timestamp"}
@@ -136,11 +137,7 @@ def single_feature_scores(df: DataFrame, features: list[str], target: str, fold:
     binned = []
     for c in features:
         if c in numeric:
-            cuts = sorted(set(edges[c] or []))
-            of = F.lit(0)
-            for x in cuts:
-                of = of + F.when(F.col(c) >= x, 1).otherwise(0)
-            of = of.cast("string")
+            of = F.when(F.col(c).isNotNull(), bucket_of(F.col(c), sorted(set(edges[c] or [])))).cast("string")
         else:
             of = F.col(c).cast("string")
         binned.append(F.struct(F.lit(c).alias("feature"), F.coalesce(of, F.lit("(missing)")).alias("bin")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import unpivot
+from ..functions.ranks import bucket_of
 from ..spec import SETTINGS, Settings
 
 
@@ -37,7 +38,7 @@ def chi_square(counts: DataFrame) -> DataFrame:
     )
 
 
-def ks_statistic(df: DataFrame, side: str, columns: list[str], bands: int = 64) -> DataFrame:
+def ks_statistic(df: DataFrame, side: str, columns: list[str], bands: int = 32) -> DataFrame:
     """(feature, d, n_ref, n_cur) for all columns: rows become counts of distinct values, summed within bands of values.
 
     Running sums go band by band and then over the few bands, so no task holds a feature's values.
@@ -45,9 +46,7 @@ def ks_statistic(df: DataFrame, side: str, columns: list[str], bands: int = 64)
     edges = df.agg(*[F.percentile_approx(c, [i / bands for i in range(1, bands)], 1000).alias(c) for c in columns]).first().asDict()
     banded = []
     for c in columns:
-        band = F.lit(0)
-        for e in sorted(set(edges[c] or [])):
-            band = band + F.when(F.col(c) >= e, 1).otherwise(0)
+        band = bucket_of(F.col(c), sorted(set(edges[c] or [])))
         banded.append(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), band.alias("band")))
     long = df.select(side, F.explode(F.array(*banded)).alias("x")).select(side, "x.*").where("value is not null")
     values = long.groupBy("feature", "band", "value").agg(F.count_if(F.col(side) == "reference").alias("r"), F.count_if(F.col(side) == "current").alias("c"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,16 +61,16 @@ def auc(df: DataFrame, positive: Column, score: Column, places: int = 9) -> Data
     return ranked.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2)).agg(F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
-def quantile_higher(df: DataFrame, score: Column, level: float, at_once: int = 1_000_000) -> Column:
+def quantile_higher(df: DataFrame, score: Column, level: float | Callable[[int], float], at_once: int = 1_000_000) -> Column:
     """A driver-side number: the smallest order statistic at or above the level; exact for any number of rows.
 
     Approximate quantiles bracket it, again and again, until few rows are left; exact counts below the bracket and of
-    the values within give the rank.
+    the values within give the rank. The level may depend on the number of rows; the scores are kept meanwhile.
     """
-    scored = df.select(score.alias("s")).where(F.col("s").isNotNull() & ~F.isnan("s"))
+    scored = df.select(score.alias("s")).where(F.col("s").isNotNull() & ~F.isnan("s")).persist()
     inside, below, bracket = scored, 0, None
     n = m = scored.count()
-    rank = higher_rank(n, level)
+    rank = higher_rank(n, level(n) if callable(level) else level) if n else 0
     while m > at_once:
         share = (rank - below) / m
         found = tuple(inside.select(F.percentile_approx("s", [max(0.0, share - 0.002), min(1.0, share + 0.002)], 20_000)).first()[0])
@@ -80,7 +82,9 @@ def quantile_higher(df: DataFrame, score: Column, level: float, at_once: int = 1
         m = inside.count()
     values = inside.groupBy("s").agg(F.count("*").alias("c"))
     cumulative = values.withColumn("cum", F.sum("c").over(Window.orderBy("s")) + below)
-    return F.lit(cumulative.where(F.col("cum") >= rank).agg(F.min("s")).first()[0]).cast("double")
+    found = cumulative.where(F.col("cum") >= rank).agg(F.min("s")).first()[0]
+    scored.unpersist()
+    return F.lit(found).cast("double")
 
 
 def conformal_level(n: int, coverage: float) -> float:
@@ -88,9 +92,7 @@ def conformal_level(n: int, coverage: float) -> float:
 
 
 def conformal_width(calibration: DataFrame, y: str, p: str, coverage: float) -> Column:
-    residual = F.abs(F.col(y) - F.col(p))
-    n = calibration.where(residual.isNotNull() & ~F.isnan(residual)).count()
-    return quantile_higher(calibration, residual, conformal_level(n, coverage)) if n else F.lit(None).cast("double")
+    return quantile_higher(calibration, F.abs(F.col(y) - F.col(p)), lambda n: conformal_level(n, coverage))
 
 
 def coverage_report(df: DataFrame, covered: Column, width: Column, by: list[str] = (), settings: Settings = SETTINGS) -> DataFrame:
