@@ -186,7 +186,7 @@ def pack_sequences(documents: DataFrame, tokenizer: str = "word_bpe_49k.json", c
     counts = {r["length"]: r["n"] for r in totals.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity rows
     plan = packing_plan(counts, capacity)
     by_bucket = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("nth", F.row_number().over(by_bucket) - 1).join(F.broadcast(before.drop("count")), ["length", "bucket"])
+    ranked = salted.withColumn("nth", F.row_number().over(by_bucket) - 1).join(before.drop("count"), ["length", "bucket"])  # dealt as the window is
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     ranked = ranked.select(*columns, (F.col("nth") + F.col("before")).cast("long").alias("rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids array<int>, " * with_ids + "sequence_id long, offset long"
