@@ -3,6 +3,8 @@
 The index holds impacts: an item's BM25 contribution for a term, as a share of the item's score against itself, so one
 threshold serves short and long items alike. Every passage of every document is a query: windows of twice the longest
 item's words, one item's length apart, so each place in a text where an item could stand lies whole in some window.
+Items of up to SHORT words share one length of window; longer ones are classed by doubling lengths, and each class has
+its own index and windows, so a long item neither is cut nor widens the windows of the short ones.
 
 - Running sums of each word's greatest impact bound what any item can reach in a window, for all windows at once.
 - Items are sorted by length and grouped in blocks; each term has its greatest impact per block, and blocks whose sum
@@ -38,8 +40,8 @@ QUESTION_OVERLAP = 0.6
 ANSWER_OVERLAP = 0.6
 ANSWER_SHARE = 0.25
 INDEX_BYTES = 8 << 20
-#: Words of a window at most; longer items are found by any of their windows of this length.
-LONGEST = 512
+#: Items of up to so many words are one length class; each doubling beyond is another.
+SHORT = 512
 
 
 _WORD = re.compile(r"\w+")
@@ -79,8 +81,21 @@ class ItemIndex:
     stride: int
 
 
+def length_class(n_words: int) -> int:
+    return ((n_words - 1) // SHORT).bit_length()
+
+
+def build_indexes(rows: list[tuple[int, list[str]]], frequency: Counter, n_items: int, mean_length: float) -> list[ItemIndex]:
+    """An index for each length class of the items that have words."""
+    classes: dict[int, list[tuple[int, list[str]]]] = {}
+    for row in rows:
+        if row[1]:
+            classes.setdefault(length_class(len(row[1])), []).append(row)
+    return [build_index(classes[c], frequency, n_items, mean_length) for c in sorted(classes)]
+
+
 def build_index(rows: list[tuple[int, list[str]]], frequency: Counter, n_items: int, mean_length: float) -> ItemIndex:
-    rows = sorted((r for r in rows if r[1]), key=lambda r: (len(r[1]), r[0]))
+    rows = sorted(rows, key=lambda r: (len(r[1]), r[0]))
     terms: dict[str, int] = {}
     found: list[tuple[int, int, float]] = []
     for place, (_, words) in enumerate(rows):
@@ -98,7 +113,7 @@ def build_index(rows: list[tuple[int, list[str]]], frequency: Counter, n_items:
     block_max = np.maximum.reduceat(impact, head) if len(head) else impact
     highest = np.append(np.maximum.reduceat(impact, first[:-1]) if len(terms) else [], 0.0)
     cuts = [max(1, len(w) - max(1, round(len(w) * ANSWER_SHARE))) for _, w in rows]
-    stride = min(max((len(w) for _, w in rows), default=1), LONGEST)
+    stride = max(len(w) for _, w in rows)
     return ItemIndex(
         [i for i, _ in rows], terms, first, place, impact, np.searchsorted(term[head], np.arange(len(terms) + 1)), place[head] // BLOCK_ITEMS, block_max, highest,
         [_shingles(w[:c]) for (_, w), c in zip(rows, cuts, strict=True)], [_shingles(w[max(0, min(c, len(w) - 3)) :]) for (_, w), c in zip(rows, cuts, strict=True)], 2 * stride, stride,
@@ -152,11 +167,17 @@ def wand(index: ItemIndex, query: np.ndarray, blocks: np.ndarray, threshold: flo
     return done
 
 
-def matches(text: str | None, index: ItemIndex, threshold: float = THRESHOLD) -> dict[int, tuple[float, float, float]]:
+def matches(text: str | None, indexes: list[ItemIndex], threshold: float = THRESHOLD) -> dict[int, tuple[float, float, float]]:
     """By item id: score, question overlap and answer overlap of the best window that passes all three."""
     words = words_of(text)
-    if not words or not index.items:
-        return {}
+    best: dict[int, tuple[float, float, float]] = {}
+    for index in indexes if words else ():
+        for item, found in _matches(words, index, threshold).items():
+            best[item] = max(best.get(item, found), found)
+    return best
+
+
+def _matches(words: list[str], index: ItemIndex, threshold: float) -> dict[int, tuple[float, float, float]]:
     none = len(index.terms)
     ids = np.fromiter(map(index.terms.get, words, repeat(none)), np.int64, len(words))
     starts = np.arange(0, max(1, len(words) - index.stride), index.stride)
@@ -182,7 +203,7 @@ def matches(text: str | None, index: ItemIndex, threshold: float = THRESHOLD) ->
     return best
 
 
-def _search(index: ItemIndex):
+def _search(index: list[ItemIndex]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             row, item, score, question, answer = [], [], [], [], []
@@ -204,8 +225,8 @@ def _split_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([words_of(x) for x in batch.column("text").to_pylist()], pa.list_(pa.string()))], names=["item_id", "words"])
 
 
-def indexes(benchmark: DataFrame) -> Iterator[ItemIndex]:
-    """The index, in parts of about INDEX_BYTES of text, with term statistics over all items."""
+def indexes(benchmark: DataFrame) -> Iterator[list[ItemIndex]]:
+    """The indexes of all length classes, in parts of about INDEX_BYTES of text, with term statistics over all items."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(1, -(-size // INDEX_BYTES))
@@ -219,7 +240,7 @@ def indexes(benchmark: DataFrame) -> Iterator[ItemIndex]:
         else:
             words = split.select(F.explode(F.array_distinct("words")).alias("w")).join(own.select(F.explode("words").alias("w")).distinct(), "w", "left_semi")
             frequency = Counter({r.w: r["count"] for r in words.groupBy("w").count().collect()})
-        yield build_index(rows, frequency, total, float(mean or 1))
+        yield build_indexes(rows, frequency, total, float(mean or 1))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -240,7 +261,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without those that hold a benchmark item; all columns stay as they are."""
 
-    def keep(index: ItemIndex):
+    def keep(index: list[ItemIndex]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in parts(batches):
                 clean = [not matches(text, index) for text in batch.column("text").to_pylist()]

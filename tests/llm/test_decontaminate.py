@@ -70,6 +70,19 @@ def test_against_brute_force(spark, seed, monkeypatch):
         assert len(found ^ wanted) <= 0.1 * len(wanted)
 
 
+@pytest.mark.parametrize("length", [512, 513, 900, 1500, 3000])
+def test_long_items(spark, length):
+    """An exact copy is found wherever it stands, beside short items and their copies."""
+    rng = random.Random(length)
+    long, short = [f"w{rng.randrange(5000)}" for _ in range(length)], [f"w{rng.randrange(5000)}" for _ in range(20)]
+    docs = [(at, " ".join([f"p{i}" for i in range(at)] + long + ["end"] * (at % 3 * 700))) for at in range(0, 2 * length, length // 12)]
+    docs += [(-1, " ".join(["before"] * 77 + short)), (-2, " ".join(long[: length // 3]))]
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in contaminated(documents, benchmark).collect()} == {(d, 1) for d, _ in docs if d >= 0} | {(-1, 2)}
+    assert [r.doc_id for r in drop_contaminated(documents, benchmark).collect()] == [-2]
+
+
 def test_empty(spark):
     documents = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     benchmark = spark.createDataFrame([], "item_id long, text string")
