@@ -10,7 +10,9 @@ can matter:
 3. For the rest, contexts meet by anchor and are sorted as suffixes (to the right) and prefixes (to the left):
    multikey quicksort on 8-byte keys to a shallow depth, then blind tries for groups that still tie. Common-prefix
    lengths of sorted neighbours give, for each of the SPAN - GRAM + 1 places of a string around the anchor, the
-   class of its right and of its left part; a pair of classes that occurs twice is a repeated string.
+   class of its right and of its left part; a pair of classes that occurs twice is a repeated string. An anchor with
+   more than HOT different contexts (a common line) is not gathered: each string of SPAN bytes around it goes by its
+   own hash, so that only equal strings meet, and copies in one batch are settled on the spot.
 4. The ranges found are gathered by document and cut out.
 
 Sorting work is linear in the anchors but for the sort itself; no pairs are formed within a group.
@@ -32,6 +34,10 @@ from .common import bounded, byte_column, grouped_batches, mix64, row_key, slice
 SPAN = 200
 GRAM = 64
 SHALLOW_WORDS = 4
+#: Contexts of one anchor that are sorted together at most.
+HOT = 20_000
+#: Contexts of hot anchors whose strings are compared before the shuffle at once.
+HOT_BATCH = 2_000
 
 _rng = np.random.default_rng(20)
 _BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -216,25 +222,83 @@ def _emit_anchors(span: int, gram: int):
     return run
 
 
+def string_keys(text: bytes, h: np.ndarray, at: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each string of span bytes in text that holds one of these anchors: the anchor's number, bytes before it, hash.
+
+    The hash covers the anchor and its place too: one string may hold several anchors and is no repeat of itself.
+    """
+    n = len(text)
+    power, inverse = _powers(_BASE, n + 1), _powers(_INVERSE, n + 1)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_CODE[np.frombuffer(text, np.uint8)] * power[:n], out=sums[1:])
+    before = np.arange(span - gram + 1)
+    start = at[:, None] - before
+    row, before = np.nonzero((start >= 0) & (start + span <= n))
+    start = at[row] - before
+    string = (sums[start + span] - sums[start]) * inverse[start]
+    return row, before, mix64(string + mix64(h[row].view(np.uint64) + before.astype(np.uint64))).view(np.int64)
+
+
+def _settle_strings(found: list[tuple[np.ndarray, ...]], span: int) -> pa.RecordBatch:
+    """Rows for the strings (anchor's number, document, place of the anchor, bytes before it, hash) of some contexts."""
+    context, k, at, before, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((context, h))
+    context, k, at, before, h = (x[order] for x in (context, k, at, before, h))
+    again = np.concatenate(([False], h[1:] == h[:-1]))
+    sure = again | np.append(again[1:], False)
+    lo, hi = at - before, at - before + span
+    # all strings of a context hold its anchor, so those that are settled make one range, which can go anywhere
+    by = np.flatnonzero(sure)
+    by = by[np.argsort(context[by], kind="stable")]
+    first = np.flatnonzero(np.concatenate(([True], context[by][1:] != context[by][:-1]))) if len(by) else by
+    settled = by[first]
+    low, high = (np.minimum.reduceat(lo[by], first), np.maximum.reduceat(hi[by], first)) if len(by) else (lo[:0], hi[:0])
+    one = ~again
+    anywhere = mix64(k[settled].view(np.uint64) + at[settled].astype(np.uint64)).view(np.int64)
+    columns = [np.concatenate(x) for x in ((h[one], anywhere), (k[one], k[settled]), (lo[one].astype(np.int32), low.astype(np.int32)), (hi[one].astype(np.int32), high.astype(np.int32)))]
+    n = len(columns[0])
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.arange(n) >= one.sum()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["h", "k", "at", "hi", "sure", "left", "right"])
+
+
 def _emit_contexts(span: int, gram: int):
+    """Contexts to be sorted have no hi; a string around a hot anchor has its range as at and hi instead of a context."""
+
+    def contexts(h: list, k: list, at: list, left: list, right: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(at, pa.int32()), pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.bool_()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["h", "k", "at", "hi", "sure", "left", "right"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, n_hot = [], 0
         for batch in batches:
             h, k, at, left, right = [], [], [], [], []
             texts = batch.column("text")
             for i, wanted in enumerate(batch.column("wanted").to_pylist()):
                 text = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
+                key = batch.column("k")[i].as_py()
+                hot = [(x["h"], x["at"]) for x in wanted if x["hot"]]
+                for j in range(0, len(hot), HOT_BATCH):
+                    hs, places = (np.array(x, np.int64) for x in zip(*hot[j : j + HOT_BATCH], strict=True))
+                    row, before, strings = string_keys(text, hs, places, span, gram)
+                    found.append((row + n_hot, np.full(len(row), key), places[row], before, strings))
+                    n_hot += len(hs)
+                    if n_hot >= HOT_BATCH:
+                        yield _settle_strings(found, span)
+                        found, n_hot = [], 0
                 for x in wanted:
+                    if x["hot"]:
+                        continue
                     p = x["at"]
                     h.append(x["h"])
+                    k.append(key)
                     at.append(p)
                     left.append(text[max(0, p - span + gram) : p][::-1])
                     right.append(text[p : p + span])
-                k += [batch.column("k")[i].as_py()] * len(wanted)
                 if len(h) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(at, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["h", "k", "at", "left", "right"])
+                    yield contexts(h, k, at, left, right)
                     h, k, at, left, right = [], [], [], [], []
             if h:
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(at, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["h", "k", "at", "left", "right"])
+                yield contexts(h, k, at, left, right)
+        if found:
+            yield _settle_strings(found, span)
 
     return run
 
@@ -250,6 +314,15 @@ def _sort_contexts(span: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in grouped_batches(batches, "h", 20_000):
+            hot = rows.filter(rows.column("hi").is_valid())
+            if hot.num_rows:
+                h = hot.column("h").to_numpy()  # in order
+                again = np.concatenate(([False], h[1:] == h[:-1]))
+                hit = pa.array(again | np.append(again[1:], False) | hot.column("sure").to_numpy().astype(bool))
+                yield from hot.filter(hit).select(["k", "at", "hi"]).rename_columns(["k", "lo", "hi"]).combine_chunks().to_batches()
+                rows = rows.filter(rows.column("hi").is_null())
+                if not rows.num_rows:
+                    continue
             rows = rows.combine_chunks()
             group = np.unique(rows.column("h").to_numpy(), return_inverse=True)[1].astype(np.int64)
             left, left_n = _matrix(rows.column("left"), left_width)
@@ -299,6 +372,16 @@ def _cut_out(with_text: bool, columns: list[str]):
     return run
 
 
+def open_contexts(keyed: DataFrame, near: DataFrame, span: int, gram: int) -> DataFrame:
+    """What has to meet by h: contexts of anchors with up to HOT different ones, strings around the anchors with more."""
+    by_anchor = Window.partitionBy("h")
+    # of a context that occurs often one row is enough for the others of its anchor to be compared with
+    unsettled = near.where("varied").select("*", F.max(~F.col("settled")).over(by_anchor).alias("open"), (F.count_if(~F.col("as_last")).over(by_anchor) > HOT).alias("hot")).where("open and not as_last")
+    wanted = unsettled.groupBy("k").agg(F.collect_list(F.struct("h", "at", "hot")).alias("wanted"))
+    # all columns, though few are needed: so this join and the last one read the same shuffle of the texts
+    return keyed.join(wanted, "k").select(*keyed.columns, "wanted").mapInArrow(_emit_contexts(span, gram), "h long, k long, at int, hi int, sure boolean, left binary, right binary")
+
+
 def suffix_array_dedup(documents: DataFrame, span: int = SPAN, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """Per row of documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, and a struct of the row).
 
@@ -321,11 +404,7 @@ def suffix_array_dedup(documents: DataFrame, span: int = SPAN, gram: int = GRAM,
         (F.min("c").over(by_anchor) < F.max("c").over(by_anchor)).alias("varied"),
     ).select("h", "k", "at", "varied", F.coalesce("as_last", F.lit(False)).alias("as_last"), (F.col("sure") | F.coalesce("as_last", F.lit(False)) | F.coalesce("as_next", F.lit(False))).alias("settled"))
     settled = near.where("settled").select("k", (F.col("at") - (span - gram)).alias("lo"), (F.col("at") + span).alias("hi"))
-    # of a context that occurs often one row is enough for the others of its anchor to be compared with
-    unsettled = near.where("varied").withColumn("open", F.max(~F.col("settled")).over(by_anchor)).where("open and not as_last")
-    wanted = unsettled.groupBy("k").agg(F.collect_list(F.struct("h", "at")).alias("wanted"))
-    # all columns, though few are needed: so this join and the last one read the same shuffle of the texts
-    contexts = keyed.join(wanted, "k").select(*keyed.columns, "wanted").mapInArrow(_emit_contexts(span, gram), "h long, k long, at int, left binary, right binary")
+    contexts = open_contexts(keyed, near, span, gram)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_sort_contexts(span, gram), "k long, lo int, hi int")
     ranges = settled.unionByName(ranged).groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))

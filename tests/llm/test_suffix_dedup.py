@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from lakeframe.llm import suffix_dedup
 from lakeframe.llm.suffix_dedup import blind_trie_order, cut_repeats, suffix_array_dedup
 
 
@@ -53,6 +54,25 @@ def test_against_brute_force(spark, seed):
         assert found[i] == [wanted[i]] * (2 if i == 7 else 1), i
 
 
+@pytest.mark.parametrize(("seed", "hot"), [(1, 0), (2, 0), (3, 3)])
+def test_hot_anchors(spark, seed, hot, monkeypatch):
+    """A line in different contexts does not gather; results equal brute force."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_BATCH", 40)
+    rng = random.Random(seed)
+    other = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    line, longer = other(180), other(230)
+    texts = corpus(seed, 30) + [other(rng.randint(0, 300)) + line + other(rng.randint(0, 300)) for _ in range(60)] + [other(150) + longer + other(150) for _ in range(20)]
+    seen = []
+    real = suffix_dedup.open_contexts
+    monkeypatch.setattr(suffix_dedup, "open_contexts", lambda *a: seen.append(real(*a)) or seen[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array_dedup(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == brute([(t or "").encode() for t in texts], 200)
+    assert max((r["count"] for r in seen[0].where("left is not null").groupBy("h").count().collect()), default=0) <= hot
+    assert seen[0].where("left is null").count() > 1000
+
+
 def test_empty_table_and_null_id(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_array_dedup(docs).collect() == []
