@@ -8,17 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hash_uniform
 from ..operators import contract, learn
 from ..operators.registry_ops import shared_folder
 from ..operators.world import generate_world as world
 from ..streaming import jobs as stream
-from .frames import LINE, LOG_SQL, SEED, line, prediction_log, read, series
+from .frames import LINE, LOG_SQL, line, prediction_log, read, series
 from .registry import job
 
-#: Rows that a model is probed on at most; a probe needs no more, and the bound is on the sample of the probe alone.
-PROBE_ROWS = 200_000
-
 
 @job()
 def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +29,7 @@ def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job()
 def learnability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = line(spark, sf_dir)
-    n = df.count()
-    probe = df.where(hash_uniform("key", SEED, "probe") < PROBE_ROWS / n) if n > PROBE_ROWS else df
-    return learn.learnability(probe, ["l_returnflag", "o_orderpriority"], ["l_quantity", "l_discount", "p_size"], "y", "key")
+    return learn.learnability(line(spark, sf_dir), ["l_returnflag", "o_orderpriority"], ["l_quantity", "l_discount", "p_size"], "y", "key")
 
 
 @job()
