@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of its block elements; inline markup belongs to the block around it, links are counted in it.
-Elements that are no part of an article by their kind (scripts, menus, forms, ...), role or class are left out first.
+Elements that are no part of an article by their kind (scripts, menus, forms, ...), role or class are left out first;
+a class or id that would take most of the page's text with it tells only of the layout and is passed over.
 Every node then has a density: its characters per tag, raised or lowered by how few or many of them are in links,
 relative to the page. The node with the greatest sum of its children's densities is the core of the article; the least
 density on the path from it up to the body is the threshold, and within every node that reaches it, seen from the body,
@@ -23,19 +24,28 @@ from .common import bounded, parts
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
-NOISE = frozenset("nav header footer aside form button select option fieldset dialog menu head figcaption canvas audio video map".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mmultiscripts mtable mtr mtd mstyle mspace mpadded semantics".split()
+)
+NOISE = frozenset("nav header footer aside form button select option fieldset dialog menu head canvas audio video map annotation annotation-xml".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
-#: Words that, standing alone in a class or id, mark an element that is no part of the article.
+#: Words that mark an element that is no part of the article, if a class or id has no other words than these and SIDE_WORDS.
 NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer header masthead banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
-    "comment comments disqus reply replies respond related recommended recommendations widget toolbar pagination pager search skip".split()
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion sidebar aside menu nav navbar navigation breadcrumb breadcrumbs "
+    "footer header masthead banner cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social "
+    "comment comments disqus recommended recommendations widget toolbar pagination pager".split()
 )
-#: Beside these they only tell how the page around them is laid out ("has-sidebar").
-LAYOUT_WORDS = frozenset("has with without no".split())
+#: Words that an article may use as well; they need a word of controls beside them.
+WEAK_WORDS = frozenset("alert notice notices related replies reply respond search side skip".split())
+CONTROL_WORDS = frozenset("articles bar button buttons form icons items link links posts stories".split())
+SIDE_WORDS = CONTROL_WORDS | frozenset("area block bottom box container content global inner left list main page panel primary right secondary section site slot thread top unit wrap wrapper".split())
+#: Threads can be longer than the article.
+THREAD_WORDS = frozenset("comment comments disqus replies reply respond".split())
+#: Elements that only their kind or the attribute "hidden" can leave out.
+UNMARKED = frozenset("html body main article p h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -44,19 +54,30 @@ _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 _CLASSY = re.compile(r"\b(?:class|id|role|hidden)\b", re.I)
 
 
+def is_noise_name(mark: str) -> bool:
+    """Whether a class or id names nothing but a part beside the article: "sidebar-left", not "search-results-explained"."""
+    words = set(_WORD.findall(mark))
+    if not words <= NOISE_WORDS | WEAK_WORDS | SIDE_WORDS:
+        return False
+    return bool(words & NOISE_WORDS or words & WEAK_WORDS and words & CONTROL_WORDS)
+
+
 def is_noise(tag: str, attributes: str) -> bool:
+    """By kind, role or the attribute "hidden"."""
     if tag in NOISE or tag in RAW:
         return True
     if not attributes or tag in ("html", "body", "main", "article") or not _CLASSY.search(attributes):
         return False
     if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes):
         return True
-    for name, a, b, c in _MARK.findall(attributes):
-        for mark in (a or b or c).lower().split():
-            words = set(_WORD.findall(mark))
-            if words & (NOISE_ROLES if name.lower() == "role" else NOISE_WORDS) and not words & LAYOUT_WORDS:
-                return True
-    return False
+    return tag not in UNMARKED and any(name.lower() == "role" and NOISE_ROLES.intersection((a or b or c).lower().split()) for name, a, b, c in _MARK.findall(attributes))
+
+
+def noise_marks(tag: str, attributes: str) -> list[str]:
+    """Classes and ids that name a part beside the article."""
+    if not attributes or tag in UNMARKED or not _CLASSY.search(attributes):
+        return []
+    return [mark for name, a, b, c in _MARK.findall(attributes) if name.lower() != "role" for mark in (a or b or c).lower().split() if is_noise_name(mark)]
 
 
 class _Page:
@@ -67,9 +88,11 @@ class _Page:
         self.chars, self.link_chars, self.link_tags, self.tags = [0], [0], [0], [0]
         self.pieces: list[tuple[int, int, str]] = []
         self.body = 0
+        self.marked: list[tuple[int, int, bool]] = []  # block, place in the page, whether it is a thread
 
 
-def parse(page: str) -> _Page:
+def parse(page: str, spared: frozenset[int] | None = None) -> _Page:
+    """spared: places of marked blocks that are no noise; if None, all are kept, and listed."""
     tree = _Page()
     stack: list[tuple[str, int, bool]] = [("#page", 0, False)]  # tag, block, within noise
     links, run, at, n = 0, 0, 0, len(page)
@@ -139,6 +162,9 @@ def parse(page: str) -> _Page:
                 if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
                     break
         block, noise = stack[-1][1], stack[-1][2] or is_noise(tag, attributes)
+        marks = [] if noise else noise_marks(tag, attributes)
+        if marks and (tag in INLINE or spared is not None and m.start() not in spared):
+            noise = True
         if tag in INLINE:
             links += tag == "a"
             tree.link_tags[block] += tag == "a" and not noise
@@ -150,12 +176,37 @@ def parse(page: str) -> _Page:
                 for counts in (tree.chars, tree.link_chars, tree.link_tags, tree.tags):
                     counts.append(0)
                 block = len(tree.tag) - 1
+                if marks:
+                    tree.marked.append((block, m.start(), any(THREAD_WORDS.intersection(_WORD.findall(x)) for x in marks)))
                 if tag == "body":
                     tree.body = block
         stack.append((tag, block, noise))
     return tree
 
 
+def layout(tree: _Page) -> frozenset[int]:
+    """Places of marked blocks that hold most of the page's unlinked text, and its title, main part or all its articles.
+
+    On a page without any of these, a block with three quarters of the text will do. Threads need a title or main part.
+    """
+    plain = [c - x for c, x in zip(tree.chars, tree.link_chars, strict=True)]
+    titles, articles = [t in ("h1", "main") for t in tree.tag], [int(t == "article") for t in tree.tag]
+    for i in range(len(plain) - 1, 0, -1):
+        p = tree.parent[i]
+        plain[p] += plain[i]
+        titles[p] = titles[p] or titles[i]
+        articles[p] += articles[i]
+    spared = set()
+    for block, at, thread in tree.marked:
+        if titles[0] or articles[0]:
+            core = titles[block] or not thread and 0 < articles[block] == articles[0]
+        else:
+            core = not thread and 4 * plain[block] > 3 * plain[0]
+        if core and 2 * plain[block] > plain[0]:
+            spared.add(at)
+    return frozenset(spared)
+
+
 def densities(tree: _Page) -> tuple[list[float], list[float]]:
     """Composite text density of each node, and the sum over its children."""
     chars, link_chars, link_tags, tags = list(tree.chars), list(tree.link_chars), list(tree.link_tags), list(tree.tags)
@@ -182,7 +233,11 @@ def extract_text(page: str | None) -> str:
     """The article's blocks, each with single spaces, one to a line; empty if there are none."""
     if not page:
         return ""
-    tree = parse(page)
+    tree = whole = parse(page)
+    if whole.marked:
+        tree = parse(page, layout(whole))
+        if not any(tree.chars):
+            tree = whole
     if not any(tree.chars):
         return ""
     density, total = densities(tree)

@@ -28,6 +28,22 @@ def test_marks():
         assert extract_text(page(body.format(extra))) == "T\nOne two three.\nFour five.", extra
 
 
+def test_marks_within_the_article():
+    text = "<p>One two three, and more of the same.</p><p>Four five.</p>"
+    want = "\nOne two three, and more of the same.\nFour five."
+    for wrapper in ("layout sidebar-right", "page-wrapper header", "widget", "main-nav content"):
+        assert extract_text(page(f'<div class="{wrapper}"><h1>T</h1>{text}</div>')) == "T" + want, wrapper
+        assert extract_text(page(f'<div class="{wrapper}"><div class="ad">Buy</div><div><h1>T</h1>{text}</div></div>')) == "T" + want, wrapper
+    for heading in ('h2 id="search-results-explained"', 'h2 id="navigation"', 'h2 class="header"'):
+        assert extract_text(page(f"<article><{heading}>Slug</h2>{text}</article>")) == "Slug" + want, heading
+    for part in ('section id="related-work"', 'section id="cookies-in-browsers"', 'div class="notice"', 'div id="social-contract"', "figcaption"):
+        assert extract_text(page(f"<article><h1>T</h1>{text}<{part}>Six seven.</{part.split()[0]}></article>")) == f"T{want}\nSix seven.", part
+    assert extract_text(page(f'<article><h1>T</h1>{text}<p class="notice">Six.</p></article>')) == f"T{want}\nSix."
+    assert extract_text(page("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>")) == "So x=2 holds."
+    assert extract_text(page(f'<article><h1>T</h1>{text}</article>', '<div class="related-links"><p>Go on</p></div><div id="search-box"><p>Find</p></div>')) == "T" + want
+    assert extract_text('<body><div class="widget"><p>One</p></div><div class="sidebar"><p>Two</p></div></body>')
+
+
 def test_odd_input():
     for x in (None, "", " ", "<", "<p", "<!--", "<script>", '<a href="x', "</div></p>", "<html><body></body></html>"):
         assert extract_text(x).strip("<") == ""
