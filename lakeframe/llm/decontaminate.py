@@ -14,7 +14,7 @@ its own index and windows, so a long item neither is cut nor widens the windows
   its answer (its last words) must stand in the window.
 
 The index is broadcast while the items' text is within INDEX_BYTES; beyond that, items are split into as many parts as
-needed and each part is searched in turn, with term statistics over all items.
+needed and each part is searched in turn, with term statistics and lengths of windows from all items.
 """
 
 from __future__ import annotations
@@ -85,16 +85,16 @@ def length_class(n_words: int) -> int:
     return ((n_words - 1) // SHORT).bit_length()
 
 
-def build_indexes(rows: list[tuple[int, list[str]]], frequency: Counter, n_items: int, mean_length: float) -> list[ItemIndex]:
-    """An index for each length class of the items that have words."""
+def build_indexes(rows: list[tuple[int, list[str]]], frequency: Counter, n_items: int, mean_length: float, longest: dict[int, int]) -> list[ItemIndex]:
+    """An index for each length class of the items that have words; longest: the words of each class's longest item."""
     classes: dict[int, list[tuple[int, list[str]]]] = {}
     for row in rows:
         if row[1]:
             classes.setdefault(length_class(len(row[1])), []).append(row)
-    return [build_index(classes[c], frequency, n_items, mean_length) for c in sorted(classes)]
+    return [build_index(classes[c], frequency, n_items, mean_length, longest[c]) for c in sorted(classes)]
 
 
-def build_index(rows: list[tuple[int, list[str]]], frequency: Counter, n_items: int, mean_length: float) -> ItemIndex:
+def build_index(rows: list[tuple[int, list[str]]], frequency: Counter, n_items: int, mean_length: float, stride: int) -> ItemIndex:
     rows = sorted(rows, key=lambda r: (len(r[1]), r[0]))
     terms: dict[str, int] = {}
     found: list[tuple[int, int, float]] = []
@@ -113,7 +113,6 @@ def build_index(rows: list[tuple[int, list[str]]], frequency: Counter, n_items:
     block_max = np.maximum.reduceat(impact, head) if len(head) else impact
     highest = np.append(np.maximum.reduceat(impact, first[:-1]) if len(terms) else [], 0.0)
     cuts = [max(1, len(w) - max(1, round(len(w) * ANSWER_SHARE))) for _, w in rows]
-    stride = max(len(w) for _, w in rows)
     return ItemIndex(
         [i for i, _ in rows], terms, first, place, impact, np.searchsorted(term[head], np.arange(len(terms) + 1)), place[head] // BLOCK_ITEMS, block_max, highest,
         [_shingles(w[:c]) for (_, w), c in zip(rows, cuts, strict=True)], [_shingles(w[max(0, min(c, len(w) - 3)) :]) for (_, w), c in zip(rows, cuts, strict=True)], 2 * stride, stride,
@@ -231,7 +230,13 @@ def indexes(benchmark: DataFrame) -> Iterator[list[ItemIndex]]:
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(1, -(-size // INDEX_BYTES))
     split = items.mapInArrow(_split_items, "item_id long, words array<string>")
-    total, mean = split.agg(F.count("*"), F.avg(F.size("words"))).first()
+    lengths = split.groupBy(F.size("words").alias("n")).count().collect()  # few: distinct lengths
+    total = sum(r["count"] for r in lengths)
+    mean = sum(r.n * r["count"] for r in lengths) / max(1, total)
+    longest: dict[int, int] = {}
+    for r in lengths:
+        c = length_class(r.n)
+        longest[c] = max(longest.get(c, 0), r.n)
     for part in range(n_parts):
         own = split.where(F.pmod(F.xxhash64("item_id"), F.lit(n_parts)) == part)
         rows = [(r.item_id, r.words) for r in own.collect()]
@@ -240,7 +245,7 @@ def indexes(benchmark: DataFrame) -> Iterator[list[ItemIndex]]:
         else:
             words = split.select(F.explode(F.array_distinct("words")).alias("w")).join(own.select(F.explode("words").alias("w")).distinct(), "w", "left_semi")
             frequency = Counter({r.w: r["count"] for r in words.groupBy("w").count().collect()})
-        yield build_indexes(rows, frequency, total, float(mean or 1))
+        yield build_indexes(rows, frequency, total, mean or 1.0, longest)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -83,6 +83,17 @@ def test_long_items(spark, length):
     assert [r.doc_id for r in drop_contaminated(documents, benchmark).collect()] == [-2]
 
 
+def test_parts_give_equal_rows(spark, monkeypatch):
+    docs, items = data(2)
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 900)
+    made = list(decontaminate.indexes(benchmark))
+    assert len(made) > 1
+    assert {index.window for part in made for index in part} == {2 * max(len(words_of(t)) for i, t in items if i is not None)}
+    assert {(r.doc_id, r.item_id) for r in contaminated(documents, benchmark).collect()} == brute(docs, items)
+
+
 def test_empty(spark):
     documents = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     benchmark = spark.createDataFrame([], "item_id long, text string")
