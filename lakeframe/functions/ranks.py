@@ -1,15 +1,21 @@
-"""Global order statistics without a window over all rows in one task."""
+"""Global order, running sums and exact order statistics, none of which puts all rows, or all of a value, in one task."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import cut
 
-def _buckets(df: DataFrame, by: Column, n: int) -> list[float]:
-    """Borders that cut the values in about n equal parts; n numbers, whatever the rows."""
-    found = df.select(F.percentile_approx(by.cast("double"), [i / n for i in range(1, n)], 1_000).alias("e")).first()["e"] or []
-    return sorted({x for x in found if x is not None})
+#: Rows of one bracket that are ranked in one task, at most.
+AT_ONCE = 1_000_000
+#: Accuracy of the sketches that bracket a rank, and the margin added on either side.
+ACCURACY, MARGIN = 10_000, 0.0005
+#: monotonically_increasing_id() holds a row's place in its partition in so many bits.
+_PLACE_BITS = 33
 
 
 def bucket_of(value: Column, edges: list[float], first: int = 0) -> Column:
@@ -20,39 +26,118 @@ def bucket_of(value: Column, edges: list[float], first: int = 0) -> Column:
     return F.when(value < edges[middle], bucket_of(value, edges[:middle], first)).otherwise(bucket_of(value, edges[middle + 1 :], first + middle + 1))
 
 
-def global_row_number(df: DataFrame, by: str, ties: list[str], name: str = "rn", buckets: int = 32) -> DataFrame:
-    """1, 2, ... in the order of by (numbers or timestamps, nulls first) and then ties.
+def digitize(c: Column, cuts: list[float]) -> Column:
+    """How many of the cuts are <= c."""
+    return F.when(c.isNotNull(), bucket_of(c, sorted(cuts)))
+
+
+def in_order(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """df range-partitioned by all of order and sorted, with the part (_p) and the place in it (_i) of each row.
 
-    Rows are cut into value ranges; each is numbered by itself, after as many rows as the ranges before it hold.
+    Ranges are sampled over every column of order, ties included, so a value that most rows share is still dealt to
+    many parts; their number is that of shuffle partitions. The rows are written once, so parts stay as they are.
     """
-    kind = dict(df.dtypes)[by]
-    key = (F.col(by).cast("timestamp") if kind == "timestamp_ntz" else F.col(by)).cast("double")
-    edges = _buckets(df, key, buckets)
-    bucketed = df.withColumn("_b", F.when(key.isNull(), -1).otherwise(bucket_of(key, edges)))
-    counts = {r["_b"]: r["count"] for r in bucketed.groupBy("_b").count().collect()}  # one row a bucket
-    before, total = {}, 0
-    for b in sorted(counts):
-        before[b] = total
-        total += counts[b]
-    offset = F.lit(0)
-    for b, n in before.items():
-        if n:
-            offset = F.when(F.col("_b") == b, n).otherwise(offset)
-    order = Window.partitionBy("_b").orderBy(by, *ties)
-    return bucketed.withColumn(name, (F.row_number().over(order) + offset).cast("long")).drop("_b")
-
-
-def cumulative_counts(values: DataFrame, by: list[str], value: str, counts: list[str]) -> DataFrame:
-    """Running sums of counts over the distinct values of each group; values are aggregated beforehand."""
-    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return values.select("*", *[F.sum(c).over(order).alias(f"cum_{c}") for c in counts])
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", place))
 
 
-def digitize(c: Column, cuts: list[float]) -> Column:
-    """How many of the cuts are <= c."""
-    return F.when(c.isNotNull(), bucket_of(c, sorted(cuts)))
+def global_row_number(df: DataFrame, by: str | Sequence[str], ties: Sequence[str] = (), name: str = "rn") -> DataFrame:
+    """1, 2, ... in the order of by (nulls first) and then ties."""
+    spread = in_order(df, [*([by] if isinstance(by, str) else by), *ties])
+    counts = spread.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row for each part
+    return spread.join(F.broadcast(before), "_p").withColumn(name, (F.col("_i") + F.col("_before") + 1).cast("long")).drop("_p", "_i", "_before")
+
+
+def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """rn: place of a row within its group by, in the order given; n: rows of the group. A group may hold all rows."""
+    numbered = global_row_number(df, [*by, *order], name="_rn")
+    first = numbered.groupBy(*by).agg(F.min("_rn").alias("_first"), F.count("*").alias("n"))
+    groups = first.select(*[F.col(c).alias(f"_{c}") for c in by], "_first", "n")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return numbered.join(groups, same).withColumn("rn", F.col("_rn") - F.col("_first") + 1).drop("_rn", "_first", *[f"_{c}" for c in by])
+
+
+def running_sums(values: DataFrame, by: Sequence[str], order: str, sums: Sequence[str]) -> DataFrame:
+    """values with cum_<c>: the sum of c up to and with the row, and total_<c>: its sum over the group, within by.
+
+    order is distinct within a group: rows are aggregated beforehand. Sums go within the parts of a range partitioning
+    and then over the parts, a row for each part and group in it.
+    """
+    spread = in_order(values, [*by, order])
+    totals = spread.groupBy("_p", *by).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    whole, up_to = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_p")
+    offsets = totals.select("_p", *by, *[(F.sum(f"_t_{c}").over(up_to) - F.col(f"_t_{c}")).alias(f"_b_{c}") for c in sums], *[F.sum(f"_t_{c}").over(whole).alias(f"total_{c}") for c in sums])
+    within = Window.partitionBy("_p", *by).orderBy(order)
+    joined = spread.join(F.broadcast(offsets), ["_p", *by])  # parts + groups rows at most
+    return joined.select(*values.columns, *[(F.sum(c).over(within) + F.col(f"_b_{c}")).alias(f"cum_{c}") for c in sums], *[f"total_{c}" for c in sums])
 
 
 def higher_rank(n: int, level: float) -> int:
     """1-based rank of the smallest order statistic at or above position level * (n - 1)."""
     return -int(-round(level * (n - 1), 9) // 1) + 1 if n else 0
+
+
+def order_statistics(df: DataFrame, columns: dict[str, Column], ranks: Callable[[str, int], list[int]], at_once: int = AT_ONCE) -> dict[str, tuple[int, dict[int, float]]]:
+    """For each column its number n of values that are neither null nor NaN, and the values of the ranks (from 1) asked for.
+
+    Sketches bracket each rank, again and again, until few rows are left between; counts prove that the rank lies
+    there, so the result is exact. All columns are measured in the same passes over their values alone.
+    """
+    kept = df.select(*[F.when(~F.isnan(c.cast("double")), c.cast("double")).alias(name) for name, c in columns.items()]).persist()
+    sizes = kept.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    wanted = {c: sorted(set(ranks(c, sizes[c]))) if sizes[c] else [] for c in columns}
+    everything = (-math.inf, math.inf)
+    brackets = {(c, r): (everything, 0, sizes[c]) for c in columns for r in wanted[c]}  # range, rows below, rows within
+    done: set[tuple[str, int]] = set()
+    while True:
+        wide = [k for k, (_, _, inside) in brackets.items() if inside > at_once and k not in done]
+        if not wide:
+            break
+        sketches = []
+        for i, (c, r) in enumerate(wide):
+            (low, high), below, inside = brackets[c, r]
+            share = (r - below - 0.5) / inside
+            ends = [max(0.0, share - MARGIN), min(1.0, share + MARGIN)]
+            sketches.append(F.percentile_approx(F.when(F.col(c).between(low, high), F.col(c)), ends, ACCURACY).alias(f"s{i}"))
+        found = kept.agg(*sketches).first()
+        counts = []
+        for i, (c, _) in enumerate(wide):
+            low, high = found[f"s{i}"]
+            counts += [F.count_if(F.col(c) < low).alias(f"b{i}"), F.count_if(F.col(c).between(low, high)).alias(f"n{i}")]
+        counted = kept.agg(*counts).first()
+        for i, k in enumerate(wide):
+            low, high = found[f"s{i}"]
+            below, inside = counted[f"b{i}"], counted[f"n{i}"]
+            if not below < k[1] <= below + inside or inside >= brackets[k][2]:  # no use: many equal values, which are counted as one
+                done.add(k)
+            else:
+                brackets[k] = ((low, high), below, inside)
+    ranges = sorted({(c, b[0]) for (c, _), b in brackets.items()})
+    number = {x: i for i, x in enumerate(ranges)}
+    result: dict[str, tuple[int, dict[int, float]]] = {c: (sizes[c], {}) for c in columns}
+    if ranges:
+        within = [F.when(F.col(c).between(low, high), F.struct(F.lit(i).alias("i"), F.col(c).alias("v"))) for (c, (low, high)), i in number.items()]
+        values = kept.select(F.explode(F.array_compact(F.array(*within))).alias("x")).groupBy("x.i", "x.v").agg(F.count("*").alias("m"))
+        asked = df.sparkSession.createDataFrame([(number[c, b[0]], r, r - b[1]) for (c, r), b in brackets.items()], "i int, r long, nth long")
+        upto = values.withColumn("cum", F.sum("m").over(Window.partitionBy("i").orderBy("v")))  # few distinct values a range, see above
+        met = upto.join(F.broadcast(asked), "i").where("cum - m < nth and nth <= cum").select("i", "r", "v").collect()  # a row for each rank
+        name = {i: c for (c, _), i in number.items()}
+        for row in met:
+            result[name[row.i]][1][row.r] = row.v
+    kept.unpersist()
+    return result
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str] | dict[str, Column], levels: Sequence[float], at_once: int = AT_ONCE) -> dict[str, list[float] | None]:
+    """Interpolated quantiles of several columns at once; None for a column without values."""
+    named = columns if isinstance(columns, dict) else {c: F.col(c) for c in columns}
+
+    def places(n: int) -> list[tuple[int, float]]:
+        return [(int(math.floor(p * (n - 1))), p * (n - 1) - math.floor(p * (n - 1))) for p in levels]
+
+    found = order_statistics(df, named, lambda _, n: [x for i, part in places(n) for x in ([i + 1, i + 2] if part else [i + 1])], at_once)
+    made: dict[str, list[float] | None] = {}
+    for c, (n, values) in found.items():
+        made[c] = [values[i + 1] + part * (values[i + 2] - values[i + 1]) if part else values[i + 1] for i, part in places(n)] if n else None
+    return made

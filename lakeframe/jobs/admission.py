@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_uniform, null_if_nan, rounded, sorted_json
+from ..functions.storage import fresh_path
 from ..operators import contract, profile
-from ..operators.registry_ops import shared_folder
 from ..sources import io
 from ..spec import Feature, Problem
 from .frames import HOLES_SQL, LINE, LINE_SQL, PRIORITIES, SEED, _uniform, holes, line, read
@@ -20,14 +19,10 @@ CATEGORICAL = ["l_returnflag", "l_linestatus", "o_orderpriority"]
 NUMERIC = ["l_quantity", "l_discount", "l_tax", "p_size"]
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @job("SELECT o_orderkey, o_custkey, o_orderpriority, round(o_totalprice, 2) AS o_totalprice FROM orders")
 def read_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CSV and parquet by suffix: orders are written as CSV with a declared schema and read back."""
-    path = _folder(spark, "read_frame") + ".csv"
+    path = fresh_path(spark, "read_frame") + ".csv"
     frame = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
     frame.write.csv(path, header=True)
     return io.read_frame(spark, path, frame.schema).withColumn("o_totalprice", F.round("o_totalprice", 2))
@@ -41,7 +36,7 @@ def read_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @job(f"WITH {LINE_SQL} SELECT key, l_returnflag, round(y, 6) AS y FROM line WHERE l_quantity <= 50")
 def freeze_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     admitted = line(spark, sf_dir).where("l_quantity <= 50").select("key", "l_returnflag", "y")
-    return io.freeze(admitted, _folder(spark, "freeze")).select("key", "l_returnflag", rounded("y").alias("y"))
+    return io.freeze(admitted, fresh_path(spark, "freeze")).select("key", "l_returnflag", rounded("y").alias("y"))
 
 
 @job("""
@@ -204,11 +199,11 @@ def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {LINE_SQL}, {HOLES_SQL}, u AS (SELECT unnest(['l_quantity', 'l_discount', 'l_tax', 'p_size']) AS "column", unnest([l_quantity, l_discount, l_tax, p_size]) AS value FROM holed)
     SELECT "column", count(*) AS n_rows, count(*) - count(value) AS n_null, round((count(*) - count(value)) / count(*), 6) AS null_share, count(DISTINCT value) AS n_unique,
         round(count(DISTINCT value) / count(*), 6) AS cardinality_share, count(DISTINCT value) <= 1 AS constant, round(min(value), 6) AS minimum, round(max(value), 6) AS maximum,
-        round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(median(value), 6) AS median FROM u GROUP BY 1""")
+        CAST((2 * sum(CAST(round(value * 1e12) AS HUGEINT)) + count(value) * 1000000::HUGEINT) // (2 * count(value) * 1000000::HUGEINT) AS DOUBLE) / 1e6 AS mean, round(stddev_samp(value), 6) AS std, round(median(value), 6) AS median FROM u GROUP BY 1""")
 def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = profile.profile_numeric(holes(line(spark, sf_dir)), NUMERIC)
     shares = {"null_share": F.col("n_null") / F.col("n_rows"), "cardinality_share": F.col("n_unique") / F.col("n_rows")}
-    return found.select("column", "n_rows", "n_null", "n_unique", (F.col("n_unique") <= 1).alias("constant"), *[rounded(x).alias(n) for n, x in shares.items()], *[rounded(c).alias(c) for c in ("minimum", "maximum", "mean", "std", "median")])
+    return found.select("column", "n_rows", "n_null", "n_unique", (F.col("n_unique") <= 1).alias("constant"), *[rounded(x).alias(n) for n, x in shares.items()], *[rounded(c).cast("double").alias(c) for c in ("minimum", "maximum", "mean", "std", "median")])
 
 
 @job(f"""

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import fresh_path
 from ..operators import contract, learn
-from ..operators.registry_ops import shared_folder
 from ..operators.world import generate_world as world
 from ..streaming import jobs as stream
 from .frames import LINE, LOG_SQL, line, prediction_log, read, series
@@ -77,14 +75,10 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prediction_log(spark, sf_dir).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "run_id", "tenant_id", "feature_digest", "prediction")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @job(f"WITH {LOG_SQL} SELECT event_id, run_id, feature_digest, round(prediction, 6) AS prediction FROM plog")
 def stream_prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream.source(spark, stream.log_files(spark, _log(spark, sf_dir)))
-    out = stream.run_to_end(stream.prediction_log_stream(rows), _folder(spark, "stream-log"))
+    out = stream.run_to_end(stream.prediction_log_stream(rows), fresh_path(spark, "stream-log"))
     return spark.read.parquet(out).select("event_id", "run_id", "feature_digest", F.round("prediction", 6).alias("prediction"))
 
 
@@ -95,7 +89,7 @@ def stream_traffic_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts by stream; compared for windows that the watermark has surely closed."""
     log = _log(spark, sf_dir)
     rows = stream.source(spark, stream.log_files(spark, log))
-    out = stream.run_to_end(stream.traffic_volume(rows), _folder(spark, "stream-volume"))
+    out = stream.run_to_end(stream.traffic_volume(rows), fresh_path(spark, "stream-volume"))
     last = log.agg((F.max("ts") - F.expr("INTERVAL 3 HOURS")).alias("last"))
     found = spark.read.parquet(out).join(F.broadcast(last), F.col("start") + F.expr("INTERVAL 1 HOUR") <= F.col("last"))
     return found.select("start", "run_id", "n")
@@ -104,7 +98,7 @@ def stream_traffic_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 @job()
 def stream_dedupe_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream.source(spark, stream.log_files(spark, _log(spark, sf_dir)))
-    out = stream.run_to_end(stream.dedupe_inputs(rows), _folder(spark, "stream-dedupe"))
+    out = stream.run_to_end(stream.dedupe_inputs(rows), fresh_path(spark, "stream-dedupe"))
     return spark.read.parquet(out).select("event_id", "run_id", "feature_digest")
 
 
@@ -112,7 +106,7 @@ def stream_dedupe_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir)
     middle = log.agg(F.percentile_approx(F.col("ts").cast("double"), 0.5)).first()[0]
-    folder = _folder(spark, "stream-drift")
+    folder = fresh_path(spark, "stream-drift")
     reference = log.where(F.col("ts").cast("double") < middle)
     rows = stream.source(spark, stream.log_files(spark, log.where(F.col("ts").cast("double") >= middle)))
     stream.run_to_end(rows, folder, each=stream.drift_per_batch(reference, f"{folder}/out", ["prediction"]))

@@ -57,10 +57,7 @@ def probability_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = cls(spark, sf_dir)
     own = F.when(F.col("truth") == "high", F.col("p_high")).when(F.col("truth") == "low", F.col("p_low")).otherwise(F.col("p_mid"))
     loss = df.agg(F.avg(-F.log(F.greatest(own, F.lit(2.220446049250313e-16)))).alias("log_loss"))
-    areas = None
-    for c in CLASSES:
-        one = measure.auc(df, F.col("truth") == c, F.col(f"p_{c}"))
-        areas = one if areas is None else areas.unionByName(one)
+    areas = measure.areas(df, {c: (F.col("truth") == c, F.col(f"p_{c}")) for c in CLASSES})
     return loss.crossJoin(areas.agg(F.avg("roc_auc").alias("roc_auc"))).select(rounded("log_loss").alias("log_loss"), rounded("roc_auc").alias("roc_auc"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_normal, hash_uniform, rounded, unpivot
-from ..functions.ranks import digitize, global_row_number
+from ..functions.ranks import digitize, exact_quantiles, global_row_number
 from ..operators import drift, forecast, measure, split
 from ..operators.latent import Driver
 from .frames import CLASSES, HOLES_SQL, LINE_SQL, MODEL, SCORER, SEED, SERIES_SQL, SIGMA, _uniform, holes, line, read, series
@@ -149,7 +149,7 @@ _CUM = (1 / 1.96, 1.6 / 1.96)
 
 
 def _cut_points(df: DataFrame) -> list[float]:
-    return [float(x) for x in df.agg(F.percentile("signal", F.array(*map(F.lit, _CUM)))).first()[0]]
+    return exact_quantiles(df, ["signal"], _CUM)["signal"]
 
 
 @job(f"WITH {LINE_SQL}, {_CUT_SQL} SELECT key, ((signal >= c1)::INT + (signal >= c2)::INT) AS label FROM line, c")
@@ -210,7 +210,7 @@ def inject_missingness(spark: SparkSession, sf_dir: str) -> DataFrame:
         round((1 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y))) / (1 - sum(e * e) / (count(*) * var_pop(y))), 6) AS headroom FROM e, q""")
 def realism_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = line(spark, sf_dir).withColumn("e", F.col("y") - F.col("signal"))
-    low, high = df.agg(F.percentile("p_size", F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
+    low, high = exact_quantiles(df, ["p_size"], [0.25, 0.75])["p_size"]
     oracle, spread = measure.r2("y", "signal"), F.stddev_pop(F.when(F.col("p_size") >= high, F.col("e"))) / F.stddev_pop(F.when(F.col("p_size") <= low, F.col("e")))
     return df.agg(F.count("*").alias("n"), rounded(oracle).alias("oracle_r2"), rounded(F.var_pop("e") / F.var_pop("signal")).alias("noise_to_signal"), rounded(spread).alias("heteroscedasticity"), rounded(measure.r2("y", "pred") / oracle).alias("headroom"))
 

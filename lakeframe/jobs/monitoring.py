@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import rounded, unpivot
+from ..functions.storage import fresh_path
 from ..functions.ranks import global_row_number
 from ..operators import drift, registry_ops
-from ..operators.registry_ops import shared_folder
 from .frames import CLASS_SQL, HOLES_SQL, LINE_SQL, LOG_SQL, RUNS_SQL, classes, line, prediction_log, read, runs
 from .registry import job
 
 _CUT = "TIMESTAMP '1998-07-01'"
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines before the cut as the reference; after it as current, with quantities moved and one level inflated."""
     df = line(spark, sf_dir)
@@ -115,7 +109,7 @@ def read_prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compacted parquet and the JSON tail as one log, since a time, with the nested features as columns."""
     log = prediction_log(spark, sf_dir)
     since = log.agg(F.min("ts").alias("since")).select((F.col("since") + F.expr("INTERVAL 2 DAYS")).alias("since"))
-    head, tail = _folder(spark, "log"), _folder(spark, "tail")
+    head, tail = fresh_path(spark, "log"), fresh_path(spark, "tail")
     log.where("event_id % 2 = 0").write.parquet(head)
     log.where("event_id % 2 = 1").drop("feature_digest").withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).write.json(tail)
     schema = "event_id long, ts timestamp_ntz, run_id string, tenant_id long, prediction double, prediction_label string, features map<string,string>"
@@ -126,7 +120,7 @@ def read_prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @job(f"WITH {LOG_SQL} SELECT run_id, date_trunc('day', ts)::DATE AS date, count(*) AS n, round(sum(prediction), 4) AS total FROM plog GROUP BY 1, 2")
 def compact_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON log folded into parquet by run and date, salted so that no run is written by one task."""
-    raw, out = _folder(spark, "raw"), _folder(spark, "compact")
+    raw, out = fresh_path(spark, "raw"), fresh_path(spark, "compact")
     prediction_log(spark, sf_dir).select("event_id", "run_id", F.to_date("ts").alias("date"), "prediction").write.json(raw)
     log = spark.read.schema("event_id long, run_id string, date date, prediction double").json(raw)
     log.repartition("run_id", "date").write.partitionBy("run_id", "date").parquet(out)
@@ -191,7 +185,7 @@ def estimate_performance_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
 @job()
 def rebuild_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run table from JSON files of runs, without those that cannot be read, newest first."""
-    path = _folder(spark, "runs")
+    path = fresh_path(spark, "runs")
     runs(spark, sf_dir).select(F.to_json(F.struct("run_id", "domain_id", "created_at", "stage", "r2")).alias("value")).unionByName(spark.createDataFrame([("{broken",)], "value string")).write.text(path)
     found = spark.read.schema("run_id string, domain_id string, created_at timestamp, stage string, r2 double, _corrupt_record string").json(path)
     return found.where("_corrupt_record is null and run_id is not null").drop("_corrupt_record").orderBy(F.desc("created_at"), F.desc("run_id"))

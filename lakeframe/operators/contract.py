@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import unpivot
-from ..functions.ranks import bucket_of
+from ..functions.ranks import bucket_of, exact_quantiles
 from ..spec import SETTINGS, Feature, Problem, Settings
 
 _CAST = {"numeric": "double", "categorical": "string", "boolean": "boolean", "datetime": "timestamp"}
@@ -97,10 +97,20 @@ def align(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def impute(df: DataFrame, training: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """Missing values from the training frame's medians and modes; which ones, in imputed_features."""
-    fill = training.agg(*[F.median(c).alias(f"_{c}") for c in numeric], *[F.mode(c, True).alias(f"_{c}") for c in categorical])
+    medians = exact_quantiles(training, numeric, [0.5]) if numeric else {}
+    fill = {c: F.lit(medians[c][0] if medians[c] else None).cast("double") for c in numeric} | modes(training, categorical)
     names = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in [*numeric, *categorical]]))
-    joined = df.withColumn("imputed_features", names).join(F.broadcast(fill))  # fill has one row
-    return joined.select(*[F.coalesce(c, f"_{c}").alias(c) if c in numeric or c in categorical else F.col(c) for c in [*df.columns, "imputed_features"]])
+    return df.select(*[F.coalesce(F.col(c), fill[c]).alias(c) if c in fill else F.col(c) for c in df.columns], names.alias("imputed_features"))
+
+
+def modes(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """Each column's commonest level, the first by name of equals; null for a column without levels."""
+    if not columns:
+        return {}
+    counted = unpivot(df, [], columns, "column", "level").where("level is not null").groupBy("column", "level").agg(F.count("*").alias("n"))
+    best = counted.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("n"), "level"))["level"].alias("level"))
+    found = {r["column"]: r["level"] for r in best.collect()}  # a row for each column
+    return {c: F.lit(found.get(c)).cast("string") for c in columns}
 
 
 def unknown_keys(declared: list[str], features: str) -> Column:
@@ -145,10 +155,12 @@ def single_feature_scores(df: DataFrame, features: list[str], target: str, fold:
     # all that r2 needs of the test rows of a bin are their count, sum and sum of squares
     cells = rows.groupBy("feature", "bin").agg(
         F.avg(F.when(F.col("train"), F.col("t"))).alias("fit"), F.sum((~F.col("train")).cast("long")).alias("n"),
+        F.sum(F.when(F.col("train"), F.col("t"))).alias("train_s"), F.count_if("train").alias("train_n"),
         F.sum(F.when(~F.col("train"), F.col("t"))).alias("s"), F.sum(F.when(~F.col("train"), F.col("t") * F.col("t"))).alias("ss"),
     )
-    mean = rows.where("train").groupBy("feature").agg(F.avg("t").alias("mean"))
-    cells = cells.where("n > 0").join(mean, "feature").withColumn("fit", F.coalesce("fit", "mean"))
+    within = Window.partitionBy("feature")  # as many rows as a feature has bins or levels
+    mean = F.try_divide(F.sum("train_s").over(within), F.sum("train_n").over(within))
+    cells = cells.withColumn("fit", F.coalesce("fit", mean)).where("n > 0")
     return cells.groupBy("feature").agg(
         (1 - F.try_divide(F.sum(F.col("ss") - 2 * F.col("fit") * F.col("s") + F.col("n") * F.col("fit") * F.col("fit")), F.sum("ss") - F.sum("s") * F.sum("s") / F.sum("n"))).alias("r2"), F.sum("n").alias("n_test")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import unpivot
-from ..functions.ranks import bucket_of
+from ..functions.ranks import running_sums
 from ..spec import SETTINGS, Settings
 
 
@@ -38,28 +38,13 @@ def chi_square(counts: DataFrame) -> DataFrame:
     )
 
 
-def ks_statistic(df: DataFrame, side: str, columns: list[str], bands: int = 32) -> DataFrame:
-    """(feature, d, n_ref, n_cur) for all columns: rows become counts of distinct values, summed within bands of values.
-
-    Running sums go band by band and then over the few bands, so no task holds a feature's values.
-    """
-    edges = df.agg(*[F.percentile_approx(c, [i / bands for i in range(1, bands)], 1000).alias(c) for c in columns]).first().asDict()
-    banded = []
-    for c in columns:
-        band = bucket_of(F.col(c), sorted(set(edges[c] or [])))
-        banded.append(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), band.alias("band")))
-    long = df.select(side, F.explode(F.array(*banded)).alias("x")).select(side, "x.*").where("value is not null")
-    values = long.groupBy("feature", "band", "value").agg(F.count_if(F.col(side) == "reference").alias("r"), F.count_if(F.col(side) == "current").alias("c"))
-    totals = values.groupBy("feature", "band").agg(F.sum("r").alias("band_r"), F.sum("c").alias("band_c"))
-    by_band, whole = Window.partitionBy("feature").orderBy("band"), Window.partitionBy("feature")
-    offsets = totals.select(
-        "feature", "band", (F.sum("band_r").over(by_band) - F.col("band_r")).alias("before_r"), (F.sum("band_c").over(by_band) - F.col("band_c")).alias("before_c"),
-        F.sum("band_r").over(whole).alias("n_ref"), F.sum("band_c").over(whole).alias("n_cur"),
-    )
-    order = Window.partitionBy("feature", "band").orderBy("value")
-    joined = values.join(F.broadcast(offsets), ["feature", "band"])  # at most bands rows a feature
-    gap = F.abs(F.try_divide(F.col("before_r") + F.sum("r").over(order), F.col("n_ref")) - F.try_divide(F.col("before_c") + F.sum("c").over(order), F.col("n_cur")))
-    return joined.withColumn("gap", gap).groupBy("feature").agg(F.max("gap").alias("d"), F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"))
+def ks_statistic(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
+    """(feature, d, n_ref, n_cur) for all columns: rows become counts of distinct values, which running sums go over."""
+    long = unpivot(df, [side], columns, "feature", "value", "double").where("value is not null and not isnan(value)")
+    values = long.groupBy("feature", "value").agg(F.count_if(F.col(side) == "reference").alias("r"), F.count_if(F.col(side) == "current").alias("c"))
+    summed = running_sums(values, ["feature"], "value", ["r", "c"])
+    gap = F.abs(F.try_divide("cum_r", "total_r") - F.try_divide("cum_c", "total_c"))
+    return summed.groupBy("feature").agg(F.max(gap).alias("d"), F.max("total_r").alias("n_ref"), F.max("total_c").alias("n_cur"))
 
 
 def kolmogorov_p(d: Column, n: Column, m: Column) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import unpivot
-from ..functions.ranks import higher_rank
+from ..functions.ranks import AT_ONCE, exact_quantiles, higher_rank, order_statistics, running_sums
 from ..spec import SETTINGS, Settings
 
 HIGHER_IS_BETTER = {
@@ -25,8 +25,9 @@ def r2(y: str, p: str) -> Column:
 
 def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     error = F.abs(F.col(y) - F.col(p))
+    median = exact_quantiles(df, {"e": error}, [0.5])["e"]
     return df.agg(
-        r2(y, p).alias("r2"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(error).alias("mae"), F.median(error).alias("median_ae"),
+        r2(y, p).alias("r2"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(error).alias("mae"), F.lit(median[0] if median else None).cast("double").alias("median_ae"),
         F.avg(F.when(F.col(y) != 0, error / F.abs(F.col(y)))).alias("mape"), F.count_if(F.col(y) == 0).alias("mape_n_excluded"), F.count("*").alias("n"),
     )
 
@@ -49,42 +50,30 @@ def classification_metrics(df: DataFrame, truth: str, predicted: str) -> DataFra
     )
 
 
-def auc(df: DataFrame, positive: Column, score: Column, places: int = 9) -> DataFrame:
-    """Mann-Whitney with average ranks, over distinct scores rather than rows."""
-    values = df.groupBy(F.round(score, places).alias("s")).agg(F.sum(positive.cast("long")).alias("pos"), F.count("*").alias("n"))
-    bands = values.withColumn("band", F.floor(F.col("s") * 64))  # scores are probabilities: running sums by band, then over bands
-    totals = bands.groupBy("band").agg(F.sum(F.col("n") - F.col("pos")).alias("neg_band"))
-    before = totals.withColumn("neg_before", F.sum("neg_band").over(Window.orderBy("band")) - F.col("neg_band"))  # 65 rows
-    order = Window.partitionBy("band").orderBy("s")
-    ranked = bands.join(F.broadcast(before), "band").withColumn("neg", F.col("n") - F.col("pos"))
-    below = F.col("neg_before") + F.sum("neg").over(order) - F.col("neg")
-    return ranked.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2)).agg(F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
-
-
-def quantile_higher(df: DataFrame, score: Column, level: float | Callable[[int], float], at_once: int = 1_000_000) -> Column:
-    """A driver-side number: the smallest order statistic at or above the level; exact for any number of rows.
-
-    Approximate quantiles bracket it, again and again, until few rows are left; exact counts below the bracket and of
-    the values within give the rank. The level may depend on the number of rows; the scores are kept meanwhile.
+def areas(df: DataFrame, classes: dict[str, tuple[Column, Column]], places: int = 9) -> DataFrame:
+    """(class, roc_auc) of each class's (positive, score) columns: Mann-Whitney with average ranks, over distinct scores.
+
+    Scores are rounded to places: those nearer to each other count as ties. All classes are measured in one pass.
     """
-    scored = df.select(score.alias("s")).where(F.col("s").isNotNull() & ~F.isnan("s")).persist()
-    inside, below, bracket = scored, 0, None
-    n = m = scored.count()
-    rank = higher_rank(n, level(n) if callable(level) else level) if n else 0
-    while m > at_once:
-        share = (rank - below) / m
-        found = tuple(inside.select(F.percentile_approx("s", [max(0.0, share - 0.002), min(1.0, share + 0.002)], 20_000)).first()[0])
-        if found == bracket:  # ties
-            break
-        bracket = found
-        below = scored.where(F.col("s") < bracket[0]).count()
-        inside = scored.where(F.col("s").between(*bracket))
-        m = inside.count()
-    values = inside.groupBy("s").agg(F.count("*").alias("c"))
-    cumulative = values.withColumn("cum", F.sum("c").over(Window.orderBy("s")) + below)
-    found = cumulative.where(F.col("cum") >= rank).agg(F.min("s")).first()[0]
-    scored.unpersist()
-    return F.lit(found).cast("double")
+    one = [F.struct(F.lit(c).alias("class"), F.round(score, places).alias("s"), positive.cast("long").alias("pos")) for c, (positive, score) in classes.items()]
+    values = df.select(F.explode(F.array(*one)).alias("x")).groupBy("x.class", "x.s").agg(F.sum("x.pos").alias("pos"), F.sum(1 - F.col("x.pos")).alias("neg"))
+    ranked = running_sums(values.where("s is not null"), ["class"], "s", ["neg"])
+    wins = F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)
+    return ranked.groupBy("class").agg(F.try_divide(F.sum(wins), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
+
+
+def auc(df: DataFrame, positive: Column, score: Column, places: int = 9) -> DataFrame:
+    return areas(df, {"": (positive, score)}, places).select("roc_auc")
+
+
+def quantile_higher(df: DataFrame, score: Column, level: float | Callable[[int], float], at_once: int = AT_ONCE) -> Column:
+    """A driver-side number: the smallest order statistic at or above the level, which may depend on the number of rows."""
+
+    def rank(_: str, n: int) -> list[int]:
+        return [higher_rank(n, level(n) if callable(level) else level)]
+
+    n, found = order_statistics(df, {"s": score}, rank, at_once)["s"]
+    return F.lit(next(iter(found.values())) if n else None).cast("double")
 
 
 def conformal_level(n: int, coverage: float) -> float:
@@ -108,7 +97,7 @@ def coverage_report(df: DataFrame, covered: Column, width: Column, by: list[str]
 
 def quantile_bands(df: DataFrame, columns: list[str], bands: int = 4) -> dict[str, list[float]]:
     """Borders of each column's quantile bands, equal ones once; a few numbers a column."""
-    found = df.agg(*[F.percentile(c, F.array(*[F.lit(i / bands) for i in range(bands + 1)])).alias(c) for c in columns]).first()
+    found = exact_quantiles(df, columns, [i / bands for i in range(bands + 1)])
     return {c: sorted(set(found[c] or [])) for c in columns}
 
 

@@ -6,15 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import unpivot
+from ..functions.ranks import exact_quantiles
 
 
 def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Head counts, range, mean, sample deviation and median of every column, from one pass over the long form."""
+    """Head counts, range, mean, sample deviation and median of every column.
+
+    Values are aggregated to counts first, so distinct ones cost no second shuffle; the mean is that of values rounded
+    to 12 places, summed as decimals: it does not depend on the order of rows. Medians come by bracketed ranks.
+    """
     long = unpivot(df, [], columns, "column", "value", "double")
-    return long.groupBy("column").agg(
-        F.count("*").alias("n_rows"), F.count_if(F.col("value").isNull()).alias("n_null"), F.count_distinct("value").alias("n_unique"),
-        F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.median("value").alias("median"),
+    v, n = F.col("value"), F.col("n")
+    counted = long.groupBy("column", "value").agg(F.count("*").alias("n"))
+    known = F.when(v.isNotNull(), n)
+    total = F.sum(v.cast("decimal(38,12)") * n.cast("decimal(18,0)"))
+    made = counted.groupBy("column").agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("n_null"), F.count("value").alias("n_unique"),
+        F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.try_divide(total, F.sum(known).cast("decimal(20,0)")).alias("mean"),
+        F.sum(known).alias("_n"), F.sum(v * n).alias("_s"), F.sum(v * v * n).alias("_ss"),
     )
+    deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("_ss") - F.col("_s") * F.col("_s") / F.col("_n")) / F.nullif(F.col("_n") - 1, F.lit(0)))
+    medians = exact_quantiles(df, columns, [0.5])
+    median = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(medians[c][0] if medians[c] else None).cast("double"))])
+    return made.withColumn("std", deviation).withColumn("median", median[F.col("column")]).drop("_n", "_s", "_ss")
 
 
 def top_levels(df: DataFrame, columns: list[str], limit: int = 10) -> DataFrame:

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_uniform
-from ..functions.ranks import global_row_number
-
-#: Buckets that a class is ranked in, so that no task holds a whole class.
-BUCKETS = 64
-
+from ..functions.ranks import global_row_number, rank_within
 
 def _hash_rank(df: DataFrame, key: str, seed: int, stream: str, by: list[str]) -> DataFrame:
-    """rn: rank of a row by its hash within by, and n: rows there; ranked in ranges of the hash."""
-    u = df.withColumn("_u", hash_uniform(key, seed, stream)).withColumn("_b", F.floor(F.col("_u") * BUCKETS).cast("int"))
-    totals = u.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by)
-    before = totals.select(*by, "_b", (F.sum("_c").over(w.orderBy("_b")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("n"))
-    nth = F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_u", key))
-    return u.withColumn("_nth", nth).join(before, [*by, "_b"]).withColumn("rn", F.col("_nth") + F.col("_before")).drop("_u", "_b", "_nth", "_before")
+    """rn: rank of a row by its hash within by, and n: rows there; a class may hold all rows."""
+    return rank_within(df.withColumn("_u", hash_uniform(key, seed, stream)), by, ["_u", key]).drop("_u")
 
 
 def three_way_split(df: DataFrame, key: str, seed: int, stratum: str, test: float = 0.2, calibration: float = 0.25) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import fresh_path
 from ..operators import drift
-from ..operators.registry_ops import shared_folder
 from ..spec import SETTINGS
 
 LOG_SCHEMA = "event_id long, ts timestamp, run_id string, tenant_id long, feature_digest string, prediction double"
@@ -57,6 +56,6 @@ def drift_per_batch(reference: DataFrame, out: str, columns: list[str], least: i
 
 def log_files(spark: SparkSession, log: DataFrame, parts: int = 8) -> str:
     """The log as JSON files in the order of time, as a service would have left them."""
-    path = f"{shared_folder(spark)}/stream-in-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "stream-in")
     log.repartitionByRange(parts, "ts").sortWithinPartitions("ts").write.json(path)
     return path

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lakeframe.functions.ranks import global_row_number, higher_rank
+from lakeframe.functions.ranks import exact_quantiles, global_row_number, higher_rank, in_order, rank_within, running_sums
 from lakeframe.operators import drift, measure
 from lakeframe.operators.registry_ops import champion_challenger, latest_per_key, promotion_gate, rank_leaderboard
 
@@ -42,6 +42,38 @@ def test_quantile_higher_is_exact(spark):
             assert got == values[higher_rank(n, level) - 1]
 
 
+def test_quantiles_are_exact(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([rng.random(), 0.5, None]), float(rng.randrange(4)), None) for _ in range(700)]
+    df = spark.createDataFrame(rows, "a double, b double, empty double")
+    levels = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
+    wanted = df.agg(*[F.percentile(c, F.array(*map(F.lit, levels))).alias(c) for c in ("a", "b")]).first()
+    for at_once in (1, 30, 10_000):
+        found = exact_quantiles(df, ["a", "b", "empty"], levels, at_once)
+        assert found["empty"] is None
+        for c in ("a", "b"):
+            assert all(math.isclose(x, y, abs_tol=1e-12) for x, y in zip(found[c], wanted[c], strict=True))
+
+
+def test_a_common_value_fills_no_task(spark):
+    """Nine rows in ten have one value: every part holds less than twice the mean, and numbers are right."""
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id").cast("double")).otherwise(7.0).alias("v"), F.lit("x").alias("g"))
+    parts = [r["count"] for r in in_order(df, ["v", "id"]).groupBy("_p").count().collect()]
+    assert len(parts) > 2 and max(parts) < 2 * sum(parts) / len(parts)
+    ranked = rank_within(df, ["g"], ["v", "id"]).select("id", "v", "rn", "n").collect()
+    order = {r.id: i + 1 for i, r in enumerate(sorted(ranked, key=lambda r: (r.v, r.id)))}
+    assert all(r.rn == order[r.id] and r.n == 20_000 for r in ranked)
+
+
+def test_running_sums(spark):
+    rng = random.Random(7)
+    rows = [(g, float(i), rng.randrange(9)) for g in (None, "a", "b") for i in range(100)]
+    found = running_sums(spark.createDataFrame(rows, "g string, v double, n long").where("g is not null"), ["g"], "v", ["n"]).collect()
+    assert len(found) == 200
+    for r in found:
+        assert r.cum_n == sum(n for g, v, n in rows if g == r.g and v <= r.v) and r.total_n == sum(n for g, _, n in rows if g == r.g)
+
+
 def test_coverage_skips_small_groups(spark):
     df = spark.createDataFrame([("a", 1.0)] * 25 + [("b", 1.0)] * 5, "g string, y double")
     found = {r.g: r for r in measure.coverage_report(df, F.col("y") <= 1, F.lit(2.0), ["g"]).collect()}
@@ -60,7 +92,7 @@ def test_global_row_number(spark, parts):
     rng = random.Random(4)
     rows = [(i, rng.choice([None, 1.0, 1.0, rng.random()])) for i in range(500)]
     df = spark.createDataFrame(rows, "i long, v double").repartition(parts)
-    got = {r.i: r.rn for r in global_row_number(df, "v", ["i"], buckets=7).collect()}
+    got = {r.i: r.rn for r in global_row_number(df, "v", ["i"]).collect()}
     order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
     assert got == {i: k + 1 for k, (i, _) in enumerate(order)}
     assert global_row_number(df.limit(0), "v", ["i"]).count() == 0
