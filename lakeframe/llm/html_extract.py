@@ -1,12 +1,15 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of its block elements; inline markup belongs to the block around it, links are counted in it.
-Elements that are no part of an article by their kind (scripts, menus, forms, ...), role or class are left out first;
-a class or id that would take most of the page's text with it tells only of the layout and is passed over.
-Every node then has a density: its characters per tag, raised or lowered by how few or many of them are in links,
-relative to the page. The node with the greatest sum of its children's densities is the core of the article; the least
-density on the path from it up to the body is the threshold, and within every node that reaches it, seen from the body,
-the subtree of the greatest sum is content too.
+What cannot be text of an article (scripts, styles, form controls, ...) is not read. Every node has a density: its
+characters per tag, raised or lowered by how few or many of them are in links, relative to the page. The node with the
+greatest sum of its children's densities is the core of the article; the least density on the path from it up to the
+body is the threshold, and within every node that reaches it, seen from the body, the subtree of the greatest sum is
+content too. An article element (or a main one without any) is one piece: no subtree within it is taken instead of it.
+
+Kinds (nav, footer, ...), roles, classes and ids only weigh: the density of a node that they mark, and of all below it,
+counts MARKED times as much. So it is content only where it beats the rest of the page by that much. A mark on what holds the title and most of the page's text tells of the layout and
+weighs nothing. Within content, a block below the threshold goes if it is marked, or is nothing but links.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,14 +29,15 @@ from .common import bounded, parts
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg object".split())
+CUT = RAW | frozenset("button select option optgroup datalist head canvas audio video map annotation annotation-xml".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr "
     "math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mmultiscripts mtable mtr mtd mstyle mspace mpadded semantics".split()
 )
-NOISE = frozenset("nav header footer aside form button select option fieldset dialog menu head canvas audio video map annotation annotation-xml".split())
+BESIDE = frozenset("nav header footer aside form fieldset dialog menu".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
-#: Words that mark an element that is no part of the article, if a class or id has no other words than these and SIDE_WORDS.
+BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
+#: Words that mark an element as beside the article, if a class or id has no other words than these and SIDE_WORDS.
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion sidebar aside menu nav navbar navigation breadcrumb breadcrumbs "
     "footer header masthead banner cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social "
@@ -44,17 +49,28 @@ CONTROL_WORDS = frozenset("articles bar button buttons form icons items link lin
 SIDE_WORDS = CONTROL_WORDS | frozenset("area block bottom box container content global inner left list main page panel primary right secondary section site slot thread top unit wrap wrapper".split())
 #: Threads can be longer than the article.
 THREAD_WORDS = frozenset("comment comments disqus replies reply respond".split())
-#: Elements that only their kind or the attribute "hidden" can leave out.
+#: Elements whose class, id or role says nothing.
 UNMARKED = frozenset("html body main article p h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
-_MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: What a mark multiplies a density with.
+MARKED = 1 / 1000
+#: Links from which a block of nothing but links is a menu.
+MENU_LINKS = 3
+
+_TOKEN = re.compile(
+    r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S
+)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z0-9]+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
-_CLASSY = re.compile(r"\b(?:class|id|role|hidden)\b", re.I)
+_TELLING = re.compile(r"class|id|role|hidden", re.I)
+#: Elements that end at the next of the same kind, and those that keep an outer one open.
+_SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
+_HOLDERS = frozenset("ul ol dl table".split())
+_P_HOLDERS = frozenset("table td th button object".split())
 
 
-def is_noise_name(mark: str) -> bool:
+def is_beside_name(mark: str) -> bool:
     """Whether a class or id names nothing but a part beside the article: "sidebar-left", not "search-results-explained"."""
     words = set(_WORD.findall(mark))
     if not words <= NOISE_WORDS | WEAK_WORDS | SIDE_WORDS:
@@ -62,44 +78,51 @@ def is_noise_name(mark: str) -> bool:
     return bool(words & NOISE_WORDS or words & WEAK_WORDS and words & CONTROL_WORDS)
 
 
-def is_noise(tag: str, attributes: str) -> bool:
-    """By kind, role or the attribute "hidden"."""
-    if tag in NOISE or tag in RAW:
-        return True
-    if not attributes or tag in ("html", "body", "main", "article") or not _CLASSY.search(attributes):
-        return False
-    if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes):
-        return True
-    return tag not in UNMARKED and any(name.lower() == "role" and NOISE_ROLES.intersection((a or b or c).lower().split()) for name, a, b, c in _MARK.findall(attributes))
-
-
-def noise_marks(tag: str, attributes: str) -> list[str]:
-    """Classes and ids that name a part beside the article."""
-    if not attributes or tag in UNMARKED or not _CLASSY.search(attributes):
-        return []
-    return [mark for name, a, b, c in _MARK.findall(attributes) if name.lower() != "role" for mark in (a or b or c).lower().split() if is_noise_name(mark)]
+def marks_of(tag: str, attributes: str) -> list[str]:
+    """What marks an element as beside the article: its kind, its role, a class or id, or that it is hidden."""
+    found = [tag] if tag in BESIDE else []
+    if not attributes or tag in ("html", "body", "main", "article") or not _TELLING.search(attributes):
+        return found
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), max(values).lower()
+        if name == "hidden":
+            found.append(name)
+        elif tag in UNMARKED:
+            continue
+        elif name == "role":
+            found += BESIDE_ROLES.intersection(value.split())
+        elif name in ("class", "id"):
+            found += [mark for mark in value.split() if is_beside_name(mark)]
+    return found
 
 
 class _Page:
-    """Block elements by number, in page order; pieces of text with the block and the run of text they belong to."""
+    """Blocks by number, in page order; pieces of text with the block and the run of text they belong to."""
 
     def __init__(self) -> None:
-        self.tag, self.parent = ["#page"], [-1]
+        self.tag, self.parent, self.mark = ["#page"], [-1], [""]  # mark: "", "thread" or "beside"
         self.chars, self.link_chars, self.link_tags, self.tags = [0], [0], [0], [0]
         self.pieces: list[tuple[int, int, str]] = []
         self.body = 0
-        self.marked: list[tuple[int, int, bool]] = []  # block, place in the page, whether it is a thread
 
+    def add(self, tag: str, parent: int, mark: str) -> int:
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.mark.append(mark)
+        for counts in (self.chars, self.link_chars, self.link_tags, self.tags):
+            counts.append(0)
+        return len(self.tag) - 1
 
-def parse(page: str, spared: frozenset[int] | None = None) -> _Page:
-    """spared: places of marked blocks that are no noise; if None, all are kept, and listed."""
+
+def parse(page: str) -> _Page:
     tree = _Page()
-    stack: list[tuple[str, int, bool]] = [("#page", 0, False)]  # tag, block, within noise
+    stack: list[tuple[str, int, bool]] = [("#page", 0, False)]  # tag, block, within what is cut
+    open_tags: Counter[str] = Counter()
     links, run, at, n = 0, 0, 0, len(page)
 
     def add(text: str) -> None:
-        block, noise = stack[-1][1], stack[-1][2]
-        if noise or not text:
+        block, cut = stack[-1][1], stack[-1][2]
+        if cut or not text:
             return
         if "&" in text:
             text = html.unescape(text)
@@ -109,12 +132,21 @@ def parse(page: str, spared: frozenset[int] | None = None) -> _Page:
         if links:
             tree.link_chars[block] += size
 
-    def pop_to(i: int) -> None:
+    def close(tags: tuple[str, ...], holders: frozenset[str]) -> None:
+        """End the innermost open element of these, unless a holder stands within it."""
         nonlocal links, run
-        for tag, _, _ in stack[i:]:
-            links -= tag == "a"
-            run += tag not in INLINE
-        del stack[i:]
+        if not any(open_tags[t] for t in tags):
+            return
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i][0] in tags:
+                for tag, _, _ in stack[i:]:
+                    open_tags[tag] -= 1
+                    links -= tag == "a"
+                    run += tag not in INLINE
+                del stack[i:]
+                return
+            if stack[i][0] in holders:
+                return
 
     while at < n:
         m = _TOKEN.search(page, at)
@@ -125,11 +157,7 @@ def parse(page: str, spared: frozenset[int] | None = None) -> _Page:
             add(page[at : m.start()])
         at = m.end()
         if m[1]:
-            tag = m[1].lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
+            close((m[1].lower(),), frozenset())
             continue
         tag = m[2] or m[4]
         if not tag:
@@ -147,70 +175,58 @@ def parse(page: str, spared: frozenset[int] | None = None) -> _Page:
                 at = end.end() if end else n
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    pop_to(i)
-                    break
-                if stack[i][0] in ("table", "td", "th", "button", "object"):
-                    break
-        elif tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            same = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in same:
-                    pop_to(i)
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
-                    break
-        block, noise = stack[-1][1], stack[-1][2] or is_noise(tag, attributes)
-        marks = [] if noise else noise_marks(tag, attributes)
-        if marks and (tag in INLINE or spared is not None and m.start() not in spared):
-            noise = True
-        if tag in INLINE:
-            links += tag == "a"
-            tree.link_tags[block] += tag == "a" and not noise
-        else:
-            run += 1
-            if not noise:
-                tree.tag.append(tag)
-                tree.parent.append(block)
-                for counts in (tree.chars, tree.link_chars, tree.link_tags, tree.tags):
-                    counts.append(0)
-                block = len(tree.tag) - 1
-                if marks:
-                    tree.marked.append((block, m.start(), any(THREAD_WORDS.intersection(_WORD.findall(x)) for x in marks)))
-                if tag == "body":
-                    tree.body = block
-        stack.append((tag, block, noise))
+            close(("p",), _P_HOLDERS)
+        elif tag in _SIBLINGS:
+            close(_SIBLINGS[tag], _HOLDERS)
+        block, cut = stack[-1][1], stack[-1][2] or tag in CUT
+        marks = [] if cut else marks_of(tag, attributes)
+        mark = "" if not marks else "thread" if any(THREAD_WORDS.intersection(_WORD.findall(x)) for x in marks) else "beside"
+        run += tag not in INLINE
+        if not cut and (mark or tag not in INLINE):
+            block = tree.add(tag, block, mark)
+            if tag == "body":
+                tree.body = block
+        if tag == "a":
+            links += 1
+            tree.link_tags[block] += not cut
+        open_tags[tag] += 1
+        stack.append((tag, block, cut))
     return tree
 
 
-def layout(tree: _Page) -> frozenset[int]:
-    """Places of marked blocks that hold most of the page's unlinked text, and its title, main part or all its articles.
+def weights(tree: _Page) -> list[float]:
+    """MARKED for what is marked or within something marked, 1 for the rest.
 
-    On a page without any of these, a block with three quarters of the text will do. Threads need a title or main part.
+    A mark weighs nothing on what holds the title, main part or all articles of the page, and most of the unlinked text
+    that is not marked elsewhere; on a page without any of these, three quarters of the text will do. Threads, which
+    can be longer than the article, need a title or main part. Where all text is marked, marks tell nothing.
     """
-    plain = [c - x for c, x in zip(tree.chars, tree.link_chars, strict=True)]
+    n = len(tree.tag)
     titles, articles = [t in ("h1", "main") for t in tree.tag], [int(t == "article") for t in tree.tag]
-    for i in range(len(plain) - 1, 0, -1):
-        p = tree.parent[i]
-        plain[p] += plain[i]
-        titles[p] = titles[p] or titles[i]
-        articles[p] += articles[i]
-    spared = set()
-    for block, at, thread in tree.marked:
-        if titles[0] or articles[0]:
-            core = titles[block] or not thread and 0 < articles[block] == articles[0]
-        else:
-            core = not thread and 4 * plain[block] > 3 * plain[0]
-        if core and 2 * plain[block] > plain[0]:
-            spared.add(at)
-    return frozenset(spared)
+    for i in range(n - 1, 0, -1):
+        titles[tree.parent[i]] |= titles[i]
+        articles[tree.parent[i]] += articles[i]
+    titled = titles[0] or articles[0]
 
+    def may_hold(i: int) -> bool:
+        return titles[i] or tree.mark[i] != "thread" and (not titled or 0 < articles[i] == articles[0])
 
-def densities(tree: _Page) -> tuple[list[float], list[float]]:
-    """Composite text density of each node, and the sum over its children."""
-    chars, link_chars, link_tags, tags = list(tree.chars), list(tree.link_chars), list(tree.link_tags), list(tree.tags)
+    plain = [c - x for c, x in zip(tree.chars, tree.link_chars, strict=True)]
+    for i in range(n - 1, 0, -1):
+        if not tree.mark[i] or may_hold(i):
+            plain[tree.parent[i]] += plain[i]
+    weight = [1.0] * n
+    for i in range(1, n):
+        weight[i] = weight[tree.parent[i]]
+        if tree.mark[i] and not (may_hold(i) and (2 * plain[i] > plain[0] if titled else 4 * plain[i] > 3 * plain[0])):
+            weight[i] = MARKED
+    return weight if any(c and w == 1 for c, w in zip(tree.chars, weight, strict=True)) else [1.0] * n
+
+
+def densities(tree: _Page, weight: list[float]) -> tuple[list[float], list[float]]:
+    """Weighted composite text density of each node, and the sum over its children."""
     n = len(tree.tag)
+    chars, link_chars, link_tags, tags = list(tree.chars), list(tree.link_chars), list(tree.link_tags), list(tree.tags)
     for i in range(n - 1, 0, -1):
         p = tree.parent[i]
         chars[p] += chars[i]
@@ -220,37 +236,30 @@ def densities(tree: _Page) -> tuple[list[float], list[float]]:
     share = link_chars[tree.body] / max(1, chars[tree.body])
     density, total = [0.0] * n, [0.0] * n
     for i in range(n):
-        if chars[i]:
-            c, lc, t, lt = chars[i], max(1, link_chars[i]), max(1, tags[i] + link_tags[i]), max(1, link_tags[i])
+        c, lc, t, lt = chars[i], max(1, link_chars[i]), max(1, tags[i] + link_tags[i]), max(1, link_tags[i])
+        if c:
             base = math.log(c * lc / max(1, c - link_chars[i]) + share * c + math.e)
-            density[i] = c / t * math.log(max(1.0001, c * t / (lc * lt))) / math.log(base)
+            density[i] = weight[i] * c / t * math.log(max(1.0001, c * t / (lc * lt))) / math.log(base)
     for i in range(1, n):
         total[tree.parent[i]] += density[i]
     return density, total
 
 
-def extract_text(page: str | None) -> str:
-    """The article's blocks, each with single spaces, one to a line; empty if there are none."""
-    if not page:
-        return ""
-    tree = whole = parse(page)
-    if whole.marked:
-        tree = parse(page, layout(whole))
-        if not any(tree.chars):
-            tree = whole
-    if not any(tree.chars):
-        return ""
-    density, total = densities(tree)
+def content_blocks(tree: _Page, weight: list[float], density: list[float], total: list[float]) -> list[bool]:
+    """Which nodes are content: what the core, the threshold and the greatest sums choose, less what falls below within."""
     n, body = len(tree.tag), tree.body
     inside = [False] * n
     inside[body] = True
-    best = list(range(n))  # within each subtree, the node of the greatest sum; the outermost of equals
+    articles = [int(t == "article") for t in tree.tag]
+    for i in range(n - 1, 0, -1):
+        articles[tree.parent[i]] += articles[i]
+    best, score = list(range(n)), list(total)  # within each subtree, the node of the greatest sum; the outermost of equals
     for i in range(n - 1, 0, -1):
         p = tree.parent[i]
-        if total[best[i]] > total[best[p]] or total[best[i]] == total[best[p]] and best[p] != p and best[i] < best[p]:
+        if tree.tag[i] == "article" or tree.tag[i] == "main" and not articles[i]:
+            best[i], score[i] = i, max(score[i], score[best[i]])
+        if score[best[i]] > score[best[p]] or score[best[i]] == score[best[p]] and best[p] != p and best[i] < best[p]:
             best[p] = best[i]
-    for i in range(body + 1, n):
-        inside[i] = inside[tree.parent[i]]
     core = best[body]
     threshold, i = density[body], core
     while i > body:
@@ -259,11 +268,35 @@ def extract_text(page: str | None) -> str:
     content, reached = [False] * n, [False] * n
     content[core] = reached[body] = True
     for i in range(body + 1, n):
+        inside[i] = inside[tree.parent[i]]
         if inside[i] and reached[tree.parent[i]] and density[i] >= threshold - 1e-9:
             reached[i] = True
             content[best[i]] = True
+    chars, link_chars, link_tags = list(tree.chars), list(tree.link_chars), list(tree.link_tags)
+    for i in range(n - 1, 0, -1):
+        p = tree.parent[i]
+        chars[p] += chars[i]
+        link_chars[p] += link_chars[i]
+        link_tags[p] += link_tags[i]
     for i in range(1, n):
-        content[i] = content[i] or content[tree.parent[i]]
+        p = tree.parent[i]
+        menu = link_chars[i] == chars[i] > 0 and link_tags[i] >= MENU_LINKS
+        if content[p] and density[i] < threshold and (menu or weight[i] < weight[p]):
+            content[i] = False
+        else:
+            content[i] = content[i] or content[p]
+    return content
+
+
+def extract_text(page: str | None) -> str:
+    """The article's blocks, each with single spaces, one to a line; empty if there are none."""
+    if not page:
+        return ""
+    tree = parse(page)
+    if not any(tree.chars):
+        return ""
+    weight = weights(tree)
+    content = content_blocks(tree, weight, *densities(tree, weight))
     lines: list[str] = []
     last, parts = None, []
     for block, run, text in tree.pieces:

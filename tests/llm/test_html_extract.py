@@ -1,5 +1,8 @@
+import math
 import random
+import time
 
+from lakeframe.llm import html_extract
 from lakeframe.llm.html_extract import extract_main_text, extract_text
 
 
@@ -44,6 +47,71 @@ def test_marks_within_the_article():
     assert extract_text('<body><div class="widget"><p>One</p></div><div class="sidebar"><p>Two</p></div></body>')
 
 
+BODY = "<h1>T</h1>" + "".join(f"<p>Sentence number {i} of the article is about a subject of interest, and goes on for a while.</p>" for i in range(6))
+LINES = "\n".join(["T", *(f"Sentence number {i} of the article is about a subject of interest, and goes on for a while." for i in range(6))])
+STORIES = "".join(f'<li><a href="/{i}">Another story of the day, number {i}</a></li>' for i in range(5))
+READERS = "".join(f'<div><div><a href="/u{i}">user{i}</a> <span>2 h</span></div><div>I agree {i}</div><div><a href="/r">Reply</a></div></div>' for i in range(8))
+#: Pages that no kind, class or id helps with.
+UNMARKED = {
+    f"<div>{BODY}</div><div><ul>{STORIES}</ul></div>": LINES,
+    f"<div>{BODY}<ul>{STORIES}</ul></div>": LINES,
+    f'<div class="c1">{BODY}</div><div class="c2">{READERS}</div>': LINES,
+    f'<div>{BODY}</div><div class="x"><a href="/1">Sign in</a> or <a href="/2">register</a></div>': LINES,
+}
+
+
+def test_wrappers_and_words_in_attributes():
+    for tag in ('div class="legal notice"', 'div class="col side-main"', 'div class="share-price-report"', 'div data-x="a hidden b"', "form id=aspnet", "aside", 'div class="comments"'):
+        assert extract_text(page(f"<{tag}>{BODY}</{tag.split()[0]}>")) == LINES, tag
+    assert extract_text(page(f'<div>{BODY}<p title="a hidden gem">A gem.</p></div>')) == LINES + "\nA gem."
+    tail = "<p>The second part of the article goes on at some length after the advert.</p><p>Another sentence of some length at the end.</p>"
+    found = extract_text(page(f'<div>{BODY}</div><div class="promo">Buy it now and here.</div><div>{tail}</div>'))
+    assert found == LINES + "\nThe second part of the article goes on at some length after the advert.\nAnother sentence of some length at the end."
+
+
+def test_density_decides(monkeypatch):
+    """Pages without marks come out right, and do not once all densities are equal."""
+    for article, wanted in UNMARKED.items():
+        assert extract_text(page(article)) == wanted, article
+    monkeypatch.setattr(html_extract, "densities", lambda tree, weight: ([1.0] * len(tree.tag), [1.0] * len(tree.tag)))
+    for article, wanted in UNMARKED.items():
+        assert extract_text(page(article)) != wanted, article
+    assert extract_text(page(f"<article>{BODY}</article>")) != LINES
+
+
+def test_densities_against_the_formula():
+    """Counts by recursion over each node's own subtree, and the formula as it is published."""
+    rng = random.Random(9)
+    for _ in range(50):
+        tree = html_extract.parse("<body>" + "".join(rng.choices(["<div>", "</div>", "<p>some text ", "<a href=u>link</a>", "<ul><li>one", "<nav>way ", "</nav>", "</ul>"], k=60)))
+        weight = html_extract.weights(tree)
+        n = len(tree.tag)
+        below = [[j for j in range(n) if tree.parent[j] == i] for i in range(n)]
+
+        def count(values, i, each=0):
+            return values[i] + sum(count(values, j, each) + each for j in below[i])
+
+        share = count(tree.link_chars, tree.body) / max(1, count(tree.chars, tree.body))
+        wanted = []
+        for i in range(n):
+            c, lc, lt = count(tree.chars, i), count(tree.link_chars, i), count(tree.link_tags, i)
+            t = max(1, count(tree.tags, i, 1) + lt)
+            unlinked, lc, lt = max(1, c - lc), max(1, lc), max(1, lt)
+            ratio = max(1.0001, c / lc * t / lt)
+            wanted.append(weight[i] * c / t * math.log(ratio, math.log(c / unlinked * lc + share * c + math.e)) if c else 0.0)
+        density, total = html_extract.densities(tree, weight)
+        assert all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-12) for x, y in zip(density, wanted, strict=True))
+        assert all(math.isclose(total[i], sum(wanted[j] for j in below[i]), rel_tol=1e-9, abs_tol=1e-9) for i in range(n))
+
+
+def test_deep_and_long_pages():
+    for text in ("<div>" * 20_000 + "<p>deep text", "<p>deep text" + "<span>" * 20_000 + "</span>" * 20_000, "<ul><li>deep text" + "<div>" * 20_000, "<table><tr><td>deep text" + "<td>" * 20_000):
+        began = time.time()
+        assert extract_text(f"<body><article><h1>T</h1>{text}</article></body>") == "T\ndeep text"
+        assert time.time() - began < 1.5
+    assert len(extract_text(page(f"<article>{'<p>' + 'long text ' * 20_000 + '</p>'}{'<p>more</p>' * 20_000}</article>"))) == 199_999 + 5 * 20_000
+
+
 def test_odd_input():
     for x in (None, "", " ", "<", "<p", "<!--", "<script>", '<a href="x', "</div></p>", "<html><body></body></html>"):
         assert extract_text(x).strip("<") == ""
