@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut, fresh_path
+
+__all__ = ["cut", "fresh_path"]  # and what is defined here
+
 #: Texts of a batch are worked on in slices of about so many bytes, which bounds a task's memory.
 SLICE_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
@@ -21,14 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared checkpoint folder, without their lineage."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def bounded(df: DataFrame) -> DataFrame:
     """df, whose texts reach Python in batches of a few MB: their number of rows alone bounds nothing."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

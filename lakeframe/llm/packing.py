@@ -4,9 +4,9 @@ Documents are tokenised and cut into pieces of at most CAPACITY tokens. How piec
 depends on how many there are of each length alone, a table of at most CAPACITY rows however large the corpus: from it
 the driver makes a plan. Pieces of over a third of the capacity pair at most twice per sequence, each length with the
 longest that still fits (greedy matching); shorter pieces go, longest first, where they leave the least gap. The plan
-gives runs of equal sequences for runs of equal lengths. Spark then numbers the pieces of each length, in salted
-buckets, so that a length that a third of all pieces share is still numbered by many tasks, and every piece looks up
-its sequence and offset in the plan.
+gives runs of equal sequences for runs of equal lengths. Each task numbers its own pieces of each length as it cuts
+them; the counts of the tasks before it, a row for each task and length in it, make these ranks of all pieces, so no
+piece is sorted, however many share a length. Every piece then looks up its sequence and offset in the plan.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,6 @@ from .common import bounded, cut, parts, texts_of
 
 CAPACITY = 4096
 END_ID = 1
-BUCKETS = 64
 #: Lower-case letters of Latin scripts, up to U+024F.
 _LATIN = "a-z\\xaa\\xb5\\xba\\xdf-\\xf6\\xf8-\\u024f"
 #: The tokenizer's own pre-tokens in lower-cased text of those letters; what it calls space has no separators of files.
@@ -72,8 +72,9 @@ class WordEncoder:
 def _pieces(tokenizer: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer)
+        task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in parts(batches):
-            row, piece, start, length, crc, kept = [], [], [], [], [], []
+            row, piece, start, length, crc, nth, kept = [], [], [], [], [], [], []
             for i, ids in enumerate(encoder.encode(texts_of(batch.column("text")))):
                 for j in range(0, len(ids), capacity):
                     some = ids[j : j + capacity]
@@ -82,10 +83,13 @@ def _pieces(tokenizer: str, capacity: int, with_ids: bool):
                     start.append(j)
                     length.append(len(some))
                     crc.append(zlib.crc32(some.tobytes()))
+                    nth.append(seen[len(some)])
+                    seen[len(some)] += 1
                     if with_ids:
                         kept.append(some.astype(np.int32))
             columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            columns += [pa.array([task] * len(row), pa.int32()), pa.array(nth, pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
             if with_ids:
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
                 names.append("ids")
@@ -95,7 +99,8 @@ def _pieces(tokenizer: str, capacity: int, with_ids: bool):
 
 
 def tokenised_pieces(documents: DataFrame, tokenizer: str, capacity: int, with_ids: bool = False) -> DataFrame:
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    """task and nth: the piece is the nth (from 0) of its length that this task has cut."""
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids array<int>" * with_ids
     return bounded(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, capacity, with_ids), schema)
 
 
@@ -180,14 +185,11 @@ def pack_sequences(documents: DataFrame, tokenizer: str = "word_bpe_49k.json", c
     columns are not read. Sequences are numbered from 0 and filled from offset 0 without gaps.
     """
     pieces = cut(tokenised_pieces(documents, tokenizer, capacity, with_ids))
-    salted = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
-    totals = salted.groupBy("length", "bucket").count()
-    before = totals.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count"))
-    counts = {r["length"]: r["n"] for r in totals.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most capacity rows
+    totals = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
+    before = totals.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
+    counts = {r["length"]: r["n"] for r in totals.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     plan = packing_plan(counts, capacity)
-    by_bucket = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("nth", F.row_number().over(by_bucket) - 1).join(before.drop("count"), ["length", "bucket"])  # dealt as the window is
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    ranked = ranked.select(*columns, (F.col("nth") + F.col("before")).cast("long").alias("rank"))
+    ranked = pieces.join(before, ["length", "task"]).select(*columns, (F.col("nth") + F.col("before")).alias("rank"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids array<int>, " * with_ids + "sequence_id long, offset long"
     return ranked.mapInArrow(_place(plan, columns), schema)

@@ -90,3 +90,12 @@ def test_pack(spark):
             at += length
         assert at <= 4096
     assert pack_sequences(docs.limit(0)).collect() == []
+
+
+def test_one_length_for_all(spark):
+    """All pieces share a length; whatever the parts, sequences are full and gapless."""
+    docs = spark.createDataFrame([(i, "word word word") for i in range(3000)], "doc_id long, text string").repartition(7)
+    found = pack_sequences(docs, capacity=40).collect()
+    assert len(found) == 3000 and len({(r.sequence_id, r.offset) for r in found}) == 3000
+    assert {r.length for r in found} == {4} and max(r.sequence_id for r in found) == 299
+    assert {r.offset for r in found} == set(range(0, 40, 4))
