@@ -1,7 +1,8 @@
 """Language identification as multilingual mixture inference.
 
-Training counts, for every language of the labelled rows, the hashed byte trigrams of its words; the counts are summed
-over all training text and the smoothed log-probabilities (a table of fixed size for each language) are broadcast.
+Training counts, for every language of the labelled rows, the hashed byte trigrams of its words; Spark sums the counts
+by language and bucket over all training text, and the smoothed log-probabilities (a table of fixed size for each
+language) are broadcast.
 A document is a mixture: each of its words comes from one language, with the likelihood that the language's trigrams
 give it. Expectation-maximisation estimates the proportions; then nested sets of languages, by falling proportion, are
 fitted anew and the set of the best penalised likelihood (BIC) is chosen. The predicted language has the greatest
@@ -57,25 +58,24 @@ def _count(languages: list[str]):
                 text = data[offsets[i] : offsets[i + 1]]
                 if lang in place and len(text) > 2:
                     counts[place[lang]] += np.bincount(trigram_buckets(text)[text[1:-1] != 32], minlength=1 << BUCKET_BITS)
-        used = [i for i in range(len(languages)) if counts[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([languages[i] for i in used], pa.string()), pa.array([counts[i].tobytes() for i in used], pa.binary())], names=["lang", "counts"])
+        for i, lang in enumerate(languages):
+            used = np.flatnonzero(counts[i])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(counts[i][used])], names=["lang", "bucket", "n"])
 
     return run
 
 
-def _sum_counts(rows: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist())
-    return pa.table({"lang": rows.column("lang")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-
 def train_languages(documents: DataFrame) -> LanguageModel:
     """A model of the languages in the column lang; there are few of them, whatever the size of the table."""
     known = bounded(documents).where("lang is not null and text is not null")
     languages = sorted(r.lang for r in known.select("lang").distinct().collect())
-    counted = known.select("lang", text_bytes().alias("bytes")).mapInArrow(_count(languages), "lang string, counts binary")
-    found = {r.lang: np.frombuffer(r.counts, np.int64) for r in counted.groupBy("lang").applyInArrow(_sum_counts, "lang string, counts binary").collect()}
-    languages = sorted(found)
-    counts = np.array([found[x] for x in languages], np.float64).reshape(len(languages), 1 << BUCKET_BITS) + SMOOTHING
+    counted = known.select("lang", text_bytes().alias("bytes")).mapInArrow(_count(languages), "lang string, bucket int, n long")
+    summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most all buckets of each language
+    names = summed.column("lang").to_pylist()
+    languages = sorted(set(names))
+    place = {x: i for i, x in enumerate(languages)}
+    counts = np.full((len(languages), 1 << BUCKET_BITS), SMOOTHING)
+    counts[[place[x] for x in names], summed.column("bucket").to_numpy()] += summed.column("n").to_numpy()
     return LanguageModel(languages, np.ascontiguousarray(np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32)))
 
 

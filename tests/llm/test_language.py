@@ -1,6 +1,10 @@
+import math
 import random
+from collections import Counter
 
-from lakeframe.llm.language import identify_languages
+import numpy as np
+
+from lakeframe.llm.language import PENALTY, REFITS, ROUNDS, SMOOTHING, identify_languages, infer_mixtures, train_languages, trigram_buckets
 
 
 def make(rng, letters, n):
@@ -33,3 +37,76 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in identify_languages(docs).collect()] == ["und"]
     assert identify_languages(docs.limit(0)).collect() == []
+
+
+def bucket(three):
+    return int(trigram_buckets(np.frombuffer(three, np.uint8))[0])
+
+
+def word_likelihood(word, tables):
+    """Of a word between spaces under each language, over its trigrams; the greatest is 1."""
+    b = f" {word} ".encode()
+    logs = [sum(t[bucket(b[i : i + 3])] for i in range(len(b) - 2)) for t in tables]
+    return [math.exp(x - max(logs)) for x in logs]
+
+
+def em(likelihoods, share, rounds):
+    for _ in range(rounds):
+        total = [0.0] * len(share)
+        for word in likelihoods:
+            joint = [a * b for a, b in zip(word, share, strict=True)]
+            for k, x in enumerate(joint):
+                total[k] += x / max(sum(joint), 1e-30)
+        share = [x / len(likelihoods) for x in total]
+    return share, sum(math.log(max(sum(a * b for a, b in zip(word, share, strict=True)), 1e-30)) for word in likelihoods)
+
+
+def mixture(words, tables):
+    """Shares by EM, word by word; nested sets of languages by falling share; the best penalised likelihood."""
+    likelihoods = [word_likelihood(w, tables) for w in words]
+    k = len(tables)
+    share, _ = em(likelihoods, [1 / k] * k, ROUNDS)
+    order = sorted(range(k), key=lambda i: (-share[i], i))
+    best = None
+    for size in range(1, k + 1):
+        start = [max(share[i], 1e-6) if i in order[:size] else 0.0 for i in range(k)]
+        fitted, value = em(likelihoods, [x / sum(start) for x in start], REFITS if size > 1 else 0)
+        value -= PENALTY * 0.5 * (size - 1) * math.log(max(len(words), 2))
+        if best is not None and value <= best[0]:
+            break
+        best = value, fitted
+    return best[1]
+
+
+def test_counts_shares_and_choice_by_brute_force(spark):
+    rng = random.Random(3)
+    kinds = {"aa": "abcdef", "bb": "defghi", "cc": "ghijkl"}
+    rows = [(i, make(rng, letters, 30).lower()[:-1], x) for i in range(30) for x, letters in [rng.choice(list(kinds.items()))]]
+    model = train_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert model.languages == list(kinds)
+    counts = {x: Counter(bucket(b[i : i + 3]) for _, text, lang in rows if lang == x for w in text.split() for b in [f" {w} ".encode()] for i in range(len(b) - 2)) for x in kinds}
+    tables = []
+    for i, x in enumerate(kinds):
+        total = sum(counts[x].values()) + SMOOTHING * len(model.log_prob)
+        tables.append(model.log_prob[:, i])
+        for k in rng.sample(range(len(model.log_prob)), 200) + list(counts[x])[:200]:
+            assert abs(model.log_prob[k, i] - math.log((counts[x][k] + SMOOTHING) / total)) < 1e-4
+    texts = [" ".join(make(rng, kinds[x], n).lower()[:-1] for x, n in zip(rng.sample(list(kinds), len(parts)), parts, strict=True)) for parts in ([1], [2], [20], [10, 10], [30, 4], [9, 2, 1], [40, 30, 20], [3, 3])]
+    data = [f" {t} ".encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, data)])
+    best, score = infer_mixtures(np.frombuffer(b"".join(data), np.uint8), offsets, model)
+    for text, k, value in zip(texts, best, score, strict=True):
+        wanted = mixture(text.split(), tables)
+        assert abs(wanted[k] - max(wanted)) < 1e-3 and abs(value - max(wanted)) < 1e-3, text
+
+
+def test_repeats_ties_and_long_texts(spark):
+    rng = random.Random(5)
+    rows = [(3 * i, make(rng, letters, 40), x) for i in range(40) for x, letters in [rng.choice([("aa", "abcdef"), ("bb", "ghijkl")])]]
+    extra = [(7000, rows[0][1], None), (7000, rows[0][1], None), (7001, "xyz", None), (7002, (rows[0][1] + " ") * 20_000, None)]
+    found = [r for r in identify_languages(spark.createDataFrame(rows + extra, "doc_id long, text string, lang string")).collect()]
+    twins = [r for r in found if r.doc_id == 7000]
+    assert len(twins) == 2 and twins[0] == twins[1]
+    by = {r.doc_id: r for r in found}
+    assert by[7002].lang_pred == twins[0].lang_pred and by[7002].score > 0.9
+    assert by[7001].lang_pred in ("aa", "bb")
