@@ -1,10 +1,11 @@
 """Toxicity: a linear classifier of character n-grams, scaled by naive Bayes log-count ratios.
 
-1. Over all labelled training rows, count in how many toxic and other documents each hashed n-gram occurs (dense
-   arrays, one row for each block of buckets and partition, summed by Spark).
+1. Over all labelled training rows, count in how many toxic and other documents each hashed n-gram occurs; each task
+   gives a row for each bucket it met, which Spark sums.
 2. The log ratio of both rates scales a feature. FEATURES buckets are kept, those whose rates differ most surely.
-3. A logistic regression of the scaled presences is fitted on at most SAMPLE rows of each class, those of least hash,
-   weighted by how many of their class there are. This is the one bounded sample.
+3. A logistic regression of the scaled presences is fitted on at most SAMPLE rows of each class, those whose ids have
+   the least hash, weighted by how many of their class there are. This is the one bounded sample; it is chosen from the
+   labels alone, so only these few texts are read for it.
 4. All documents are scored, whole, by looking up each position's buckets in the broadcast table of weights, whose
    size is fixed.
 """
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +25,6 @@ from .common import bounded, byte_column, slices
 
 ORDERS = (4, 5, 6)
 BUCKET_BITS = 18
-BLOCKS = 64
 FEATURES = 2048
 SAMPLE = 3000
 SMOOTHING = 1.0
@@ -37,6 +37,7 @@ BROADCAST_ROWS = 2_000_000
 class ToxicityModel:
     bucket_slot: np.ndarray  # feature of each bucket, or -1
     weights: np.ndarray  # by feature, its log-count ratio included
+    ratios: np.ndarray  # log-count ratio by feature
     bias: float
 
 
@@ -76,14 +77,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[toxic[i]] += present
             docs[toxic[i]] += 1
     if docs.sum():
-        size = (1 << BUCKET_BITS) // BLOCKS
-        rows = [counts[:, b * size : (b + 1) * size].tobytes() for b in range(BLOCKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(rows, pa.binary()), pa.array([docs[0]] * BLOCKS, pa.int64()), pa.array([docs[1]] * BLOCKS, pa.int64())], names=["block", "counts", "n0", "n1"])
-
-
-def _sum_blocks(rows: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in rows.column("counts").to_pylist())
-    return pa.table({"block": rows.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary()), "n0": [sum(rows.column("n0").to_pylist())], "n1": [sum(rows.column("n1").to_pylist())]})
+        counts[:, 0] = docs  # bucket 0 is that of no n-gram
+        met = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), *(pa.array(c[met].astype(np.int64)) for c in counts)], names=["bucket", "n0", "n1"])
 
 
 def active_features(data: np.ndarray, offsets: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +100,7 @@ def _features(slot: np.ndarray):
             row, feature = active_features(data, offsets, slot)
             edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
             rows = [feature[a:b].astype(np.int16).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("h"), pa.array(rows, pa.binary())], names=["toxic", "h", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("nth"), batch.column("toxic"), pa.array(rows, pa.binary())], names=["nth", "toxic", "features"])
 
     return run
 
@@ -132,45 +128,57 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: floa
     return w, b
 
 
-def train_toxicity(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
+def labelled_sample(known: DataFrame, size: int) -> DataFrame:
+    """(doc_id, toxic, nth): the ids of each class with the least hashes, at most size of them, in that order."""
+    few = None
+    for label in (0, 1):
+        one = known.where(F.col("toxic") == label).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(size)
+        few = one if few is None else few.unionByName(one)
+    return few.select("doc_id", "toxic", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id")).alias("nth"))
+
+
+def train_toxicity(documents: DataFrame, labels: DataFrame, features: int = FEATURES, sample: int = SAMPLE) -> ToxicityModel:
     """Fit on the rows of labels with toxic 0 or 1, whatever they are; the caller keeps held-out rows back."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    if known.count() <= BROADCAST_ROWS:
-        known = F.broadcast(known)
-    rows = bounded(documents).select("doc_id", "text").join(known, "doc_id").select(F.col("toxic"), F.xxhash64("text", "doc_id").alias("h"), text_bytes().alias("bytes"))
-    schema = "block int, counts binary, n0 long, n1 long"
-    blocks = rows.select("toxic", "bytes").mapInArrow(_count, schema).groupBy("block").applyInArrow(_sum_blocks, schema).collect()  # BLOCKS rows
+    texts = bounded(documents).select("doc_id", "text")
+    joined = texts.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "doc_id")
+    counted = joined.select("toxic", text_bytes().alias("bytes")).mapInArrow(_count, "bucket int, n0 long, n1 long")
+    summed = counted.groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # at most all buckets
+    counts = np.zeros((2, 1 << BUCKET_BITS))
+    at = summed.column("bucket").to_numpy()
+    counts[0, at], counts[1, at] = summed.column("n0").to_numpy(), summed.column("n1").to_numpy()
+    n0, n1 = counts[:, 0].tolist()
     slot = np.full(1 << BUCKET_BITS, -1, np.int16)
-    n0, n1 = (blocks[0].n0, blocks[0].n1) if blocks else (0, 0)
     if not n0 or not n1:
-        return ToxicityModel(slot, np.zeros(FEATURES, np.float32), float(np.log((n1 + 0.5) / (n0 + 0.5))))
-    size = (1 << BUCKET_BITS) // BLOCKS
-    counts = np.zeros((2, 1 << BUCKET_BITS))
-    for r in blocks:
-        counts[:, r.block * size : (r.block + 1) * size] = np.frombuffer(r.counts, np.int64).reshape(2, size)
-    rate = (counts + SMOOTHING) / (np.array([[n0], [n1]]) + 2 * SMOOTHING)
-    ratio = np.log(rate[1] / rate[0])
-    sure = np.abs(rate[1] - rate[0]) / np.sqrt((rate * (1 - rate) / np.array([[n0], [n1]])).sum(axis=0) + 1e-12)
-    sure[(counts.sum(axis=0) == 0)] = 0
-    sure[0] = 0
-    kept = np.argsort(-sure, kind="stable")[:FEATURES]
-    kept = kept[sure[kept] > 0]
+        none = np.zeros(features, np.float32)
+        return ToxicityModel(slot, none, none, float(np.log((n1 + 0.5) / (n0 + 0.5))))
+    kept, scale = choose_features(counts, n0, n1, features)
     slot[kept] = np.arange(len(kept))
-    scale = ratio[kept].astype(np.float32)
-    samples = []
-    found = rows.mapInArrow(_features(slot), "toxic int, h long, features binary")
-    for label in (0, 1):
-        samples += found.where(F.col("toxic") == label).orderBy("h", "features").limit(SAMPLE).collect()
-    x = np.zeros((len(samples), len(kept)), np.float32)
-    for i, r in enumerate(samples):
+    few = texts.join(F.broadcast(labelled_sample(known, sample)), "doc_id").select("nth", "toxic", text_bytes().alias("bytes"))  # 2 * sample rows
+    found = few.mapInArrow(_features(slot), "nth int, toxic int, features binary").orderBy("nth", "toxic", "features").limit(2 * sample).collect()
+    x = np.zeros((len(found), len(kept)), np.float32)
+    for i, r in enumerate(found):
         x[i, np.frombuffer(r.features, np.int16)] = 1
     x *= scale
-    y = np.array([r.toxic for r in samples], np.float32)
+    y = np.array([r.toxic for r in found], np.float32)
     weight = np.where(y == 1, n1 / max(1, y.sum()), n0 / max(1, len(y) - y.sum()))
     w, b = fit_logistic(x, y, weight, PENALTY)
-    weights = np.zeros(FEATURES, np.float32)
-    weights[: len(kept)] = w * scale
-    return ToxicityModel(slot, weights, b)
+    weights, ratios = np.zeros(features, np.float32), np.zeros(features, np.float32)
+    weights[: len(kept)], ratios[: len(kept)] = w * scale, scale
+    return ToxicityModel(slot, weights, ratios, b)
+
+
+def choose_features(counts: np.ndarray, n0: float, n1: float, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets whose rates in both classes differ most surely, and their log-count ratios."""
+    sizes = np.array([[n0], [n1]])
+    rate = (counts + SMOOTHING) / (sizes + 2 * SMOOTHING)
+    ratio = np.log(rate[1] / rate[0])
+    sure = np.abs(rate[1] - rate[0]) / np.sqrt((rate * (1 - rate) / sizes).sum(axis=0) + 1e-12)
+    sure[counts.sum(axis=0) == 0] = 0
+    sure[0] = 0
+    kept = np.argsort(-sure, kind="stable")[:features]
+    kept = kept[sure[kept] > 0]
+    return kept, ratio[kept].astype(np.float32)
 
 
 def _score(model: ToxicityModel, columns: list[str]):

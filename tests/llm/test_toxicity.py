@@ -1,7 +1,11 @@
 import random
 import zlib
+from collections import Counter
 
-from lakeframe.llm.toxicity import drop_toxic, toxicity
+import numpy as np
+
+from lakeframe.llm import toxicity as module
+from lakeframe.llm.toxicity import ORDERS, drop_toxic, fit_logistic, gram_buckets, toxicity, train_toxicity
 
 
 def data():
@@ -43,3 +47,65 @@ def test_one_class_and_empty(spark):
     labels = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
     assert all(r.predicted == 0 for r in toxicity(documents, labels).collect())
     assert toxicity(documents.limit(0), labels.limit(0)).collect() == []
+
+
+def bucket(gram):
+    return int(gram_buckets(np.frombuffer(gram, np.uint8), np.array([0, len(gram) + len(gram) - 1]), len(gram))[0])
+
+
+def test_ratios_and_features_by_brute_force(spark):
+    """Document counts of every n-gram, one at a time, give the same features and log-count ratios."""
+    docs, labels = data()
+    docs = docs[:400]
+    known = {d: t for d, t in labels if d is not None and t is not None}
+    counts, sizes = (Counter(), Counter()), [0, 0]
+    for d, text, _ in docs:
+        if d in known:
+            b = f" {text.lower()} ".encode()
+            sizes[known[d]] += 1
+            counts[known[d]].update({bucket(b[i : i + n]) for n in ORDERS for i in range(len(b) - n + 1)})
+    surety = {}
+    for k in set(counts[0]) | set(counts[1]):
+        r0, r1 = (counts[0][k] + 1) / (sizes[0] + 2), (counts[1][k] + 1) / (sizes[1] + 2)
+        surety[k] = abs(r1 - r0) / (r0 * (1 - r0) / sizes[0] + r1 * (1 - r1) / sizes[1]) ** 0.5, np.log(r1 / r0)
+    model = train_toxicity(spark.createDataFrame(docs, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, toxic int"), features=200)
+    chosen = {k: model.ratios[f] for k, f in enumerate(model.bucket_slot) if f >= 0}
+    assert len(chosen) == 200
+    least = sorted((s for s, _ in surety.values()), reverse=True)[199]
+    for k, ratio in chosen.items():
+        assert surety[k][0] >= least - 1e-6 and abs(surety[k][1] - ratio) < 1e-5
+
+
+def test_fit_against_plain_descent():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 5)).astype(np.float32)
+    y = (x[:, 0] - x[:, 1] + rng.normal(size=80) > 0).astype(np.float32)
+    weight = rng.uniform(0.5, 2, 80)
+    w, b = fit_logistic(x, y, weight, 0.05)
+    v, c, share = np.zeros(5), 0.0, weight / weight.sum()
+    for _ in range(20_000):
+        error = share * (1 / (1 + np.exp(-(x @ v + c))) - y)
+        v, c = v - 0.5 * (x.T @ error + 0.05 * v), c - 0.5 * error.sum()
+    assert np.abs(w - v).max() < 1e-3 and abs(b - c) < 1e-3
+
+
+def test_shuffled_labels_and_ties(spark, monkeypatch):
+    """Beyond BROADCAST_ROWS labels are shuffled, with the same scores; repeated rows and equal texts score alike."""
+    docs, labels = data()
+    documents, known = spark.createDataFrame(docs + docs[:50], "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    wanted = sorted((str(r.doc_id), r.score) for r in toxicity(documents, known).collect())
+    assert len(wanted) == len(docs) + 50
+    by = {}
+    for d, score in wanted:
+        assert by.setdefault(d, score) == score
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    found = sorted((str(r.doc_id), r.score) for r in toxicity(documents, known).collect())
+    assert all(a == b and abs(x - y) < 1e-6 for (a, x), (b, y) in zip(found, wanted, strict=True))
+
+
+def test_very_long_text(spark):
+    docs, labels = data()
+    long = "harmless words " * 200_000
+    documents = spark.createDataFrame([*docs, (9000, long, "x"), (9001, long + "zork", "x")], "doc_id long, text string, x string")
+    found = {r.doc_id: r.score for r in toxicity(documents, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert 0 <= found[9000] < found[9001] <= 1
