@@ -45,3 +45,25 @@ def sorted_json(columns: Sequence[str]) -> Column:
 def null_if_nan(df: DataFrame) -> DataFrame:
     """Missing is null, never NaN."""
     return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def by_direction(metric: Column | str, directions: dict[str, bool]) -> Column:
+    """1 where a larger value of the named metric is better, -1 where a smaller one is, null for an unknown name."""
+    metric = F.col(metric) if isinstance(metric, str) else metric
+    return F.create_map(*[F.lit(x) for name, higher in directions.items() for x in (name, 1 if higher else -1)])[metric]
+
+
+def plain_number(c: Column) -> Column:
+    """Whole numbers without a point, others to two places or, below 1, to four digits, without trailing zeros."""
+    size = F.abs(c)
+    cents = F.floor(size * 100 + 0.5)
+    large = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    ten = F.pow(F.lit(10.0), 3 - F.floor(F.log10(size)))
+    small = F.format_string("%.8f", F.floor(size * ten + 0.5) / ten)
+    text = F.when(c == F.floor(c), F.floor(size).cast("string")).otherwise(F.regexp_replace(F.when(size >= 1, large).otherwise(small), r"\.?0+$", ""))
+    return F.when(c.isNull(), "unknown").otherwise(F.concat(F.when(c < 0, "-").otherwise(""), text))
+
+
+PLAIN_NUMBER_SQL = """CASE WHEN {c} IS NULL THEN 'unknown' ELSE CASE WHEN {c} < 0 THEN '-' ELSE '' END || CASE WHEN {c} = floor({c}) THEN CAST(CAST(abs({c}) AS BIGINT) AS VARCHAR)
+    WHEN abs({c}) >= 1 THEN regexp_replace((floor(abs({c}) * 100 + 0.5)::BIGINT // 100)::VARCHAR || '.' || lpad((floor(abs({c}) * 100 + 0.5)::BIGINT % 100)::VARCHAR, 2, '0'), '\\.?0+$', '')
+    ELSE regexp_replace(printf('%.8f', floor(abs({c}) * pow(10.0, 3 - floor(log10(abs({c})))) + 0.5) / pow(10.0, 3 - floor(log10(abs({c}))))), '\\.?0+$', '') END END"""

@@ -42,14 +42,15 @@ def freeze_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @job("""
     SELECT doc_id, regexp_extract(text, '^([^\n]*)', 1) AS title, len(string_split(regexp_extract(text, '^([^\n]*)', 1), ' ')) AS n_tags,
         length(text) - length(regexp_extract(text, '^([^\n]*)', 1)) AS body_chars
-    FROM documents WHERE text IS NOT NULL""")
+    FROM documents WHERE text IS NOT NULL AND doc_id % 10 <> 3""")
 def load_markdown_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Front matter and body of documents: each text's first line is put as a title and a list of tags before its body."""
+    """Front matter and body of documents, whose first lines are put as title and tags before them; one block in ten is never closed."""
     docs = read(spark, sf_dir, "documents").where("text is not null")
     title = F.regexp_extract("text", r"^([^\n]*)", 1)
     body = F.expr("substring(text, length(regexp_extract(text, '^([^\\n]*)', 1)) + 1)")
-    marked = docs.select("doc_id", F.concat(F.lit("---\ntitle: "), title, F.lit("\ntags: ["), F.regexp_replace(title, " ", ", "), F.lit("]\n---"), body).alias("text"))
-    parsed = io.parse_front_matter(marked, "text", tag_separator=", ")
+    end = F.when(F.col("doc_id") % 10 == 3, "]\n").otherwise("]\n---")
+    text = F.concat(F.lit("---\ntitle: "), title, F.lit("\ntags: ["), F.regexp_replace(title, " ", ", "), end, F.when(F.col("doc_id") % 10 == 3, F.regexp_replace(body, "\n---", "\n")).otherwise(body))
+    parsed = io.parse_front_matter(docs.select("doc_id", text.alias("text")), "text", tag_separator=", ")
     return parsed.select("doc_id", F.col("meta")["title"].alias("title"), F.size("tags").cast("long").alias("n_tags"), F.length("body").cast("long").alias("body_chars"))
 
 
@@ -210,21 +211,29 @@ def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {LINE_SQL}, u AS (SELECT unnest(['l_returnflag', 'o_orderpriority', 'p_type']) AS "column", unnest([l_returnflag, o_orderpriority, p_type]) AS level FROM line),
     g AS (SELECT "column", level, count(*) AS n FROM u GROUP BY 1, 2),
     r AS (SELECT *, n / sum(n) OVER (PARTITION BY "column") AS share, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, level) AS nth FROM g)
-    SELECT "column", level, n, round(share, 6) AS share, nth FROM r WHERE nth <= 10""")
+    SELECT "column", level, n, round(share, 6) AS share, nth, NULL::TIMESTAMP AS earliest, NULL::TIMESTAMP AS latest FROM r WHERE nth <= 10
+    UNION ALL SELECT 'l_shipdate', NULL, count(l_shipdate), NULL, NULL, min(l_shipdate), max(l_shipdate) FROM line UNION ALL SELECT 'o_orderdate', NULL, count(o_orderdate), NULL, NULL, min(o_orderdate), max(o_orderdate) FROM line""")
 def profile_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.top_levels(line(spark, sf_dir), ["l_returnflag", "o_orderpriority", "p_type"]).withColumn("share", rounded("share"))
+    """Commonest levels of categorical columns, and the range of times."""
+    df = line(spark, sf_dir)
+    levels = profile.top_levels(df, ["l_returnflag", "o_orderpriority", "p_type"]).withColumn("share", rounded("share"))
+    return levels.unionByName(profile.time_ranges(df, ["l_shipdate", "o_orderdate"]), allowMissingColumns=True)
 
 
-@job("""
-    WITH d AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), c AS (SELECT sum(n)::BIGINT AS n_rows, sum(n - 1)::BIGINT AS duplicate_rows FROM d),
-    v AS (SELECT count(DISTINCT event_id) / count(*) AS ids, count(DISTINCT event_type) AS types FROM events)
-    SELECT n_rows, 2::BIGINT AS n_columns, duplicate_rows, CASE WHEN ids >= 0.5 THEN 'event_id: id-like' ELSE '' END || CASE WHEN types <= 1 THEN 'event_type: constant' ELSE '' END AS findings FROM c, v""")
+_EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props", "rare", "same"]
+_EVENTS_SQL = "e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN user_id END AS rare, 'x' AS same FROM events)"
+
+
+@job(f"""
+    WITH {_EVENTS_SQL}, d AS (SELECT user_id, event_type, same, count(*) AS n FROM e GROUP BY 1, 2, 3), c AS (SELECT sum(n)::BIGINT AS n_rows, sum(n - 1)::BIGINT AS duplicate_rows FROM d),
+    s AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, count(*) AS n, count({c}) AS known, count(DISTINCT {c}) AS u FROM e" for c in _EVENT_COLUMNS)}),
+    f AS (SELECT c || ': ' || CASE WHEN u <= 1 THEN 'constant' WHEN 1 - known / n >= 0.5 THEN 'mostly null' WHEN u / n >= 0.5 THEN 'id-like' END AS finding FROM s)
+    SELECT n_rows, 8::BIGINT AS n_columns, duplicate_rows, (SELECT string_agg(finding, '; ' ORDER BY finding) FROM f WHERE finding IS NOT NULL) AS findings FROM c""")
 def profile_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read(spark, sf_dir, "events")
-    counts = profile.duplicate_rows(events, ["user_id", "event_type"])
-    heads = events.agg((F.count_distinct("event_id") / F.count("*")).alias("ids"), F.count_distinct("event_type").alias("types"))
-    findings = F.concat(F.when(F.col("ids") >= 0.5, "event_id: id-like").otherwise(""), F.when(F.col("types") <= 1, "event_type: constant").otherwise(""))
-    return counts.join(F.broadcast(heads)).select("n_rows", F.lit(2).cast("long").alias("n_columns"), "duplicate_rows", findings.alias("findings"))
+    events = read(spark, sf_dir, "events").withColumn("rare", F.when(F.col("event_id") % 3 == 0, F.col("user_id"))).withColumn("same", F.lit("x"))
+    counts = profile.duplicate_rows(events, ["user_id", "event_type", "same"])
+    findings = profile.findings(events, _EVENT_COLUMNS).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(": ", "column", "finding"))), "; ").alias("findings"))
+    return counts.crossJoin(findings).select("n_rows", F.lit(len(_EVENT_COLUMNS)).cast("long").alias("n_columns"), "duplicate_rows", "findings")  # one row each
 
 
 @job(f"""
@@ -242,8 +251,9 @@ def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.class_balance(labels, "quality").select("level", "n", rounded("share").alias("share"), rounded("majority_share").alias("majority_share"))
 
 
-_PII_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-_PII_PHONE = r"\+?[0-9][0-9 ()-]{7,}[0-9]"
+# What counts as an e-mail address and as a phone number.
+_PII_EMAIL = r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b"
+_PII_PHONE = r"(?:\+\d[\d\s().-]{7,}\d)|(?:\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b)"
 
 
 @job(f"SELECT doc_id, regexp_matches(text, '{_PII_EMAIL}') AS has_email, regexp_matches(text, '{_PII_PHONE}') AS has_phone FROM documents")
@@ -251,20 +261,32 @@ def pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(_PII_EMAIL).alias("has_email"), F.col("text").rlike(_PII_PHONE).alias("has_phone"))
 
 
+_DELIVERED = "l_shipdate + INTERVAL 1 HOUR * (CASE WHEN l_partkey % 97 = 0 THEN -5 ELSE CAST(l_quantity AS INTEGER) END)"
+
+
 @job(f"""
     WITH l AS (SELECT count(*) AS n_lines, bool_and(EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey)) AS fk_ok, count(DISTINCT l_returnflag) = 3 AS levels_ok,
-            count(*) FILTER (l_shipdate < o_orderdate) AS n_disordered FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey),
-        d AS (SELECT count(*) FILTER (regexp_matches(text, '{_PII_EMAIL}')) AS n_pii FROM documents), q AS (SELECT count(DISTINCT quality) = 2 AS classes_ok, count(*) AS n_labels FROM labels)
-    SELECT n_lines, fk_ok, levels_ok, n_disordered, n_pii, classes_ok, n_labels, fk_ok AND levels_ok AND n_disordered = 0 AND n_pii = 0 AND classes_ok AND n_labels > 0 AS ok FROM l, d, q""")
+            count(*) FILTER (l_shipdate < o_orderdate) AS n_before_booking, count(*) FILTER ({_DELIVERED} < l_shipdate) AS n_before_dispatch, round(1 - count(NULLIF(l_tax, 0)) / count(*), 6) AS missing_share FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey),
+        k AS (SELECT string_agg(l_returnflag || '=' || n, ',' ORDER BY l_returnflag) AS level_counts FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1)),
+        d AS (SELECT count(*) FILTER (regexp_matches(text, '{_PII_EMAIL}') OR regexp_matches(text, '{_PII_PHONE}')) AS n_pii FROM documents),
+        q AS (SELECT count(DISTINCT quality) = 2 AS classes_ok, count(*) AS n_labels, string_agg(quality || '=' || n, ',' ORDER BY quality) AS class_counts FROM (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1)),
+        n AS (SELECT count(*) AS n_labelled FROM labels WHERE quality IS NOT NULL)
+    SELECT n_lines, fk_ok, levels_ok, level_counts, n_before_booking, n_before_dispatch, missing_share, n_pii, classes_ok, class_counts, n_labelled,
+        fk_ok AND levels_ok AND n_before_booking = 0 AND n_before_dispatch = 0 AND n_pii = 0 AND classes_ok AND n_labelled > 0 AS ok FROM l, k, d, q, n""")
 def dataset_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys resolve, every level and class occurs, booking, dispatch and delivery are in order, no personal data, labels."""
     lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     parts = read(spark, sf_dir, "part").select("p_partkey").distinct().withColumn("known", F.lit(True))
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
-    left = joined.agg(F.count("*").alias("n_lines"), F.bool_and(F.coalesce("known", F.lit(False))).alias("fk_ok"), (F.count_distinct("l_returnflag") == 3).alias("levels_ok"), F.count_if(F.col("l_shipdate") < F.col("o_orderdate")).alias("n_disordered"))
-    pii = read(spark, sf_dir, "documents").agg(F.count_if(F.col("text").rlike(_PII_EMAIL)).alias("n_pii"))
-    labels = read(spark, sf_dir, "labels").agg((F.count_distinct("quality") == 2).alias("classes_ok"), F.count("*").alias("n_labels"))
-    ok = F.expr("fk_ok and levels_ok and n_disordered = 0 and n_pii = 0 and classes_ok and n_labels > 0")
-    return left.crossJoin(pii).crossJoin(labels).withColumn("ok", ok)  # one row each
+    left = joined.agg(
+        F.count("*").alias("n_lines"), F.bool_and(F.coalesce("known", F.lit(False))).alias("fk_ok"), F.count_if(F.col("l_shipdate") < F.col("o_orderdate")).alias("n_before_booking"),
+        F.count_if(F.expr(_DELIVERED) < F.col("l_shipdate")).alias("n_before_dispatch"), rounded(1 - F.count(F.nullif("l_tax", F.lit(0.0))) / F.count("*")).alias("missing_share"),
+    )
+    levels = profile.level_counts(lines, "l_returnflag").select(F.col("text").alias("level_counts"), (F.col("n_levels") == 3).alias("levels_ok"))
+    pii = read(spark, sf_dir, "documents").agg(F.count_if(F.col("text").rlike(_PII_EMAIL) | F.col("text").rlike(_PII_PHONE)).alias("n_pii"))
+    classes = profile.level_counts(read(spark, sf_dir, "labels"), "quality").select(F.col("text").alias("class_counts"), (F.col("n_levels") == 2).alias("classes_ok"), F.col("n").alias("n_labelled"))
+    ok = F.expr("fk_ok and levels_ok and n_before_booking = 0 and n_before_dispatch = 0 and n_pii = 0 and classes_ok and n_labelled > 0")
+    return left.crossJoin(levels).crossJoin(pii).crossJoin(classes).withColumn("ok", ok)  # one row each
 
 
 _LEAKY = ["l_quantity", "l_discount", "p_size", "settled", "copy"]
@@ -308,6 +330,25 @@ def leakage_single_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("r2", rounded("r2"))
 
 
+_CLASS_LEAKY = ["l_returnflag", "o_orderpriority", "settled", "half"]
+
+
+@job(f"""
+    WITH {LINE_SQL}, k AS (SELECT *, CASE WHEN y < 36 THEN 'low' ELSE 'high' END AS truth FROM line), u AS (SELECT truth, {_FOLD} >= 0.25 AS train, unnest({_CLASS_LEAKY}) AS feature,
+        unnest([l_returnflag, o_orderpriority, truth || '!', CASE WHEN {_uniform("key", SEED, "half")} < 0.5 THEN truth ELSE 'x' END]) AS bin FROM k),
+    c AS (SELECT feature, bin, truth, count(*) FILTER (train) AS n_train, count(*) FILTER (NOT train) AS n_test FROM u GROUP BY 1, 2, 3),
+    a AS (SELECT feature, truth, sum(n_train) AS n_train, sum(n_test) AS n_test FROM c GROUP BY 1, 2), m AS (SELECT feature, max_by(truth, (n_train, truth)) AS common, max(n_test) / sum(n_test) AS majority FROM a GROUP BY 1),
+    f AS (SELECT feature, bin, CASE WHEN max(n_train) > 0 THEN max_by(truth, (n_train, truth)) END AS fit FROM c GROUP BY 1, 2),
+    s AS (SELECT feature, sum(n_test) FILTER (truth = coalesce(fit, common)) / sum(n_test) AS accuracy, any_value(majority) AS majority FROM c JOIN f USING (feature, bin) JOIN m USING (feature) GROUP BY 1)
+    SELECT feature, round(accuracy, 6) AS accuracy, round(majority, 6) AS majority, accuracy >= 0.98 AND accuracy > majority AS leaks FROM s WHERE feature <> 'o_orderpriority'""")
+def leakage_single_feature_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out accuracy of each feature alone against the share of the commonest class; one feature is allowed to tell."""
+    df = line(spark, sf_dir).withColumn("truth", F.when(F.col("y") < 36, "low").otherwise("high")).withColumn("settled", F.concat("truth", F.lit("!")))
+    df = df.withColumn("half", F.when(hash_uniform("key", SEED, "half") < 0.5, F.col("truth")).otherwise("x"))
+    found = contract.single_feature_accuracy(df, _CLASS_LEAKY, "truth", hash_uniform("key", SEED, "leakage") >= 0.25, allow=("o_orderpriority",))
+    return found.select("feature", rounded("accuracy").alias("accuracy"), rounded("majority").alias("majority"), "leaks")
+
+
 @job()
 def leakage_single_feature_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for numeric features in 64 quantile bins, whose borders are approximate."""

@@ -136,8 +136,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = F.when(m % 3 == 0, "production").when(m % 3 == 1, "staging").otherwise("archived")
     return df.select(
         F.concat_ws("/", "domain_id", "month").alias("run_id"), "domain_id", "created_at", stage.alias("stage"), "n_rows",
-        F.round(0.5 + (F.col("n_rows") % 37) / 100, 4).alias("r2"), F.when(F.col("n_rows") % 5 != 0, F.round(0.8 + (F.col("n_rows") % 19) / 100, 4)).alias("coverage"),
-        F.when(F.col("n_rows") % 7 != 0, F.round(0.3 + (F.col("n_f") % 29) / 100, 4)).alias("worst_slice"), (F.col("n_rows") % 11 != 0).alias("contract_ok"), (F.col("n_rows") % 4).cast("long").alias("n_leaks"),
+        F.when(F.col("n_rows") % 6 == 0, "rmse").otherwise("r2").alias("metric_name"), F.round(0.5 + (F.col("n_rows") % 37) / 100, 4).alias("r2"), F.round(0.5 + (F.col("n_rows") % 37) / 100, 4).alias("metric_value"), F.when(F.col("n_rows") % 5 != 0, F.round(0.8 + (F.col("n_rows") % 19) / 100, 4)).alias("coverage"),
+        F.when(F.col("n_rows") % 7 != 0, F.round(0.3 + (F.col("n_f") % 29) / 100, 4)).alias("worst_slice"), (F.col("n_rows") % 11 != 0).alias("contract_ok"), F.when(F.col("n_rows") % 17 != 0, F.col("n_rows") % 4).cast("long").alias("n_leaks"),
     )
 
 
@@ -148,8 +148,8 @@ runs0 AS (
 runs AS (
     SELECT domain_id || '/' || month AS run_id, domain_id, created_at,
         CASE substr(month, 6, 2)::INT % 3 WHEN 0 THEN 'production' WHEN 1 THEN 'staging' ELSE 'archived' END AS stage, n_rows,
-        round(0.5 + (n_rows % 37) / 100.0, 4)::DOUBLE AS r2, CASE WHEN n_rows % 5 <> 0 THEN round(0.8 + (n_rows % 19) / 100.0, 4)::DOUBLE END AS coverage,
-        CASE WHEN n_rows % 7 <> 0 THEN round(0.3 + (n_f % 29) / 100.0, 4)::DOUBLE END AS worst_slice, n_rows % 11 <> 0 AS contract_ok, n_rows % 4 AS n_leaks
+        CASE WHEN n_rows % 6 = 0 THEN 'rmse' ELSE 'r2' END AS metric_name, round(0.5 + (n_rows % 37) / 100.0, 4)::DOUBLE AS r2, round(0.5 + (n_rows % 37) / 100.0, 4)::DOUBLE AS metric_value, CASE WHEN n_rows % 5 <> 0 THEN round(0.8 + (n_rows % 19) / 100.0, 4)::DOUBLE END AS coverage,
+        CASE WHEN n_rows % 7 <> 0 THEN round(0.3 + (n_f % 29) / 100.0, 4)::DOUBLE END AS worst_slice, n_rows % 11 <> 0 AS contract_ok, CASE WHEN n_rows % 17 <> 0 THEN n_rows % 4 END AS n_leaks
     FROM runs0)"""
 
 

@@ -95,6 +95,19 @@ def stream_traffic_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("start", "run_id", "n")
 
 
+@job(f"""
+    WITH {LOG_SQL}, w AS (SELECT date_trunc('hour', ts) - to_hours(h) AS start, run_id, count(*) AS n FROM plog, range(24) t(h) GROUP BY 1, 2)
+    SELECT start::TIMESTAMP AS start, run_id, n FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM plog) - INTERVAL 3 HOUR""")
+def stream_traffic_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a day that slides by the hour, for windows that the watermark has surely closed."""
+    log = _log(spark, sf_dir)
+    rows = stream.source(spark, stream.log_files(spark, log))
+    out = stream.run_to_end(stream.traffic_volume(rows, "1 day", "1 hour"), fresh_path(spark, "stream-sliding"))
+    last = log.agg((F.max("ts") - F.expr("INTERVAL 3 HOURS")).alias("last"))
+    found = spark.read.parquet(out).join(F.broadcast(last), F.col("start") + F.expr("INTERVAL 1 DAY") <= F.col("last"))
+    return found.select("start", "run_id", "n")
+
+
 @job()
 def stream_dedupe_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream.source(spark, stream.log_files(spark, _log(spark, sf_dir)))
@@ -110,4 +123,4 @@ def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference = log.where(F.col("ts").cast("double") < middle)
     rows = stream.source(spark, stream.log_files(spark, log.where(F.col("ts").cast("double") >= middle)))
     stream.run_to_end(rows, folder, each=stream.drift_per_batch(reference, f"{folder}/out", ["prediction"]))
-    return spark.read.parquet(f"{folder}/out").select("batch", "feature", "test", "statistic", "p", "drifted")
+    return spark.read.parquet(f"{folder}/out").select("batch", "feature", "test", "statistic", "p", "drifted", "share", "verdict", "alerts")

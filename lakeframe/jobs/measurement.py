@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_uniform, rounded, unpivot
-from ..functions.ranks import global_row_number
+from ..functions.ranks import exact_quantiles, global_row_number
 from ..operators import measure
 from .frames import CLASS_SQL, CLASSES, LINE_SQL, SEED, _uniform, classes, line, read
 from .registry import job
@@ -39,8 +39,8 @@ _PER_CLASS = """
 
 @job(f"""
     WITH {_CLS}, {_PER_CLASS}
-    SELECT round(sum(tp) / sum(tr), 6) AS accuracy, round(avg(CASE WHEN tr > 0 THEN tp / tr END), 6) AS balanced_accuracy, round(avg(2 * tp / (tr + pr)), 6) AS macro_f1,
-        round(avg(CASE WHEN pr > 0 THEN tp / pr ELSE 0 END), 6) AS macro_precision, round(avg(CASE WHEN tr > 0 THEN tp / tr ELSE 0 END), 6) AS macro_recall, count(*) AS n_classes FROM per""")
+    SELECT round(sum(tp) / sum(tr), 6) AS accuracy, round(avg(CASE WHEN tr > 0 THEN tp / tr END), 6) AS balanced_accuracy, round(avg(2 * tp / (tr + pr)), 6) AS f1_macro,
+        round(avg(CASE WHEN pr > 0 THEN tp / pr ELSE 0 END), 6) AS precision, round(avg(CASE WHEN tr > 0 THEN tp / tr ELSE 0 END), 6) AS recall, count(*) AS n_classes FROM per""")
 def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = measure.classification_metrics(cls(spark, sf_dir), "truth", "predicted")
     return found.select(*[rounded(c).alias(c) for c in found.columns[:-1]], "n_classes")
@@ -62,13 +62,18 @@ def probability_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @job(f"""
-    WITH {LINE_SQL}, m AS (SELECT 1 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y)) AS r2, sqrt(avg((y - pred) * (y - pred))) AS rmse, avg(abs(y - pred)) AS mae FROM line)
-    SELECT 'r2' AS metric, round(r2, 6) AS value, true AS higher_is_better, true AS is_primary FROM m UNION ALL SELECT 'rmse', round(rmse, 6), false, false FROM m UNION ALL SELECT 'mae', round(mae, 6), false, false FROM m""")
+    WITH {_CLS}, {_PER_CLASS}, m AS (SELECT 1 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y)) AS r2, sqrt(avg((y - pred) * (y - pred))) AS rmse, avg(abs(y - pred)) AS mae,
+        median(abs(y - pred)) AS median_ae, avg(abs(y - pred) / abs(y)) FILTER (y <> 0) AS mape FROM line),
+    c AS (SELECT sum(tp) / sum(tr) AS accuracy, avg(CASE WHEN tr > 0 THEN tp / tr END) AS balanced, avg(2 * tp / (tr + pr)) AS f1, avg(CASE WHEN pr > 0 THEN tp / pr ELSE 0 END) AS pre, avg(CASE WHEN tr > 0 THEN tp / tr ELSE 0 END) AS rec FROM per),
+    u AS (SELECT 'regression' AS task, unnest(['r2', 'rmse', 'mae', 'median_ae', 'mape']) AS metric, unnest([r2, rmse, mae, median_ae, mape]) AS value FROM m
+        UNION ALL SELECT 'classification', unnest(['accuracy', 'balanced_accuracy', 'f1_macro', 'precision', 'recall']), unnest([accuracy, balanced, f1, pre, rec]) FROM c)
+    SELECT task, metric, round(value, 6) AS value, metric NOT IN ('rmse', 'mae', 'median_ae', 'mape') AS higher_is_better, metric IN ('r2', 'f1_macro') AS is_primary FROM u""")
 def score_and_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics in long form with their direction; the declared primary one is marked."""
-    long = unpivot(measure.regression_metrics(line(spark, sf_dir), "y", "pred"), [], ["r2", "rmse", "mae"], "metric", "value", "double")
-    direction = F.create_map(*[x for k, v in measure.HIGHER_IS_BETTER.items() for x in (F.lit(k), F.lit(v))])
-    return long.select("metric", rounded("value").alias("value"), direction[F.col("metric")].alias("higher_is_better"), (F.col("metric") == "r2").alias("is_primary"))
+    """Metrics of both tasks in long form with their direction; the declared primary one is marked."""
+    df = cls(spark, sf_dir)
+    regression = measure.score(df, "regression", "y", "pred").withColumn("task", F.lit("regression"))
+    classification = measure.score(df, "classification", "truth", "predicted", "f1_macro").withColumn("task", F.lit("classification"))
+    return regression.unionByName(classification).withColumn("value", rounded("value"))
 
 
 @job(f"""
@@ -84,10 +89,20 @@ _BINS = f"""
     bins AS (SELECT least(floor(conf * 10), 9)::INT AS bin, count(*) AS n, avg(conf) AS confidence, avg(hit) AS accuracy FROM b GROUP BY 1)"""
 
 
-def _reliability(df: DataFrame) -> DataFrame:
-    conf = F.greatest("p_high", "p_low", "p_mid")
-    binned = df.select(measure.equal_width(conf, 0.0, 1.0, 10).alias("bin"), conf.alias("conf"), (F.col("truth") == F.col("predicted")).cast("double").alias("hit"))
-    return binned.groupBy("bin").agg(F.count("*").alias("n"), F.avg("conf").alias("confidence"), F.avg("hit").alias("accuracy"))
+def _reliability(df: DataFrame, edges: list[float] | None = None) -> DataFrame:
+    confidence = F.greatest("p_high", "p_low", "p_mid")
+    return measure.reliability(df, confidence, F.col("truth") == F.col("predicted"), edges or [i / 10 for i in range(11)])
+
+
+@job(f"""
+    WITH {_CLS}, b AS (SELECT greatest(p_high, p_low, p_mid) AS conf, (truth = predicted)::INT AS hit FROM cls), e AS (SELECT quantile_cont(conf, {[i / 10 for i in range(1, 10)]}) AS e FROM b),
+    bins AS (SELECT len(list_filter(list_distinct(e), lambda x: x <= conf))::INT AS bin, count(*) AS n, avg(conf) AS confidence, avg(hit) AS accuracy FROM b, e GROUP BY 1)
+    SELECT bin, n, round(confidence, 6) AS confidence, round(accuracy, 6) AS accuracy FROM bins""")
+def reliability_curve_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same between quantiles of the confidence, so that bins hold about as many rows each."""
+    df = cls(spark, sf_dir)
+    edges = exact_quantiles(df, {"c": F.greatest("p_high", "p_low", "p_mid")}, [i / 10 for i in range(11)])["c"]
+    return _reliability(df, edges).select("bin", "n", rounded("confidence").alias("confidence"), rounded("accuracy").alias("accuracy"))
 
 
 @job(f"WITH {_BINS} SELECT bin, n, round(confidence, 6) AS confidence, round(accuracy, 6) AS accuracy FROM bins")
@@ -159,20 +174,47 @@ def coverage_by_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coverage(long, ["feature", "level"])
 
 
-_BANDS = """
-    e AS (SELECT quantile_cont(l_quantity, [0, 0.25, 0.5, 0.75, 1]) AS eq, quantile_cont(p_size, [0, 0.25, 0.5, 0.75, 1]) AS es FROM line),
-    banded AS (SELECT y, pred, l_returnflag, o_orderpriority, CASE WHEN l_quantity <= eq[2] THEN 'q1' WHEN l_quantity <= eq[3] THEN 'q2' WHEN l_quantity <= eq[4] THEN 'q3' ELSE 'q4' END AS l_quantity,
-        CASE WHEN p_size <= es[2] THEN 'q1' WHEN p_size <= es[3] THEN 'q2' WHEN p_size <= es[4] THEN 'q3' WHEN p_size IS NOT NULL THEN 'q4' END AS p_size FROM line, e)"""
-_SLICES = f"""
-    {LINE_SQL}, {_BANDS}, u AS (SELECT y, pred, unnest(['l_returnflag', 'o_orderpriority', 'l_quantity', 'p_size']) AS feature, unnest([l_returnflag, o_orderpriority, l_quantity, p_size]) AS level FROM banded),
-    s AS (SELECT feature, level, count(*) AS n_rows, CASE WHEN count(*) * var_pop(y) > 1e-12 THEN 1 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y)) END AS value FROM u WHERE level IS NOT NULL GROUP BY 1, 2)"""
+def _band_sql(c: str, edges: str) -> str:
+    bands = " ".join(f"WHEN {c} <= {edges}[{i + 1}] THEN 'q{i} (' || printf('%g', {edges}[{i}]) || ', ' || printf('%g', {edges}[{i + 1}]) || ']'" for i in range(1, 5))
+    return f"CASE {bands} END"
+
+
+_FEATURES = {"l_returnflag": ("A", "N", "R", "Z"), "o_orderpriority": ("1-URGENT", "6-NONE")}
 
 
-@job(f"WITH {_SLICES} SELECT feature, level, n_rows, CASE WHEN n_rows >= 30 THEN round(value, 6) END AS value, CASE WHEN n_rows < 30 THEN 'too few rows' WHEN value IS NULL THEN 'undefined' END AS skipped FROM s")
+def _slices_sql(metric: str, value: str, sign: int) -> str:
+    names = "['l_returnflag', 'o_orderpriority', 'l_quantity', 'p_size', '(overall)']"
+    return f"""
+    WITH {_CLS}, e AS (SELECT quantile_cont(l_quantity, [0, 0.25, 0.5, 0.75, 1]) AS eq, quantile_cont(p_size, [0, 0.25, 0.5, 0.75, 1]) AS es FROM cls),
+    u AS (SELECT y, pred, truth, predicted, unnest({names}) AS feature, unnest([l_returnflag, o_orderpriority, {_band_sql('l_quantity', 'eq')}, {_band_sql('p_size', 'es')}, 'all']) AS level FROM cls, e),
+    d AS (SELECT * FROM (VALUES {", ".join(f"('{f}', '{x}')" for f, names in _FEATURES.items() for x in names)}) v(feature, level)),
+    g AS (SELECT feature, level, count(*) AS n_rows, {value} AS value FROM u WHERE level IS NOT NULL GROUP BY 1, 2),
+    s AS (SELECT feature, level, coalesce(n_rows, 0) AS n_rows, value, max(value) FILTER (feature = '(overall)') OVER () AS overall,
+        CASE WHEN n_rows IS NULL THEN 'absent' WHEN n_rows < 30 THEN 'too few rows' WHEN value IS NULL THEN 'undefined' END AS skipped FROM g FULL JOIN d USING (feature, level)),
+    m AS (SELECT feature, level, n_rows, overall, skipped, CASE WHEN skipped IS NULL THEN value END AS value, CASE WHEN skipped IS NULL THEN {sign} * (overall - value) END AS gap FROM s WHERE feature <> '(overall)')
+    SELECT feature, level, n_rows, skipped, round(value, 6) AS value, round(overall, 6) AS overall, round(gap, 6) AS gap, coalesce(gap = max(gap) OVER (), false) AS is_worst FROM m"""
+
+
+def _slices(df: DataFrame, y: str, p: str, metric: str) -> DataFrame:
+    found = measure.slice_report(df, _FEATURES, ["l_quantity", "p_size"], y, p, metric)
+    return found.select("feature", "level", "n_rows", "skipped", rounded("value").alias("value"), rounded("overall").alias("overall"), rounded("gap").alias("gap"), "is_worst")
+
+
+@job(_slices_sql("r2", "CASE WHEN count(*) * var_pop(y) > 1e-12 THEN 1 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y)) END", 1))
 def slice_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which segment does the scorer serve worst?"""
-    found = measure.slice_report(line(spark, sf_dir), ["l_returnflag", "o_orderpriority"], ["l_quantity", "p_size"], "y", "pred")
-    return found.select("feature", "level", "n_rows", rounded("value").alias("value"), "skipped")
+    return _slices(line(spark, sf_dir), "y", "pred", "r2")
+
+
+@job(_slices_sql("accuracy", "avg((truth = predicted)::INT)", 1))
+def slice_report_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _slices(cls(spark, sf_dir), "truth", "predicted", "accuracy")
+
+
+@job(_slices_sql("mae", "avg(abs(y - pred))", -1))
+def slice_report_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a metric of which less is better."""
+    return _slices(line(spark, sf_dir), "y", "pred", "mae")
 
 
 @job(f"""
@@ -201,14 +243,18 @@ _SIDE = "CASE WHEN l_shipdate < TIMESTAMP '1998-07-01' THEN 'reference' ELSE 'cu
 
 
 @job(f"""
-    WITH {LINE_SQL}, s AS (SELECT {_SIDE} AS side, y FROM line), m AS (SELECT min(y) AS lo, max(y) AS hi FROM s),
-    b AS (SELECT side, least(floor((y - lo) / (hi - lo) * 30), 29)::INT AS bin, count(*) AS n FROM s, m GROUP BY 1, 2)
-    SELECT side, bin, n, round(n / sum(n) OVER (PARTITION BY side) / ((SELECT (hi - lo) / 30 FROM m)), 6) AS density FROM b""")
+    WITH {LINE_SQL}, s AS (SELECT {_SIDE} AS side, y, l_returnflag FROM line), m AS (SELECT min(y) AS lo, max(y) AS hi FROM s),
+    b AS (SELECT side, least(floor((y - lo) / (hi - lo) * 30), 29)::INT AS bin, count(*) AS n FROM s, m GROUP BY 1, 2), l AS (SELECT side, l_returnflag AS level, count(*) AS n FROM s GROUP BY 1, 2)
+    SELECT 'y' AS feature, side, bin, NULL::VARCHAR AS level, n, round(n / sum(n) OVER (PARTITION BY side) / ((SELECT (hi - lo) / 30 FROM m)), 6) AS density FROM b
+    UNION ALL SELECT 'l_returnflag', side, NULL, level, n, round(n / sum(n) OVER (PARTITION BY side), 6) FROM l""")
 def feature_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = line(spark, sf_dir).select(F.when(F.col("l_shipdate") < F.lit("1998-07-01").cast("timestamp"), "reference").otherwise("current").alias("side"), "y")
+    """Bins of equal width of a numeric feature, with their density, and counts of a categorical one's levels, by side."""
+    df = line(spark, sf_dir).select(F.when(F.col("l_shipdate") < F.lit("1998-07-01").cast("timestamp"), "reference").otherwise("current").alias("side"), "y", "l_returnflag")
     low, high = df.agg(F.min("y"), F.max("y")).first()
-    counts = df.groupBy("side", measure.equal_width(F.col("y"), low, high, 30).alias("bin")).agg(F.count("*").alias("n"))
-    return counts.withColumn("density", rounded(F.col("n") / F.sum("n").over(Window.partitionBy("side")) / ((high - low) / 30)))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("side"))
+    bins = df.groupBy("side", measure.equal_width(F.col("y"), low, high, 30).alias("bin")).agg(F.count("*").alias("n")).withColumn("density", rounded(share / ((high - low) / 30)))
+    levels = df.groupBy("side", F.col("l_returnflag").alias("level")).agg(F.count("*").alias("n")).withColumn("density", rounded(share))
+    return bins.withColumn("feature", F.lit("y")).unionByName(levels.withColumn("feature", F.lit("l_returnflag")), allowMissingColumns=True)
 
 
 @job(f"""
@@ -237,12 +283,11 @@ def residual_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @job(f"""
-    WITH {LINE_SQL}, o AS (SELECT o_orderpriority, c_mktsegment, p_type, key, pred, y - pred AS e FROM line),
-    w AS (SELECT key, avg(e) OVER c AS rolling_mean, stddev_samp(e) OVER c AS rolling_std, count(*) OVER c AS n FROM o WINDOW c AS (PARTITION BY o_orderpriority, c_mktsegment, p_type ORDER BY pred, key ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING))
-    SELECT key, CASE WHEN n >= 5 THEN round(rolling_mean, 6) END AS rolling_mean, CASE WHEN n >= 5 THEN round(rolling_std, 6) END AS rolling_std FROM w""")
+    WITH {LINE_SQL}, o AS (SELECT key, round(pred, 9) AS pred, y - pred AS e, greatest(15, count(*) OVER () // 20)::BIGINT AS w FROM line),
+    r AS (SELECT key, w, avg(e) OVER c AS m, stddev_samp(e) OVER c AS s, count(*) OVER c AS n FROM o WINDOW c AS (ORDER BY pred, key ROWS BETWEEN w // 2 PRECEDING AND (w - 1) // 2 FOLLOWING))
+    SELECT key, CASE WHEN n >= greatest(5, w // 3) THEN round(m, 5) END AS rolling_mean, CASE WHEN n >= greatest(5, w // 3) THEN round(s, 5) END AS rolling_std FROM r""")
 def residual_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centred rolling mean and deviation of the residual in the order of the prediction, within each segment."""
-    df = line(spark, sf_dir).withColumn("e", F.col("y") - F.col("pred"))
-    w = Window.partitionBy("o_orderpriority", "c_mktsegment", "p_type").orderBy("pred", "key").rowsBetween(-7, 7)
-    enough = F.count("*").over(w) >= 5
-    return df.select("key", F.when(enough, rounded(F.avg("e").over(w))).alias("rolling_mean"), F.when(enough, rounded(F.stddev_samp("e").over(w))).alias("rolling_std"))
+    """Centred rolling mean and deviation of the residual in the order of the prediction."""
+    df = line(spark, sf_dir).withColumn("e", F.col("y") - F.col("pred")).withColumn("pred", F.round("pred", 9))
+    found = measure.rolling_residuals(df, "pred", "e", "key")
+    return found.select("key", rounded("rolling_mean", 5).alias("rolling_mean"), rounded("rolling_std", 5).alias("rolling_std"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import rounded, unpivot
+from ..functions.exprs import PLAIN_NUMBER_SQL, rounded, unpivot
 from ..functions.storage import fresh_path
 from ..functions.ranks import global_row_number
-from ..operators import drift, registry_ops
+from ..operators import drift, estimate, registry_ops
+from ..spec import Feature, Problem
 from .frames import CLASS_SQL, HOLES_SQL, LINE_SQL, LOG_SQL, RUNS_SQL, classes, line, prediction_log, read, runs
 from .registry import job
 
@@ -65,10 +66,28 @@ def total_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.total_variation(drift.level_counts(sided(spark, sf_dir), "side", _CATS)).withColumn("tv", rounded("tv"))
 
 
-@job()
+_DRIFTING = Problem((*(Feature(c, "numeric") for c in ("l_quantity", "l_discount", "p_size")), *(Feature(c, "categorical", ("-",)) for c in ("l_returnflag", "l_linestatus", "o_orderpriority", "c_mktsegment")), Feature("l_shipdate", "datetime"), Feature("absent", "numeric")), Feature("y", "numeric"))
+#: Where the upper tail of chi-square is 0.05, by degrees of freedom.
+_CRITICAL = "CASE df WHEN 1 THEN 3.841458820694124 WHEN 2 THEN 5.991464547107979 WHEN 3 THEN 7.814727903251179 WHEN 4 THEN 9.487729036781154 END"
+
+
+@job(f"""
+    WITH {_SIDED}, num AS (SELECT side, unnest(['l_quantity', 'l_discount', 'p_size', 'y', 'prediction']) AS feature, unnest([l_quantity, l_discount, p_size, y, pred]) AS value FROM sided),
+    g AS (SELECT feature, value, count(*) FILTER (side = 'reference') AS r, count(*) FILTER (side = 'current') AS c FROM num WHERE value IS NOT NULL GROUP BY 1, 2),
+    cum AS (SELECT feature, sum(r) OVER o / sum(r) OVER a AS fr, sum(c) OVER o / sum(c) OVER a AS fc, sum(r) OVER a AS n, sum(c) OVER a AS m FROM g WINDOW o AS (PARTITION BY feature ORDER BY value), a AS (PARTITION BY feature)),
+    ks AS (SELECT feature, max(abs(fr - fc)) * sqrt(max(n) * max(m) / (max(n) + max(m))) AS lam FROM cum GROUP BY 1),
+    ksp AS (SELECT feature, CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, (SELECT 2 * sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * k * k * lam * lam)) FROM range(1, 101) t(k)))) END < 0.05 AS drifted FROM ks),
+    lev AS (SELECT side, unnest(['l_returnflag', 'l_linestatus', 'o_orderpriority', 'c_mktsegment']) AS feature, unnest([l_returnflag, l_linestatus, o_orderpriority, c_mktsegment]) AS level FROM sided),
+    counts AS (SELECT feature, level, count(*) FILTER (side = 'reference') AS n_ref, count(*) FILTER (side = 'current') AS n_cur FROM lev WHERE level IS NOT NULL GROUP BY 1, 2),
+    shares AS (SELECT *, n_ref / sum(n_ref) OVER w AS share_ref, sum(n_cur) OVER w AS total_cur FROM counts WINDOW w AS (PARTITION BY feature)), {_CHI},
+    f AS (SELECT feature, drifted FROM ksp UNION ALL SELECT feature, statistic > {_CRITICAL} FROM chi), v AS (SELECT avg(drifted::INT) AS share, count(*) AS n_features, string_agg(feature, ',' ORDER BY feature) FILTER (drifted) AS drifted FROM f WHERE feature NOT IN ('y', 'prediction'))
+    SELECT n_features, round(share, 6) AS share, CASE WHEN share >= 0.4 THEN 'block' WHEN share >= 0.2 THEN 'warn' ELSE 'pass' END AS verdict, coalesce(drifted, '') AS drifted,
+        (SELECT drifted FROM f WHERE feature = 'y') AS target_drifted, (SELECT drifted FROM f WHERE feature = 'prediction') AS prediction_drifted FROM v""")
 def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: share of drifted features, verdict and names."""
-    return drift.drift_verdict(drift.drift_report(sided(spark, sf_dir), "side", _NUMS[:3], _CATS))
+    """One row: share of drifted features, verdict and names, and whether target and prediction drifted."""
+    df = sided(spark, sf_dir).withColumnRenamed("pred", "prediction").drop("signal")
+    found = drift.drift_report(df.where("side = 'reference'"), df.where("side = 'current'"), _DRIFTING)
+    return drift.drift_verdict(found).select("n_features", rounded("share").alias("share"), "verdict", "drifted", (F.col("target_p") < 0.05).alias("target_drifted"), (F.col("prediction_p") < 0.05).alias("prediction_drifted"))
 
 
 @job(f"""
@@ -82,14 +101,17 @@ def top_drift_magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @job(f"""
-    WITH {RUNS_SQL}, r AS (SELECT run_id, n_rows, (n_rows % 10) / 10.0 AS share, (n_rows % 8) / 100.0 AS target_p, (n_rows % 9) / 100.0 AS prediction_p FROM runs),
-    a AS (SELECT run_id, CASE WHEN n_rows < 200 THEN 'info' WHEN share >= 0.4 THEN 'block' ELSE 'warn' END AS severity, 'share' AS rule FROM r WHERE share >= 0.2
-        UNION ALL SELECT run_id, 'warn', 'target' FROM r WHERE target_p < 0.01 UNION ALL SELECT run_id, 'warn', 'prediction' FROM r WHERE prediction_p < 0.01 UNION ALL SELECT run_id, 'info', 'small sample' FROM r WHERE n_rows < 200)
-    SELECT *, CASE severity WHEN 'block' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END AS rank FROM a""")
+    WITH {RUNS_SQL}, r AS (SELECT run_id, n_rows, (n_rows % 10) / 10.0 AS share, (n_rows % 8) / 100.0 AS target_p, (n_rows % 9) / 100.0 AS prediction_p, r2 FROM runs),
+    a AS (SELECT run_id, 'info' AS severity, 'drift.sample.small' AS code, n_rows::DOUBLE AS value, 200.0 AS threshold FROM r WHERE n_rows < 200
+        UNION ALL SELECT run_id, CASE WHEN n_rows < 200 THEN 'info' ELSE 'block' END, 'drift.share.block', share, 0.4 FROM r WHERE share >= 0.4
+        UNION ALL SELECT run_id, CASE WHEN n_rows < 200 THEN 'info' ELSE 'warn' END, 'drift.share.warn', share, 0.2 FROM r WHERE share >= 0.2 AND share < 0.4
+        UNION ALL SELECT run_id, 'warn', 'drift.target', target_p, 0.01 FROM r WHERE target_p < 0.01 UNION ALL SELECT run_id, 'warn', 'drift.prediction', prediction_p, 0.01 FROM r WHERE prediction_p < 0.01
+        UNION ALL SELECT run_id, 'warn', 'perf.estimated.below_floor', r2, 0.6 FROM r WHERE r2 < 0.6)
+    SELECT run_id, severity, code, value::DOUBLE AS value, threshold::DOUBLE AS threshold, CASE severity WHEN 'block' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END AS rank FROM a""")
 def drift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_rows")
-    reports = runs(spark, sf_dir).select("run_id", "n_rows", ((n % 10) / 10).alias("share"), ((n % 8) / 100).alias("target_p"), ((n % 9) / 100).alias("prediction_p"))
-    return drift.drift_alerts(reports)
+    reports = runs(spark, sf_dir).select("run_id", "n_rows", ((n % 10) / 10).alias("share"), ((n % 8) / 100).alias("target_p"), ((n % 9) / 100).alias("prediction_p"), F.col("r2").alias("estimated_metric"))
+    return drift.drift_alerts(reports, metric_floor=0.6)
 
 
 @job(f"""
@@ -119,11 +141,11 @@ def read_prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job(f"WITH {LOG_SQL} SELECT run_id, date_trunc('day', ts)::DATE AS date, count(*) AS n, round(sum(prediction), 4) AS total FROM plog GROUP BY 1, 2")
 def compact_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON log folded into parquet by run and date, salted so that no run is written by one task."""
+    """The JSON log folded into parquet by run and date; a run and day with too much for one task goes to several."""
     raw, out = fresh_path(spark, "raw"), fresh_path(spark, "compact")
     prediction_log(spark, sf_dir).select("event_id", "run_id", F.to_date("ts").alias("date"), "prediction").write.json(raw)
     log = spark.read.schema("event_id long, run_id string, date date, prediction double").json(raw)
-    log.repartition("run_id", "date").write.partitionBy("run_id", "date").parquet(out)
+    log.hint("rebalance", "run_id", "date").write.partitionBy("run_id", "date").parquet(out)
     return spark.read.parquet(out).groupBy("run_id", "date").agg(F.count("*").alias("n"), rounded(F.sum("prediction"), 4).alias("total"))
 
 
@@ -155,12 +177,34 @@ def row_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @job(f"""
-    WITH {_CHUNKS}, {CLASS_SQL.replace("FROM line)", "FROM ch)")}
-    SELECT chunk, count(*) AS n, round(avg(greatest(p_high, p_low, p_mid)), 6) AS estimated_accuracy, round(avg((truth = predicted)::INT), 6) AS realised_accuracy FROM cls GROUP BY 1""")
+    WITH {_CHUNKS}, {CLASS_SQL.replace("FROM line)", "FROM ch)")},
+    h AS (SELECT chunk, round(p_high, 9) AS s, sum(p_high) AS pos, sum(1 - p_high) AS neg FROM cls GROUP BY 1, 2),
+    a AS (SELECT chunk, sum(wins) / (sum(pos) * sum(neg)) AS auc FROM (SELECT chunk, pos, neg, pos * (sum(neg) OVER (PARTITION BY chunk ORDER BY s) - neg / 2) AS wins FROM h) GROUP BY 1),
+    e AS (SELECT chunk, count(*) AS n, avg(greatest(p_high, p_low, p_mid)) AS acc, 2 * sum(CASE WHEN p_high >= 0.5 THEN p_high ELSE 0 END) / (sum((p_high >= 0.5)::INT) + sum(p_high)) AS f1, avg((truth = predicted)::INT) AS realised FROM cls GROUP BY 1)
+    SELECT chunk, n, round(acc, 6) AS estimated_accuracy, round(f1, 6) AS estimated_f1, round(auc, 6) AS estimated_roc_auc, round(realised, 6) AS realised_accuracy, chunk = max(chunk) OVER () AS headline FROM e JOIN a USING (chunk)""")
 def estimate_performance_cls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy by chunk from probabilities alone, beside what turned out."""
-    df = _chunked(spark, classes(line(spark, sf_dir)))
-    return df.groupBy("chunk").agg(F.count("*").alias("n"), rounded(F.avg(F.greatest("p_high", "p_low", "p_mid"))).alias("estimated_accuracy"), rounded(F.avg((F.col("truth") == F.col("predicted")).cast("double"))).alias("realised_accuracy"))
+    """Accuracy, and f1 and AUC of one class, by chunk from probabilities alone, beside what turned out; the last chunk leads."""
+    df = _chunked(spark, classes(line(spark, sf_dir))).withColumn("hit", F.col("truth") == F.col("predicted"))
+    found = estimate.expected_scores(df, "chunk", F.greatest("p_high", "p_low", "p_mid"), F.col("p_high"), F.col("hit"))
+    return found.select("chunk", "n", *[rounded(c).alias(c) for c in ("estimated_accuracy", "estimated_f1", "estimated_roc_auc", "realised_accuracy")], "headline")
+
+
+@job()
+def estimate_performance_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from probabilities calibrated on a labelled reference by isotonic regression."""
+    df = classes(line(spark, sf_dir)).withColumn("hit", F.col("truth") == F.col("predicted")).withColumn("conf", F.greatest("p_high", "p_low", "p_mid"))
+    cut = F.lit("1998-07-01").cast("timestamp")
+    calibrated = estimate.isotonic(df.where(F.col("l_shipdate") < cut), df.where(F.col("l_shipdate") >= cut), "conf", "hit")
+    return _chunked(spark, calibrated).groupBy("chunk").agg(F.count("*").alias("n"), F.avg("calibrated").alias("estimated_accuracy"), F.avg(F.col("hit").cast("double")).alias("realised_accuracy"))
+
+
+@job()
+def estimate_performance_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected losses by chunk from boosted trees that learned the reference's losses from features and prediction."""
+    df = line(spark, sf_dir).na.fill(0.0, ["p_size"])
+    cut = F.lit("1998-07-01").cast("timestamp")
+    scored = estimate.expected_losses(df.where(F.col("l_shipdate") < cut), df.where(F.col("l_shipdate") >= cut), ["l_quantity", "l_discount", "p_size"], "y", "pred")
+    return _chunked(spark, scored).groupBy("chunk").agg(F.count("*").alias("n"), F.avg("expected_loss").alias("estimated_mae"), F.avg(F.abs(F.col("y") - F.col("pred"))).alias("realised_mae"))
 
 
 @job(f"""
@@ -199,35 +243,58 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAIRS = f"""{RUNS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY domain_id ORDER BY created_at DESC, run_id DESC) AS nth FROM runs WHERE stage = 'production' AND domain_id <> '5-LOW'),
-    pairs AS (SELECT s.*, r.run_id AS champion_run_id, r.r2 AS champion_r2, r.coverage AS champion_coverage, r.worst_slice AS champion_worst_slice FROM runs s LEFT JOIN (SELECT * FROM r WHERE nth = 1) r USING (domain_id) WHERE s.stage = 'staging')"""
+    pairs AS (SELECT s.*, r.run_id AS champion_run_id, r.metric_name AS champion_metric_name, r.metric_value AS champion_metric_value, r.coverage AS champion_coverage, r.worst_slice AS champion_worst_slice FROM runs s LEFT JOIN (SELECT * FROM r WHERE nth = 1) r USING (domain_id) WHERE s.stage = 'staging')"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry_ops.champion_challenger(runs(spark, sf_dir).where("not (stage = 'production' and domain_id = '5-LOW')"))
 
 
-@job(f"WITH {_PAIRS} SELECT run_id, r2, champion_run_id, champion_r2 FROM pairs")
+@job(f"WITH {_PAIRS} SELECT run_id, metric_name, metric_value, champion_run_id, champion_metric_value FROM pairs")
 def champion_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("run_id", "r2", "champion_run_id", "champion_r2")
+    return _pairs(spark, sf_dir).select("run_id", "metric_name", "metric_value", "champion_run_id", "champion_metric_value")
 
 
-@job(f"""
-    WITH {_PAIRS}, c AS (SELECT run_id, champion_run_id IS NULL OR coalesce(round(r2 - champion_r2, 9) >= 0.005, false) AS gain, coalesce(round(coverage, 9) >= 0.85, false) AS cov, contract_ok AS con,
-        CASE WHEN worst_slice IS NULL THEN false ELSE champion_worst_slice IS NULL OR worst_slice >= champion_worst_slice END AS ws, n_leaks = 0 AS leak FROM pairs)
-    SELECT run_id, gain AND cov AND con AND ws AND leak AS promoted, concat_ws(',', CASE WHEN NOT gain THEN 'gain' END, CASE WHEN NOT cov THEN 'coverage' END, CASE WHEN NOT con THEN 'contract' END, CASE WHEN NOT ws THEN 'worst_slice' END, CASE WHEN NOT leak THEN 'leakage' END) AS reasons FROM c""")
+def _gate_sql(coverage: str, contracts: str, word: str, skipped: bool) -> str:
+    reasons = [f"CASE WHEN {n} THEN 'PASS' ELSE 'FAIL' END || ' {n}'" for n in registry_ops.CRITERIA]
+    reasons[1] = f"CASE WHEN coverage IS NULL THEN '{word}' WHEN coverage_meets_request THEN 'PASS' ELSE 'FAIL' END || ' coverage_meets_request'"
+    if skipped:
+        reasons[2] = "'SKIPPED contracts_pass'"
+    return f"""
+    WITH {_PAIRS}, d AS (SELECT *, CASE metric_name WHEN 'r2' THEN 1 WHEN 'rmse' THEN -1 END AS sign, coalesce(metric_name = champion_metric_name, false) AS same FROM pairs),
+    g AS (SELECT *, CASE WHEN same THEN round(sign * (metric_value - champion_metric_value), 9) END AS gain, CASE WHEN same THEN round(sign * (worst_slice - champion_worst_slice), 9) END AS delta FROM d),
+    c AS (SELECT *, champion_run_id IS NULL OR coalesce(gain >= 0.005, false) AS beats_champion, CASE WHEN coverage IS NULL THEN {coverage} ELSE round(coverage, 9) >= 0.85 END AS coverage_meets_request, {contracts} AS contracts_pass,
+        CASE WHEN worst_slice IS NULL THEN false WHEN delta IS NULL THEN true ELSE delta >= 0 END AS worst_slice_not_worse, coalesce(n_leaks = 0, false) AS no_target_leakage FROM g)
+    SELECT run_id, {" AND ".join(registry_ops.CRITERIA)} AS promoted, concat_ws('; ', {", ".join(reasons)}) AS reasons, round(gain, 6) AS gain, round(coverage - 0.9, 6) AS coverage_gap, round(delta, 6) AS worst_slice_delta FROM c"""
+
+
+def _decisions(found: DataFrame) -> DataFrame:
+    metrics = [rounded(F.col("metrics")[n]).alias(n) for n in ("gain", "coverage_gap", "worst_slice_delta")]
+    return found.select("run_id", "promoted", F.array_join("reasons", "; ").alias("reasons"), *metrics)
+
+
+@job(_gate_sql("false", "contract_ok", "FAIL", False))
 def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry_ops.promotion_gate(_pairs(spark, sf_dir)).select("run_id", "promoted", "reasons")
+    """Five criteria for every challenger, in its metric's own direction, with the numbers behind them."""
+    return _decisions(registry_ops.promotion_gate(_pairs(spark, sf_dir)))
+
+
+@job(_gate_sql("true", "false", "WAIVED", True))
+def promotion_gate_waived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with unmeasured coverage waived and contracts not asked for, which the reasons record."""
+    return _decisions(registry_ops.promotion_gate(_pairs(spark, sf_dir), registry_ops.GateConfig(require_coverage=False, require_contracts=False)))
 
 
 @job(f"""
-    WITH {RUNS_SQL}, c AS (SELECT domain_id, run_id AS name, r2 AS metric_value, (n_rows % 3)::BIGINT AS tier, (n_rows % 10) / 10.0 AS fit_seconds, n_rows % 2 = 0 AS portable FROM runs),
-    r AS (SELECT *, row_number() OVER (PARTITION BY domain_id ORDER BY metric_value DESC, tier, fit_seconds, name) AS place FROM c)
-    SELECT domain_id, name, place, coalesce(place = min(place) FILTER (portable) OVER (PARTITION BY domain_id), false) AS selected,
-        round(max(metric_value) OVER (PARTITION BY domain_id) - max(metric_value) FILTER (portable) OVER (PARTITION BY domain_id), 6) AS gap FROM r""")
+    WITH {RUNS_SQL}, c AS (SELECT domain_id, run_id AS name, CASE WHEN domain_id = '2-HIGH' THEN -1 ELSE 1 END * CASE WHEN n_rows % 8 <> 0 THEN r2 END AS s, (n_rows % 3)::BIGINT AS tier, (n_rows % 10) / 10.0 AS fit_seconds, n_rows % 2 = 0 AS portable FROM runs),
+    r AS (SELECT *, CASE WHEN s IS NOT NULL THEN row_number() OVER (PARTITION BY domain_id ORDER BY s DESC NULLS LAST, tier, fit_seconds, name) END AS place FROM c)
+    SELECT domain_id, name, place, s IS NULL AS skipped, coalesce(place = min(place) FILTER (portable AND s IS NOT NULL) OVER (PARTITION BY domain_id), false) AS selected,
+        round(max(s) OVER (PARTITION BY domain_id) - max(s) FILTER (portable) OVER (PARTITION BY domain_id), 6) AS gap FROM r""")
 def rank_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_rows")
-    candidates = runs(spark, sf_dir).select("domain_id", F.col("run_id").alias("name"), F.col("r2").alias("metric_value"), (n % 3).alias("tier"), ((n % 10) / 10).alias("fit_seconds"), (n % 2 == 0).alias("portable"))
-    return registry_ops.rank_leaderboard(candidates, "domain_id").select("domain_id", "name", "place", "selected", rounded("gap").alias("gap"))
+    metric = F.when(F.col("domain_id") == "2-HIGH", "rmse").otherwise("r2")
+    rows = runs(spark, sf_dir).select("domain_id", F.col("run_id").alias("name"), metric.alias("metric_name"), F.when(n % 8 != 0, F.col("r2")).alias("metric_value"), (n % 3).alias("tier"), ((n % 10) / 10).alias("fit_seconds"), (n % 2 == 0).alias("portable"))
+    return registry_ops.rank_leaderboard(rows, "domain_id").select("domain_id", "name", "place", "skipped", "selected", rounded("gap").alias("gap"))
 
 
 @job(f"WITH {RUNS_SQL} SELECT run_id, stage, r2 FROM runs WHERE domain_id = '1-URGENT' AND stage <> 'archived' AND created_at >= TIMESTAMP '1996-01-01' ORDER BY created_at DESC, run_id DESC LIMIT 20")
@@ -247,14 +314,32 @@ def attribution_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("feature", rounded("mean_abs").alias("mean_abs"), rounded("mean_signed").alias("mean_signed"), rounded(F.col("total") / F.sum("total").over(Window.partitionBy())).alias("share"))
 
 
-@job("""
-    WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, unnest(['quantity', 'discount', 'tax', 'price']) AS feature, unnest([l_quantity - 25, (l_discount - 0.05) * 200, (l_tax - 0.04) * 100, (l_extendedprice - 5000) / 1000]) AS c FROM lineitem),
-    r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_extendedprice ORDER BY abs(c) DESC, feature) AS nth FROM a)
-    SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 2) AS l_extendedprice, string_agg(feature || CASE WHEN c >= 0 THEN ' up' ELSE ' down' END, '; ' ORDER BY nth) AS reasons FROM r WHERE nth <= 3 GROUP BY ALL""")
+_TERMS = {"quantity": ("l_quantity", "l_quantity - 25", "items"), "discount": ("l_discount", "(l_discount - 0.05) * 200", ""), "tax": ("l_tax", "(l_tax - 0.04) * 100", ""), "price": ("l_extendedprice", "(l_extendedprice - 5000) / 1000", "USD")}
+_ROW = "l_orderkey, l_linenumber, l_partkey, l_extendedprice"
+
+
+def _reasons_sql(sentence: str) -> str:
+    unit = " ".join(f"WHEN '{n}' THEN '{' ' + u if u else ''}'" for n, (_, _, u) in _TERMS.items())
+    return f"""
+    WITH a AS (SELECT {_ROW}, unnest({list(_TERMS)}) AS f, unnest([{", ".join(v for v, _, _ in _TERMS.values())}]) AS v, unnest([{", ".join(c for _, c, _ in _TERMS.values())}]) AS c FROM lineitem),
+    r AS (SELECT *, row_number() OVER (PARTITION BY {_ROW} ORDER BY abs(c) DESC, f) AS nth FROM a),
+    s AS (SELECT *, f || ' = ' || {PLAIN_NUMBER_SQL.format(c="v")} || CASE f {unit} END AS what FROM r WHERE nth <= 3)
+    SELECT {_ROW.replace("l_extendedprice", "round(l_extendedprice, 2) AS l_extendedprice")}, string_agg({sentence}, '; ' ORDER BY nth) AS reasons FROM s GROUP BY ALL"""
+
+
+def _reasons(spark: SparkSession, sf_dir: str, target_class: str | None, unit: str = "") -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem")
+    terms = [(n, F.col(v).cast("double"), F.expr(c).cast("double"), u) for n, (v, c, u) in _TERMS.items()]
+    text = registry_ops.reason_codes(terms, 3, target_class, unit)
+    return lines.select("l_orderkey", "l_linenumber", "l_partkey", F.round("l_extendedprice", 2).alias("l_extendedprice"), F.array_join(text, "; ").alias("reasons"))
+
+
+@job(_reasons_sql("what || ' pushed the estimate ' || CASE WHEN c >= 0 THEN 'up' ELSE 'down' END || ' by ' || " + PLAIN_NUMBER_SQL.format(c="abs(c)") + " || ' points'"))
 def reason_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three strongest contributions of each row as text, within the row: no shuffle."""
-    terms = {"quantity": F.col("l_quantity") - 25, "discount": (F.col("l_discount") - 0.05) * 200, "tax": (F.col("l_tax") - 0.04) * 100, "price": (F.col("l_extendedprice") - 5000) / 1000}
-    structs = F.array(*[F.struct((-F.abs(c.cast("double"))).alias("o"), F.lit(n).alias("f"), c.cast("double").alias("c")) for n, c in terms.items()])
-    top = F.slice(F.array_sort(structs), 1, 3)
-    text = F.transform(top, lambda x: F.concat(x.f, F.when(x.c >= 0, " up").otherwise(" down")))
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round("l_extendedprice", 2).alias("l_extendedprice"), F.array_join(text, "; ").alias("reasons"))
+    return _reasons(spark, sf_dir, None, "points")
+
+
+@job(_reasons_sql("what || ' pushed the prediction ' || CASE WHEN c >= 0 THEN 'toward' ELSE 'away from' END || ' ''high'' (weight ' || printf('%.2f', floor(abs(c) * 100 + 0.5) / 100) || ')'"))
+def reason_codes_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reasons(spark, sf_dir, "high")

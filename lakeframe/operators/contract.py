@@ -136,11 +136,8 @@ def unpivot_row(one: DataFrame, columns: list[str], value: str) -> DataFrame:
     return unpivot(one, [], columns, "feature", value, "double")
 
 
-def single_feature_scores(df: DataFrame, features: list[str], target: str, fold: Column, bins: int = 64) -> DataFrame:
-    """Held-out r2 of each feature's binned means, for all features at once; fold says which rows train.
-
-    Numbers fall into quantile bins, levels are their own; a bin that training has not seen predicts the mean.
-    """
+def _bins(df: DataFrame, features: list[str], bins: int) -> list[Column]:
+    """(feature, bin) of each feature: numbers by approximate quantiles, levels as they are."""
     kinds = dict(df.dtypes)
     numeric = [c for c in features if kinds[c] in ("double", "float", "int", "bigint")]
     edges = df.agg(*[F.percentile_approx(c, [i / bins for i in range(1, bins)], 10_000).alias(c) for c in numeric]).first().asDict() if numeric else {}  # bins numbers a feature
@@ -151,6 +148,39 @@ def single_feature_scores(df: DataFrame, features: list[str], target: str, fold:
         else:
             of = F.col(c).cast("string")
         binned.append(F.struct(F.lit(c).alias("feature"), F.coalesce(of, F.lit("(missing)")).alias("bin")))
+    return binned
+
+
+def enough_for_leakage(df: DataFrame, target: str, settings: Settings = SETTINGS) -> None:
+    if df.where(F.col(target).isNotNull()).limit(settings.leakage_min_rows).count() < settings.leakage_min_rows:
+        raise ValueError(f"leakage needs {settings.leakage_min_rows} labelled rows: on fewer, a feature scores 1 by chance")
+
+
+def single_feature_accuracy(df: DataFrame, features: list[str], target: str, fold: Column, bins: int = 64, allow: tuple[str, ...] = (), settings: Settings = SETTINGS) -> DataFrame:
+    """(feature, accuracy, majority, leaks): each feature's commonest class by bin, as trained, on the held-out rows.
+
+    A feature leaks if it reaches the threshold and beats the held-out share of the commonest class; those allowed are
+    not judged. Of equally common classes the last by name is meant.
+    """
+    enough_for_leakage(df, target, settings)
+    binned = _bins(df, [f for f in features if f not in allow], bins)
+    rows = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("t"), fold.alias("train"), F.explode(F.array(*binned)).alias("b")).select("t", "train", "b.*")
+    cells = rows.groupBy("feature", "bin", "t").agg(F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_test"))
+    best = F.max(F.struct("n_train", "t"))["t"]
+    whole = cells.groupBy("feature", "t").agg(F.sum("n_train").alias("n_train"), F.sum("n_test").alias("n_test")).groupBy("feature").agg(best.alias("common"), (F.max("n_test") / F.sum("n_test")).alias("majority"))
+    fits = cells.groupBy("feature", "bin").agg(F.when(F.max("n_train") > 0, best).alias("fit"))
+    joined = cells.join(fits, ["feature", "bin"]).join(F.broadcast(whole), "feature")  # a row for each feature
+    right = F.sum(F.when(F.col("t") == F.coalesce("fit", "common"), F.col("n_test")).otherwise(0))
+    made = joined.groupBy("feature").agg((right / F.sum("n_test")).alias("accuracy"), F.first("majority").alias("majority"))
+    return made.withColumn("leaks", (F.col("accuracy") >= settings.leakage_threshold) & (F.col("accuracy") > F.col("majority")))
+
+
+def single_feature_scores(df: DataFrame, features: list[str], target: str, fold: Column, bins: int = 64) -> DataFrame:
+    """Held-out r2 of each feature's binned means, for all features at once; fold says which rows train.
+
+    Numbers fall into quantile bins, levels are their own; a bin that training has not seen predicts the mean.
+    """
+    binned = _bins(df, features, bins)
     rows = df.where(F.col(target).isNotNull()).select(F.col(target).alias("t"), fold.alias("train"), F.explode(F.array(*binned)).alias("b")).select("t", "train", "b.*")
     # all that r2 needs of the test rows of a bin are their count, sum and sum of squares
     cells = rows.groupBy("feature", "bin").agg(

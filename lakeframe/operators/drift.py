@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import unpivot
 from ..functions.ranks import running_sums
-from ..spec import SETTINGS, Settings
+from ..spec import SETTINGS, Problem, Settings
 
 
 def level_counts(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
@@ -86,37 +86,81 @@ def chi2_sf(x: float | None, df: float | None) -> float | None:
     return math.exp(log_front) * h
 
 
-def drift_report(df: DataFrame, side: str, numeric: list[str], categorical: list[str], settings: Settings = SETTINGS) -> DataFrame:
-    """A row for each feature with its statistic and p-value; refuses sides with too few rows."""
-    sizes = {r[side]: r["count"] for r in df.groupBy(side).count().collect()}  # two rows
-    if min(sizes.get("reference", 0), sizes.get("current", 0)) < settings.drift_min_rows or not numeric + categorical:
-        raise ValueError(f"drift needs {settings.drift_min_rows} rows on either side and a shared feature")
+#: Columns that may hold the prediction, in order of preference.
+PREDICTION_COLUMNS = ("prediction", "prediction_label", "y_pred", "predicted")
+
+
+def drift_statistics(df: DataFrame, side: str, numeric: list[str], categorical: list[str], settings: Settings = SETTINGS) -> DataFrame:
+    """A row for each column with its test, statistic, p-value and whether it drifted."""
     found = []
     if numeric:
         ks = ks_statistic(df, side, numeric)
-        found.append(ks.select("feature", F.lit("ks").alias("test"), F.col("d").alias("statistic"), kolmogorov_p(F.col("d"), F.col("n_ref"), F.col("n_cur")).alias("p")))
+        p = kolmogorov_p(F.col("d"), F.col("n_ref"), F.col("n_cur"))
+        found.append(ks.select("feature", F.lit("ks").alias("test"), F.col("d").alias("statistic"), F.lit(None).cast("long").alias("df"), p.alias("p")))
     if categorical:
         chi = chi_square(level_counts(df, side, categorical))
-        chi2_p = F.udf(chi2_sf, "double")  # on one row for each feature
-        found.append(chi.select("feature", F.lit("chi_square").alias("test"), "statistic", chi2_p("statistic", F.col("df").cast("double")).alias("p")))
+        chi2_p = F.udf(chi2_sf, "double")  # on one row for each column
+        found.append(chi.select("feature", F.lit("chi_square").alias("test"), "statistic", "df", chi2_p("statistic", F.col("df").cast("double")).alias("p")))
     return reduce(DataFrame.unionByName, found).withColumn("drifted", F.col("p") < settings.drift_p_value)
 
 
+def drift_report(reference: DataFrame, current: DataFrame, problem: Problem, settings: Settings = SETTINGS) -> DataFrame:
+    """drift_statistics of every declared column that both frames have by name, with its role.
+
+    Kinds come from the declaration; times are not tested, since time always passes. The target and the first of
+    PREDICTION_COLUMNS are tested too, in roles of their own. Frames of too few rows or without a shared feature are
+    refused: they would look like no drift.
+    """
+    shared = [c for c in reference.columns if c in set(current.columns)]
+    kinds = {f.name: f.kind for f in problem.features if f.name in shared and f.kind != "datetime"}
+    if not kinds:
+        raise ValueError(f"no declared feature is in both frames: {shared[:10]}")
+    least = min(reference.limit(settings.drift_min_rows).count(), current.limit(settings.drift_min_rows).count())
+    if least < settings.drift_min_rows:
+        raise ValueError(f"drift needs {settings.drift_min_rows} rows on either side")
+    roles = dict.fromkeys(kinds, "feature")
+    classes = problem.task == "classification"
+    if problem.target.name in shared:
+        kinds[problem.target.name], roles[problem.target.name] = "categorical" if classes else "numeric", "target"
+    prediction = next((c for c in PREDICTION_COLUMNS if c in shared and c not in kinds), None)
+    if prediction:
+        kinds[prediction], roles[prediction] = "categorical" if classes or prediction == "prediction_label" else "numeric", "prediction"
+    numeric = [c for c, k in kinds.items() if k == "numeric"]
+    both = reference.select(F.lit("reference").alias("_side"), *kinds).unionByName(current.select(F.lit("current").alias("_side"), *kinds))
+    found = drift_statistics(both, "_side", numeric, [c for c in kinds if c not in numeric], settings)
+    role = F.create_map(*[F.lit(x) for pair in roles.items() for x in pair])
+    return found.withColumn("role", role[F.col("feature")])
+
+
 def drift_verdict(report: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    share = F.avg(F.col("drifted").cast("double"))
+    """One row; the share is of features alone, target and prediction stand beside it with their p-values."""
+    feature = F.col("role") == "feature"
+    share = F.avg(F.when(feature, F.col("drifted").cast("double")))
     verdict = F.when(share >= settings.drift_block, "block").when(share >= settings.drift_warn, "warn").otherwise("pass")
-    return report.agg(F.count("*").alias("n_features"), share.alias("share"), verdict.alias("verdict"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("drifted"), F.col("feature")))), ",").alias("drifted"))
+    names = F.array_join(F.sort_array(F.collect_list(F.when(feature & F.col("drifted"), F.col("feature")))), ",")
+    of = {r: F.max(F.when(F.col("role") == r, F.col("p"))).alias(f"{r}_p") for r in ("target", "prediction")}
+    return report.agg(F.count_if(feature).alias("n_features"), share.alias("share"), verdict.alias("verdict"), names.alias("drifted"), *of.values())
+
 
+def drift_alerts(reports: DataFrame, settings: Settings = SETTINGS, metric_floor: float | None = None) -> DataFrame:
+    """Rules over report rows (run_id, n_rows, share, target_p, prediction_p, estimated_metric), worst first by rank.
 
-def drift_alerts(reports: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """Rules over report rows (run_id, n_rows, share, target_p, prediction_p); share rules fade on few rows."""
+    Rules on the share fade to info on few rows; the floor has no default, as it depends on the metric.
+    """
     few = F.col("n_rows") < settings.alert_min_rows
-    rules = F.array(
-        F.when(F.col("share") >= settings.drift_block, F.struct(F.when(few, "info").otherwise("block").alias("severity"), F.lit("share").alias("rule"))),
-        F.when((F.col("share") >= settings.drift_warn) & (F.col("share") < settings.drift_block), F.struct(F.when(few, "info").otherwise("warn").alias("severity"), F.lit("share").alias("rule"))),
-        F.when(F.col("target_p") < 0.01, F.struct(F.lit("warn").alias("severity"), F.lit("target").alias("rule"))),
-        F.when(F.col("prediction_p") < 0.01, F.struct(F.lit("warn").alias("severity"), F.lit("prediction").alias("rule"))),
-        F.when(few, F.struct(F.lit("info").alias("severity"), F.lit("small sample").alias("rule"))),
-    )
-    found = reports.select("run_id", F.explode(F.array_compact(rules)).alias("a")).select("run_id", "a.severity", "a.rule")
+
+    def rule(fires: Column, severity: Column, code: str, value: Column, threshold: float) -> Column:
+        return F.when(fires, F.struct(severity.alias("severity"), F.lit(code).alias("code"), value.cast("double").alias("value"), F.lit(float(threshold)).alias("threshold")))
+
+    share, warn = F.col("share"), F.lit("warn")
+    rules = [
+        rule(few, F.lit("info"), "drift.sample.small", F.col("n_rows"), settings.alert_min_rows),
+        rule(share >= settings.drift_block, F.when(few, "info").otherwise("block"), "drift.share.block", share, settings.drift_block),
+        rule((share >= settings.drift_warn) & (share < settings.drift_block), F.when(few, "info").otherwise("warn"), "drift.share.warn", share, settings.drift_warn),
+        rule(F.col("target_p") < 0.01, warn, "drift.target", F.col("target_p"), 0.01),
+        rule(F.col("prediction_p") < 0.01, warn, "drift.prediction", F.col("prediction_p"), 0.01),
+    ]
+    if metric_floor is not None:
+        rules.append(rule(F.col("estimated_metric") < metric_floor, warn, "perf.estimated.below_floor", F.col("estimated_metric"), metric_floor))
+    found = reports.select("run_id", F.explode(F.array_compact(F.array(*rules))).alias("a")).select("run_id", "a.*")
     return found.withColumn("rank", F.when(F.col("severity") == "block", 0).when(F.col("severity") == "warn", 1).otherwise(2))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import unpivot
-from ..functions.ranks import AT_ONCE, exact_quantiles, higher_rank, order_statistics, running_sums
+from ..functions.exprs import by_direction, unpivot
+from ..functions.ranks import AT_ONCE, digitize, exact_quantiles, global_row_number, higher_rank, order_statistics, running_sums
 from ..spec import SETTINGS, Settings
 
+#: Names of metrics, and whether a larger value is better.
 HIGHER_IS_BETTER = {
     "r2": True, "rmse": False, "mae": False, "median_ae": False, "mape": False, "accuracy": True, "balanced_accuracy": True,
-    "macro_f1": True, "macro_precision": True, "macro_recall": True, "log_loss": False, "roc_auc": True, "brier": False, "ece": False,
+    "f1_macro": True, "precision": True, "recall": True, "roc_auc": True, "log_loss": False, "brier_score": False, "expected_calibration_error": False, "max_calibration_error": False,
 }
 
 
@@ -45,8 +46,8 @@ def classification_metrics(df: DataFrame, truth: str, predicted: str) -> DataFra
     per = per.withColumn("recall", recall).withColumn("precision", F.coalesce(precision, F.lit(0.0)))
     f1 = 2 * F.col("tp") / (F.col("true") + F.col("pred"))
     return per.agg(
-        (F.sum("tp") / F.sum("true")).alias("accuracy"), F.avg("recall").alias("balanced_accuracy"), F.avg(f1).alias("macro_f1"),
-        F.avg("precision").alias("macro_precision"), F.avg(F.coalesce("recall", F.lit(0.0))).alias("macro_recall"), F.count("*").alias("n_classes"),
+        (F.sum("tp") / F.sum("true")).alias("accuracy"), F.avg("recall").alias("balanced_accuracy"), F.avg(f1).alias("f1_macro"),
+        F.avg("precision").alias("precision"), F.avg(F.coalesce("recall", F.lit(0.0))).alias("recall"), F.count("*").alias("n_classes"),
     )
 
 
@@ -105,18 +106,69 @@ def band_label(c: str, edges: list[float]) -> Column:
     """"q1 (a, b]" and so on; the first band includes its least value; null stays null."""
     label = F.lit(None).cast("string")
     for i in range(len(edges) - 2, -1, -1):
-        label = F.when(F.col(c) <= edges[i + 1], F.lit(f"q{i + 1}")).otherwise(label)
+        label = F.when(F.col(c) <= edges[i + 1], F.lit(f"q{i + 1} ({edges[i]:g}, {edges[i + 1]:g}]")).otherwise(label)
     return F.when(F.col(c).isNotNull(), label)
 
 
-def slice_report(df: DataFrame, categorical: list[str], numeric: list[str], y: str, p: str, settings: Settings = SETTINGS) -> DataFrame:
-    """r2 of every level and band of every feature, in one shuffle; small or undefined slices are skipped, not dropped."""
-    edges = quantile_bands(df, numeric)
-    banded = df.select(y, p, *categorical, *[band_label(c, edges[c]).alias(c) for c in numeric])
-    long = unpivot(banded, [y, p], [*categorical, *numeric], "feature", "level").where("level is not null")
-    made = long.groupBy("feature", "level").agg(F.count("*").alias("n_rows"), r2(y, p).alias("value"))
-    reason = F.when(F.col("n_rows") < settings.slice_min_rows, "too few rows").when(F.col("value").isNull(), "undefined")
-    return made.withColumn("skipped", reason).withColumn("value", F.when(F.col("skipped").isNull(), F.col("value")))
+def slice_report(df: DataFrame, levels: dict[str, tuple[str, ...]], numeric: list[str], y: str, p: str, metric: str = "r2", settings: Settings = SETTINGS) -> DataFrame:
+    """The metric (r2, mae, rmse or accuracy) of every level and band of every feature, in one shuffle.
+
+    levels names categorical and boolean features with the levels they declare; numeric ones go by quantile bands,
+    those without two distinct values not at all. Slices that are small, undefined or declared but absent are skipped,
+    not dropped. gap is how much worse than over all rows; is_worst marks the worst measured slice.
+    """
+    error = F.abs(F.col(y) - F.col(p)) if metric != "accuracy" else None
+    value = {"r2": lambda: r2(y, p), "mae": lambda: F.avg(error), "rmse": lambda: F.sqrt(F.avg(error * error)), "accuracy": lambda: F.avg((F.col(y) == F.col(p)).cast("double"))}[metric]()
+    edges = quantile_bands(df, numeric) if numeric else {}
+    banded = df.select(y, p, *levels, *[band_label(c, edges[c]).alias(c) for c in numeric if len(edges[c]) > 2], F.lit("all").alias("(overall)"))
+    long = unpivot(banded, [y, p], [c for c in banded.columns if c not in (y, p)], "feature", "level").where("level is not null")
+    made = long.groupBy("feature", "level").agg(F.count("*").alias("n_rows"), value.alias("value"))
+    declared = [(f, level) for f, names in levels.items() for level in names]
+    if declared:
+        made = made.join(F.broadcast(df.sparkSession.createDataFrame(declared, "feature string, level string")), ["feature", "level"], "full_outer").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    everything = Window.partitionBy()  # a row for each slice
+    sign = 1 if HIGHER_IS_BETTER[metric] else -1
+    reason = F.when(F.col("n_rows") == 0, "absent").when(F.col("n_rows") < settings.slice_min_rows, "too few rows").when(F.col("value").isNull(), "undefined")
+    made = made.withColumn("overall", F.max(F.when(F.col("feature") == "(overall)", F.col("value"))).over(everything)).where(F.col("feature") != "(overall)").withColumn("skipped", reason)
+    made = made.withColumn("value", F.when(F.col("skipped").isNull(), F.col("value"))).withColumn("gap", sign * (F.col("overall") - F.col("value")))
+    return made.withColumn("is_worst", F.coalesce(F.col("gap") == F.max("gap").over(everything), F.lit(False)))
+
+
+def score(df: DataFrame, task: str, y: str, p: str, primary: str | None = None) -> DataFrame:
+    """(metric, value, higher_is_better, is_primary) for a regression or classification; an unmeasured primary is refused."""
+    found = {"regression": regression_metrics, "classification": classification_metrics}[task](df, y, p)
+    names = [c for c in found.columns if c in HIGHER_IS_BETTER]
+    primary = primary or {"regression": "r2", "classification": "accuracy"}[task]
+    if primary not in names:
+        raise ValueError(f"the primary metric {primary!r} is not measured here: {names}")
+    long = unpivot(found, [], names, "metric", "value", "double")
+    return long.select("metric", "value", (by_direction("metric", HIGHER_IS_BETTER) > 0).alias("higher_is_better"), (F.col("metric") == primary).alias("is_primary"))
+
+
+def reliability(df: DataFrame, confidence: Column, hit: Column, edges: list[float]) -> DataFrame:
+    """(bin, n, confidence, accuracy) of bins [low, high), the last one closed, between the edges; empty bins are absent."""
+    inner = sorted(set(edges))[1:-1]
+    rows = df.select(digitize(confidence, inner).alias("bin"), confidence.alias("c"), hit.cast("double").alias("hit"))
+    return rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("c").alias("confidence"), F.avg("hit").alias("accuracy"))
+
+
+def rolling_residuals(df: DataFrame, prediction: str, residual: str, key: str, least: int = 15) -> DataFrame:
+    """key, rolling_mean, rolling_std of the residual over max(least, n // 20) rows around, in the order of the prediction.
+
+    Both come from running sums over the order of all rows, so a row needs only those at both ends of its window.
+    """
+    numbered = global_row_number(df.select(key, prediction, F.col(residual).alias("_e")), prediction, [key]).withColumn("_ee", F.col("_e") * F.col("_e"))
+    summed = running_sums(numbered, [], "rn", ["_e", "_ee"])
+    n = summed.count()
+    window = max(least, n // 20)
+    ends = F.greatest(F.col("rn") - window // 2 - 1, F.lit(0)).alias("_from"), F.least(F.col("rn") + (window - 1) // 2, F.lit(n)).alias("_to")
+    at = summed.select("rn", "cum__e", "cum__ee")
+    first, last = (at.select(F.col("rn").alias(f"_{x}"), F.col("cum__e").alias(f"_e_{x}"), F.col("cum__ee").alias(f"_ee_{x}")) for x in ("from", "to"))
+    joined = summed.select(key, "rn", *ends).join(last, "_to").join(first, "_from", "left")
+    m = F.col("_to") - F.col("_from")
+    total, squares = F.col("_e_to") - F.coalesce("_e_from", F.lit(0.0)), F.col("_ee_to") - F.coalesce("_ee_from", F.lit(0.0))
+    enough = m >= max(5, window // 3)
+    return joined.select(key, F.when(enough, total / m).alias("rolling_mean"), F.when(enough, F.sqrt(F.greatest(F.lit(0.0), squares - total * total / m) / (m - 1))).alias("rolling_std"))
 
 
 def equal_width(c: Column, low: float | Column, high: float | Column, bins: int) -> Column:

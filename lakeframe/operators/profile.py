@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import unpivot
 from ..functions.ranks import exact_quantiles
+from ..spec import SETTINGS, Settings
 
 
 def profile_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -39,6 +40,27 @@ def top_levels(df: DataFrame, columns: list[str], limit: int = 10) -> DataFrame:
     return counted.withColumn("share", F.col("n") / total).where("level is not null").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
 
 
+def time_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, earliest, latest) of times."""
+    one = df.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("earliest"), F.max(c).alias("latest")).alias(c) for c in columns])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("r")) for c in columns])).alias("x")).select("x.column", "x.r.n", "x.r.earliest", "x.r.latest")
+
+
+def findings(df: DataFrame, columns: list[str], settings: Settings = SETTINGS) -> DataFrame:
+    """(column, finding) for columns that are constant, mostly null or like ids; one aggregation."""
+    one = df.agg(F.count("*").alias("n"), *[F.struct(F.count(c).alias("known"), F.count_distinct(c).alias("u")).alias(c) for c in columns])
+    long = one.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("r")) for c in columns])).alias("x")).select("n", "x.column", "x.r.known", "x.r.u")
+    n = F.col("n")
+    finding = F.when(F.col("u") <= 1, "constant").when(1 - F.col("known") / n >= settings.high_null_share, "mostly null").when(F.col("u") / n >= settings.high_cardinality_share, "id-like")
+    return long.where("n > 0").select("column", finding.alias("finding")).where("finding is not null")
+
+
+def level_counts(df: DataFrame, column: str) -> DataFrame:
+    """One row: how many rows and levels, and "level=count" of each, in order."""
+    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("level")).agg(F.count("*").alias("m"))
+    return counted.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.count("*").alias("n_levels"), F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "level", "m"))), ",").alias("text"))
+
+
 def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows beyond the first copy; only hashes of rows are shuffled."""
     hashed = df.select(F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in columns]), 256).alias("h"))

@@ -28,11 +28,22 @@ def freeze(df: DataFrame, path: str) -> DataFrame:
 
 
 def parse_front_matter(df: DataFrame, text: str, tag_separator: str = ",") -> DataFrame:
-    """meta (key to value), tags and body of texts that begin with a block of "key: value" lines between "---" lines."""
+    """meta (key to value), tags and body of texts that begin with a block of "key: value" lines between "---" lines.
+
+    Texts without such a block, or whose block is never closed, are skipped.
+    """
+    whole = df.where(F.col(text).rlike(r"(?s)\A---\n.*?\n---"))
     block = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---", 1)
     meta = F.str_to_map(block, F.lit("\n"), F.lit(": "))
     tags = F.split(F.regexp_extract(F.element_at(meta, "tags"), r"(?s)\A\[(.*)\]\Z", 1), tag_separator)
-    return df.withColumn("meta", meta).withColumn("tags", tags).withColumn("body", F.regexp_replace(text, r"(?s)\A---\n.*?\n---", ""))
+    return whole.withColumn("meta", meta).withColumn("tags", tags).withColumn("body", F.regexp_replace(text, r"(?s)\A---\n.*?\n---", ""))
+
+
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """(id, meta, tags, body) of the markdown files under path, by id: that of the front matter, else the file's name."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("_name"), F.regexp_replace("value", "\r\n", "\n").alias("text"))
+    parsed = parse_front_matter(files, "text")
+    return parsed.select(F.coalesce(F.element_at("meta", "id"), "_name").alias("id"), "meta", F.transform("tags", F.trim).alias("tags"), F.trim(F.regexp_replace("body", r"\A\n+|\n+\Z", "")).alias("body")).orderBy("id")
 
 
 def find_records(df: DataFrame, equal: dict[str, str], text_columns: list[str], substring: str, time: str, key: str, newest: bool = True, limit: int = 25) -> DataFrame:

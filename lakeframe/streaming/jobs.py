@@ -41,15 +41,21 @@ def dedupe_inputs(stream: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def drift_per_batch(reference: DataFrame, out: str, columns: list[str], least: int = SETTINGS.alert_min_rows) -> Callable[[DataFrame, int], None]:
-    """For each micro-batch of enough rows, the statistics against a frozen reference, appended as parquet."""
+    """For each micro-batch of enough rows: statistics against a frozen reference, verdict and alerts, appended as parquet."""
 
     def judge(batch: DataFrame, number: int) -> None:
         rows = batch.select(*columns)
-        if rows.count() < least:
+        n = rows.count()
+        if n < least:
             return
         both = reference.select(F.lit("reference").alias("side"), *columns).unionByName(rows.select(F.lit("current").alias("side"), *columns))
-        found = drift.drift_report(both, "side", columns, [])
-        found.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        found = drift.drift_statistics(both, "side", columns, []).withColumn("role", F.lit("feature")).persist()
+        verdict = drift.drift_verdict(found)
+        reports = verdict.select(F.lit(str(number)).alias("run_id"), F.lit(n).alias("n_rows"), "share", "target_p", "prediction_p")
+        codes = drift.drift_alerts(reports).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "severity", "code"))), ",").alias("alerts"))
+        one = verdict.select("share", "verdict").crossJoin(codes)  # one row each
+        found.crossJoin(one).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        found.unpersist()
 
     return judge
 
