@@ -3,31 +3,46 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import fresh_path
-from ..operators import contract, learn
-from ..operators.world import generate_world as world
+from ..operators import contract, learn, split
 from ..streaming import jobs as stream
-from .frames import LINE, LOG_SQL, line, prediction_log, read, series
+from .frames import LINE, LOG_SQL, SEED, classes, line, prediction_log, read, series
 from .registry import job
 
 
 @job()
 def contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One verdict row: schema, leakage and learnability of the frame."""
-    df = line(spark, sf_dir)
-    broken = contract.violations(df, LINE, "key").agg(F.count("*").alias("n_violations"))
-    leaks = contract.correlations(df, ["l_quantity", "l_discount", "l_tax", "p_size"], "y").where("correlation >= 0.98").agg(F.count("*").alias("n_leaks"))
-    probe = learnability(spark, sf_dir).select("r2", "learnable", "too_easy")
-    one = broken.crossJoin(leaks).crossJoin(probe)  # one row each
-    return one.withColumn("ok", F.expr("n_violations = 0 and n_leaks = 0 and learnable and not too_easy"))
+    """One verdict row: columns, contract, leakage and learnability of the frame, the most telling failure first."""
+    df = line(spark, sf_dir).drop("l_extendedprice").withColumnRenamed("l_tax", "tax")  # one declared column is missing
+    leaks = contract.correlations(df, ["l_quantity", "l_discount", "p_size"], "y").where("correlation >= 0.98")
+    probe = learn.learnability(df, _LEVELS, _NUMBERS, "y", "key")
+    return contract.contract_verdict(df, LINE, "key", leaks, probe)
+
+
+_LEVELS, _NUMBERS = ["l_returnflag", "o_orderpriority"], ["l_quantity", "l_discount", "p_size"]
 
 
 @job()
 def learnability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learn.learnability(line(spark, sf_dir), ["l_returnflag", "o_orderpriority"], ["l_quantity", "l_discount", "p_size"], "y", "key")
+    return learn.learnability(line(spark, sf_dir), _LEVELS, _NUMBERS, "y", "key")
+
+
+@job()
+def learnability_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for classes: accuracy against the floor, or the share of the commonest class if that is higher."""
+    return learn.learnability_classes(classes(line(spark, sf_dir)), _LEVELS, _NUMBERS, "truth", "key")
+
+
+@job()
+def cross_validate_estimator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a given estimator in every fold."""
+    df = line(spark, sf_dir).select("key", "l_returnflag", "y", *_NUMBERS).na.fill(0.0, _NUMBERS)
+    folded = split.cv_folds(df, "key", SEED, 3, stratum="l_returnflag")
+    return learn.cross_validate(folded, lambda: LinearRegression(labelCol="y", regParam=0.1), ["l_returnflag"], _NUMBERS, "y")
 
 
 @job()
@@ -60,15 +75,8 @@ def copula_synthesize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job()
 def global_ml_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learn.global_forecast(series(spark, sf_dir), 14)
-
-
-@job()
-def generate_world(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many shipments as there are orders, with their carriers and number of readings."""
-    made = world(spark, read(spark, sf_dir, "orders").count())
-    readings = made["reading"].groupBy("shipment_id").agg(F.count("*").alias("n_readings"), F.round(F.avg("temperature_c"), 4).alias("mean_temperature"))
-    return made["shipment"].join(F.broadcast(made["carrier"]), "carrier_id").join(readings, "shipment_id", "left")  # 40 carriers
+    """Every candidate's forecasts of the next days, each one model over all series."""
+    return learn.global_forecasts(series(spark, sf_dir), 14)
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_normal, hash_uniform, rounded, unpivot
 from ..functions.ranks import digitize, exact_quantiles, global_row_number
-from ..operators import drift, forecast, measure, split
-from ..operators.latent import Driver
+from ..functions.storage import fresh_path
+from ..operators import drift, forecast, measure, noise, profile, split
+from ..operators.stress import average_ranks
+from ..sources import io
 from .frames import CLASSES, HOLES_SQL, LINE_SQL, MODEL, SCORER, SEED, SERIES_SQL, SIGMA, _uniform, holes, line, read, series
 from .registry import job
 
@@ -60,6 +62,22 @@ def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.cv_folds(line(spark, sf_dir), "key", SEED, 5, stratum="l_returnflag").select("key", "fold")
 
 
+@job(f"""
+    WITH {LINE_SQL}, o AS (SELECT key, row_number() OVER (ORDER BY l_shipdate, key) AS rn, count(*) OVER () AS n FROM line)
+    SELECT key, greatest(floor((rn - 1 - (n - 5 * (n // 6))) / (n // 6)), -1)::INT AS fold FROM o""")
+def cv_folds_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expanding folds in the order of time."""
+    return split.cv_folds(line(spark, sf_dir).select("key", "l_shipdate"), "key", SEED, 5, time="l_shipdate").select("key", "fold")
+
+
+@job(f"""
+    WITH g AS (SELECT DISTINCT l_partkey AS g FROM lineitem), r AS (SELECT g, row_number() OVER (ORDER BY {_uniform("g", SEED, "fold")}, g) AS rn FROM g)
+    SELECT l_partkey, (rn % 5)::INT AS fold, count(*) AS n_rows FROM lineitem JOIN r ON g = l_partkey GROUP BY 1, 2""")
+def cv_folds_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = split.cv_folds(read(spark, sf_dir, "lineitem").select("l_partkey"), "l_partkey", SEED, 5, group="l_partkey")
+    return folded.groupBy("l_partkey", "fold").agg(F.count("*").alias("n_rows"))
+
+
 _FOLDED = f"{LINE_SQL}, r AS (SELECT *, {_rank_sql('l_returnflag', 'fold')}), f AS (SELECT *, (rn % 5)::INT AS fold FROM r)"
 
 
@@ -89,7 +107,7 @@ _NESTED_CELLS = " UNION ALL ".join(f"SELECT '{c}' AS candidate, {c} AS g, fold,
     i AS (SELECT candidate, g, outer_fold, fold, n, s, ss, (sum(s) OVER w - s) / nullif(sum(n) OVER w - n, 0) AS fit FROM c JOIN o ON fold <> outer_fold WINDOW w AS (PARTITION BY candidate, g, outer_fold)),
     q AS (SELECT candidate, outer_fold, fold, 1 - sum(ss - 2 * fit * s + n * fit * fit) / (sum(ss) - sum(s) * sum(s) / sum(n)) AS r2 FROM i GROUP BY ALL),
     b AS (SELECT candidate, outer_fold, avg(r2) AS r2 FROM q GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY outer_fold ORDER BY round(r2, 9) DESC, candidate) AS nth FROM b)
-    SELECT outer_fold, candidate, round(r2, 6) AS inner_r2 FROM p WHERE nth = 1""")
+    SELECT outer_fold, candidate, round(r2, 6) AS inner_r2, count(*) OVER (PARTITION BY candidate) AS n_chosen FROM p WHERE nth = 1""")
 def nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidate that the inner folds choose for each outer fold; all from one table of cells."""
     df = split.cv_folds(line(spark, sf_dir), "key", SEED, 5, stratum="l_returnflag")
@@ -104,7 +122,8 @@ def nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = fitted.groupBy("candidate", "outer_fold", "fold").agg((1 - error / (F.sum("ss") - F.sum("s") * F.sum("s") / F.sum("n"))).alias("r2"))
     mean = scores.groupBy("candidate", "outer_fold").agg(F.avg("r2").alias("r2"))
     nth = F.row_number().over(Window.partitionBy("outer_fold").orderBy(F.desc(F.round("r2", 9)), "candidate"))
-    return mean.withColumn("nth", nth).where("nth = 1").select("outer_fold", "candidate", rounded("r2").alias("inner_r2"))
+    chosen = mean.withColumn("nth", nth).where("nth = 1")  # a row for each outer fold
+    return chosen.select("outer_fold", "candidate", rounded("r2").alias("inner_r2"), F.count("*").over(Window.partitionBy("candidate")).alias("n_chosen"))
 
 
 @job(f"WITH {LINE_SQL} SELECT key, round(signal, 6) AS signal FROM line")
@@ -112,17 +131,6 @@ def latent_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line(spark, sf_dir).select("key", rounded(MODEL.signal()).alias("signal"))
 
 
-@job("""
-    SELECT o_orderkey, round(least(greatest(34.0 + CASE o_orderpriority WHEN '1-URGENT' THEN 9.0 WHEN '5-LOW' THEN -6.0 ELSE 0 END + CASE o_orderstatus WHEN 'F' THEN -4.0 WHEN 'P' THEN 5.0 ELSE 0 END
-        + 12.0 * tanh((o_totalprice - 150000) / 100000) + CASE WHEN o_orderstatus = 'O' THEN 0.00002 * o_totalprice ELSE 0 END, 0), 100), 6) AS risk FROM orders""")
-def domain_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A worked latent model: level tables, a shaped driver and a gated interaction, clamped."""
-    from ..operators.latent import Interaction, LatentModel, Levels
-
-    model = LatentModel(34.0, (Levels("o_orderpriority", {"1-URGENT": 9.0, "5-LOW": -6.0}), Levels("o_orderstatus", {"F": -4.0, "P": 5.0}), Driver("o_totalprice", 12.0, "tanh", 150000.0, 100000.0), Interaction("o_totalprice", "o_orderstatus", 0.00002, "O")), 0.0, 100.0)
-    return read(spark, sf_dir, "orders").select("o_orderkey", rounded(model.signal()).alias("risk"))
-
-
 @job(f"WITH {LINE_SQL} SELECT key, round(pred, 6) AS y_pred, round(1 / (1 + exp(-(pred - 36) / 5)), 6) AS y_pred_proba FROM line")
 def score_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line(spark, sf_dir).select("key", rounded(SCORER.signal()).alias("y_pred"), rounded(1 / (1 + F.exp(-(SCORER.signal() - 36) / 5))).alias("y_pred_proba"))
@@ -134,13 +142,7 @@ def score_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 def average_pct_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average-tie rank over n, from the distinct values."""
     df = line(spark, sf_dir)
-    return df.join(_pct_ranks(df, "p_size"), "p_size", "left").select("key", rounded(F.coalesce("pct", F.lit(0.5))).alias("pct_rank"))
-
-
-def _pct_ranks(df: DataFrame, column: str) -> DataFrame:
-    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
-    numbered = values.withColumn("cum", F.sum("c").over(Window.orderBy(column)))  # distinct values of a declared, coarse column
-    return numbered.select(column, ((F.col("cum") - F.col("c") + (F.col("c") + 1) / 2) / F.sum("c").over(Window.partitionBy())).alias("pct"))
+    return df.join(average_ranks(df, "p_size"), "p_size", "left").select("key", rounded(F.coalesce("pct", F.lit(0.5))).alias("pct_rank"))
 
 
 _CUT_SQL = "c AS (SELECT quantile_cont(signal, 0.5102040816326531) AS c1, quantile_cont(signal, 0.8163265306122449) AS c2 FROM line)"
@@ -174,13 +176,22 @@ def boundary_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("key", F.when(F.col("rn") <= round(0.02 * n), other).otherwise(label).alias("label"))
 
 
+_CONFOUNDER = f"(sqrt(-2 * ln(greatest({_uniform('key', SEED, 'confounder.u')}, 1e-12))) * cos(2 * pi() * {_uniform('key', SEED, 'confounder.v')}))"
+
+
 @job(f"""
-    WITH {LINE_SQL}, v AS (SELECT var_pop(signal) AS v FROM line), b AS (SELECT v, v * (1 - 0.74) / 0.74 AS budget FROM v)
-    SELECT round(v, 6) AS signal_variance, round(sqrt(budget * (1 - 0.4)), 6) AS sigma, round(sqrt(budget * 0.4), 6) AS confounder_std, round(v / (v + budget), 6) AS ceiling FROM b""")
+    WITH {LINE_SQL}, v AS (SELECT var_pop(signal) AS v, stddev_pop(2.5 * {_CONFOUNDER}) AS raw FROM line), b AS (SELECT v, raw, v * (1 - 0.74) / 0.74 AS budget FROM v), s AS (SELECT *, sqrt(budget * (1 - 0.4)) AS sigma FROM b)
+    SELECT round(v, 6) AS signal_variance, round(sigma, 6) AS sigma, round(sigma * sqrt(0.4 / 0.6) / raw, 6) AS confounder_scale, round(budget * 0.4, 6) AS confounder_variance, round(v / (v + budget), 6) AS ceiling FROM s""")
 def calibrate_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Noise that brings a declared r2 about: a budget of variance, part of it for confounders."""
-    one = line(spark, sf_dir).agg(F.var_pop("signal").alias("v")).withColumn("budget", F.col("v") * (1 - 0.74) / 0.74)
-    return one.select(rounded("v").alias("signal_variance"), rounded(F.sqrt(F.col("budget") * (1 - 0.4))).alias("sigma"), rounded(F.sqrt(F.col("budget") * 0.4)).alias("confounder_std"), rounded(F.col("v") / (F.col("v") + F.col("budget"))).alias("ceiling"))
+    """Noise that brings a declared r2 about: a budget of variance, part of it for a confounder of any raw spread."""
+    found = noise.regression_budget(line(spark, sf_dir), F.col("signal"), 2.5 * hash_normal("key", SEED, "confounder"), 0.74, 0.4)
+    return found.select(*[rounded(c).alias(c) for c in ("signal_variance", "sigma", "confounder_scale", "confounder_variance", "ceiling")])
+
+
+@job()
+def calibrate_noise_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise at which a declared share of rows keeps its class, found by bisection."""
+    return noise.classification_sigma(line(spark, sf_dir), F.col("signal"), hash_normal("key", SEED, "target"), list(_CUM), 0.84)
 
 
 _BM = f"(sqrt(-2 * ln(greatest({_uniform('key', SEED, 'target.u')}, 1e-12))) * cos(2 * pi() * {_uniform('key', SEED, 'target.v')}))"
@@ -188,15 +199,18 @@ _BM = f"(sqrt(-2 * ln(greatest({_uniform('key', SEED, 'target.u')}, 1e-12))) * c
 
 @job(f"""
     WITH {LINE_SQL}, g AS (SELECT p_size AS v, count(*) AS c FROM line GROUP BY 1), r AS (SELECT v, (sum(c) OVER (ORDER BY v) - c + (c + 1) / 2) / sum(c) OVER () AS pct FROM g WHERE v IS NOT NULL),
-    m AS (SELECT key, signal, pow(1.5, 2 * coalesce(pct, 0.5) - 1) AS m FROM line LEFT JOIN r ON p_size = v), s AS (SELECT sqrt(avg(m * m)) AS s FROM m)
-    SELECT key, round(least(greatest(signal + {SIGMA} * m / s * {_BM}, 0), 100), 5) AS target FROM m, s""")
+    m AS (SELECT key, signal, pow(1.5, 2 * coalesce(pct, 0.5) - 1) AS m FROM line LEFT JOIN r ON p_size = v), s AS (SELECT sqrt(avg(m * m)) AS s FROM m),
+    n AS (SELECT key, signal + 1.5 * {_CONFOUNDER} + {SIGMA} * m / s * {_BM} AS score FROM m, s), c AS (SELECT quantile_cont(score, {_CUM[0]}) AS c1, quantile_cont(score, {_CUM[1]}) AS c2 FROM n)
+    SELECT key, round(least(greatest(score, 0), 100), 5) AS target, ((score >= c1)::INT + (score >= c2)::INT) AS label FROM n, c""")
 def attach_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signal and noise that grows with a driver's rank, its mean square kept at one."""
+    """Signal, a confounder, and noise that grows with a driver's rank, its mean square kept at one; cut into classes too."""
     df = line(spark, sf_dir)
-    spread = df.join(_pct_ranks(df, "p_size"), "p_size", "left").withColumn("m", F.pow(F.lit(1.5), 2 * F.coalesce("pct", F.lit(0.5)) - 1))
+    spread = df.join(average_ranks(df, "p_size"), "p_size", "left").withColumn("m", F.pow(F.lit(1.5), 2 * F.coalesce("pct", F.lit(0.5)) - 1))
     scale = spread.agg(F.sqrt(F.avg(F.col("m") * F.col("m"))).alias("s"))  # one row
-    noisy = F.col("signal") + SIGMA * F.col("m") / F.col("s") * hash_normal("key", SEED, "target")
-    return spread.join(F.broadcast(scale)).select("key", F.round(F.least(F.greatest(noisy, F.lit(0.0)), F.lit(100.0)), 5).alias("target"))
+    noisy = F.col("signal") + 1.5 * hash_normal("key", SEED, "confounder") + SIGMA * F.col("m") / F.col("s") * hash_normal("key", SEED, "target")
+    scored = spread.join(F.broadcast(scale)).select("key", noisy.alias("score"))
+    cuts = exact_quantiles(scored, ["score"], _CUM)["score"]
+    return scored.select("key", F.round(F.least(F.greatest("score", F.lit(0.0)), F.lit(100.0)), 5).alias("target"), digitize(F.col("score"), cuts).alias("label"))
 
 
 @job(f"WITH {LINE_SQL}, {HOLES_SQL} SELECT key, round(l_tax, 6) AS l_tax FROM holed")
@@ -205,29 +219,21 @@ def inject_missingness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @job(f"""
-    WITH {LINE_SQL}, q AS (SELECT quantile_cont(p_size, 0.25) AS lo, quantile_cont(p_size, 0.75) AS hi FROM line), e AS (SELECT y - signal AS e, * FROM line)
-    SELECT count(*) AS n, round(1 - sum(e * e) / (count(*) * var_pop(y)), 6) AS oracle_r2, round(var_pop(e) / var_pop(signal), 6) AS noise_to_signal, round(stddev_pop(e) FILTER (p_size >= hi) / stddev_pop(e) FILTER (p_size <= lo), 6) AS heteroscedasticity,
-        round((1 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y))) / (1 - sum(e * e) / (count(*) * var_pop(y))), 6) AS headroom FROM e, q""")
+    WITH {LINE_SQL}, {HOLES_SQL}, q AS (SELECT quantile_cont(p_size, 0.25) AS lo, quantile_cont(p_size, 0.75) AS hi FROM line), e AS (SELECT y - signal AS e, * FROM holed),
+    b AS (SELECT string_agg(label || '=' || n, ',' ORDER BY label) AS class_balance FROM (SELECT CASE WHEN y < 32 THEN 'low' WHEN y < 40 THEN 'mid' ELSE 'high' END AS label, count(*) AS n FROM line GROUP BY 1))
+    SELECT count(*) AS n, round(1 - sum(e * e) / (count(*) * var_pop(y)), 6) AS oracle_r2, round(sqrt(var_pop(e) / var_pop(signal)), 6) AS noise_to_signal, round(stddev_pop(e) FILTER (p_size >= hi) / stddev_pop(e) FILTER (p_size <= lo), 6) AS heteroscedasticity,
+        round((1 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y))) / (1 - sum(e * e) / (count(*) * var_pop(y))), 6) AS headroom, round(1 - count(l_tax) / count(*), 6) AS missing_l_tax,
+        round(0.4 * var_pop(e) / (var_pop(signal) + var_pop(e)), 6) AS confounder_share, any_value(class_balance) AS class_balance FROM e, q, b""")
 def realism_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = line(spark, sf_dir).withColumn("e", F.col("y") - F.col("signal"))
+    """What the signal explains, how wide the rest is and where, what is missing, and how classes are balanced."""
+    df = holes(line(spark, sf_dir)).withColumn("e", F.col("y") - F.col("signal")).withColumn("label", F.when(F.col("y") < 32, "low").when(F.col("y") < 40, "mid").otherwise("high"))
     low, high = exact_quantiles(df, ["p_size"], [0.25, 0.75])["p_size"]
     oracle, spread = measure.r2("y", "signal"), F.stddev_pop(F.when(F.col("p_size") >= high, F.col("e"))) / F.stddev_pop(F.when(F.col("p_size") <= low, F.col("e")))
-    return df.agg(F.count("*").alias("n"), rounded(oracle).alias("oracle_r2"), rounded(F.var_pop("e") / F.var_pop("signal")).alias("noise_to_signal"), rounded(spread).alias("heteroscedasticity"), rounded(measure.r2("y", "pred") / oracle).alias("headroom"))
-
-
-@job(f"""
-    WITH {LINE_SQL}, s AS (SELECT stddev_samp(l_quantity) AS sd FROM line), lv AS (SELECT l_returnflag AS lv FROM line GROUP BY 1 ORDER BY count(*), 1 LIMIT 1),
-    x AS (SELECT key, l_returnflag, l_quantity * 1.5 + 0.5 * sd AS q, 1 AS copy FROM line, s UNION ALL SELECT key, l_returnflag, l_quantity * 1.5 + 0.5 * sd, c FROM line, s, lv, (SELECT unnest([2, 3]) AS c) WHERE l_returnflag = lv)
-    SELECT l_returnflag, count(*) AS n, round(avg(q), 6) AS mean_quantity, count(DISTINCT copy) AS copies FROM x GROUP BY 1""")
-def stress_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers moved by half their deviation and half more, the rarest level tripled."""
-    df = line(spark, sf_dir)
-    sd = df.agg(F.stddev_samp("l_quantity").alias("sd"))  # one row
-    rarest = df.groupBy("l_returnflag").count().orderBy("count", "l_returnflag").limit(1).select(F.col("l_returnflag").alias("rare"))
-    moved = df.join(F.broadcast(sd)).withColumn("q", F.col("l_quantity") * 1.5 + 0.5 * F.col("sd")).join(F.broadcast(rarest))
-    copies = F.when(F.col("l_returnflag") == F.col("rare"), F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(1)))
-    tripled = moved.select("l_returnflag", "q", F.explode(copies).alias("copy"))
-    return tripled.groupBy("l_returnflag").agg(F.count("*").alias("n"), rounded(F.avg("q")).alias("mean_quantity"), F.count_distinct("copy").alias("copies"))
+    one = df.agg(
+        F.count("*").alias("n"), rounded(oracle).alias("oracle_r2"), rounded(F.sqrt(F.var_pop("e") / F.var_pop("signal"))).alias("noise_to_signal"), rounded(spread).alias("heteroscedasticity"), rounded(measure.r2("y", "pred") / oracle).alias("headroom"),
+        rounded(1 - F.count("l_tax") / F.count("*")).alias("missing_l_tax"), rounded(0.4 * F.var_pop("e") / (F.var_pop("signal") + F.var_pop("e"))).alias("confounder_share"),
+    )
+    return one.crossJoin(profile.level_counts(df, "label").select(F.col("text").alias("class_balance")))  # one row each
 
 
 @job("""
@@ -263,8 +269,10 @@ def _novelty(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataF
     WITH {LINE_SQL}, b AS (SELECT 'real' AS side, l_quantity, p_size, l_returnflag FROM line UNION ALL SELECT 'synthetic', CASE WHEN {_uniform('key', SEED, 'q')} < 0.2 THEN 50 ELSE l_quantity END, p_size, CASE WHEN {_uniform('key', SEED, 'f')} < 0.1 THEN 'A' ELSE l_returnflag END FROM line),
     g AS (SELECT l_quantity AS v, count(*) FILTER (side = 'real') AS r, count(*) FILTER (side = 'synthetic') AS s FROM b GROUP BY 1), k AS (SELECT max(abs(fr - fs)) AS d FROM (SELECT sum(r) OVER (ORDER BY v) / sum(r) OVER () AS fr, sum(s) OVER (ORDER BY v) / sum(s) OVER () AS fs FROM g)),
     t AS (SELECT sum(abs(r / tr - s / ts)) / 2 AS tv FROM (SELECT l_returnflag, count(*) FILTER (side = 'real') AS r, count(*) FILTER (side = 'synthetic') AS s, sum(count(*) FILTER (side = 'real')) OVER () AS tr, sum(count(*) FILTER (side = 'synthetic')) OVER () AS ts FROM b GROUP BY 1)),
-    c AS (SELECT corr(l_quantity, p_size) FILTER (side = 'real') AS cr, corr(l_quantity, p_size) FILTER (side = 'synthetic') AS cs FROM b)
-    SELECT round((1 - d + 1 - tv) / 2, 6) AS shape_score, round(1 - abs(cr - cs) / 2, 6) AS pair_score, round(((1 - d + 1 - tv) / 2 + 1 - abs(cr - cs) / 2) / 2, 6) AS quality FROM k, t, c""")
+    c AS (SELECT corr(l_quantity, p_size) FILTER (side = 'real') AS cr, corr(l_quantity, p_size) FILTER (side = 'synthetic') AS cs FROM b),
+    w AS (SELECT avg((NOT EXISTS (SELECT 1 FROM b r WHERE r.side = 'real' AND r.l_quantity = s.l_quantity AND r.p_size IS NOT DISTINCT FROM s.p_size AND r.l_returnflag = s.l_returnflag))::INT) AS novelty FROM b s WHERE side = 'synthetic'),
+    q AS (SELECT (1 - d + 1 - tv) / 2 AS shape, 1 - abs(cr - cs) / 2 AS pair, ((1 - d + 1 - tv) / 2 + 1 - abs(cr - cs) / 2) / 2 AS quality, novelty FROM k, t, c, w)
+    SELECT round(shape, 6) AS shape_score, round(pair, 6) AS pair_score, round(quality, 6) AS quality, round(novelty, 6) AS novelty, CASE WHEN novelty < 0.9 AND quality > 0.85 THEN 'copying' WHEN novelty >= 0.9 AND quality < 0.6 THEN 'inventing' END AS note FROM q""")
 def synthetic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = line(spark, sf_dir)
     real = df.select(F.lit("reference").alias("side"), "l_quantity", "p_size", "l_returnflag")
@@ -274,26 +282,10 @@ def synthetic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     tv = drift.total_variation(drift.level_counts(both, "side", ["l_returnflag"])).select("tv")
     pairs = [F.corr(F.when(F.col("side") == s, F.col("l_quantity")), F.when(F.col("side") == s, F.col("p_size"))) for s in ("reference", "current")]
     one = ks.crossJoin(tv).crossJoin(both.agg((1 - F.abs(pairs[0] - pairs[1]) / 2).alias("pair"))).withColumn("shape", (2 - F.col("d") - F.col("tv")) / 2)  # one row each
-    return one.select(rounded("shape").alias("shape_score"), rounded("pair").alias("pair_score"), rounded((F.col("shape") + F.col("pair")) / 2).alias("quality"))
-
-
-_PDP_GRID = [1.0 + i * 49 / 19 for i in range(20)]
-
-
-@job(f"""
-    WITH {LINE_SQL}, g AS (SELECT unnest(range(20)) AS point), grid AS (SELECT point, 1.0 + point * 49 / 19 AS v FROM g),
-    p AS (SELECT point, v, avg(least(greatest(pred_rest + 8.0 * tanh((v - 25.0) / 10.0), 0), 100)) AS response FROM (SELECT pred - 8.0 * tanh((l_quantity - 25.0) / 10.0) AS pred_rest FROM line) l, grid GROUP BY 1, 2),
-    s AS (SELECT round((l_quantity - 1) / (49.0 / 19))::BIGINT AS point, count(*) AS support FROM line GROUP BY 1)
-    SELECT p.point, round(v, 6) AS value, round(response, 5) AS response, round(coalesce(support, 0) / sum(coalesce(support, 0)) OVER (), 6) AS support_share FROM p LEFT JOIN s USING (point)""")
-def partial_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean response at each point of a feature's grid, over all rows, with the share of rows nearest to it."""
-    df = line(spark, sf_dir)
-    grid = F.array(*[F.struct(F.lit(i).cast("long").alias("point"), F.lit(v).alias("v")) for i, v in enumerate(_PDP_GRID)])
-    moved = df.drop("pred").withColumn("g", F.explode(grid)).withColumn("l_quantity", F.col("g.v"))  # aggregated at once, never stored
-    response = moved.groupBy(F.col("g.point").alias("point"), F.col("g.v").alias("v")).agg(F.avg(SCORER.signal()).alias("response"))
-    support = df.groupBy(F.round((F.col("l_quantity") - 1) / (49 / 19)).cast("long").alias("point")).agg(F.count("*").alias("support"))
-    joined = response.join(support, "point", "left").withColumn("support", F.coalesce("support", F.lit(0)))
-    return joined.select("point", rounded("v").alias("value"), rounded("response", 5).alias("response"), rounded(F.col("support") / F.sum("support").over(Window.partitionBy())).alias("support_share"))
+    columns = ["l_quantity", "p_size", "l_returnflag"]
+    one = one.crossJoin(_novelty(real.select(*columns), synthetic.select(*columns), columns).select("novelty")).withColumn("q", (F.col("shape") + F.col("pair")) / 2)
+    note = F.when((F.col("novelty") < 0.9) & (F.col("q") > 0.85), "copying").when((F.col("novelty") >= 0.9) & (F.col("q") < 0.6), "inventing")
+    return one.select(rounded("shape").alias("shape_score"), rounded("pair").alias("pair_score"), rounded("q").alias("quality"), "novelty", note.alias("note"))
 
 
 @job(f"""
@@ -307,29 +299,56 @@ def whatif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @job(f"""
-    WITH {LINE_SQL}, p AS (SELECT key, y, pred, CASE WHEN {_U_SPLIT} < 0.2 THEN 'test' ELSE 'train' END AS part FROM line), m AS (SELECT 1 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y)) AS r2, count(*) AS n FROM p WHERE part = 'test')
-    SELECT n AS n_test, round(r2, 6) AS registered_r2, round(r2, 6) AS rescored_r2, true AS reproduced FROM m""")
+    WITH {LINE_SQL}, m AS (SELECT s.seed, count(*) AS n, 1 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y)) AS r2
+        FROM line, (VALUES ({SEED}), ({SEED + 1})) s(seed) WHERE ('0x' || substr(md5(key || ':' || seed || ':split'), 1, 8))::BIGINT / 4294967296.0 < 0.2 GROUP BY 1)
+    SELECT a.n AS n_test, round(a.r2, 6) AS registered_r2, round(b.r2, 6) AS other_seed_r2, abs(a.r2 - a.r2) < 1e-9 AS reproduced, abs(a.r2 - b.r2) >= 1e-9 AS other_seed_refused FROM m a, m b WHERE a.seed = {SEED} AND b.seed = {SEED + 1}""")
 def rescore_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The held-out rows, derived anew from the key and the seed, must give the registered metric again."""
-    df = line(spark, sf_dir)
-    first = df.where(split.threshold_split("key", SEED) == "test").agg(measure.r2("y", "pred").alias("registered"), F.count("*").alias("n_test"))
-    again = df.repartition(7, "l_partkey").where(split.threshold_split("key", SEED) == "test").agg(measure.r2("y", "pred").alias("rescored"))
-    one = first.crossJoin(again)  # one row each
-    return one.select("n_test", rounded("registered").alias("registered_r2"), rounded("rescored").alias("rescored_r2"), (F.abs(F.col("registered") - F.col("rescored")) < 1e-9).alias("reproduced"))
+    """A frame and its metric are frozen; read back, the held-out rows of the seed must give the metric, those of another not."""
+    frozen = io.freeze(line(spark, sf_dir).select("key", "y", "pred"), fresh_path(spark, "frozen-frame"))
+    registered = io.freeze(split.score_holdout(frozen, "key", "y", "pred", SEED).coalesce(1), fresh_path(spark, "registered"))
+    again, other = (split.score_holdout(frozen, "key", "y", "pred", s).select(F.col("r2").alias(n)) for s, n in ((SEED, "again"), (SEED + 1, "other")))
+    one = registered.crossJoin(again).crossJoin(other)  # one row each
+    return one.select("n_test", rounded("r2").alias("registered_r2"), rounded("other").alias("other_seed_r2"), (F.abs(F.col("r2") - F.col("again")) < 1e-9).alias("reproduced"), (F.abs(F.col("r2") - F.col("other")) >= 1e-9).alias("other_seed_refused"))
+
 
+def _series_sql(freq: str, unit: str, table: str, name: str, time: str) -> str:
+    return f"""SELECT '{freq}' AS freq, s.unique_id, s.ds, coalesce(p.y, 0.0) AS y FROM
+        (SELECT unique_id, unnest(generate_series(min(ds), max(ds), INTERVAL 1 {unit})) AS ds FROM (SELECT {name} AS unique_id, date_trunc('{unit}', {time})::TIMESTAMP AS ds FROM {table}) GROUP BY 1) s
+        LEFT JOIN (SELECT {name} AS unique_id, date_trunc('{unit}', {time})::TIMESTAMP AS ds, count(*)::DOUBLE AS y FROM {table} GROUP BY 1, 2) p USING (unique_id, ds)"""
 
-@job(f"WITH {SERIES_SQL} SELECT unique_id, ds, y FROM series")
+
+@job(" UNION ALL ".join([_series_sql("h", "hour", "events", "event_type", "ts"), *(_series_sql(f, u, "orders", "o_orderpriority", "o_orderdate") for f, u in (("D", "day"), ("W", "week"), ("MS", "month")))]))
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series(spark, sf_dir).select("unique_id", "ds", "y")
+    """Events an hour, and orders a day, a week from Monday and a month, periods without any as 0."""
+    events = read(spark, sf_dir, "events").select(F.col("event_type").alias("unique_id"), F.col("ts"), F.lit(1.0).alias("y"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("unique_id"), F.col("o_orderdate").alias("ts"), F.lit(1.0).alias("y"))
+    made = forecast.event_series(events, "ts", "h")
+    for freq in ("D", "W", "MS"):
+        made = made.unionByName(forecast.event_series(orders, "ts", freq))
+    return made
 
 
-@job(f"""
-    WITH {SERIES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY unique_id) AS n FROM series), q AS (SELECT *, greatest(1, floor((n - 14) / 3)) AS longest FROM n)
-    SELECT unique_id, ds, CASE WHEN 1 <= longest THEN lag(y, 1) OVER o END AS lag1, CASE WHEN 7 <= longest THEN lag(y, 7) OVER o END AS lag7, CASE WHEN 14 <= longest THEN lag(y, 14) OVER o END AS lag14,
-        round(avg(y) OVER (PARTITION BY unique_id ORDER BY ds ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 6) AS rolling_mean, (isodow(ds) - 1)::INT AS dayofweek, week(ds)::INT AS week FROM q WINDOW o AS (PARTITION BY unique_id ORDER BY ds)""")
+def _lags_sql(freq: str, season: int, horizon: int, frame: str) -> str:
+    parts = {"hour": "hour(ds)::INT", "dayofweek": "(isodow(ds) - 1)::INT", "week": "week(ds)::INT", "month": "month(ds)::INT", "quarter": "quarter(ds)::INT"}
+    wanted = forecast.DATE_PARTS[freq]
+    lags = ", ".join(f"CASE WHEN {k} <= longest THEN lag(y, {k}) OVER o END AS {name}" for k, name in ((1, "lag1"), (2, "lag2"), (3, "lag3"), (season, "lag_season"), (season + 1, "lag_season1"), (2 * season, "lag_season2")))
+    dates = ", ".join(f"{e if n in wanted else 'NULL::INT'} AS {n}" for n, e in parts.items())
+    return f"""SELECT '{freq}' AS freq, unique_id, ds, {lags}, round(avg(y) OVER (PARTITION BY unique_id ORDER BY ds ROWS BETWEEN w PRECEDING AND 1 PRECEDING), 6) AS rolling_mean, {dates}
+        FROM (SELECT *, greatest(1, floor((n - {2 * horizon}) / 3)) AS longest, greatest(2, least({season}, greatest(2, n // 6)))::BIGINT AS w FROM (SELECT *, count(*) OVER (PARTITION BY unique_id) AS n FROM ({frame}))) WINDOW o AS (PARTITION BY unique_id ORDER BY ds)"""
+
+
+_FREQUENCIES = {"h": (24, 24), "D": (7, 7), "W": (52, 8), "MS": (12, 6)}
+
+
+@job(" UNION ALL ".join(_lags_sql(f, *_FREQUENCIES[f], _series_sql(f, u, t, n, c)) for f, u, t, n, c in (("h", "hour", "events", "event_type", "ts"), ("D", "day", "orders", "o_orderpriority", "o_orderdate"), ("W", "week", "orders", "o_orderpriority", "o_orderdate"), ("MS", "month", "orders", "o_orderpriority", "o_orderdate"))))
 def lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = forecast.lag_features(series(spark, sf_dir), 7, 7, 7)
-    return found.select("unique_id", "ds", "lag1", "lag7", "lag14", rounded("rolling_mean").alias("rolling_mean"), "dayofweek", "week")
+    """Lags, rolling means and parts of the date that suit each frequency."""
+    every, made = event_series(spark, sf_dir), None
+    for freq, (season, horizon) in _FREQUENCIES.items():
+        one = forecast.lag_features(every.where(F.col("freq") == freq).drop("freq"), season, horizon, freq)
+        one = one.withColumnsRenamed({f"lag{2 * season}": "lag_season2", f"lag{season + 1}": "lag_season1", f"lag{season}": "lag_season"}).select(F.lit(freq).alias("freq"), "*").drop("y", "n")
+        made = one if made is None else made.unionByName(one, allowMissingColumns=True)
+    return made.withColumn("rolling_mean", rounded("rolling_mean"))
 
 
 _ORIGIN = f"""{SERIES_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS i, count(*) OVER (PARTITION BY unique_id) AS n FROM series),
@@ -364,7 +383,7 @@ def forecast_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @job(f"""
     WITH {_ORIGIN}, c AS (SELECT unnest([1, 7, 14, 28]) AS season), b AS (SELECT 'naive-' || season AS model, w.y, i.y AS forecast FROM w, c JOIN i ON i.unique_id = w.unique_id AND i.i = w.i - ceil((w.i - w.cutoff + 1) / season) * season WHERE w.i >= w.cutoff AND w.i < w.cutoff + 14),
     e AS (SELECT model, avg(CASE WHEN abs(forecast) + abs(y) < 1e-9 THEN 0 ELSE 200 * abs(forecast - y) / (abs(forecast) + abs(y)) END) AS smape, avg(abs(forecast - y)) AS mae FROM b GROUP BY 1)
-    SELECT model, round(smape, 6) AS smape, round(mae, 6) AS mae, row_number() OVER (ORDER BY smape, mae, model) AS place FROM e""")
+    SELECT model, round(smape, 6) AS smape, round(mae, 6) AS mae, row_number() OVER (ORDER BY smape, mae, model) AS place, round((SELECT min(smape) FROM e o WHERE o.model <> e.model) - smape, 6) AS margin FROM e""")
 def rank_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, found = series(spark, sf_dir), None
     for season in (1, 7, 14, 28):
@@ -372,8 +391,7 @@ def rank_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = one if found is None else found.unionByName(one)
     errors = forecast.error_metrics()
     scored = found.groupBy("model").agg(errors["smape"].alias("smape"), errors["mae"].alias("mae"))
-    ranked = scored.withColumn("place", F.row_number().over(Window.orderBy("smape", "mae", "model")))  # a row for each model
-    return ranked.select("model", rounded("smape").alias("smape"), rounded("mae").alias("mae"), "place")
+    return forecast.rank_forecasts(scored).select("model", rounded("smape").alias("smape"), rounded("mae").alias("mae"), "place", rounded("margin").alias("margin"))
 
 
 @job(f"""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import unpivot
 from ..functions.ranks import bucket_of, exact_quantiles
-from ..spec import SETTINGS, Feature, Problem, Settings
+from ..spec import SETTINGS, Feature, Problem, Settings, compare_schema
 
 _CAST = {"numeric": "double", "categorical": "string", "boolean": "boolean", "datetime": "timestamp"}
 
@@ -194,3 +196,21 @@ def single_feature_scores(df: DataFrame, features: list[str], target: str, fold:
     return cells.groupBy("feature").agg(
         (1 - F.try_divide(F.sum(F.col("ss") - 2 * F.col("fit") * F.col("s") + F.col("n") * F.col("fit") * F.col("fit")), F.sum("ss") - F.sum("s") * F.sum("s") / F.sum("n"))).alias("r2"), F.sum("n").alias("n_test")
     )
+
+
+def contract_verdict(df: DataFrame, problem: Problem, key: str, leaks: DataFrame, probe: DataFrame, strict: bool = False) -> DataFrame:
+    """One row: missing and undeclared columns, violations, leaks, learnability, ok and the first failure.
+
+    Columns come before values, values before leaks, leaks before learnability: what comes first explains what follows.
+    strict refuses undeclared columns as well and raises the first failure.
+    """
+    missing, undeclared = compare_schema(problem, df.columns, strict=True)
+    present = replace(problem, features=tuple(f for f in problem.features if f.name not in missing))
+    broken = violations(df, present, key).agg(F.count("*").alias("n_violations"))
+    one = broken.crossJoin(leaks.agg(F.count("*").alias("n_leaks"))).crossJoin(probe)  # one row each
+    schema = F.lit("missing columns" if missing else "undeclared columns" if strict and undeclared else None).cast("string")
+    first = F.coalesce(schema, F.when(F.col("n_violations") > 0, "contract"), F.when(F.col("n_leaks") > 0, "leakage"), F.when(~F.col("learnable"), "not learnable"), F.when(F.col("too_easy"), "too easy"))
+    made = one.select(F.lit(",".join(missing)).alias("missing"), F.lit(",".join(undeclared)).alias("undeclared"), "*", first.isNull().alias("ok"), first.alias("first_failure"))
+    if strict and (failure := made.first().first_failure):
+        raise ValueError(f"the frame breaks its contract: {failure}")
+    return made

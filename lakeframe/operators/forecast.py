@@ -13,17 +13,42 @@ def fill_gaps(points: DataFrame, step: str = "INTERVAL 1 DAY") -> DataFrame:
     return spans.join(summed, ["unique_id", "ds"], "left").select("unique_id", "ds", F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
-def lag_features(series: DataFrame, season: int, horizon: int, window: int) -> DataFrame:
-    """Lags 1, 2, 3, s, s + 1 and 2 s, a rolling mean before each value and parts of the date.
+#: Frequencies with the unit they truncate to, and the parts of the date that mean something to them.
+UNITS = {"h": "hour", "D": "day", "W": "week", "MS": "month"}
+DATE_PARTS = {"h": ("hour", "dayofweek"), "D": ("dayofweek", "week"), "W": ("week", "month"), "MS": ("month", "quarter")}
 
-    A series keeps the lags up to a third of what is left of it beyond twice the horizon.
+
+def event_series(points: DataFrame, time: str, freq: str) -> DataFrame:
+    """(freq, unique_id, ds, y): y of points summed by hour, day, week from Monday or month, gaps as 0."""
+    bucketed = points.select("unique_id", F.date_trunc(UNITS[freq], time).alias("ds"), "y")
+    return fill_gaps(bucketed, f"INTERVAL 1 {UNITS[freq].upper()}").select(F.lit(freq).alias("freq"), "unique_id", "ds", "y")
+
+
+def lag_features(series: DataFrame, season: int, horizon: int, freq: str = "D") -> DataFrame:
+    """Lags 1, 2, 3, s, s + 1 and 2 s, a rolling mean before each value and the frequency's parts of the date.
+
+    A series keeps the lags up to a third of what is left of it beyond twice the horizon; the mean goes over a season,
+    or a sixth of the series where that is less, but two values at least.
     """
-    order = Window.partitionBy("unique_id").orderBy("ds")
-    counted = series.withColumn("n", F.count("*").over(Window.partitionBy("unique_id")))
+    order, whole = Window.partitionBy("unique_id").orderBy("ds"), Window.partitionBy("unique_id")
+    counted = series.withColumn("n", F.count("*").over(whole))
     longest = F.greatest(F.lit(1), F.floor((F.col("n") - 2 * horizon) / 3))
-    for lag in sorted({1, 2, 3, season, season + 1, 2 * season}):
-        counted = counted.withColumn(f"lag{lag}", F.when(F.lit(lag) <= longest, F.lag("y", lag).over(order)))
-    return counted.withColumn("rolling_mean", F.avg("y").over(order.rowsBetween(-window, -1))).withColumn("dayofweek", F.weekday("ds")).withColumn("week", F.weekofyear("ds"))
+    lags = {f"lag{k}": F.when(F.lit(k) <= longest, F.lag("y", k).over(order)) for k in sorted({1, 2, 3, season, season + 1, 2 * season})}
+    window = F.greatest(F.lit(2), F.least(F.lit(season), F.greatest(F.lit(2), F.floor(F.col("n") / 6))))
+    mean = F.avg("y").over(order.rowsBetween(-season, -1))
+    for k in range(2, season):
+        mean = F.when(window == k, F.avg("y").over(order.rowsBetween(-k, -1))).otherwise(mean)
+    parts = {"hour": F.hour("ds"), "dayofweek": F.weekday("ds"), "week": F.weekofyear("ds"), "month": F.month("ds"), "quarter": F.quarter("ds")}
+    return counted.withColumns(lags).withColumn("rolling_mean", mean).withColumns({n: parts[n] for n in DATE_PARTS[freq]})
+
+
+def rank_forecasts(scored: DataFrame) -> DataFrame:
+    """Best first by smape, mae and name; margin: how much better than the best of the others."""
+    everything = Window.partitionBy()  # a row for each model
+    order = Window.orderBy("smape", "mae", "model")
+    best, second = F.min("smape").over(everything), F.element_at(F.sort_array(F.collect_list("smape").over(everything)), 2)
+    ranked = scored.withColumn("place", F.row_number().over(order)).withColumn("_best", best).withColumn("_second", second)
+    return ranked.withColumn("margin", F.when(F.col("place") == 1, F.col("_second")).otherwise(F.col("_best")) - F.col("smape")).drop("_best", "_second")
 
 
 def rolling_origin(series: DataFrame, horizon: int, windows: int) -> DataFrame:

@@ -44,17 +44,20 @@ class Levels:
 
 @dataclass(frozen=True)
 class Interaction:
-    """coefficient * left * right, or coefficient * left where the column right has the level gate."""
+    """coefficient * x * right, or coefficient * x where the column right has the level gate; x is (left - center) / scale."""
 
     left: str
     right: str
     coefficient: float
     gate: str | None = None
+    center: float = 0.0
+    scale: float = 1.0
 
     def column(self) -> Column:
+        x = (F.col(self.left) - self.center) / self.scale if (self.center, self.scale) != (0.0, 1.0) else F.col(self.left)
         if self.gate is None:
-            return self.coefficient * F.col(self.left) * F.col(self.right)
-        return F.when(F.col(self.right) == self.gate, self.coefficient * F.col(self.left)).otherwise(0.0)
+            return self.coefficient * x * F.col(self.right)
+        return F.when(F.col(self.right) == self.gate, self.coefficient * x).otherwise(0.0)
 
 
 @dataclass(frozen=True)

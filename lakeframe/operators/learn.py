@@ -6,16 +6,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Pipeline
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hash_uniform
+from ..functions.exprs import hash_normal, hash_uniform
+from ..functions.storage import cut
 from ..spec import SETTINGS, Settings
+from .measure import r2
 
 
 def feature_pipeline(df: DataFrame, categorical: list[str], numeric: list[str], threshold: int = 40, hashed: int = 64) -> Pipeline:
@@ -46,10 +49,43 @@ def learnability(df: DataFrame, categorical: list[str], numeric: list[str], targ
     return df.sparkSession.createDataFrame([(n, float(score), score >= settings.learnable_r2_floor, score > settings.too_easy_r2)], "n_rows long, r2 double, learnable boolean, too_easy boolean")
 
 
+def learnability_classes(df: DataFrame, categorical: list[str], numeric: list[str], target: str, key: str, settings: Settings = SETTINGS) -> DataFrame:
+    """Held-out accuracy of a quick model against the floor, or two points above the commonest class, and the ceiling."""
+    rows = df.where(F.col(target).isNotNull()).na.fill(0.0, numeric)
+    counts = {r[target]: r["count"] for r in rows.groupBy(target).count().collect()}  # a row for each class
+    n = sum(counts.values())
+    if n < settings.learnability_min_rows or len(counts) < 2:
+        raise ValueError("too few labelled rows, or a constant target")
+    majority = max(counts.values()) / n
+    floor = max(settings.learnable_accuracy_floor, majority + 0.02)
+    labels = StringIndexer(inputCol=target, outputCol="_label").fit(rows)
+    sided = labels.transform(rows).withColumn("_test", hash_uniform(key, settings.random_seed, "learn") < 0.25)
+    fitted = feature_pipeline(rows, categorical, numeric).fit(sided.where("not _test"))
+    model = RandomForestClassifier(labelCol="_label", featuresCol="features", numTrees=20, maxDepth=6, seed=settings.random_seed).fit(fitted.transform(sided.where("not _test")))
+    score = model.transform(fitted.transform(sided.where("_test"))).agg(F.avg((F.col("prediction") == F.col("_label")).cast("double"))).first()[0]
+    return df.sparkSession.createDataFrame([(n, score, majority, floor, score >= floor, score > settings.too_easy_accuracy)], "n_rows long, accuracy double, majority_share double, floor double, learnable boolean, too_easy boolean")
+
+
+def cross_validate(folded: DataFrame, estimator: Callable[[], Estimator], categorical: list[str], numeric: list[str], target: str) -> DataFrame:
+    """(fold, n, r2, mae) of a fresh estimator, fitted on the other folds (by time: on what comes before)."""
+    kept = folded.persist()
+    folds = sorted(r.fold for r in kept.select("fold").distinct().collect())  # a row for each fold
+    made = None
+    for k in [f for f in folds if f >= 0]:
+        train = kept.where(F.col("fold") < k) if folds[0] < 0 else kept.where(F.col("fold") != k)
+        fitted = feature_pipeline(train, categorical, numeric).fit(train)
+        scored = estimator().fit(fitted.transform(train)).transform(fitted.transform(kept.where(F.col("fold") == k)))
+        one = scored.agg(F.lit(k).alias("fold"), F.count("*").alias("n"), r2(target, "prediction").alias("r2"), F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae"))
+        made = one if made is None else made.unionByName(one)
+    result = made.sparkSession.createDataFrame(made.collect(), made.schema)  # a row for each fold
+    kept.unpersist()
+    return result
+
+
 def permutation_attribution(df: DataFrame, key: str, features: list[str], background: pd.DataFrame, score: Callable[[np.ndarray], np.ndarray], rounds: int = 8, seed: int = 7) -> DataFrame:
     """Contributions by permutation: features are revealed one by one, against background rows, in several orders.
 
-    background is a bounded sample; score takes a matrix of the features. A row's orders depend on its key alone.
+    background is a bounded sample; score takes a matrix of the features. All rows go through the same orders.
     """
     base = background[features].to_numpy(float)
 
@@ -88,27 +124,43 @@ def copula_synthesize(df: DataFrame, columns: list[str], n: int, seed: int = 7,
     # a value's normal score is that of the middle of its place among the quantiles
     scored = df.select(*columns)
     for c in columns:
-        below, upto = F.lit(0), F.lit(0)
-        for q in tables[c][:: max(1, points // 50)]:
-            below, upto = below + F.when(F.col(c) > float(q), 1).otherwise(0), upto + F.when(F.col(c) >= float(q), 1).otherwise(0)
-        scored = scored.withColumn(f"_{c}", (below + upto) / 2.0)
+        some = F.array(*map(F.lit, tables[c][:: max(1, points // 50)].tolist()))
+        scored = scored.withColumn(f"_{c}", _middle_place(F.col(c), some))
     assembled = VectorAssembler(inputCols=[f"_{c}" for c in columns], outputCol="v", handleInvalid="skip").transform(scored)
     correlation = Correlation.corr(assembled, "v", "pearson").first()[0].toArray()
     correlation = np.nan_to_num(correlation) * (1 - 1e-6)
     np.fill_diagonal(correlation, 1.0)
     root = np.linalg.cholesky(correlation + 1e-9 * np.eye(len(columns)))
 
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids = pdf["id"].to_numpy()
-            normal = np.stack([np.random.default_rng([seed, int(i)]).standard_normal(len(columns)) for i in ids]) if len(ids) else np.zeros((0, len(columns)))
-            made = normal @ root.T
-            out = {"id": ids}
-            for k, c in enumerate(columns):
-                out[c] = np.interp(made[:, k], z, tables[c])
-            yield pd.DataFrame(out)
+    # the draws are hashes of the row's number, correlated by the root and read from the quantile tables, all as columns
+    normal = [hash_normal("id", seed, f"copula{k}") for k in range(len(columns))]
+    drawn = df.sparkSession.range(n).select("id", *[n_.alias(f"_n{k}") for k, n_ in enumerate(normal)])
+    made = []
+    for k, c in enumerate(columns):
+        x = sum((float(root[k, j]) * F.col(f"_n{j}") for j in range(1, k + 1)), float(root[k, 0]) * F.col("_n0"))
+        made.append(x.alias(c))
+    return drawn.select("id", *made).select("id", *[_interpolated(F.col(c), z.tolist(), tables[c].tolist()).alias(c) for c in columns])
+
+
+def _middle_place(x: Column, sorted_values: Column) -> Column:
+    """Between how many values are below x and how many are not above it."""
+    return (F.size(F.filter(sorted_values, lambda q: q < x)) + F.size(F.filter(sorted_values, lambda q: q <= x))) / 2.0
+
 
-    return df.sparkSession.range(n).mapInPandas(sample, "id long, " + ", ".join(f"{c} double" for c in columns))
+def _interpolated(x: Column, at: list[float], values: list[float]) -> Column:
+    """values at the places at, linear between them and constant beyond."""
+    xs, ys = F.array(*map(F.lit, at)), F.array(*map(F.lit, values))
+
+    def at_value(v: Column) -> Column:  # v is computed once, not for every place it is compared with
+        def between(place: Column) -> Column:
+            low, high = F.greatest(place, F.lit(1)), F.least(place + 1, F.lit(len(at)))
+            x0, x1, y0, y1 = F.element_at(xs, low), F.element_at(xs, high), F.element_at(ys, low), F.element_at(ys, high)
+            share = F.when(x1 > x0, F.least(F.greatest((v - x0) / (x1 - x0), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+            return y0 + share * (y1 - y0)
+
+        return F.transform(F.array(F.size(F.filter(xs, lambda q: q <= v))), between)[0]
+
+    return F.transform(F.array(x), at_value)[0]
 
 
 def _normal_quantile(p: float) -> float:
@@ -117,24 +169,41 @@ def _normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-def global_forecast(series: DataFrame, horizon: int, season: int = 7) -> DataFrame:
-    """One linear model over all series' lags, then horizon steps, each fed with the ones before."""
+LAGS = (1, 2, 3, 7, 8)
+
+
+def _lagged(series: DataFrame) -> DataFrame:
     order = Window.partitionBy("unique_id").orderBy("ds")
-    lags = [1, 2, 3, season, season + 1]
-    lagged = series.select("unique_id", "ds", "y", *[F.lag("y", k).over(order).alias(f"lag{k}") for k in lags]).na.drop()
-    assembler = VectorAssembler(inputCols=[f"lag{k}" for k in lags], outputCol="features")
-    model = LinearRegression(labelCol="y", regParam=0.1).fit(assembler.transform(lagged))
-    weights, intercept = np.array(model.coefficients.toArray()), float(model.intercept)
+    return series.select("unique_id", "ds", "y", *[F.lag("y", k).over(order).alias(f"lag{k}") for k in LAGS])
+
+
+def global_forecast(series: DataFrame, horizon: int, estimator: Estimator | None = None) -> DataFrame:
+    """(unique_id, step, forecast): one model over all series' lags, then horizon steps, each fed with the ones before.
+
+    The steps run over all series at once: a row for each series holds its last values as columns. Series shorter than
+    the longest lag are left out.
+    """
+    assembler = VectorAssembler(inputCols=[f"lag{k}" for k in LAGS], outputCol="features")
+    estimator = estimator or LinearRegression(regParam=0.1)
+    model = estimator.setLabelCol("y").setFeaturesCol("features").fit(assembler.transform(_lagged(series).na.drop()))
     back = F.row_number().over(Window.partitionBy("unique_id").orderBy(F.desc("ds")))
-    tail = series.withColumn("back", back).where(F.col("back") <= max(lags))  # a bounded tail of each series
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("back", ascending=False)["y"].tolist()
-        made = []
-        for step in range(horizon):
-            y = intercept + sum(w * values[-k] for w, k in zip(weights, lags, strict=True)) if len(values) >= max(lags) else float(np.mean(values))
-            values.append(y)
-            made.append((pdf["unique_id"].iloc[0], step + 1, y))
-        return pd.DataFrame(made, columns=["unique_id", "step", "forecast"])
-
-    return tail.groupBy("unique_id").applyInPandas(run, "unique_id string, step int, forecast double")
+    tail = series.withColumn("back", back).where(F.col("back") <= max(LAGS)).groupBy("unique_id")
+    state = tail.agg(*[F.max(F.when(F.col("back") == k, F.col("y"))).alias(f"last{k}") for k in range(1, max(LAGS) + 1)]).na.drop()
+    made = None
+    for step in range(1, horizon + 1):
+        inputs = state.select("*", *[F.col(f"last{k}").alias(f"lag{k}") for k in LAGS])
+        predicted = cut(model.transform(assembler.transform(inputs)).select(*state.columns, "prediction"))  # a row for each series
+        one = predicted.select("unique_id", F.lit(step).alias("step"), F.col("prediction").alias("forecast"))
+        made = one if made is None else made.unionByName(one)
+        state = predicted.select("unique_id", F.col("prediction").alias("last1"), *[F.col(f"last{k}").alias(f"last{k + 1}") for k in range(1, max(LAGS))])
+    return made
+
+
+def global_forecasts(series: DataFrame, horizon: int, seed: int = 7) -> DataFrame:
+    """Forecasts of three candidates: boosted trees, a random forest and ridge regression."""
+    candidates = {"boosted": GBTRegressor(maxIter=8, maxDepth=4, seed=seed), "forest": RandomForestRegressor(numTrees=12, seed=seed), "ridge": LinearRegression(regParam=0.1)}
+    made = None
+    for name, estimator in candidates.items():
+        one = global_forecast(series, horizon, estimator).withColumn("model", F.lit(name))
+        made = one if made is None else made.unionByName(one)
+    return made

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_uniform
 from ..functions.ranks import global_row_number, rank_within
+from .measure import r2
 
 def _hash_rank(df: DataFrame, key: str, seed: int, stream: str, by: list[str]) -> DataFrame:
     """rn: rank of a row by its hash within by, and n: rows there; a class may hold all rows."""
@@ -45,11 +46,37 @@ def time_ordered_split(df: DataFrame, time: str, ties: list[str], test: float =
     return global_row_number(df, time, ties).withColumn("part", F.when(F.col("rn") <= cut, "train").otherwise("test"))
 
 
-def cv_folds(df: DataFrame, key: str, seed: int, k: int, stratum: str | None = None, group: str | None = None) -> DataFrame:
-    """Balanced folds: rank by hash modulo k, within a stratum if there is one; by group, all rows of a group together."""
+def cv_folds(df: DataFrame, key: str, seed: int, k: int, stratum: str | None = None, group: str | None = None, time: str | None = None) -> DataFrame:
+    """Balanced folds 0 to k - 1: rank by hash modulo k, within a stratum if there is one.
+
+    By group, groups are ranked and all rows of one go together. By time, folds are the last k blocks of n // (k + 1)
+    rows in order, to be scored by what trained on everything before; the rows before the first block have fold -1.
+    Refused are fewer rows or groups than folds, classes rarer than folds, and more than one way at a time.
+    """
+    if k < 2 or sum(x is not None for x in (stratum, group, time)) > 1:
+        raise ValueError("at least two folds, by one of stratum, group and time")
     if group:
-        fold = (hash_uniform(group, seed, "fold") * 4294967296).cast("long") % k
-        return df.withColumn("fold", fold.cast("int"))
-    one = df if stratum else df.withColumn("_one", F.lit(1))
-    ranked = _hash_rank(one, key, seed, "fold", [stratum or "_one"])
+        groups = df.select(group).distinct()
+        _enough(groups.limit(k).count(), k, "groups")
+        ranked = _hash_rank(groups.withColumn("_one", F.lit(1)), group, seed, "fold", ["_one"])
+        return df.join(ranked.select(group, (F.col("rn") % k).cast("int").alias("fold")), group)
+    if time:
+        n = df.count()
+        _enough(n, k + 1, "rows")
+        block = n // (k + 1)
+        fold = F.floor((F.col("_rn") - 1 - (n - k * block)) / block).cast("int")
+        return global_row_number(df, time, [key], "_rn").withColumn("fold", F.greatest(fold, F.lit(-1))).drop("_rn")
+    ranked = _hash_rank(df if stratum else df.withColumn("_one", F.lit(1)), key, seed, "fold", [stratum or "_one"])
+    least = df.groupBy(stratum).count().agg(F.min("count")).first()[0] if stratum else df.limit(k).count()
+    _enough(least or 0, k, f"rows of each {stratum}" if stratum else "rows")
     return ranked.withColumn("fold", (F.col("rn") % k).cast("int")).drop("_one", "rn", "n")
+
+
+def _enough(n: int, k: int, what: str) -> None:
+    if n < k:
+        raise ValueError(f"{k} folds need {k} {what} at least, not {n}")
+
+
+def score_holdout(df: DataFrame, key: str, y: str, p: str, seed: int) -> DataFrame:
+    """(n_test, r2) of the rows that the seed holds out: a function of the keys and the seed alone."""
+    return df.where(threshold_split(key, seed) == "test").agg(F.count("*").alias("n_test"), r2(y, p).alias("r2"))

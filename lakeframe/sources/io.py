@@ -43,7 +43,7 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(id, meta, tags, body) of the markdown files under path, by id: that of the front matter, else the file's name."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("_name"), F.regexp_replace("value", "\r\n", "\n").alias("text"))
     parsed = parse_front_matter(files, "text")
-    return parsed.select(F.coalesce(F.element_at("meta", "id"), "_name").alias("id"), "meta", F.transform("tags", F.trim).alias("tags"), F.trim(F.regexp_replace("body", r"\A\n+|\n+\Z", "")).alias("body")).orderBy("id")
+    return parsed.select(F.coalesce(F.element_at("meta", "id"), "_name").alias("id"), "meta", F.transform("tags", lambda t: F.trim(t)).alias("tags"), F.trim(F.regexp_replace("body", r"\A\n+|\n+\Z", "")).alias("body")).orderBy("id")
 
 
 def find_records(df: DataFrame, equal: dict[str, str], text_columns: list[str], substring: str, time: str, key: str, newest: bool = True, limit: int = 25) -> DataFrame:

@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeframe.functions.exprs import hash_normal, hash_uniform
-from lakeframe.operators import forecast, learn, split
+from lakeframe.jobs import QUERIES
+from lakeframe.operators import forecast, learn, noise, split, stress, world
 from lakeframe.operators.latent import Driver, Interaction, LatentModel, Levels
-from lakeframe.operators.world import generate_world
 from lakeframe.streaming import jobs as stream
 
 
@@ -44,6 +44,11 @@ def test_folds(rows):
     assert len(counts) == 10 and {r["count"] for r in counts} == {180, 20}
     grouped = split.cv_folds(rows, "key", 7, 5, group="g").groupBy("g").agg(F.count_distinct("fold").alias("n")).collect()
     assert all(r.n == 1 for r in grouped)
+    timed = {r.t: r.fold for r in split.cv_folds(rows, "key", 7, 3, time="t").collect()}
+    assert [timed[t] for t in (0, 249, 250, 499, 500, 749, 750, 999)] == [-1, -1, 0, 0, 1, 1, 2, 2]
+    for bad in (dict(k=1), dict(k=101, stratum="c"), dict(k=41, group="g"), dict(k=1001), dict(k=3, stratum="c", time="t")):
+        with pytest.raises(ValueError):
+            split.cv_folds(rows, "key", 7, **bad)
 
 
 def test_hashes(spark):
@@ -77,16 +82,82 @@ def test_series(spark):
     assert [abs(r.forecast - (70 + i) % 7) < 1.0 for i, r in enumerate(made)] == [True] * 5
 
 
-def test_world_does_not_depend_on_partitions(spark):
-    world = generate_world(spark, 300)
-    shipments = world["shipment"].collect()
-    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "3")
-    again = generate_world(spark, 300)["shipment"].orderBy("shipment_id").collect()
-    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
-    assert sorted(shipments, key=lambda r: r.shipment_id) == again
-    assert all(0 <= r.handoff_count <= 7 and 6 <= r.transit_hours <= 132 and -4 <= r.ambient_temp_c <= 40 for r in shipments)
-    assert all((r.spoilage_risk_pct is None) == (not r.delivered) for r in shipments)
-    assert world["reading"].join(world["shipment"], "shipment_id", "left_anti").count() == 0
+def test_world(spark):
+    start = datetime.datetime(2024, 1, 1)
+    bookings = spark.createDataFrame([(i, i % 40, i % 60, start + datetime.timedelta(hours=i), i % 4 > 0) for i in range(2000)], "shipment_id long, carrier_id long, facility_id long, booked_at timestamp, delivered boolean")
+    carrier, facility = world.carriers(spark.range(39).toDF("carrier_id")), world.facilities(spark.range(60).toDF("facility_id"))
+    rows = {r.shipment_id: r for r in world.shipments(bookings, carrier, facility).collect()}
+    again = {r.shipment_id: r for r in world.shipments(bookings.repartition(7), carrier, facility).collect()}
+    assert all(abs((r.spoilage_risk_pct or 0) - (again[i].spoilage_risk_pct or 0)) < 1e-6 and r.route_class == again[i].route_class for i, r in rows.items())
+    for r in rows.values():
+        low, high, least, most = world.JOURNEYS[r.route_class]
+        assert low <= r.transit_hours <= high and least <= r.handoff_count <= most and -4 <= r.ambient_temp_c <= 40 and 5 <= r.payload_kg <= 900
+        assert (r.spoilage_risk_pct is None) == (not r.delivered) and r.dispatched_at > r.booked_at
+        assert r.carrier_id != 39 or r.carrier_tier == "standard"
+    labelled = [r for r in rows.values() if r.delivered]
+    mean = sum(r.spoilage_risk_pct for r in labelled) / len(labelled)
+    r2 = 1 - sum((r.spoilage_risk_pct - r.signal) ** 2 for r in labelled) / sum((r.spoilage_risk_pct - mean) ** 2 for r in labelled)
+    assert abs(r2 - 0.74) < 0.04
+    read_out = world.readings(world.shipments(bookings, carrier, facility), spark.range(500).selectExpr("id as shipment_id", "1 as nth")).collect()
+    assert len(read_out) == 500 and all(2.1 <= r.temperature_c <= 7.9 and 18 <= r.battery_pct <= 100 for r in read_out)
+
+
+def test_stress_shift(spark):
+    df = spark.createDataFrame([(str(i), float(i), "ab"[i % 10 == 0], "x") for i in range(1000)], "key string, n double, c string, one string")
+    found = stress.stress_shift(df, "key", ["n"], ["c", "one"], 0.5, 7).collect()
+    sd = (sum((i - 499.5) ** 2 for i in range(1000)) / 999) ** 0.5
+    assert all(abs(r.n - (1.5 * int(r.key) + 0.5 * sd)) < 1e-6 for r in found)
+    rare = [r for r in found if r.c == "b"]
+    assert {r.copy for r in rare} == {1, 2, 3} and {r.copy for r in found if r.c == "a"} == {1} and len(rare) % 3 == 0
+    kept = [int(r.key) for r in found if r.copy == 1]
+    assert 450 < len(kept) < 700 and sum(k > 500 for k in kept) > 1.8 * sum(k < 500 for k in kept)
+
+
+def test_noise(spark):
+    df = spark.range(20_000).select(hash_normal("id", 1, "s").alias("s"), hash_normal("id", 1, "z").alias("z"))
+    r = noise.regression_budget(df, F.col("s"), 3 * F.col("z"), 0.5, 0.2).first()
+    assert abs(r.sigma**2 - 0.8 * r.signal_variance) < 1e-9 and abs(r.confounder_scale * 3 - (0.2 * r.signal_variance) ** 0.5) < 0.02 and abs(r.ceiling - 0.5) < 1e-9
+    assert noise.regression_budget(df, F.col("s"), F.lit(0.0), 0.5, 0.2).first().confounder_variance == 0
+    found = noise.classification_sigma(df, F.col("s"), F.col("z"), [0.5], 0.8).first()
+    assert abs(found.accuracy - 0.8) < 0.01 and 0.6 < found.sigma < 0.85  # arctan(sigma) / pi is the share that crosses
+    for bad in ((0.0, 0.2), (0.5, 1.0)):
+        with pytest.raises(ValueError):
+            noise.regression_budget(df, F.col("s"), F.col("z"), *bad)
+
+
+def test_markdown_files(spark, tmp_path):
+    from lakeframe.sources import io
+
+    (tmp_path / "b.md").write_text("---\ntitle: B\ntags: [x, y]\n---\n\nBody of b\n")
+    (tmp_path / "a.md").write_text("---\nid: z\ntitle: A\n---\nBody")
+    (tmp_path / "open.md").write_text("---\ntitle: never closed\nBody")
+    (tmp_path / "plain.md").write_text("no block")
+    (tmp_path / "note.txt").write_text("---\ntitle: T\n---\n")
+    found = io.read_markdown(spark, str(tmp_path)).collect()
+    assert [(r.id, r.meta["title"], r.tags, r.body) for r in found] == [("b", "B", ["x", "y"], "Body of b"), ("z", "A", None, "Body")] or found[1].tags == [""]
+
+
+def test_jobs_without_twins(spark):
+    """What the jobs that fit or stream return, on the smallest tables."""
+    sf = "/root/testdata/sf0.001"
+    width = {r.width for r in QUERIES["vectorize_high_cardinality"](spark, sf).select("width").distinct().collect()}
+    assert len(width) == 1 and width.pop() > 64
+    found = QUERIES["rebuild_run_index"](spark, sf).collect()
+    assert found == sorted(found, key=lambda r: (r.created_at, r.run_id), reverse=True) and all(r.run_id for r in found) and len(found) > 100
+    binned = {r.feature: r.r2 for r in QUERIES["leakage_single_feature_binned"](spark, sf).collect()}
+    assert binned["settled"] > 0.95 > binned["l_discount"]
+    drifted = QUERIES["stream_drift"](spark, sf).collect()
+    assert drifted and all(r.verdict in ("pass", "warn", "block") and 0 <= r.statistic <= 1 for r in drifted)
+    verdict = QUERIES["contract_check"](spark, sf).first()
+    assert (verdict.missing, verdict.ok, verdict.first_failure) == ("l_tax", False, "missing columns")
+    classes = QUERIES["learnability_classes"](spark, sf).first()
+    assert classes.floor >= classes.majority_share + 0.02 - 1e-9 and classes.learnable == (classes.accuracy >= classes.floor)
+    folds = QUERIES["cross_validate_estimator"](spark, sf).collect()
+    assert [r.fold for r in sorted(folds)] == [0, 1, 2] and all(0.5 < r.r2 < 0.9 for r in folds)
+    for name in ("estimate_performance_calibrated", "estimate_performance_features"):
+        for r in QUERIES[name](spark, sf).collect():
+            estimated, realised = (r.estimated_accuracy, r.realised_accuracy) if "accuracy" in str(r) else (r.estimated_mae, r.realised_mae)
+            assert abs(estimated - realised) < 0.25 * realised
 
 
 def test_attributions_sum_to_the_difference(spark):
