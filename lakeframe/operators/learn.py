@@ -144,7 +144,11 @@ def copula_synthesize(df: DataFrame, columns: list[str], n: int, seed: int = 7,
 
 def _middle_place(x: Column, sorted_values: Column) -> Column:
     """Between how many values are below x and how many are not above it."""
-    return (F.size(F.filter(sorted_values, lambda q: q < x)) + F.size(F.filter(sorted_values, lambda q: q <= x))) / 2.0
+
+    def place(v: Column) -> Column:  # x is computed once, not for every value it is compared with
+        return (F.size(F.filter(sorted_values, lambda q: q < v)) + F.size(F.filter(sorted_values, lambda q: q <= v))) / 2.0
+
+    return F.transform(F.array(x), place)[0]
 
 
 def _interpolated(x: Column, at: list[float], values: list[float]) -> Column:
