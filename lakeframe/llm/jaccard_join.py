@@ -10,8 +10,9 @@
 4. Each component's sets meet once. A signature tree over them (nodes hold OR-combined bitmaps and size ranges) is
    traversed against itself; a pair of nodes goes if even its greatest possible overlap is too small, or if all its
    sets are connected already. Pairs of leaves that remain are compared exactly, most promising first.
-   Components of more than BLOCK sets are cut into blocks by size and dealt out as those pairs of blocks whose sizes
-   allow a link, which loses none.
+   Components of more than BLOCK sets are cut into blocks by size. At first each block meets itself and the next, which
+   is linear and connects most of a group of near copies. Then only sets outside a component's largest part are dealt
+   out with all blocks whose sizes allow a link; what both lie in the largest part is connected already.
 5. Found links give the final components.
 """
 
@@ -25,14 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import rank_within
 from .common import BATCH_BYTES, bounded, cut, grouped_batches, mix64, parts, row_key
 
 WORDS = 5
 PERCENT = 80
 BLOCK = 2048
 LEAF = 32
-#: Rows of (key, component) up to which the candidates are broadcast; beyond, texts and candidates are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of candidates (keys and the groups they are dealt to) up to which they are broadcast; beyond, texts and
+#: candidates are shuffled.
+BROADCAST_BYTES = 32 << 20
 #: Shingles held to be common, at most; this only decides their place in the order.
 COMMON_LIMIT = 65_536
 
@@ -302,6 +305,48 @@ def connected_components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _links(keyed: DataFrame, members: DataFrame, percent: int, words: int, wanted: F.Column) -> DataFrame:
+    """Links between members (k, d, comp, side, n, block) of one component, in those pairs of blocks that are wanted.
+
+    A block is known by its side and number; pairs whose sizes rule a link out are left out.
+    """
+    ranges = members.groupBy("comp", "side", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    others = ranges.select("comp", F.col("side").alias("other_side"), F.col("block").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    ordered = "(side, block) <= (other_side, other)"
+    pairs = ranges.join(others, "comp").where(ordered).where(wanted).where(f"100 * high >= {percent} * other_low and 100 * other_high >= {percent} * low")
+    pairs = pairs.select("comp", "side", "block", "other_side", "other", F.xxhash64("comp", "side", "block", "other_side", "other").alias("g"))
+    both = pairs.select("comp", "side", "block", "g").union(pairs.where("side < other_side or block < other").select("comp", "other_side", "other", "g"))
+    groups = both.groupBy("comp", "side", "block").agg(F.collect_list("g").alias("groups"))
+    chosen = cut(members.join(groups, ["comp", "side", "block"]).select("k", "d", "groups"))
+    size = chosen.agg(F.coalesce(F.sum(8 * F.size("groups") + 32), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        chosen = F.broadcast(chosen)
+    sets = keyed.select("k", "text").join(chosen, "k").select("d", "groups", "text").mapInArrow(_emit_sets(words), "d long, groups array<long>, shingles binary")
+    dealt = sets.select(F.explode("groups").alias("g"), "d", "shingles")
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_verify(percent), "a long, b long")
+
+
+def _outside(members: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Members of the components whose blocks have not all met, in two sides: 0 the largest part, 1 the rest, in blocks of its own.
+
+    None if there is no rest anywhere.
+    """
+    many = members.groupBy("comp").agg(F.max("block").alias("most")).where("most > 1").select("comp")
+    if many.isEmpty():
+        return None
+    rooted = members.join(many, "comp").join(found.select(F.col("node").alias("d"), "root"), "d", "left").withColumn("root", F.coalesce("root", "d"))
+    parts = rooted.groupBy("comp", "root").agg(F.count("*").alias("m"))
+    largest = parts.groupBy("comp").agg(F.max(F.struct("m", "root"))["root"].alias("main"))
+    sided = cut(rooted.join(largest, "comp").withColumn("side", (F.col("root") != F.col("main")).cast("int")).select("k", "d", "comp", "side", "n", "block"))
+    rest = sided.where("side = 1")
+    if rest.isEmpty():
+        return None
+    numbered = rank_within(rest.select("k", "d", "comp", "side", F.col("n").alias("size")), ["comp"], ["size", "d"])
+    numbered = numbered.select("k", "d", "comp", "side", F.col("size").alias("n"), F.floor((F.col("rn") - 1) / BLOCK).cast("int").alias("block"))
+    return cut(sided.where("side = 0").join(rest.select("comp").distinct(), "comp", "left_semi").unionByName(numbered))
+
+
 def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, common_share: float = 0.002, with_key: bool = False) -> DataFrame:
     """Per row of documents: doc_id, n_shingles, component_id (the least doc_id that links reach, its own included).
 
@@ -330,20 +375,13 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
     loose = connected_components(ties)
     loose = loose.select(F.col("node").alias("d"), F.col("root").alias("comp")).unionByName(loose.select(F.col("root").alias("d"), F.col("root").alias("comp")).distinct())
     one_row = rows.where("n > 0").groupBy("d").agg(F.min("k").alias("k"), F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    block = F.floor((F.row_number().over(Window.partitionBy("comp").orderBy("n", "d")) - 1) / BLOCK).cast("int")
-    members = cut(loose.join(one_row, "d").select("k", "d", "comp", "n", block.alias("block")))
-    ranges = members.groupBy("comp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    others = ranges.select("comp", F.col("block").alias("other"), F.col("low").alias("other_low"))
-    pairs = ranges.join(others, "comp").where(f"block <= other and 100 * high >= {percent} * other_low").select("comp", "block", "other", F.xxhash64("comp", "block", "other").alias("g"))
-    groups = pairs.select("comp", "block", "g").union(pairs.where("block < other").select("comp", "other", "g")).groupBy("comp", "block").agg(F.collect_list("g").alias("groups"))
-    chosen = cut(members.join(groups, ["comp", "block"]).select("k", "d", "groups"))
-    if chosen.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    sets = keyed.select("k", "text").join(chosen, "k").select("d", "groups", "text").mapInArrow(_emit_sets(words), "d long, groups array<long>, shingles binary")
-    dealt = sets.select(F.explode("groups").alias("g"), "d", "shingles")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = dealt.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_verify(percent), "a long, b long")
-    found = connected_components(cut(links))  # cut, so that one Python worker a task is enough
+    blocked = rank_within(loose.join(one_row, "d").select("k", "d", "comp", F.col("n").alias("size")), ["comp"], ["size", "d"])
+    members = cut(blocked.select("k", "d", "comp", F.lit(0).alias("side"), F.col("size").alias("n"), F.floor((F.col("rn") - 1) / BLOCK).cast("int").alias("block")))
+    links = cut(_links(keyed, members, percent, words, F.col("other") <= F.col("block") + 1))
+    found = connected_components(links)
+    rest = _outside(members, found)
+    if rest is not None:
+        found = connected_components(links.unionByName(cut(_links(keyed, rest, percent, words, F.col("other_side") == 1))))
     roots = found.select(F.col("node").alias("d"), F.col("root")).unionByName(found.select(F.col("root").alias("d"), F.col("root")).distinct())
     named = roots.join(one_row.select("d", "rep"), "d")
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("comp_rep")), "root").select("d", "root", "comp_rep")

@@ -53,11 +53,42 @@ def test_against_brute_force(spark, seed, monkeypatch):
     if seed == 2:
         monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     if seed == 3:
-        monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(jaccard_join, "BROADCAST_BYTES", 0)
     docs = spark.createDataFrame([(d, t, "clash", 1) for d, t in rows], "doc_id long, text string, tok string, k int")
     assert sorted(map(tuple, jaccard_components(docs).collect())) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [3, 16])
+def test_a_giant_component(spark, block, monkeypatch):
+    """One passage in all texts; a large group of near copies in many blocks, and pairs outside it, near or far in size."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(900)]
+    passage = words[:40]
+    rows = []
+    for i in range(120):  # near copies of one another
+        tail = words[100:140]
+        tail[rng.randrange(40)] = rng.choice(words)
+        rows.append((i, " ".join(passage + tail[: rng.randint(34, 40)])))
+    for i in range(40):  # texts of their own around the passage, each with a near copy
+        own = rng.sample(words, rng.randint(10, 60))
+        rows.append((1000 + i, " ".join(passage + own)))
+        rows.append((2000 + i, " ".join(passage + own + rng.sample(words, rng.randint(0, 12)))))
+    rng.shuffle(rows)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    met = []
+    outside = jaccard_join._outside
+    monkeypatch.setattr(jaccard_join, "_outside", lambda *x: met.append(outside(*x)) or met[-1])
+    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == brute(rows)
+    assert met[0] is not None or block > 3
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 70_001}" for i in range(300_000))
+    rows = [(1, long), (2, long + " end"), (3, "short text of its own, not long")]
+    assert sorted(tuple(r)[::2] for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_empty_and_null_ids(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_components(docs).collect() == []
