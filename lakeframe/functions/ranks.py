@@ -35,7 +35,8 @@ def in_order(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """df range-partitioned by all of order and sorted, with the part (_p) and the place in it (_i) of each row.
 
     Ranges are sampled over every column of order, ties included, so a value that most rows share is still dealt to
-    many parts; their number is that of shuffle partitions. The rows are written once, so parts stay as they are.
+    many parts; their number is that of shuffle partitions. The rows are written once, so parts stay as they are: select
+    the columns that are needed before.
     """
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
     return cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", place))

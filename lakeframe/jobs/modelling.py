@@ -25,7 +25,7 @@ def _rank_sql(by: str, stream: str, frame: str = "line") -> str:
     WITH {LINE_SQL}, r AS (SELECT key, l_returnflag, {_rank_sql('l_returnflag', 'split')}), t AS (SELECT *, ceil(round(n * 0.2, 9)) AS nt FROM r)
     SELECT key, l_returnflag, CASE WHEN rn <= nt THEN 'test' WHEN rn <= nt + ceil(round((n - nt) * 0.25, 9)) THEN 'calibration' ELSE 'train' END AS part FROM t""")
 def three_way_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.three_way_split(line(spark, sf_dir), "key", SEED, "l_returnflag").select("key", "l_returnflag", "part")
+    return split.three_way_split(line(spark, sf_dir).select("key", "l_returnflag"), "key", SEED, "l_returnflag").select("key", "l_returnflag", "part")
 
 
 @job(f"""
@@ -39,7 +39,7 @@ def grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, count(*) OVER () AS n FROM orders)
     SELECT o_orderkey, CASE WHEN rn <= floor(round(n * 0.8, 9)) THEN 'train' ELSE 'test' END AS part FROM r""")
 def time_ordered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.time_ordered_split(read(spark, sf_dir, "orders"), "o_orderdate", ["o_orderkey"]).select("o_orderkey", "part")
+    return split.time_ordered_split(read(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey"), "o_orderdate", ["o_orderkey"]).select("o_orderkey", "part")
 
 
 @job(f"""
@@ -59,7 +59,7 @@ def split_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job(f"WITH {LINE_SQL}, r AS (SELECT key, {_rank_sql('l_returnflag', 'fold')}) SELECT key, (rn % 5)::INT AS fold FROM r")
 def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.cv_folds(line(spark, sf_dir), "key", SEED, 5, stratum="l_returnflag").select("key", "fold")
+    return split.cv_folds(line(spark, sf_dir).select("key", "l_returnflag"), "key", SEED, 5, stratum="l_returnflag").select("key", "fold")
 
 
 @job(f"""
@@ -95,7 +95,7 @@ def _group_mean_cv(df: DataFrame, group: str) -> DataFrame:
     m AS (SELECT *, (sum(s) OVER (PARTITION BY g) - s) / (sum(n) OVER (PARTITION BY g) - n) AS fit FROM c)
     SELECT fold, sum(n)::BIGINT AS n, round(1 - sum(ss - 2 * fit * s + n * fit * fit) / (sum(ss) - sum(s) * sum(s) / sum(n)), 6) AS r2 FROM m GROUP BY 1""")
 def cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = split.cv_folds(line(spark, sf_dir), "key", SEED, 5, stratum="l_returnflag")
+    df = split.cv_folds(line(spark, sf_dir).select("key", "l_returnflag", "o_orderpriority", "y"), "key", SEED, 5, stratum="l_returnflag")
     return _group_mean_cv(df, "o_orderpriority").withColumn("r2", rounded("r2"))
 
 
@@ -110,7 +110,7 @@ _NESTED_CELLS = " UNION ALL ".join(f"SELECT '{c}' AS candidate, {c} AS g, fold,
     SELECT outer_fold, candidate, round(r2, 6) AS inner_r2, count(*) OVER (PARTITION BY candidate) AS n_chosen FROM p WHERE nth = 1""")
 def nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidate that the inner folds choose for each outer fold; all from one table of cells."""
-    df = split.cv_folds(line(spark, sf_dir), "key", SEED, 5, stratum="l_returnflag")
+    df = split.cv_folds(line(spark, sf_dir).select("key", "l_returnflag", "o_orderpriority", "p_type", "y"), "key", SEED, 5, stratum="l_returnflag")
     long = unpivot(df, ["fold", "y"], ["l_returnflag", "o_orderpriority", "p_type"], "candidate", "g")
     y = F.col("y")
     cells = long.groupBy("candidate", "g", "fold").agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss"))

@@ -173,7 +173,7 @@ def _chunked(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 @job(f"WITH {_CHUNKS} SELECT chunk, count(*) AS n, min(rn) AS first, max(rn) AS last FROM ch GROUP BY 1")
 def row_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunked(spark, line(spark, sf_dir)).groupBy("chunk").agg(F.count("*").alias("n"), F.min("rn").alias("first"), F.max("rn").alias("last"))
+    return _chunked(spark, line(spark, sf_dir).select("key", "l_shipdate")).groupBy("chunk").agg(F.count("*").alias("n"), F.min("rn").alias("first"), F.max("rn").alias("last"))
 
 
 @job(f"""
@@ -184,7 +184,7 @@ def row_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT chunk, n, round(acc, 6) AS estimated_accuracy, round(f1, 6) AS estimated_f1, round(auc, 6) AS estimated_roc_auc, round(realised, 6) AS realised_accuracy, chunk = max(chunk) OVER () AS headline FROM e JOIN a USING (chunk)""")
 def estimate_performance_cls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy, and f1 and AUC of one class, by chunk from probabilities alone, beside what turned out; the last chunk leads."""
-    df = _chunked(spark, classes(line(spark, sf_dir))).withColumn("hit", F.col("truth") == F.col("predicted"))
+    df = _chunked(spark, classes(line(spark, sf_dir)).select("key", "l_shipdate", "truth", "predicted", "p_high", "p_low", "p_mid")).withColumn("hit", F.col("truth") == F.col("predicted"))
     found = estimate.expected_scores(df, "chunk", F.greatest("p_high", "p_low", "p_mid"), F.col("p_high"), F.col("hit"))
     return found.select("chunk", "n", *[rounded(c).alias(c) for c in ("estimated_accuracy", "estimated_f1", "estimated_roc_auc", "realised_accuracy")], "headline")
 
@@ -214,7 +214,7 @@ def estimate_performance_features(spark: SparkSession, sf_dir: str) -> DataFrame
     FROM b LEFT JOIN loss USING (bin), f WHERE l_shipdate >= {_CUT} GROUP BY 1""")
 def estimate_performance_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected losses by chunk, from the reference's mean losses in bins of the prediction."""
-    df = _chunked(spark, line(spark, sf_dir)).withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(49), F.floor(F.col("pred") / 2))).cast("int"))
+    df = _chunked(spark, line(spark, sf_dir).select("key", "l_shipdate", "y", "pred")).withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(49), F.floor(F.col("pred") / 2))).cast("int"))
     cut = F.lit("1998-07-01").cast("timestamp")
     error = F.abs(F.col("y") - F.col("pred"))
     reference = df.where(F.col("l_shipdate") < cut)
