@@ -12,7 +12,8 @@ can matter:
    lengths of sorted neighbours give, for each of the SPAN - GRAM + 1 places of a string around the anchor, the
    class of its right and of its left part; a pair of classes that occurs twice is a repeated string. An anchor with
    more than HOT different contexts (a common line) is not gathered: each string of SPAN bytes around it goes by its
-   own hash, so that only equal strings meet, and copies in one batch are settled on the spot.
+   own hash, so that only equal strings meet, and copies in one batch are settled on the spot. The commonest of these
+   are known from a first pass, and their rows are salted by context wherever they are counted.
 4. The ranges found are gathered by document and cut out.
 
 Sorting work is linear in the anchors but for the sort itself; no pairs are formed within a group.
@@ -36,6 +37,9 @@ GRAM = 64
 SHALLOW_WORDS = 4
 #: Contexts of one anchor that are sorted together at most.
 HOT = 20_000
+#: Anchors held to be common, at most, and their least share of a slice's contexts; this only decides which are salted.
+COMMON_LIMIT = 65_536
+COMMON_SHARE = 1 / 4096
 #: Contexts of hot anchors whose strings are compared before the shuffle at once.
 HOT_BATCH = 2_000
 
@@ -200,24 +204,51 @@ def repeated_around(group: np.ndarray, left: np.ndarray, left_n: np.ndarray, rig
     return farthest, nearest
 
 
-def _emit_anchors(span: int, gram: int):
+def _contexts(batch: pa.RecordBatch, span: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Anchors of a batch, slice by slice: row, position, hash and context's hash in order of the two, and what repeats its neighbour."""
+    data, offsets = byte_column(batch.column("text"))
+    for i, j in slices(offsets):
+        if offsets[j] - offsets[i] < span:
+            continue
+        row, at, h, c = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], span, gram)
+        if len(row):
+            order = np.lexsort((c, h))
+            row, at, h, c = row[order] + i, at[order], h[order], c[order]
+            yield row, at, h, c, np.concatenate(([False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])))
+
+
+def _emit_common(span: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, h, _, again in _contexts(batch, span, gram):
+                found, n = np.unique(h[~again], return_counts=True)
+                often = n >= max(4, COMMON_SHARE * len(h))
+                if often.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(found[often]), pa.array(n[often].astype(np.int64))], names=["h", "n"])
+
+    return run
+
+
+def common_anchors(keyed: DataFrame, span: int, gram: int) -> np.ndarray:
+    """Sorted hashes of anchors that have more than HOT contexts, COMMON_LIMIT at most: counted where they are a share of a slice."""
+    found = keyed.select("text").mapInArrow(_emit_common(span, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r.h for r in found.where(F.col("n") > HOT).orderBy(F.desc("n"), "h").limit(COMMON_LIMIT).select("h").collect()], np.int64))
+
+
+def _emit_anchors(span: int, gram: int, common: np.ndarray, salts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = byte_column(batch.column("text"))
             keys = batch.column("k").to_numpy()
-            for i, j in slices(offsets):
-                if offsets[j] - offsets[i] < span:
-                    continue
-                row, at, h, c = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], span, gram)
-                if not len(row):
-                    continue
-                order = np.lexsort((c, h))
-                row, at, h, c = keys[i:j][row[order]], at[order], h[order], c[order]
-                again = np.concatenate(([False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])))
+            for row, at, h, c, again in _contexts(batch, span, gram):
+                row = keys[row]
                 sure = again | np.append(again[1:], False)
+                salt = np.zeros(len(h), np.int32)
+                if len(common):
+                    hot = ~again & (common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h)
+                    salt[hot] = 1 + c[hot] % salts
                 # one row speaks for a context to the others of its anchor; its copies here are settled and go anywhere
                 h = np.where(again, mix64(row.view(np.uint64) + at.astype(np.uint64)).view(np.int64), h)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, row, at.astype(np.int32), sure)], names=["h", "c", "k", "at", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, salt, c, row, at.astype(np.int32), sure)], names=["h", "salt", "c", "k", "at", "sure"])
 
     return run
 
@@ -374,9 +405,12 @@ def _cut_out(with_text: bool, columns: list[str]):
 
 def open_contexts(keyed: DataFrame, near: DataFrame, span: int, gram: int) -> DataFrame:
     """What has to meet by h: contexts of anchors with up to HOT different ones, strings around the anchors with more."""
-    by_anchor = Window.partitionBy("h")
+    by_anchor = Window.partitionBy("h", "salt")
+    salted = F.col("salt") > 0  # a part of an anchor that is known to be hot
     # of a context that occurs often one row is enough for the others of its anchor to be compared with
-    unsettled = near.where("varied").select("*", F.max(~F.col("settled")).over(by_anchor).alias("open"), (F.count_if(~F.col("as_last")).over(by_anchor) > HOT).alias("hot")).where("open and not as_last")
+    unsettled = near.where(F.col("varied") | salted).select(
+        "*", (F.max(~F.col("settled")).over(by_anchor) | salted).alias("open"), ((F.count_if(~F.col("as_last")).over(by_anchor) > HOT) | salted).alias("hot")
+    ).where("open and not as_last")
     wanted = unsettled.groupBy("k").agg(F.collect_list(F.struct("h", "at", "hot")).alias("wanted"))
     # all columns, though few are needed: so this join and the last one read the same shuffle of the texts
     return keyed.join(wanted, "k").select(*keyed.columns, "wanted").mapInArrow(_emit_contexts(span, gram), "h long, k long, at int, hi int, sure boolean, left binary, right binary")
@@ -394,18 +428,19 @@ def suffix_array_dedup(documents: DataFrame, span: int = SPAN, gram: int = GRAM,
     others = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
     row = [F.struct(*others).alias("row")] if with_text else []
     keyed = bounded(documents).select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), F.col("text").cast("binary").alias("text"), *row)
-    found = keyed.select("k", "text").mapInArrow(_emit_anchors(span, gram), "h long, c long, k long, at int, sure boolean")
-    by_anchor = Window.partitionBy("h")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    common = common_anchors(keyed, span, gram)
+    found = keyed.select("k", "text").mapInArrow(_emit_anchors(span, gram, common, parts), "h long, salt int, c long, k long, at int, sure boolean")
+    by_anchor = Window.partitionBy("h", "salt")
     in_order = by_anchor.orderBy("c")
     near = found.select(
-        "h", "c", "k", "at", "sure",
+        "h", "salt", "c", "k", "at", "sure",
         (F.lag("c").over(in_order) == F.col("c")).alias("as_last"),
         (F.lead("c").over(in_order) == F.col("c")).alias("as_next"),
         (F.min("c").over(by_anchor) < F.max("c").over(by_anchor)).alias("varied"),
-    ).select("h", "k", "at", "varied", F.coalesce("as_last", F.lit(False)).alias("as_last"), (F.col("sure") | F.coalesce("as_last", F.lit(False)) | F.coalesce("as_next", F.lit(False))).alias("settled"))
+    ).select("h", "salt", "k", "at", "varied", F.coalesce("as_last", F.lit(False)).alias("as_last"), (F.col("sure") | F.coalesce("as_last", F.lit(False)) | F.coalesce("as_next", F.lit(False))).alias("settled"))
     settled = near.where("settled").select("k", (F.col("at") - (span - gram)).alias("lo"), (F.col("at") + span).alias("hi"))
     contexts = open_contexts(keyed, near, span, gram)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_sort_contexts(span, gram), "k long, lo int, hi int")
     ranges = settled.unionByName(ranged).groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     kept = ["doc_id", *["row"] * with_text]

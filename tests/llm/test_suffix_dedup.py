@@ -63,14 +63,16 @@ def test_hot_anchors(spark, seed, hot, monkeypatch):
     other = lambda n: "".join(rng.choices("abcdefgh ", k=n))
     line, longer = other(180), other(230)
     texts = corpus(seed, 30) + [other(rng.randint(0, 300)) + line + other(rng.randint(0, 300)) for _ in range(60)] + [other(150) + longer + other(150) for _ in range(20)]
-    seen = []
-    real = suffix_dedup.open_contexts
+    seen, common = [], []
+    real, counted = suffix_dedup.open_contexts, suffix_dedup.common_anchors
+    monkeypatch.setattr(suffix_dedup, "common_anchors", lambda *a: common.append(counted(*a)) or common[-1])
     monkeypatch.setattr(suffix_dedup, "open_contexts", lambda *a: seen.append(real(*a)) or seen[-1])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array_dedup(docs).collect()}
     assert [found[i] for i in range(len(texts))] == brute([(t or "").encode() for t in texts], 200)
     assert max((r["count"] for r in seen[0].where("left is not null").groupBy("h").count().collect()), default=0) <= hot
     assert seen[0].where("left is null").count() > 1000
+    assert len(common) == 1 and len(common[0]) > 0  # what the first pass found has been salted
 
 
 def test_empty_table_and_null_id(spark):
