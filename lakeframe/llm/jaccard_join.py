@@ -5,8 +5,10 @@
    sets of similarity >= 80 % share at least l of their first n - ceil(0.8 n) + l shingles. So a set none or few of
    whose prefix shingles occur in another set's prefix has no partner and leaves; then those leave whose shingles were
    shared with such sets.
+   Rows of the common shingles are salted by set, so that one that very many sets hold is dealt to all tasks.
 3. The rest is chained: within a shingle's sets, in order of size, each is tied to the next unless their sizes alone
-   rule a link out. Components of these ties are a partition that no link crosses.
+   rule a link out. Components of these ties are a partition that no link crosses. A salted shingle's parts are chained
+   each for itself, then tied together in bands of sizes that could link.
 4. Each component's sets meet once. A signature tree over them (nodes hold OR-combined bitmaps and size ranges) is
    traversed against itself; a pair of nodes goes if even its greatest possible overlap is too small, or if all its
    sets are connected already. Pairs of leaves that remain are compared exactly, most promising first.
@@ -110,12 +112,14 @@ def _sets_with_common(part_share: float, words: int):
     return run
 
 
-def _emit_prefixes(common: np.ndarray, words: int, percent: int):
+def _emit_prefixes(common: np.ndarray, words: int, percent: int, salts: int):
+    """Prefix shingles; salt is 0, but for the common ones a number from the set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         seen: set[int] = set()  # copies of a set in one partition count once
         for batch in parts(batches):
-            tokens, digests, sizes, rows = [], [], [], 0
+            tokens, salted, digests, sizes, rows = [], [], [], [], 0
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, hashes, words)
                 n, d = len(found), digest_of(found)
@@ -123,27 +127,30 @@ def _emit_prefixes(common: np.ndarray, words: int, percent: int):
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(d)
+                salt = np.zeros(n, np.int32)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, found), len(common) - 1)
                     late = common[at] == found
                     found = np.concatenate((found[~late], found[late]))
+                    salt[n - int(late.sum()) :] = 1 + d % salts
                 take = min(n, n - -(-percent * n // 100) + int(_slack(n)))
                 tokens.append(found[:take])
+                salted.append(salt[:take])
                 digests.append(d)
                 sizes.append((n, take))
                 rows += take
                 if rows > 200_000:
-                    yield _prefix_batch(tokens, digests, sizes)
-                    tokens, digests, sizes, rows = [], [], [], 0
+                    yield _prefix_batch(tokens, salted, digests, sizes)
+                    tokens, salted, digests, sizes, rows = [], [], [], [], 0
             if rows:
-                yield _prefix_batch(tokens, digests, sizes)
+                yield _prefix_batch(tokens, salted, digests, sizes)
 
     return run
 
 
-def _prefix_batch(tokens: list, digests: list, sizes: list) -> pa.RecordBatch:
+def _prefix_batch(tokens: list, salted: list, digests: list, sizes: list) -> pa.RecordBatch:
     n, take = np.array(sizes, np.int64).T
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(digests, np.int64), take)), pa.array(np.repeat(n, take).astype(np.int32))], names=["tok", "d", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salted)), pa.array(np.repeat(np.array(digests, np.int64), take)), pa.array(np.repeat(n, take).astype(np.int32))], names=["tok", "salt", "d", "n"])
 
 
 def _emit_sets(words: int):
@@ -347,6 +354,32 @@ def _outside(members: DataFrame, found: DataFrame) -> DataFrame | None:
     return cut(sided.where("side = 0").join(rest.select("comp").distinct(), "comp", "left_semi").unionByName(numbered))
 
 
+def _met(prefixes: DataFrame) -> DataFrame:
+    """Rows of prefixes (tok, salt, d, n) whose shingle another set holds too."""
+    part = Window.partitionBy("tok", "salt")
+    met = (F.min("d").over(part) < F.max("d").over(part)) | (F.col("salt") > 0)
+    held = cut(prefixes.select("tok", "salt", "d", "n", met.alias("met")).where("met").select("tok", "salt", "d", "n"))
+    lone = held.where("salt > 0").groupBy("tok").agg((F.min("d") == F.max("d")).alias("lone")).where("lone").select("tok")
+    return held.join(F.broadcast(lone), "tok", "left_anti").select("tok", "salt", "d", "n")  # COMMON_LIMIT rows at most
+
+
+def _ties(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that connect, for each shingle, those of its sets whose sizes do not rule a link out."""
+    in_size = Window.partitionBy("tok", "salt").orderBy("n", "d")
+    chained = shared.select("d", "n", F.lag("d").over(in_size).alias("last"), F.lag("n").over(in_size).alias("last_n"))
+    chained = chained.where(f"100 * last_n >= {percent} * n").select("d", "last")
+    # of a salted shingle: a row for each part and band of sizes, and for each band
+    band = F.floor(F.log(100 / percent, F.col("n"))).alias("band")
+    heads = cut(shared.where("salt > 0").groupBy("tok", "salt", band).agg(F.min(F.struct("n", "d")).alias("low"), F.max("n").alias("high")))
+    bands = heads.groupBy("tok", "band").agg(F.min("low").alias("first"), F.max("high").alias("high"))
+    together = heads.join(bands, ["tok", "band"]).select("low.d", F.col("first.d").alias("last"))
+    by_band = Window.partitionBy("tok").orderBy("band")
+    across = bands.select("first", F.lag("first.d").over(by_band).alias("last"), F.lag("high").over(by_band).alias("last_n"))
+    across = across.where(f"100 * last_n >= {percent} * first.n").select("first.d", "last")
+    pairs = chained.union(together).union(across).where("d <> last")
+    return pairs.select(F.greatest("d", "last").alias("a"), F.least("d", "last").alias("b")).distinct()
+
+
 def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, common_share: float = 0.002, with_key: bool = False) -> DataFrame:
     """Per row of documents: doc_id, n_shingles, component_id (the least doc_id that links reach, its own included).
 
@@ -360,21 +393,20 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
     rows = made.where("kind = 0").select("doc_id", "k", "d", "n")
     common = made.where("kind = 1").groupBy("d").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d").limit(COMMON_LIMIT)
     common = np.sort(np.array([r.d for r in common.select("d").collect()], np.int64).view(np.uint64))
-    prefixes = keyed.select("text").mapInArrow(_emit_prefixes(common, words, percent), "tok long, d long, n int")
-    by_token = Window.partitionBy("tok")
-    met = F.min("d").over(by_token) < F.max("d").over(by_token)
-    shared = cut(prefixes.select("tok", "d", "n", met.alias("met")).where("met").select("tok", "d", "n"))
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = _met(keyed.select("text").mapInArrow(_emit_prefixes(common, words, percent, salts), "tok long, salt int, d long, n int"))
     # at least as many shared prefix shingles as the smallest possible partner calls for
     enough = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 16))
     for _ in range(2):  # what was shared only with sets that have left is shared no more
         able = shared.groupBy("d", "n").agg(F.count_distinct("tok").alias("met")).where(F.col("met") >= enough).select("d")
-        shared = shared.join(able, "d", "left_semi").select("tok", "d", "n", met.alias("met")).where("met").select("tok", "d", "n")
-    in_size = by_token.orderBy("n", "d")
-    ties = shared.select("d", "n", F.lag("d").over(in_size).alias("last"), F.lag("n").over(in_size).alias("last_n"))
-    ties = ties.where(f"last <> d and 100 * last_n >= {percent} * n").select(F.greatest("d", "last").alias("a"), F.least("d", "last").alias("b")).distinct()
+        shared = _met(shared.join(able, "d", "left_semi"))
+    ties = _ties(shared, percent)
     loose = connected_components(ties)
     loose = loose.select(F.col("node").alias("d"), F.col("root").alias("comp")).unionByName(loose.select(F.col("root").alias("d"), F.col("root").alias("comp")).distinct())
-    one_row = rows.where("n > 0").groupBy("d").agg(F.min("k").alias("k"), F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    part = F.pmod("k", F.lit(64)).cast("int")  # copies of a set are dealt to so many tasks when they get its component
+    one_row = rows.where("n > 0").groupBy("d").agg(
+        F.min("k").alias("k"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.bit_or(F.expr("shiftleft(1L, cast(pmod(k, 64) as int))")).alias("parts")
+    )
     blocked = rank_within(loose.join(one_row, "d").select("k", "d", "comp", F.col("n").alias("size")), ["comp"], ["size", "d"])
     members = cut(blocked.select("k", "d", "comp", F.lit(0).alias("side"), F.col("size").alias("n"), F.floor((F.col("rn") - 1) / BLOCK).cast("int").alias("block")))
     links = cut(_links(keyed, members, percent, words, F.col("other") <= F.col("block") + 1))
@@ -385,9 +417,10 @@ def jaccard_components(documents: DataFrame, words: int = WORDS, percent: int =
     roots = found.select(F.col("node").alias("d"), F.col("root")).unionByName(found.select(F.col("root").alias("d"), F.col("root")).distinct())
     named = roots.join(one_row.select("d", "rep"), "d")
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("comp_rep")), "root").select("d", "root", "comp_rep")
-    classes = one_row.select("d", "rep").join(named, "d", "left").select("d", F.coalesce("comp_rep", "rep").alias("component"), F.coalesce("root", "d").alias("root"))
+    classes = one_row.select("d", "rep", "parts").join(named, "d", "left").select("d", "parts", F.coalesce("comp_rep", "rep").alias("component"), F.coalesce("root", "d").alias("root"))
+    classes = classes.select("d", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("parts", i) == 1)).alias("part"), "component", "root")
     key = ["k", "root"] if with_key else []
-    return rows.join(classes, "d", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *key)
+    return rows.withColumn("part", part).join(classes, ["d", "part"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *key)
 
 
 def drop_near_duplicates(documents: DataFrame) -> DataFrame:
