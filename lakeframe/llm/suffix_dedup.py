@@ -220,19 +220,25 @@ def _contexts(batch: pa.RecordBatch, span: int, gram: int) -> Iterator[tuple[np.
 def _emit_common(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, h, _, again in _contexts(batch, span, gram):
-                found, n = np.unique(h[~again], return_counts=True)
-                often = n >= max(4, COMMON_SHARE * len(h))
+            for _, _, h, c, again in _contexts(batch, span, gram):
+                sure = np.append(again[1:], False)[~again]
+                h, c = h[~again], c[~again]
+                _, where, n = np.unique(h, return_inverse=True, return_counts=True)
+                often = n[where] >= max(4, COMMON_SHARE * len(h))
                 if often.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(found[often]), pa.array(n[often].astype(np.int64))], names=["h", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[often]) for x in (h, c, sure)], names=["h", "c", "sure"])
 
     return run
 
 
 def common_anchors(keyed: DataFrame, span: int, gram: int) -> np.ndarray:
-    """Sorted hashes of anchors that have more than HOT contexts, COMMON_LIMIT at most: counted where they are a share of a slice."""
-    found = keyed.select("text").mapInArrow(_emit_common(span, gram), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r.h for r in found.where(F.col("n") > HOT).orderBy(F.desc("n"), "h").limit(COMMON_LIMIT).select("h").collect()], np.int64))
+    """Sorted hashes of anchors with more than HOT contexts, not all of which repeat: those of most contexts, COMMON_LIMIT at most.
+
+    Contexts are counted in the slices of which their anchor is a share.
+    """
+    found = keyed.select("text").mapInArrow(_emit_common(span, gram), "h long, c long, sure boolean")
+    found = found.groupBy("h", "c").agg((F.max("sure") | (F.count("*") > 1)).alias("settled")).groupBy("h").agg(F.count("*").alias("n"), F.min("settled").alias("settled"))
+    return np.sort(np.array([r.h for r in found.where((F.col("n") > HOT) & ~F.col("settled")).orderBy(F.desc("n"), "h").limit(COMMON_LIMIT).select("h").collect()], np.int64))
 
 
 def _emit_anchors(span: int, gram: int, common: np.ndarray, salts: int):
