@@ -11,6 +11,7 @@ from .decontaminate import contaminated
 from .html_extract import extract_main_text
 from .jaccard_join import jaccard_components
 from .language import identify_languages
+from .mixture_packing import pack_mixture
 from .packing import pack_sequences
 from .quality import quality_bands
 from .sharding import place_documents, placement_sql
@@ -59,6 +60,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_mixture(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_array_dedup,
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_edit_aware_counts,
         op9_best_fit_packing,
         op10_jaccard_join,
+        op11_mixture_packing,
     )
     return {query.__name__: query for query in found}
 
