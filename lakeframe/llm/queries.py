@@ -18,6 +18,7 @@ from .sharding import place_documents, placement_sql
 from .suffix_dedup import suffix_array_dedup
 from .token_counts import edit_aware_counts
 from .toxicity import toxicity
+from .vector_codes import vector_codes
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,10 @@ def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_mixture(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_array_dedup,
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_best_fit_packing,
         op10_jaccard_join,
         op11_mixture_packing,
+        op12_vector_codes,
     )
     return {query.__name__: query for query in found}
 
