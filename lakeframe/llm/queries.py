@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import collocations, collocations_sql
 from .common import table
 from .decontaminate import contaminated
 from .html_extract import extract_main_text
@@ -69,6 +70,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_array_dedup,
@@ -83,10 +88,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_jaccard_join,
         op11_mixture_packing,
         op12_vector_codes,
+        op13_phrase_collocations,
     )
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Only placement is plain SQL; the others are tested against brute force, round trips or held-out rows."""
-    return {"op7_lookup_sharding": placement_sql()}
+    """Placement and collocations are plain SQL; the others are tested against brute force, round trips or held-out rows."""
+    return {"op7_lookup_sharding": placement_sql(), "op13_phrase_collocations": collocations_sql()}
