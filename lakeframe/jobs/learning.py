@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import fresh_path
-from ..operators import contract, learn, split
+from ..operators import contract, learn, measure, model_store, split
 from ..streaming import jobs as stream
-from .frames import LINE, LOG_SQL, SEED, classes, line, prediction_log, read, series
+from .frames import LINE, LINE_SQL, LOG_SQL, SEED, _uniform, classes, line, prediction_log, read, series
 from .registry import job
 
 
@@ -45,6 +48,44 @@ def cross_validate_estimator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.cross_validate(folded, lambda: LinearRegression(labelCol="y", regParam=0.1), ["l_returnflag"], _NUMBERS, "y")
 
 
+_PLANE = ["l_quantity", "l_discount"]
+
+
+@job(f"""
+    WITH {LINE_SQL}, s AS (SELECT avg(y) AS my, avg(l_quantity) AS ma, avg(l_discount) AS mb, var_pop(l_quantity) AS aa, var_pop(l_discount) AS bb,
+        covar_pop(l_quantity, l_discount) AS ab, covar_pop(l_quantity, y) AS ay, covar_pop(l_discount, y) AS bd FROM line WHERE {_uniform("key", SEED, "split")} >= 0.4),
+    c AS (SELECT *, (ay * bb - bd * ab) / (aa * bb - ab * ab) AS ca, (bd * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM s)
+    SELECT key, round(my + ca * (l_quantity - ma) + cb * (l_discount - mb), 3) AS y_pred FROM line, c""")
+def score_frame_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear model, fitted on the training part, stored, loaded and checked on the test part, scores all rows."""
+    df = line(spark, sf_dir).select("key", *_PLANE, "y").withColumn("part", split.threshold_split("key", SEED))
+    train, test = df.where("part = 'train'"), df.where("part = 'test'")
+    stages = [VectorAssembler(inputCols=_PLANE, outputCol="features"), LinearRegression(labelCol="y", solver="normal")]
+    model = Pipeline(stages=stages).fit(train)
+    r2 = model.transform(test).agg(measure.r2("y", "prediction")).first()[0]
+    path = fresh_path(spark, "model")
+    model_store.save(spark, path, model_store.describe(train, "plane", _PLANE, "y", metric="r2", metric_value=r2), model)
+    stored = model_store.load(spark, path)
+    model_store.verify(stored, test, measure.r2)
+    return model_store.score_frame(df, stored).select("key", F.round("y_pred", 3).alias("y_pred"))
+
+
+@job()
+def score_frame_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored classifier's classes, and its probabilities of the last one."""
+    df = line(spark, sf_dir).select("key", "l_returnflag", *_PLANE, F.when(F.col("y") < 38, "good").otherwise("poor").alias("truth"))
+    train = df.where(split.threshold_split("key", SEED) == "train")
+    labels = StringIndexer(inputCol="truth", outputCol="_label", stringOrderType="alphabetAsc").fit(train)
+    encoder = StringIndexer(inputCol="l_returnflag", outputCol="_flag", stringOrderType="alphabetAsc", handleInvalid="keep")
+    stages = [encoder, VectorAssembler(inputCols=[*_PLANE, "_flag"], outputCol="features"), LogisticRegression(labelCol="_label", maxIter=20)]
+    model = Pipeline(stages=stages).fit(labels.transform(train))
+    path = fresh_path(spark, "model")
+    manifest = model_store.describe(train, "poor-lines", ["l_returnflag", *_PLANE], "truth", tuple(labels.labels), closed=("l_returnflag",))
+    model_store.save(spark, path, manifest, model)
+    scored = model_store.score_frame(df, model_store.load(spark, path), strict_levels=True)
+    return scored.select("key", "y_pred", F.round("y_pred_proba", 6).alias("y_pred_proba"))
+
+
 @job()
 def vectorize_high_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = line(spark, sf_dir).select("key", "l_returnflag", F.col("l_partkey").cast("string").alias("l_partkey"), "l_quantity")
