@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import fresh_path
-from ..operators import contract, learn, measure, model_store, split
+from ..operators import contract, learn, measure, ml_forecast, model_store, split
 from ..streaming import jobs as stream
-from .frames import LINE, LINE_SQL, LOG_SQL, SEED, _uniform, classes, line, prediction_log, read, series
+from .frames import LINE, LINE_SQL, LOG_SQL, SEED, SERIES_SQL, _uniform, classes, line, prediction_log, read, series
 from .registry import job
 
 
@@ -117,7 +117,42 @@ def copula_synthesize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @job()
 def global_ml_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate's forecasts of the next days, each one model over all series."""
-    return learn.global_forecasts(series(spark, sf_dir), 14)
+    return ml_forecast.global_forecasts(series(spark, sf_dir), 7, 14)
+
+
+_WINDOWS, _LEVEL = 3, 0.9
+
+
+@job()
+def forecast_backtest_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates, with and without a model, from the same cutoffs."""
+    made = ml_forecast.backtest_forecasts(series(spark, sf_dir), 7, 14, _WINDOWS)
+    return ml_forecast.backtest(made, _WINDOWS, _LEVEL)
+
+
+@job(f"""
+    WITH {SERIES_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY ds) - 1 AS i, count(*) OVER (PARTITION BY unique_id) AS n FROM series),
+    w AS (SELECT unique_id, y, i, k, n - ({_WINDOWS} - k) * 14 AS cutoff FROM i, range({_WINDOWS}) t(k)),
+    s AS (SELECT * FROM w WHERE i >= cutoff AND i < cutoff + 14),
+    m AS (SELECT unique_id, k, avg(y) AS mean FROM w WHERE i < cutoff AND i >= cutoff - 7 GROUP BY 1, 2),
+    f AS (
+        SELECT 'naive' AS model, s.unique_id, s.k, s.y, i.y AS p FROM s JOIN i ON i.unique_id = s.unique_id AND i.i = s.cutoff - 1
+        UNION ALL SELECT 'seasonal_naive', s.unique_id, s.k, s.y, i.y FROM s JOIN i ON i.unique_id = s.unique_id AND i.i = s.cutoff - 7 + (s.i - s.cutoff) % 7
+        UNION ALL SELECT 'window_mean', s.unique_id, s.k, s.y, mean FROM s JOIN m USING (unique_id, k)),
+    b AS (SELECT model, unique_id, t.k, abs(y - p) AS s, row_number() OVER x AS r, count(*) OVER (PARTITION BY model, unique_id, t.k) AS n
+        FROM f JOIN range({_WINDOWS}) t(k) ON f.k < t.k WINDOW x AS (PARTITION BY model, unique_id, t.k ORDER BY abs(y - p))),
+    h AS (SELECT model, unique_id, k, s AS width FROM b WHERE r = ceil(round(least(1.0, ceil(round((n + 1) * {_LEVEL}, 9)) / n) * (n - 1), 9)) + 1),
+    e AS (SELECT model, avg(CASE WHEN abs(p) + abs(y) < 1e-9 THEN 0 ELSE 200 * abs(p - y) / (abs(p) + abs(y)) END) AS smape,
+            CASE WHEN NOT bool_or(abs(y) < 1e-9) THEN avg(CASE WHEN abs(y) >= 1e-9 THEN 100 * abs((p - y) / y) END) END AS mape, avg(abs(p - y)) AS mae,
+            avg((abs(y - p) <= width)::INT) FILTER (width IS NOT NULL) AS measured, avg(width) AS width
+        FROM f LEFT JOIN h USING (model, unique_id, k) GROUP BY 1)
+    SELECT model, round(smape, 6) AS smape, round(mape, 6) AS mape, round(mae, 6) AS mae, {_LEVEL}::DOUBLE AS requested, round(measured, 6) AS measured, round(width, 6) AS width,
+        row_number() OVER (ORDER BY smape, mae, model) AS place, round((SELECT min(smape) FROM e o WHERE o.model <> e.model) - smape, 6) AS margin FROM e""")
+def forecast_backtest_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates without a model."""
+    made = ml_forecast.backtest_forecasts(series(spark, sf_dir), 7, 14, _WINDOWS, models=False)
+    found = ml_forecast.backtest(made, _WINDOWS, _LEVEL)
+    return found.select("model", *[F.round(c, 6).alias(c) for c in ("smape", "mape", "mae")], "requested", *[F.round(c, 6).alias(c) for c in ("measured", "width")], "place", F.round("margin", 6).alias("margin"))
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def rank_forecasts(scored: DataFrame) -> DataFrame:
     """Best first by smape, mae and name; margin: how much better than the best of the others."""
     everything = Window.partitionBy()  # a row for each model
     order = Window.orderBy("smape", "mae", "model")
-    best, second = F.min("smape").over(everything), F.element_at(F.sort_array(F.collect_list("smape").over(everything)), 2)
+    best, second = F.min("smape").over(everything), F.try_element_at(F.sort_array(F.collect_list("smape").over(everything)), F.lit(2))
     ranked = scored.withColumn("place", F.row_number().over(order)).withColumn("_best", best).withColumn("_second", second)
     return ranked.withColumn("margin", F.when(F.col("place") == 1, F.col("_second")).otherwise(F.col("_best")) - F.col("smape")).drop("_best", "_second")
 

@@ -1,4 +1,4 @@
-"""Model-level jobs on pyspark.ml: high-cardinality encoding, learnability, attribution, copulas, global forecasts."""
+"""Model-level jobs on pyspark.ml: high-cardinality encoding, learnability, attribution, copulas."""
 
 from __future__ import annotations
 
@@ -10,13 +10,12 @@ from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_normal, hash_uniform
-from ..functions.storage import cut
 from ..spec import SETTINGS, Settings
 from .measure import r2
 
@@ -171,43 +170,3 @@ def _normal_quantile(p: float) -> float:
     from statistics import NormalDist
 
     return NormalDist().inv_cdf(p)
-
-
-LAGS = (1, 2, 3, 7, 8)
-
-
-def _lagged(series: DataFrame) -> DataFrame:
-    order = Window.partitionBy("unique_id").orderBy("ds")
-    return series.select("unique_id", "ds", "y", *[F.lag("y", k).over(order).alias(f"lag{k}") for k in LAGS])
-
-
-def global_forecast(series: DataFrame, horizon: int, estimator: Estimator | None = None) -> DataFrame:
-    """(unique_id, step, forecast): one model over all series' lags, then horizon steps, each fed with the ones before.
-
-    The steps run over all series at once: a row for each series holds its last values as columns. Series shorter than
-    the longest lag are left out.
-    """
-    assembler = VectorAssembler(inputCols=[f"lag{k}" for k in LAGS], outputCol="features")
-    estimator = estimator or LinearRegression(regParam=0.1)
-    model = estimator.setLabelCol("y").setFeaturesCol("features").fit(assembler.transform(_lagged(series).na.drop()))
-    back = F.row_number().over(Window.partitionBy("unique_id").orderBy(F.desc("ds")))
-    tail = series.withColumn("back", back).where(F.col("back") <= max(LAGS)).groupBy("unique_id")
-    state = tail.agg(*[F.max(F.when(F.col("back") == k, F.col("y"))).alias(f"last{k}") for k in range(1, max(LAGS) + 1)]).na.drop()
-    made = None
-    for step in range(1, horizon + 1):
-        inputs = state.select("*", *[F.col(f"last{k}").alias(f"lag{k}") for k in LAGS])
-        predicted = cut(model.transform(assembler.transform(inputs)).select(*state.columns, "prediction"))  # a row for each series
-        one = predicted.select("unique_id", F.lit(step).alias("step"), F.col("prediction").alias("forecast"))
-        made = one if made is None else made.unionByName(one)
-        state = predicted.select("unique_id", F.col("prediction").alias("last1"), *[F.col(f"last{k}").alias(f"last{k + 1}") for k in range(1, max(LAGS))])
-    return made
-
-
-def global_forecasts(series: DataFrame, horizon: int, seed: int = 7) -> DataFrame:
-    """Forecasts of three candidates: boosted trees, a random forest and ridge regression."""
-    candidates = {"boosted": GBTRegressor(maxIter=8, maxDepth=4, seed=seed), "forest": RandomForestRegressor(numTrees=12, seed=seed), "ridge": LinearRegression(regParam=0.1)}
-    made = None
-    for name, estimator in candidates.items():
-        one = global_forecast(series, horizon, estimator).withColumn("model", F.lit(name))
-        made = one if made is None else made.unionByName(one)
-    return made
