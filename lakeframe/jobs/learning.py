@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import fresh_path
 from ..operators import contract, learn, measure, ml_forecast, model_store, split
+from ..sources import io
+from ..spec import SETTINGS
 from ..streaming import jobs as stream
 from .frames import LINE, LINE_SQL, LOG_SQL, SEED, SERIES_SQL, _uniform, classes, line, prediction_log, read, series
 from .registry import job
@@ -208,3 +210,32 @@ def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream.source(spark, stream.log_files(spark, log.where(F.col("ts").cast("double") >= middle)))
     stream.run_to_end(rows, folder, each=stream.drift_per_batch(reference, f"{folder}/out", ["prediction"]))
     return spark.read.parquet(f"{folder}/out").select("batch", "feature", "test", "statistic", "p", "drifted", "share", "verdict", "alerts")
+
+
+_EDGES = {"prediction": [5.0, 10.0, 20.0, 40.0, 80.0]}
+_WARN, _BLOCK = SETTINGS.drift_warn, SETTINGS.drift_block
+_CELLS = "SELECT ts, 'prediction' AS feature, ((prediction >= 5)::INT + (prediction >= 10)::INT + (prediction >= 20)::INT + (prediction >= 40)::INT + (prediction >= 80)::INT)::VARCHAR AS cell FROM plog WHERE prediction IS NOT NULL"
+
+
+@job(f"""
+    WITH {LOG_SQL}, m AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS middle, max(ts) AS last FROM plog),
+    c AS ({_CELLS} UNION ALL SELECT ts, 'run_id', run_id FROM plog WHERE run_id IS NOT NULL),
+    r AS (SELECT feature, cell, count(*) / sum(count(*)) OVER (PARTITION BY feature) AS p FROM c, m WHERE ts < middle GROUP BY 1, 2),
+    w AS (SELECT date_trunc('day', ts) AS start, feature, cell, count(*) AS k FROM c, m WHERE ts >= middle GROUP BY 1, 2, 3),
+    s AS (SELECT *, sum(k) OVER (PARTITION BY start, feature) AS n FROM w),
+    j AS (SELECT s.start, s.feature, max(n)::BIGINT AS n, (sum(abs(k / n - coalesce(p, 0))) + 1 - sum(coalesce(p, 0))) / 2 AS tv
+        FROM s LEFT JOIN r USING (feature, cell) WHERE n >= {SETTINGS.drift_min_rows} GROUP BY 1, 2),
+    d AS (SELECT *, tv > 0.1 AS drifted, avg((tv > 0.1)::INT) OVER (PARTITION BY start) AS share FROM j)
+    SELECT start::TIMESTAMP AS start, feature, n, round(tv, 6) AS tv, drifted, round(share, 6) AS share, CASE WHEN share >= {_BLOCK} THEN 'block' WHEN share >= {_WARN} THEN 'warn' ELSE 'pass' END AS verdict
+    FROM d, m WHERE start + INTERVAL 1 DAY <= last - INTERVAL 3 HOUR""")
+def stream_drift_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of event time against the log's first half, each judged once when the watermark has passed its end."""
+    log = _log(spark, sf_dir)
+    ends = log.agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("middle"), (F.max("ts") - F.expr("INTERVAL 3 HOURS")).alias("last"))  # one row
+    halves = log.crossJoin(F.broadcast(ends))
+    folder = fresh_path(spark, "stream-windows")
+    reference = io.freeze(stream.reference_cells(halves.where("ts < middle"), _EDGES, ["run_id"]), f"{folder}/reference")
+    rows = stream.source(spark, stream.log_files(spark, halves.where("ts >= middle").select(*log.columns)), 1000)  # files of one writer bear no order of time
+    stream.run_to_end(stream.windowed_cells(rows, _EDGES, ["run_id"]), folder, each=stream.drift_by_window(reference, f"{folder}/out"))
+    found = stream.drifted_windows(spark, f"{folder}/out").crossJoin(F.broadcast(ends.select("last"))).where(F.col("start") + F.expr("INTERVAL 1 DAY") <= F.col("last"))
+    return found.select("start", "feature", "n", F.round("tv", 6).alias("tv"), "drifted", F.round("share", 6).alias("share"), "verdict")
