@@ -1,17 +1,19 @@
 """Benchmark decontamination: a BM25 index of the test items, searched block by block with WAND.
 
 The index holds impacts: an item's BM25 contribution for a term, as a share of the item's score against itself, so one
-threshold serves short and long items alike. Every passage of every document is a query: windows of twice the longest
-item's words, one item's length apart, so each place in a text where an item could stand lies whole in some window.
-Items of up to SHORT words share one length of window; longer ones are classed by doubling lengths, and each class has
-its own index and windows, so a long item neither is cut nor widens the windows of the short ones.
+threshold serves short and long items alike. Every passage of every document is a query: windows of REACH times the
+longest item's words, one item's length apart, so each stretch of a text in which an item could stand lies whole in some
+window. Items of up to SHORT words share one length of window; longer ones are classed by doubling lengths, and each
+class has its own index and windows. Windows only retrieve: an item is judged in stretches of its own length, so the
+length of other items decides nothing.
 
 - Running sums of each word's greatest impact bound what any item can reach in a window, for all windows at once.
 - Items are sorted by length and grouped in blocks; each term has its greatest impact per block, and blocks whose sum
   over a window's terms is below the threshold are skipped (block-max).
 - In the blocks left, a document-at-a-time WAND with pivots retrieves every item at or above the threshold.
-- A retrieved item is verified: a large enough share of the 3-word shingles of its question (its first part) and of
-  its answer (its last words) must stand in the window.
+- A retrieved item is verified: in a stretch of STRETCH times its own words, which begins with one of its 3-word shingles,
+  the score must reach the threshold again, and a large enough share of the shingles of its question (its first part)
+  and of its answer (its last words) must stand there.
 
 The index is broadcast while the items' text is within INDEX_BYTES; beyond that, items are split into as many parts as
 needed and each part is searched in turn, with term statistics and lengths of windows from all items.
@@ -40,6 +42,9 @@ QUESTION_OVERLAP = 0.6
 ANSWER_OVERLAP = 0.6
 ANSWER_SHARE = 0.25
 INDEX_BYTES = 8 << 20
+#: A stretch of text in which an item is judged, by its own words; windows that stride by one item hold each such stretch whole.
+STRETCH = 1.5
+REACH = 1 + STRETCH
 #: Items of up to so many words are one length class; each doubling beyond is another.
 SHORT = 512
 
@@ -77,6 +82,8 @@ class ItemIndex:
     highest: np.ndarray  # a term's greatest impact on any item; the last entry, of words that are no term, is 0
     question: list[set]
     answer: list[set]
+    weights: list[dict[int, float]]  # an item's impacts by term
+    stretch: list[int]  # words in which it is judged
     window: int
     stride: int
 
@@ -112,10 +119,14 @@ def build_index(rows: list[tuple[int, list[str]]], frequency: Counter, n_items:
     head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     block_max = np.maximum.reduceat(impact, head) if len(head) else impact
     highest = np.append(np.maximum.reduceat(impact, first[:-1]) if len(terms) else [], 0.0)
+    weights: list[dict[int, float]] = [{} for _ in rows]
+    for t, p, w in found:
+        weights[p][t] = w
     cuts = [max(1, len(w) - max(1, round(len(w) * ANSWER_SHARE))) for _, w in rows]
     return ItemIndex(
         [i for i, _ in rows], terms, first, place, impact, np.searchsorted(term[head], np.arange(len(terms) + 1)), place[head] // BLOCK_ITEMS, block_max, highest,
-        [_shingles(w[:c]) for (_, w), c in zip(rows, cuts, strict=True)], [_shingles(w[max(0, min(c, len(w) - 3)) :]) for (_, w), c in zip(rows, cuts, strict=True)], 2 * stride, stride,
+        [_shingles(w[:c]) for (_, w), c in zip(rows, cuts, strict=True)], [_shingles(w[max(0, min(c, len(w) - 3)) :]) for (_, w), c in zip(rows, cuts, strict=True)],
+        weights, [math.ceil(STRETCH * len(w)) for _, w in rows], math.ceil(REACH * stride), stride,
     )
 
 
@@ -191,17 +202,49 @@ def _matches(words: list[str], index: ItemIndex, threshold: float) -> dict[int,
         blocks = blocks_above(index, query, threshold)
         if not len(blocks):
             continue
-        inside = None
-        for place, score in wand(index, query, blocks, threshold):
-            inside = _shingles(words[a:b]) if inside is None else inside
-            question = len(index.question[place] & inside) / len(index.question[place])
-            answer = len(index.answer[place] & inside) / len(index.answer[place])
-            if question >= QUESTION_OVERLAP and answer >= ANSWER_OVERLAP:
-                found = (score, question, answer)
+        shingles: dict[tuple[str, ...], list[int]] = {}
+        for place, _ in wand(index, query, blocks, threshold):
+            if not shingles:
+                for i in range(a, max(a + 1, b - 2)):
+                    shingles.setdefault(tuple(words[i : min(i + 3, b)]), []).append(i)
+            found = judged(index, place, ids, shingles, b, threshold)
+            if found:
                 best[index.items[place]] = max(best.get(index.items[place], found), found)
     return best
 
 
+def judged(index: ItemIndex, place: int, ids: np.ndarray, shingles: dict[tuple[str, ...], list[int]], end: int, threshold: float) -> tuple[float, float, float] | None:
+    """Score, question overlap and answer overlap of the best stretch of a window in which the item passes all three.
+
+    shingles: those of the window, by their places in the text; end: the window's end. A stretch goes over the text's end if
+    it has to.
+    """
+    question, answer, length = index.question[place], index.answer[place], index.stretch[place]
+    at = sorted((i, s) for s in question | answer for i in shingles.get(s, ()))
+    need = QUESTION_OVERLAP * len(question), ANSWER_OVERLAP * len(answer)
+    inside: Counter = Counter()
+    best, upto, held = None, 0, [0, 0]
+    for start, first in at:
+        while upto < len(at) and (at[upto][0] <= start + length - 3 or at[upto][0] == start):
+            s = at[upto][1]
+            inside[s] += 1
+            if inside[s] == 1:
+                held[0] += s in question
+                held[1] += s in answer
+            upto += 1
+        if held[0] >= need[0] and held[1] >= need[1]:
+            weights = index.weights[place]
+            score = sum(weights.get(t, 0.0) for t in set(ids[start : min(start + length, end)].tolist()))
+            if score >= threshold - 1e-9:
+                found = (score, held[0] / len(question), held[1] / len(answer))
+                best = max(best or found, found)
+        inside[first] -= 1
+        if not inside[first]:
+            held[0] -= first in question
+            held[1] -= first in answer
+    return best
+
+
 def _search(index: list[ItemIndex]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):

@@ -18,18 +18,18 @@ def brute(docs, items):
         if ws:
             w = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean)) for t, tf in Counter(ws).items()}
             weights[i] = {t: x / sum(w.values()) for t, x in w.items()}
-    stride = max(len(split[i]) for i in weights)
     found = set()
     for d, text in docs:
         words = words_of(text)
-        for a in range(0, max(1, len(words) - stride), stride):
-            window = words[a : a + 2 * stride]
-            for i, w in weights.items():
-                cut = max(1, len(split[i]) - max(1, round(len(split[i]) * 0.25)))
-                question, answer = _shingles(split[i][:cut]), _shingles(split[i][max(0, min(cut, len(split[i]) - 3)) :])
-                inside = _shingles(window)
-                if sum(w.get(t, 0) for t in set(window)) >= 0.6 and len(question & inside) >= 0.6 * len(question) and len(answer & inside) >= 0.6 * len(answer):
-                    found.add((d, i))
+        for i, w in weights.items():  # each item by itself
+            cut = max(1, len(split[i]) - max(1, round(len(split[i]) * 0.25)))
+            question, answer = _shingles(split[i][:cut]), _shingles(split[i][max(0, min(cut, len(split[i]) - 3)) :])
+            for a in range(len(words)):
+                if tuple(words[a : a + 3]) in question | answer:
+                    stretch = words[a : a + math.ceil(1.5 * len(split[i]))]
+                    inside = _shingles(stretch)
+                    if sum(w.get(t, 0) for t in set(stretch)) >= 0.6 and len(question & inside) >= 0.6 * len(question) and len(answer & inside) >= 0.6 * len(answer):
+                        found.add((d, i))
     return found
 
 
@@ -59,15 +59,29 @@ def test_against_brute_force(spark, seed, monkeypatch):
     documents = spark.createDataFrame([(d, t, "clash") for d, t in docs], "doc_id long, text string, item_id string")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     wanted = brute(docs, items)
-    assert len(wanted) > 40
-    if seed == 1:
+    assert len(wanted) > 30
+    assert {(r.doc_id, r.item_id) for r in contaminated(documents, benchmark).collect()} == wanted
+    kept = drop_contaminated(documents, benchmark)
+    assert kept.columns == documents.columns
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in wanted}
+
+
+def test_other_items_change_no_verdict(spark):
+    """Pieces of a short item that lie scattered over a text are no copy of it, whatever else the benchmark holds."""
+    rng = random.Random(5)
+    item, other = [f"q{i}" for i in range(14)], [f"z{rng.randrange(900)}" for _ in range(500)]
+    docs = []
+    for d in range(60):
+        text = [f"r{rng.randrange(5000)}" for _ in range(800)]
+        for k, start in enumerate(range(0, 12, 3)):
+            at = 40 + 190 * k + rng.randrange(20)
+            text[at:at] = item[start : start + 5]
+        docs.append((d, " ".join(text)))
+    docs += [(100, " ".join(["x"] * 333 + item[:7] + ["y"] + item[7:] + ["x"] * 90)), (101, " ".join(other)), (102, " ".join(["long"] * 400_000 + item + ["text"] * 300_000))]
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    for items, wanted in ([(1, item)], {(100, 1), (102, 1)}), ([(1, item), (2, other)], {(100, 1), (102, 1), (101, 2)}):
+        benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
         assert {(r.doc_id, r.item_id) for r in contaminated(documents, benchmark).collect()} == wanted
-        kept = drop_contaminated(documents, benchmark)
-        assert kept.columns == documents.columns
-        assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in wanted}
-    else:  # windows follow the longest item of a part, so borders differ
-        found = {(r.doc_id, r.item_id) for r in contaminated(documents, benchmark).collect()}
-        assert len(found ^ wanted) <= 0.1 * len(wanted)
 
 
 @pytest.mark.parametrize("length", [512, 513, 900, 1500, 3000])
@@ -90,7 +104,7 @@ def test_parts_give_equal_rows(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", 900)
     made = list(decontaminate.indexes(benchmark))
     assert len(made) > 1
-    assert {index.window for part in made for index in part} == {2 * max(len(words_of(t)) for i, t in items if i is not None)}
+    assert {index.window for part in made for index in part} == {-(-5 * max(len(words_of(t)) for i, t in items if i is not None) // 2)}
     assert {(r.doc_id, r.item_id) for r in contaminated(documents, benchmark).collect()} == brute(docs, items)
 
 
