@@ -83,14 +83,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def active_features(data: np.ndarray, offsets: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, feature) pairs of the documents in data."""
+    """Distinct (row, feature) pairs of the documents in data; there is at most a feature a bucket."""
     found = []
     for order in ORDERS:
         features = slot[gram_buckets(data, offsets, order)]
         at = np.flatnonzero(features >= 0)
-        found.append((np.searchsorted(offsets, at, side="right") - 1) * FEATURES + features[at])
+        found.append(np.searchsorted(offsets, at, side="right") - 1 << BUCKET_BITS | features[at])
     pairs = np.unique(np.concatenate(found))
-    return pairs // FEATURES, pairs % FEATURES
+    return pairs >> BUCKET_BITS, pairs & (1 << BUCKET_BITS) - 1
 
 
 def _features(slot: np.ndarray):
@@ -99,7 +99,7 @@ def _features(slot: np.ndarray):
             data, offsets = byte_column(batch.column("bytes"))
             row, feature = active_features(data, offsets, slot)
             edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            rows = [feature[a:b].astype(np.int16).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            rows = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("nth"), batch.column("toxic"), pa.array(rows, pa.binary())], names=["nth", "toxic", "features"])
 
     return run
@@ -148,7 +148,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, features: int = FEAT
     at = summed.column("bucket").to_numpy()
     counts[0, at], counts[1, at] = summed.column("n0").to_numpy(), summed.column("n1").to_numpy()
     n0, n1 = counts[:, 0].tolist()
-    slot = np.full(1 << BUCKET_BITS, -1, np.int16)
+    slot = np.full(1 << BUCKET_BITS, -1, np.int32)
     if not n0 or not n1:
         none = np.zeros(features, np.float32)
         return ToxicityModel(slot, none, none, float(np.log((n1 + 0.5) / (n0 + 0.5))))
@@ -158,7 +158,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, features: int = FEAT
     found = few.mapInArrow(_features(slot), "nth int, toxic int, features binary").orderBy("nth", "toxic", "features").limit(2 * sample).collect()
     x = np.zeros((len(found), len(kept)), np.float32)
     for i, r in enumerate(found):
-        x[i, np.frombuffer(r.features, np.int16)] = 1
+        x[i, np.frombuffer(r.features, np.int32)] = 1
     x *= scale
     y = np.array([r.toxic for r in found], np.float32)
     weight = np.where(y == 1, n1 / max(1, y.sum()), n0 / max(1, len(y) - y.sum()))

@@ -109,3 +109,23 @@ def test_very_long_text(spark):
     documents = spark.createDataFrame([*docs, (9000, long, "x"), (9001, long + "zork", "x")], "doc_id long, text string, x string")
     found = {r.doc_id: r.score for r in toxicity(documents, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert 0 <= found[9000] < found[9001] <= 1
+
+
+def test_many_features(spark):
+    """Pairs of row and feature hold for any number of features: 40,000 of them give the presences that brute force gives."""
+    from lakeframe.llm.toxicity import BUCKET_BITS, active_features
+
+    rng = np.random.default_rng(4)
+    slot = np.full(1 << BUCKET_BITS, -1, np.int32)
+    slot[rng.permutation((1 << BUCKET_BITS) - 1)[:40_000] + 1] = np.arange(40_000)
+    texts = [(" " + "".join(rng.choice(list("abcdef gh"), 300)) + " ").encode() for _ in range(20)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    row, feature = active_features(np.frombuffer(b"".join(texts), np.uint8), offsets, slot)
+    wanted = set()
+    for i, t in enumerate(texts):
+        one = np.frombuffer(t, np.uint8)
+        wanted |= {(i, int(f)) for order in ORDERS for f in slot[gram_buckets(one, np.array([0, len(one)]), order)] if f >= 0}
+    assert set(zip(row.tolist(), feature.tolist())) == wanted and max(f for _, f in wanted) > 2048
+    docs, labels = data()
+    model = train_toxicity(spark.createDataFrame(docs, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, toxic int"), features=5000)
+    assert (model.weights != 0).sum() > 2048 and (model.bucket_slot >= 0).sum() == (model.weights != 0).sum()
