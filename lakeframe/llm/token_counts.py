@@ -57,10 +57,22 @@ class PreTokenCounts(dict):
         return n
 
 
+class KnownCounts(dict):
+    """Tokens of a kept tree's pre-tokens, and of what its edits bring; what it does not know is asked of the cache."""
+
+    def __init__(self, pieces: list[str], tokens: np.ndarray, counts: PreTokenCounts) -> None:
+        super().__init__(zip(pieces, tokens.tolist(), strict=True))
+        self.counts, self.pattern = counts, counts.pattern
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = self.counts[piece]
+        return n
+
+
 class TokenTree:
     """A document's pre-tokens under sums of characters and tokens: leaf i is node size + i and holds about LEAF of them."""
 
-    def __init__(self, pieces: list[str], tokens: np.ndarray, counts: PreTokenCounts) -> None:
+    def __init__(self, pieces: list[str], tokens: np.ndarray, counts: PreTokenCounts | KnownCounts) -> None:
         """tokens: how many each piece has, known from an earlier count."""
         self.counts = counts
         self.scanned = 0  # characters that were cut and encoded anew, by all edits
@@ -288,8 +300,7 @@ def _replant(tokenizer: str):
                 ends = np.cumsum(np.frombuffer(row["lengths"], "<i4")).tolist()
                 tokens = np.frombuffer(row["tokens"], "<i4").astype(np.int64)
                 pieces = [row["text"][a:b] for a, b in zip([0, *ends], ends, strict=False)]
-                counts.update(zip(pieces, tokens.tolist(), strict=True))  # known from before, not encoded again
-                tree = TokenTree(pieces, tokens, counts)
+                tree = TokenTree(pieces, tokens, KnownCounts(pieces, tokens, counts))  # known from before, not encoded again
                 text, n = _edited(tree, row["text"], edits)
                 rows.append((*_state(text, tree), n, tree.scanned))
             columns = [pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (*_STATE_TYPES, pa.int64(), pa.int64()), strict=True)]

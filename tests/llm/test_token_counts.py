@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lakeframe.llm.token_counts import PreTokenCounts, TokenTree, edit_aware_counts, edit_trees, redactions, token_trees
@@ -88,3 +89,19 @@ def test_trees_are_kept(spark, counts, tmp_path, monkeypatch):
         for i, r in found.items():
             assert (r.text, r.lengths, r.tokens, r.n_tokens) == (fresh[i].text, fresh[i].lengths, fresh[i].tokens, fresh[i].n_tokens)
             assert 0 < r.n_chars_scanned < 200 if i in edited else r.n_chars_scanned == 0
+
+
+def test_kept_trees_leave_the_cache_bounded(counts):
+    """What kept trees know never enters the cache that all rows share, and is not encoded again after it was cleared."""
+    from lakeframe.llm.token_counts import KnownCounts, _state
+
+    shared = PreTokenCounts()
+    for k in range(5):
+        text = " ".join(f"w{k}x{i}" for i in range(2000))
+        pieces = counts.pattern.findall(text)
+        tokens = np.array([counts[p] for p in pieces])
+        tree = TokenTree(pieces, tokens, KnownCounts(pieces, tokens, shared))
+        tree.edit(10, 12, "new words")
+        text = text[:10] + "new words" + text[12:]
+        assert _state(text, tree)[3] == len(counts.encoding.encode_ordinary(text)) == len(tree)
+    assert len(shared) < 100
