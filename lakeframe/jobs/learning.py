@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exprs import hash_uniform
 from ..functions.storage import fresh_path
-from ..operators import contract, learn, measure, ml_forecast, model_store, split
+from ..operators import contract, explain, learn, measure, ml_forecast, model_store, split
 from ..sources import io
 from ..spec import SETTINGS
 from ..streaming import jobs as stream
@@ -98,16 +98,31 @@ def vectorize_high_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.transform(df).select("key", F.size(values).alias("width"), F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@job()
+def _additive(q: str, d: str, p: str) -> tuple[str, str, str]:
+    return f"8.0 * tanh(({q} - 25) / 10)", f"5.0 * ln(1 + {d} / 0.05)", f"3.0 * sqrt(greatest(({p} - 1) / 10, 0))"
+
+
+_Q, _D, _P = _additive("l_quantity", "l_discount", "p_size")
+
+
+@job(f"""
+    WITH {LINE_SQL}, x AS (SELECT key, l_quantity, l_discount, p_size, {_Q} AS tq, {_D} AS td, {_P} AS tp FROM line WHERE p_size IS NOT NULL AND l_quantity IS NOT NULL AND l_discount IS NOT NULL),
+    b AS (SELECT * FROM x ORDER BY {_uniform("key", SEED, "background")}, key LIMIT 64),
+    m AS (SELECT avg(tq) AS tq, avg(td) AS td, avg(tp) AS tp, avg(l_quantity) AS q, avg(p_size) AS p, avg(l_quantity * p_size) AS qp FROM b)
+    SELECT key, round(x.tq - m.tq + 0.002 * (l_quantity * p_size + l_quantity * m.p - m.q * p_size - m.qp), 6) AS l_quantity, round(x.td - m.td, 6) AS l_discount,
+        round(x.tp - m.tp + 0.002 * (l_quantity * p_size - l_quantity * m.p + m.q * p_size - m.qp), 6) AS p_size FROM x, m""")
 def permutation_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributions to a score with an interaction, against 64 rows."""
     features = ["l_quantity", "l_discount", "p_size"]
-    df = line(spark, sf_dir).na.drop(subset=features)
-    background = df.orderBy(F.xxhash64("key"), "key").limit(64).select(*features).toPandas()  # 64 rows
+    df = line(spark, sf_dir).select("key", *features).na.drop(subset=features)
+    background = df.orderBy(hash_uniform("key", SEED, "background"), "key").limit(64)
 
-    def score(x: np.ndarray) -> np.ndarray:
-        return 8.0 * np.tanh((x[:, 0] - 25) / 10) + 5.0 * np.log1p(x[:, 1] / 0.05) + 3.0 * np.sqrt(np.maximum((x[:, 2] - 1) / 10, 0)) + 0.004 * x[:, 0] * x[:, 2]
+    def score() -> Column:
+        q, d, p = map(F.col, features)
+        return 8.0 * F.tanh((q - 25) / 10) + 5.0 * F.log1p(d / 0.05) + 3.0 * F.sqrt(F.greatest((p - 1) / 10, F.lit(0.0))) + 0.004 * q * p
 
-    return learn.permutation_attribution(df, "key", features, background, score)
+    found = explain.attributions(df, "key", features, background, score)
+    return found.select("key", *[F.round(c, 6).alias(c) for c in features])
 
 
 @job()

@@ -50,3 +50,39 @@ def individual_curves(df: DataFrame, key: str, grids: Grids, score: Callable[[],
     """(key, feature, point, response) of a few rows, those of least hash."""
     few = df.orderBy(hash_uniform(key, seed, "ice"), key).limit(rows)
     return _moved(few, grids).select(key, "feature", "point", score().alias("response"))
+
+
+def _ranks(key: str, pair: Column, n: int, seed: int) -> list[Column]:
+    """A permutation of n features for each row and pair: every feature's place, by hash."""
+    h = [F.xxhash64(F.col(key).cast("string"), pair, F.lit(f), F.lit(seed)) for f in range(n)]
+    return [sum(((h[g] < h[f]) | ((h[g] == h[f]) & F.lit(g < f))).cast("int") for g in range(n) if g != f) + F.lit(0) for f in range(n)]
+
+
+def attributions(df: DataFrame, key: str, features: Sequence[str], background: DataFrame, score: Callable[[], Column], most: int = 256, seed: int = 7) -> DataFrame:
+    """(key, features): what each feature adds to a row's score over the background rows' mean score, by permutations.
+
+    For every background row, at most most of them, a row has a permutation of its own, by hash, and the reverse of it: the
+    features go from the background row's values to the row's own one by one, in that order, and each gets the change of
+    the score. All is columns over the features' names, as the scorer itself is, and a row's numbers are summed where
+    they are made. Exact for scores of at most pairwise interactions; a row's contributions always sum to its score less
+    the background's mean. Keys are unique; a null feature stays null in the scorer's hands.
+    """
+    base = [tuple(r) for r in background.select(*[F.col(f).cast("double") for f in features]).limit(most + 1).collect()]
+    if not 0 < len(base) <= most:
+        raise ValueError(f"a background has 1 to {most} rows")
+    n = len(features)
+    rows = F.array(*[F.struct(F.lit(i).alias("pair"), *[F.lit(v).cast("double").alias(f"b{f}") for f, v in enumerate(r)]) for i, r in enumerate(base)])
+    paired = df.select(key, *[F.col(c).cast("double").alias(f"_x{f}") for f, c in enumerate(features)], F.explode(rows).alias("_b"))
+    placed = paired.select("*", *[r.alias(f"_k{f}") for f, r in enumerate(_ranks(key, F.col("_b.pair"), n, seed))])
+    for name, place in (("f", lambda f: F.col(f"_k{f}")), ("r", lambda f: F.lit(n - 1) - F.col(f"_k{f}"))):  # a permutation and its reverse
+        for step in range(n + 1):
+            inputs = {c: F.when(place(f) < step, F.col(f"_x{f}")).otherwise(F.col(f"_b.b{f}")) for f, c in enumerate(features)}
+            placed = placed.withColumns(inputs).withColumn(f"_{name}{step}", score())
+    made = []
+    for f, c in enumerate(features):
+        change = F.lit(0.0)
+        for name, place in (("f", F.col(f"_k{f}")), ("r", F.lit(n - 1) - F.col(f"_k{f}"))):
+            scores = F.array(*[F.col(f"_{name}{step}") for step in range(n + 1)])
+            change = change + F.get(scores, place + 1) - F.get(scores, place)
+        made.append(F.avg(change / 2).alias(c))
+    return placed.groupBy(key).agg(*made)

@@ -1,11 +1,10 @@
-"""Model-level jobs on pyspark.ml: high-cardinality encoding, learnability, attribution, copulas."""
+"""Model-level jobs on pyspark.ml: high-cardinality encoding, learnability, copulas."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -81,34 +80,6 @@ def cross_validate(folded: DataFrame, estimator: Callable[[], Estimator], catego
     return result
 
 
-def permutation_attribution(df: DataFrame, key: str, features: list[str], background: pd.DataFrame, score: Callable[[np.ndarray], np.ndarray], rounds: int = 8, seed: int = 7) -> DataFrame:
-    """Contributions by permutation: features are revealed one by one, against background rows, in several orders.
-
-    background is a bounded sample; score takes a matrix of the features. All rows go through the same orders.
-    """
-    base = background[features].to_numpy(float)
-
-    def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[features].to_numpy(float)
-            total = np.zeros(x.shape)
-            orders = np.random.default_rng(seed)
-            for r in range(rounds):
-                order, start = orders.permutation(len(features)), base[orders.integers(len(base))]
-                now = np.tile(start, (len(x), 1))
-                before = score(now)
-                for f in order:
-                    now[:, f] = x[:, f]
-                    after = score(now)
-                    total[:, f] += after - before
-                    before = after
-            out = pd.DataFrame(total / rounds, columns=features)
-            out.insert(0, key, pdf[key].to_numpy())
-            yield out
-
-    return df.select(key, *features).mapInPandas(attribute, f"{key} string, " + ", ".join(f"{f} double" for f in features))
-
-
 def copula_synthesize(df: DataFrame, columns: list[str], n: int, seed: int = 7, points: int = 200, min_rows: int = 50) -> DataFrame:
     """n rows with the columns' marginals and the correlation of their normal scores: a Gaussian copula.
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lakeframe.functions.exprs import hash_normal, hash_uniform
 from lakeframe.jobs import QUERIES
-from lakeframe.operators import forecast, learn, noise, split, stress, world
+from lakeframe.operators import explain, forecast, learn, noise, split, stress, world
 from lakeframe.operators.latent import Driver, Interaction, LatentModel, Levels
 from lakeframe.streaming import jobs as stream
 
@@ -158,15 +158,24 @@ def test_jobs_without_twins(spark):
             assert abs(estimated - realised) < 0.25 * realised
 
 
-def test_attributions_sum_to_the_difference(spark):
-    import pandas as pd
-
-    df = spark.createDataFrame([(str(i), float(i), float(i % 3)) for i in range(20)], "key string, a double, b double")
-    background = pd.DataFrame({"a": [1.0], "b": [2.0]})
-    found = learn.permutation_attribution(df, "key", ["a", "b"], background, lambda x: 2 * x[:, 0] + 3 * x[:, 1]).collect()
-    for r in found:
+def test_attributions(spark):
+    """Additive scores give coefficient times distance from the background's mean; three-way ones still sum to the difference."""
+    df = spark.createDataFrame([(str(i), float(i), float(i % 3), float(i % 5)) for i in range(20)], "key string, a double, b double, c double")
+    background = df.where("a < 7")
+    rows = [(r.a, r.b, r.c) for r in background.collect()]
+    mean = [sum(x) / len(rows) for x in zip(*rows)]
+    found = explain.attributions(df, "key", ["a", "b", "c"], background, lambda: 2 * F.col("a") + 3 * F.col("b") - F.col("c"))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        i = int(r.key)
+        assert abs(r.a - 2 * (i - mean[0])) < 1e-9 and abs(r.b - 3 * (i % 3 - mean[1])) < 1e-9 and abs(r.c + i % 5 - mean[2]) < 1e-9
+    product = lambda a, b, c: a * b * c + a
+    level = sum(product(*r) for r in rows) / len(rows)
+    for r in explain.attributions(df, "key", ["a", "b", "c"], background, lambda: F.col("a") * F.col("b") * F.col("c") + F.col("a")).collect():
         i = int(r.key)
-        assert abs(r.a - 2 * (i - 1)) < 1e-9 and abs(r.b - 3 * (i % 3 - 2)) < 1e-9
+        assert abs(r.a + r.b + r.c - (product(i, i % 3, i % 5) - level)) < 1e-9
+    with pytest.raises(ValueError):
+        explain.attributions(df, "key", ["a"], df, lambda: F.col("a"), most=3)
 
 
 def test_copula_keeps_dependence(spark):
