@@ -195,3 +195,28 @@ def test_stream_dedupe_and_windows(spark, tmp_path):
     assert once.count() == 10
     counts = spark.read.parquet(stream.run_to_end(stream.traffic_volume(stream.source(spark, path)), str(tmp_path / "v")))
     assert {r.n for r in counts.collect()} == {60} and counts.count() >= 6
+
+
+def test_split_refusals(spark):
+    df = spark.range(100).select(F.col("id").cast("string").alias("key"), (F.col("id") % 4).alias("g"), F.lit("one").alias("same"))
+    for bad in (0.0, 1.0, -0.1, 1.5):
+        for shares in ({"test": bad}, {"calibration": bad}, {"coverage": bad}):
+            with pytest.raises(ValueError, match="must be in"):
+                split.three_way_split(df, "key", 1, "g", **shares)
+    with pytest.raises(ValueError, match="are needed"):
+        split.three_way_split(df, "key", 1, "g", coverage=0.995)
+    with pytest.raises(ValueError, match="empty"):
+        split.three_way_split(df.limit(2), "key", 1, None)
+    with pytest.raises(ValueError, match="empty"):
+        split.three_way_split(df.limit(0), "key", 1, "g")
+    with pytest.raises(ValueError, match="that column"):
+        split.three_way_split(df, "key", 1, "absent")
+    rare = df.withColumn("g", F.when(F.col("key") == "7", 9).otherwise(F.col("g")))  # a class of one row: no strata
+    parts = {r.part: r["count"] for r in split.three_way_split(rare, "key", 1, "g").groupBy("part").count().collect()}
+    assert parts == {"test": 20, "calibration": 20, "train": 60}
+    with pytest.raises(ValueError, match="that column"):
+        split.grouped_split(df, "absent", 1)
+    with pytest.raises(ValueError, match="single group"):
+        split.grouped_split(df, "same", 1)
+    with pytest.raises(ValueError, match="no group to train"):
+        split.grouped_split(df.where("g < 2"), "g", 1, 0.9)
