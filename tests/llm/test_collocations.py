@@ -51,7 +51,7 @@ def texts(seed):
     return [*rows, (None, "en"), ("", "fr"), ("only once", "es"), (rows[0][0], rows[0][1])]
 
 
-@pytest.mark.parametrize(("seed", "least", "top", "nodes"), [(0, 8, 20, 24), (1, 6, 1000, 1 << 16), (2, 12, 5, 16)])
+@pytest.mark.parametrize(("seed", "least", "top", "nodes"), [(0, 8, 20, 60), (1, 6, 1000, 1 << 16), (2, 12, 5, 40)])
 def test_equals_counts_of_every_phrase(spark, seed, least, top, nodes):
     rows = texts(seed)
     df = spark.createDataFrame(rows, "text string, lang string").selectExpr("*", "'x' AS word", "1 AS n", "2 AS h", "3 AS node").repartition(3)
@@ -62,10 +62,13 @@ def test_equals_counts_of_every_phrase(spark, seed, least, top, nodes):
 def test_branches_below_the_threshold_stay_closed(spark, monkeypatch):
     grown, grow = [], module._Growth.grow
     monkeypatch.setattr(module._Growth, "grow", lambda self, nodes: grown.extend(n[1] for n in nodes) or grow(self, nodes))
-    df = spark.createDataFrame(texts(2), "text string, lang string")
-    found = collocations(df, 6, 5, 3, 16).collect()
-    words = {(r.lang, r.rank) for r in found}
-    assert len(words) == len(found) and len([w for w in grown if len(w) == 1]) < 3 * 22
+    common = ["the", "of", "and", "to"]
+    text = " ".join(f"r{i} s{i} {common[i % 4]} {common[i // 4 % 4]}" for i in range(30))
+    df = spark.createDataFrame([(text, "en")] * 10, "text string, lang string")
+    found = sorted((r.rank, r.phrase, r.a, r.l, r.r) for r in collocations(df, 10, 2, 3, 40).collect())
+    assert found == [(i + 1, f"r{k} s{k}", 10, 10, 10) for i, k in enumerate((0, 1, 10))]  # ties, by the phrase
+    hashes, opened = module.WordHashes("en"), {w[0] % 2**64 for w in grown if len(w) == 1}
+    assert hashes[b"r0"] in opened and not opened & {hashes[w.encode()] for w in common}
 
 
 def test_long_text_and_odd_tables(spark):
