@@ -46,7 +46,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: A trained classifier and a tokenizer are beyond SQL; the tests hold every stage against brute force.
+#: A trained classifier and a tokenizer are beyond SQL. Tests hold three stages against brute force, toxicity and packing against their operators.
 ORACLE_SQL = None
 
 
