@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_uniform
 from ..functions.storage import fresh_path
-from ..operators import contract, explain, learn, measure, ml_forecast, model_store, split
+from ..operators import contract, explain, learn, measure, ml_forecast, model_store, split, synth
 from ..sources import io
 from ..spec import SETTINGS
 from ..streaming import jobs as stream
@@ -127,8 +127,10 @@ def permutation_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @job()
 def copula_synthesize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = line(spark, sf_dir).na.drop(subset=["p_size"])
-    return learn.copula_synthesize(df, ["l_quantity", "l_discount", "y"], df.count())
+    """As many rows as there are lines: numbers, levels, times and nulls."""
+    df = line(spark, sf_dir).select("l_quantity", "l_discount", "p_size", "y", "l_returnflag", "o_orderpriority", "l_shipdate")
+    fitted = synth.fit_copula(df, df.columns)
+    return fitted.sample(fitted.n_rows, SEED)
 
 
 @job()

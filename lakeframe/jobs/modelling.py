@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_normal, hash_uniform, rounded, unpivot
 from ..functions.ranks import digitize, exact_quantiles, global_row_number
 from ..functions.storage import fresh_path
-from ..operators import drift, forecast, measure, noise, profile, split
+from ..operators import forecast, measure, noise, profile, split, synth
 from ..operators.stress import average_ranks
 from ..sources import io
 from .frames import CLASSES, HOLES_SQL, LINE_SQL, MODEL, SCORER, SEED, SERIES_SQL, SIGMA, _uniform, holes, line, read, series
@@ -254,38 +256,60 @@ _NOVEL_SQL = f"synth AS (SELECT CASE WHEN {_uniform('key', SEED, 'novel')} < 0.3
 def novel_row_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     real, columns = line(spark, sf_dir).withColumn("l_discount", F.round("l_discount", 2)), ["l_quantity", "l_discount", "l_returnflag", "p_size"]
     synthetic = real.withColumn("l_quantity", F.when(hash_uniform("key", SEED, "novel") < 0.3, F.col("l_quantity") + 100).otherwise(F.col("l_quantity"))).select(*columns)
-    return _novelty(real.select(*columns), synthetic, columns)
+    return synth.novelty(real.select(*columns), synthetic, columns)
+
+
+_NUMBERS, _LEVELS = ("l_quantity", "l_discount", "p_size"), ("l_returnflag", "o_orderpriority")
+_BOTH_SQL = f"""b AS (SELECT 'real' AS side, {", ".join(_NUMBERS + _LEVELS)} FROM line UNION ALL
+    SELECT 'synthetic', CASE WHEN {_uniform("key", SEED, "q")} < 0.2 THEN 50 ELSE l_quantity END, CASE WHEN {_uniform("key", SEED, "d")} < 0.1 THEN 0.12 ELSE l_discount END,
+        p_size, CASE WHEN {_uniform("key", SEED, "f")} < 0.1 THEN 'A' ELSE l_returnflag END, o_orderpriority FROM line),
+    z AS (SELECT count(*) FILTER (side = 'real') AS nr, count(*) FILTER (side = 'synthetic') AS ns, {", ".join(f"min({c}) FILTER (side = 'real') AS lo_{c}, max({c}) FILTER (side = 'real') AS hi_{c}" for c in _NUMBERS)} FROM b)"""
+
+
+def _sides_sql(value: str, where: str = "true") -> str:
+    return f"SELECT {value}, count(*) FILTER (side = 'real') AS r, count(*) FILTER (side = 'synthetic') AS s FROM b, z WHERE {where} GROUP BY ALL"
+
+
+def _cell_sql(c: str) -> str:
+    bins = f"CASE WHEN {c} < lo_{c} THEN -1 WHEN {c} > hi_{c} THEN {synth.BINS} WHEN {c} IS NOT NULL THEN least(floor(({c} - lo_{c}) / (hi_{c} - lo_{c}) * {synth.BINS}), {synth.BINS - 1})::INT END"
+    return c if c in _LEVELS else bins
 
 
-def _novelty(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
-    """Share of synthetic rows that no real row equals, nulls being equal; counted by distinct row."""
-    counted = synthetic.groupBy(*columns).agg(F.count("*").alias("n"))
-    known = real.distinct().select(*[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("known"))
-    match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns]
-    return counted.join(known, match, "left").agg(F.sum("n").alias("n"), rounded(F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("novelty"))
+def _pair_sql(a: str, b: str) -> str:
+    if b in _NUMBERS:
+        return f"SELECT '{a}' AS a, '{b}' AS b, 'numbers' AS kind, 1 - abs(corr({a}, {b}) FILTER (side = 'real') - corr({a}, {b}) FILTER (side = 'synthetic')) / 2 AS score FROM b"
+    cells = _sides_sql(f"{_cell_sql(a)} AS va, {b} AS vb")
+    return f"SELECT '{a}', '{b}', '{'levels' if a in _LEVELS else 'mixed'}', 1 - sum(abs(r / nr - s / ns)) / 2 FROM ({cells}), z"
+
+
+_SHAPES_SQL = " UNION ALL ".join(
+    [f"SELECT '{c}' AS feature, 1 - max(abs(fr - fs)) AS score FROM (SELECT sum(r) OVER (ORDER BY v) / sum(r) OVER () AS fr, sum(s) OVER (ORDER BY v) / sum(s) OVER () AS fs FROM ({_sides_sql(f'{c} AS v', f'{c} IS NOT NULL')}))" for c in _NUMBERS]
+    + [f"SELECT '{c}', 1 - sum(abs(r / tr - s / ts)) / 2 FROM (SELECT *, sum(r) OVER () AS tr, sum(s) OVER () AS ts FROM ({_sides_sql(f'{c} AS v', f'{c} IS NOT NULL')}))" for c in _LEVELS]
+)
+_PAIRS_SQL = " UNION ALL ".join(_pair_sql(a, b) for a, b in combinations(_NUMBERS + _LEVELS, 2))
+_SAME_ROW = " AND ".join(f"r.{c} IS NOT DISTINCT FROM s.{c}" for c in _NUMBERS + _LEVELS)
+
+
+def _real_and_synthetic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    df, columns = line(spark, sf_dir), [*_NUMBERS, *_LEVELS]
+    changes = {"l_quantity": ("q", 0.2, 50.0), "l_discount": ("d", 0.1, 0.12), "l_returnflag": ("f", 0.1, "A")}
+    changed = {c: F.when(hash_uniform("key", SEED, s) < p, v).otherwise(F.col(c)) for c, (s, p, v) in changes.items()}
+    return df.select(*columns), df.withColumns(changed).select(*columns)
+
+
+@job(f"WITH {LINE_SQL}, {_BOTH_SQL}, p AS ({_PAIRS_SQL}) SELECT a, b, kind, round(score, 6) AS score FROM p")
+def synthetic_quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each pair of columns keeps together: correlations, or joint counts."""
+    return synth.pair_trends(*_real_and_synthetic(spark, sf_dir)).withColumn("score", rounded("score"))
 
 
 @job(f"""
-    WITH {LINE_SQL}, b AS (SELECT 'real' AS side, l_quantity, p_size, l_returnflag FROM line UNION ALL SELECT 'synthetic', CASE WHEN {_uniform('key', SEED, 'q')} < 0.2 THEN 50 ELSE l_quantity END, p_size, CASE WHEN {_uniform('key', SEED, 'f')} < 0.1 THEN 'A' ELSE l_returnflag END FROM line),
-    g AS (SELECT l_quantity AS v, count(*) FILTER (side = 'real') AS r, count(*) FILTER (side = 'synthetic') AS s FROM b GROUP BY 1), k AS (SELECT max(abs(fr - fs)) AS d FROM (SELECT sum(r) OVER (ORDER BY v) / sum(r) OVER () AS fr, sum(s) OVER (ORDER BY v) / sum(s) OVER () AS fs FROM g)),
-    t AS (SELECT sum(abs(r / tr - s / ts)) / 2 AS tv FROM (SELECT l_returnflag, count(*) FILTER (side = 'real') AS r, count(*) FILTER (side = 'synthetic') AS s, sum(count(*) FILTER (side = 'real')) OVER () AS tr, sum(count(*) FILTER (side = 'synthetic')) OVER () AS ts FROM b GROUP BY 1)),
-    c AS (SELECT corr(l_quantity, p_size) FILTER (side = 'real') AS cr, corr(l_quantity, p_size) FILTER (side = 'synthetic') AS cs FROM b),
-    w AS (SELECT avg((NOT EXISTS (SELECT 1 FROM b r WHERE r.side = 'real' AND r.l_quantity = s.l_quantity AND r.p_size IS NOT DISTINCT FROM s.p_size AND r.l_returnflag = s.l_returnflag))::INT) AS novelty FROM b s WHERE side = 'synthetic'),
-    q AS (SELECT (1 - d + 1 - tv) / 2 AS shape, 1 - abs(cr - cs) / 2 AS pair, ((1 - d + 1 - tv) / 2 + 1 - abs(cr - cs) / 2) / 2 AS quality, novelty FROM k, t, c, w)
-    SELECT round(shape, 6) AS shape_score, round(pair, 6) AS pair_score, round(quality, 6) AS quality, round(novelty, 6) AS novelty, CASE WHEN novelty < 0.9 AND quality > 0.85 THEN 'copying' WHEN novelty >= 0.9 AND quality < 0.6 THEN 'inventing' END AS note FROM q""")
+    WITH {LINE_SQL}, {_BOTH_SQL}, h AS (SELECT avg(score) AS shape FROM ({_SHAPES_SQL})), p AS (SELECT avg(score) AS pair FROM ({_PAIRS_SQL})),
+    w AS (SELECT round(avg((NOT EXISTS (SELECT 1 FROM b r WHERE r.side = 'real' AND {_SAME_ROW}))::INT), 6) AS novelty FROM b s WHERE side = 'synthetic'), q AS (SELECT *, (shape + pair) / 2 AS quality FROM h, p, w)
+    SELECT round(shape, 6) AS shape_score, round(pair, 6) AS pair_score, round(quality, 6) AS quality, novelty, CASE WHEN novelty < 0.9 AND quality > 0.85 THEN 'copying' WHEN novelty >= 0.9 AND quality < 0.6 THEN 'inventing' END AS note FROM q""")
 def synthetic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = line(spark, sf_dir)
-    real = df.select(F.lit("reference").alias("side"), "l_quantity", "p_size", "l_returnflag")
-    synthetic = df.select(F.lit("current").alias("side"), F.when(hash_uniform("key", SEED, "q") < 0.2, 50.0).otherwise(F.col("l_quantity")).alias("l_quantity"), "p_size", F.when(hash_uniform("key", SEED, "f") < 0.1, "A").otherwise(F.col("l_returnflag")).alias("l_returnflag"))
-    both = real.unionByName(synthetic)
-    ks = drift.ks_statistic(both, "side", ["l_quantity"]).select("d")
-    tv = drift.total_variation(drift.level_counts(both, "side", ["l_returnflag"])).select("tv")
-    pairs = [F.corr(F.when(F.col("side") == s, F.col("l_quantity")), F.when(F.col("side") == s, F.col("p_size"))) for s in ("reference", "current")]
-    one = ks.crossJoin(tv).crossJoin(both.agg((1 - F.abs(pairs[0] - pairs[1]) / 2).alias("pair"))).withColumn("shape", (2 - F.col("d") - F.col("tv")) / 2)  # one row each
-    columns = ["l_quantity", "p_size", "l_returnflag"]
-    one = one.crossJoin(_novelty(real.select(*columns), synthetic.select(*columns), columns).select("novelty")).withColumn("q", (F.col("shape") + F.col("pair")) / 2)
-    note = F.when((F.col("novelty") < 0.9) & (F.col("q") > 0.85), "copying").when((F.col("novelty") >= 0.9) & (F.col("q") < 0.6), "inventing")
-    return one.select(rounded("shape").alias("shape_score"), rounded("pair").alias("pair_score"), rounded("q").alias("quality"), "novelty", note.alias("note"))
+    """Shapes of all columns, trends of all pairs, and how many rows are new."""
+    return synth.quality_report(*_real_and_synthetic(spark, sf_dir))
 
 
 @job(f"""

@@ -1,20 +1,18 @@
-"""Model-level jobs on pyspark.ml: high-cardinality encoding, learnability, copulas."""
+"""Model-level jobs on pyspark.ml: high-cardinality encoding, learnability, cross-validation."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hash_normal, hash_uniform
+from ..functions.exprs import hash_uniform
 from ..spec import SETTINGS, Settings
 from .measure import r2
 
@@ -78,66 +76,3 @@ def cross_validate(folded: DataFrame, estimator: Callable[[], Estimator], catego
     result = made.sparkSession.createDataFrame(made.collect(), made.schema)  # a row for each fold
     kept.unpersist()
     return result
-
-
-def copula_synthesize(df: DataFrame, columns: list[str], n: int, seed: int = 7, points: int = 200, min_rows: int = 50) -> DataFrame:
-    """n rows with the columns' marginals and the correlation of their normal scores: a Gaussian copula.
-
-    What is learned is small: a table of quantiles for each column and one correlation matrix.
-    """
-    if df.count() < min_rows:
-        raise ValueError(f"a synthesizer needs {min_rows} rows")
-    shares = [(i + 0.5) / points for i in range(points)]
-    row = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(c) for c in columns]).first()
-    tables = {c: np.array(row[c], float) for c in columns}
-    z = np.array([_normal_quantile(p) for p in shares])
-    # a value's normal score is that of the middle of its place among the quantiles
-    scored = df.select(*columns)
-    for c in columns:
-        some = F.array(*map(F.lit, tables[c][:: max(1, points // 50)].tolist()))
-        scored = scored.withColumn(f"_{c}", _middle_place(F.col(c), some))
-    assembled = VectorAssembler(inputCols=[f"_{c}" for c in columns], outputCol="v", handleInvalid="skip").transform(scored)
-    correlation = Correlation.corr(assembled, "v", "pearson").first()[0].toArray()
-    correlation = np.nan_to_num(correlation) * (1 - 1e-6)
-    np.fill_diagonal(correlation, 1.0)
-    root = np.linalg.cholesky(correlation + 1e-9 * np.eye(len(columns)))
-
-    # the draws are hashes of the row's number, correlated by the root and read from the quantile tables, all as columns
-    normal = [hash_normal("id", seed, f"copula{k}") for k in range(len(columns))]
-    drawn = df.sparkSession.range(n).select("id", *[n_.alias(f"_n{k}") for k, n_ in enumerate(normal)])
-    made = []
-    for k, c in enumerate(columns):
-        x = sum((float(root[k, j]) * F.col(f"_n{j}") for j in range(1, k + 1)), float(root[k, 0]) * F.col("_n0"))
-        made.append(x.alias(c))
-    return drawn.select("id", *made).select("id", *[_interpolated(F.col(c), z.tolist(), tables[c].tolist()).alias(c) for c in columns])
-
-
-def _middle_place(x: Column, sorted_values: Column) -> Column:
-    """Between how many values are below x and how many are not above it."""
-
-    def place(v: Column) -> Column:  # x is computed once, not for every value it is compared with
-        return (F.size(F.filter(sorted_values, lambda q: q < v)) + F.size(F.filter(sorted_values, lambda q: q <= v))) / 2.0
-
-    return F.transform(F.array(x), place)[0]
-
-
-def _interpolated(x: Column, at: list[float], values: list[float]) -> Column:
-    """values at the places at, linear between them and constant beyond."""
-    xs, ys = F.array(*map(F.lit, at)), F.array(*map(F.lit, values))
-
-    def at_value(v: Column) -> Column:  # v is computed once, not for every place it is compared with
-        def between(place: Column) -> Column:
-            low, high = F.greatest(place, F.lit(1)), F.least(place + 1, F.lit(len(at)))
-            x0, x1, y0, y1 = F.element_at(xs, low), F.element_at(xs, high), F.element_at(ys, low), F.element_at(ys, high)
-            share = F.when(x1 > x0, F.least(F.greatest((v - x0) / (x1 - x0), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-            return y0 + share * (y1 - y0)
-
-        return F.transform(F.array(F.size(F.filter(xs, lambda q: q <= v))), between)[0]
-
-    return F.transform(F.array(x), at_value)[0]
-
-
-def _normal_quantile(p: float) -> float:
-    from statistics import NormalDist
-
-    return NormalDist().inv_cdf(p)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lakeframe.functions.exprs import hash_normal, hash_uniform
 from lakeframe.jobs import QUERIES
-from lakeframe.operators import explain, forecast, learn, noise, split, stress, world
+from lakeframe.operators import explain, forecast, noise, split, stress, synth, world
 from lakeframe.operators.latent import Driver, Interaction, LatentModel, Levels
 from lakeframe.streaming import jobs as stream
 
@@ -180,10 +180,10 @@ def test_attributions(spark):
 
 def test_copula_keeps_dependence(spark):
     df = spark.range(2000).select(hash_normal("id", 1, "x").alias("x")).withColumn("y", F.col("x") * 2 + hash_normal(F.col("x").cast("string"), 1, "e"))
-    made = learn.copula_synthesize(df, ["x", "y"], 2000)
+    made = synth.copula_synthesize(df, ["x", "y"], 2000)
     assert made.count() == 2000 and made.agg(F.corr("x", "y")).first()[0] > 0.7
     with pytest.raises(ValueError):
-        learn.copula_synthesize(df.limit(10), ["x"], 5)
+        synth.copula_synthesize(df.limit(10), ["x"], 5)
 
 
 def test_stream_dedupe_and_windows(spark, tmp_path):
