@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -50,6 +52,33 @@ def cross_validate_estimator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.cross_validate(folded, lambda: LinearRegression(labelCol="y", regParam=0.1), ["l_returnflag"], _NUMBERS, "y")
 
 
+_SIMPLE = ("l_discount", "l_quantity", "l_tax")
+_FITS_SQL = " UNION ALL ".join(
+    f"""SELECT {i} AS nth, '{c}' AS candidate, o, i, (SELECT 1 - sum(pow(y - (k + s * {c}), 2)) / (count(*) * var_pop(y)) FROM f WHERE fold = i) AS r2
+    FROM (SELECT o, i, regr_slope(y, {c}) AS s, regr_intercept(y, {c}) AS k FROM pairs JOIN f ON fold <> o AND fold <> i GROUP BY ALL)"""
+    for i, c in enumerate(_SIMPLE)
+)
+
+
+@job(f"""
+    WITH {LINE_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY {_uniform("key", SEED, "fold")}, key) AS rn FROM line),
+    f AS (SELECT (rn % 3)::INT AS fold, y, coalesce(l_discount, 0) AS l_discount, coalesce(l_quantity, 0) AS l_quantity, coalesce(l_tax, 0) AS l_tax FROM r),
+    folds AS (SELECT unnest(range(3))::INT AS k), pairs AS (SELECT a.k AS o, b.k AS i FROM folds a, folds b), fits AS ({_FITS_SQL}),
+    m AS (SELECT o, nth, candidate, avg(r2) FILTER (o <> i) AS inner_r2, any_value(r2) FILTER (o = i) AS outer_r2 FROM fits GROUP BY ALL),
+    p AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY round(inner_r2, 9) DESC, nth) AS place FROM m)
+    SELECT o AS outer_fold, candidate, round(inner_r2, 5) AS inner_r2, round(outer_r2, 5) AS outer_r2, (SELECT count(*) FROM f WHERE fold = o) AS n, count(*) OVER (PARTITION BY candidate) AS n_chosen FROM p WHERE place = 1""")
+def nested_cv_estimators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three linear models, of one column each: the inner folds choose, the outer fold judges."""
+    df = line(spark, sf_dir).select("key", "l_returnflag", "y", *_SIMPLE).na.fill(0.0, list(_SIMPLE))
+    folded = split.cv_folds(df, "key", SEED, 3, stratum="l_returnflag")
+
+    def of(c: str) -> Pipeline:
+        return Pipeline(stages=[VectorAssembler(inputCols=[c], outputCol="features"), LinearRegression(labelCol="y", solver="normal")])
+
+    found = learn.nested_cv(folded, {c: partial(of, c) for c in _SIMPLE}, "y")
+    return found.withColumns({c: F.round(c, 5) for c in ("inner_r2", "outer_r2")})
+
+
 _PLANE = ["l_quantity", "l_discount"]
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import RandomForestClassifier
@@ -76,3 +78,38 @@ def cross_validate(folded: DataFrame, estimator: Callable[[], Estimator], catego
     result = made.sparkSession.createDataFrame(made.collect(), made.schema)  # a row for each fold
     kept.unpersist()
     return result
+
+
+def nested_cv(folded: DataFrame, candidates: dict[str, Callable[[], Estimator]], target: str) -> DataFrame:
+    """(outer_fold, candidate, inner_r2, outer_r2, n, n_chosen): the candidate chosen without each fold, and how it does there.
+
+    Inner folds are the other folds. A fit that leaves out two folds serves both as the outer one, so k folds take
+    k (k - 1) / 2 fits of each candidate, and one of the chosen for each fold. Mean scores that are equal to nine places go
+    to the first candidate; a fold without a score (its target does not vary) is left out of the mean. Candidates are
+    pipelines on the frame's own columns. Refused are fewer than three folds, null folds and no candidates.
+    """
+    kept = folded.persist()
+    folds = sorted((r.fold for r in kept.select("fold").distinct().collect()), key=lambda f: -1 if f is None else f)  # a row for each fold
+    if len(folds) < 3 or None in folds or not candidates:
+        raise ValueError("nested folds need three folds without nulls, and a candidate")
+    inner: dict[tuple[str, int], list[float]] = {(c, o): [] for c in candidates for o in folds}
+    for name, estimator in candidates.items():
+        for a, b in combinations(folds, 2):
+            model = estimator().fit(kept.where(~F.col("fold").isin(a, b)))
+            scored = model.transform(kept.where(F.col("fold").isin(a, b)))
+            found = {r.fold: r.r2 for r in scored.groupBy("fold").agg(r2(target, "prediction").alias("r2")).collect()}  # two rows
+            for outer, held_out in ((a, b), (b, a)):
+                if found.get(held_out) is not None:
+                    inner[name, outer].append(found[held_out])
+    rows = []
+    for o in folds:
+        means = {c: sum(inner[c, o]) / len(inner[c, o]) for c in candidates if inner[c, o]}
+        if not means:
+            raise ValueError(f"no candidate has a score without fold {o}")
+        chosen = max(means, key=lambda c: round(means[c], 9))  # the first of equals
+        scored = candidates[chosen]().fit(kept.where(F.col("fold") != o)).transform(kept.where(F.col("fold") == o))
+        n, score = scored.agg(F.count("*"), r2(target, "prediction")).first()
+        rows.append((o, chosen, means[chosen], score, n))
+    kept.unpersist()
+    tally = Counter(r[1] for r in rows)
+    return folded.sparkSession.createDataFrame([(*r, tally[r[1]]) for r in rows], "outer_fold int, candidate string, inner_r2 double, outer_r2 double, n long, n_chosen long")
