@@ -7,33 +7,55 @@ from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.ml import Estimator, Pipeline
+from pyspark.ml.base import Transformer
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, HashingTF, NGram, Normalizer, OneHotEncoder, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hash_uniform
+from ..functions.exprs import hash_uniform, unpivot
 from ..spec import SETTINGS, Settings
 from .measure import r2
 
 
-def feature_pipeline(df: DataFrame, categorical: list[str], numeric: list[str], threshold: int = 40, hashed: int = 64) -> Pipeline:
-    """One-hot up to threshold distinct levels, hashing above, numbers as they are."""
-    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first().asDict() if categorical else {}
-    low = [c for c in categorical if counts[c] <= threshold]
-    high = [c for c in categorical if counts[c] > threshold]
+def feature_pipeline(df: DataFrame, categorical: list[str], numeric: list[str], threshold: int = 40, grams: int = 512, components: int = 64) -> Pipeline:
+    """One-hot up to threshold distinct levels, encoded spellings (string_encoder) above, numbers as they are."""
+    levels = unpivot(df, [], categorical, "feature", "level").where("level is not null").distinct() if categorical else None
+    counts = {r.feature: r["count"] for r in levels.groupBy("feature").count().collect()} if categorical else {}  # a row for each column
+    low = [c for c in categorical if counts.get(c, 0) <= threshold]
     stages, inputs = [], list(numeric)
     if low:
-        stages += [StringIndexer(inputCols=low, outputCols=[f"{c}_i" for c in low], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_i" for c in low], outputCols=[f"{c}_v" for c in low])]
-        inputs += [f"{c}_v" for c in low]
-    if high:
-        stages.append(FeatureHasher(inputCols=high, outputCol="hashed", numFeatures=hashed))
-        inputs.append("hashed")
+        stages += [
+            StringIndexer(inputCols=low, outputCols=[f"{c}_i" for c in low], handleInvalid="keep"),
+            OneHotEncoder(inputCols=[f"{c}_i" for c in low], outputCols=[f"{c}_v" for c in low]),
+        ]
+    for c in categorical:
+        if c not in low:
+            stages += string_encoder(c, f"{c}_v", grams, components)
+    inputs += [f"{c}_v" for c in [*low, *(c for c in categorical if c not in low)]]
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")])
 
 
+def string_encoder(column: str, output: str, grams: int = 512, components: int = 64) -> list[Estimator | Transformer]:
+    """Stages that place strings by their spelling: hashed 3-grams of characters, TF-IDF of unit length, principal components.
+
+    Their covariance (grams x grams) is summed over all rows by the executors, and only it reaches the driver. Case counts
+    for nothing; strings that were not fitted on have a place too; null is the empty string.
+    """
+    text, chars, parts, tf, weighed, unit = (f"{output}_{s}" for s in ("text", "chars", "parts", "tf", "idf", "unit"))
+    return [
+        SQLTransformer(statement=f"SELECT *, concat('  ', coalesce(cast(`{column}` AS string), ''), ' ') AS `{text}` FROM __THIS__"),
+        RegexTokenizer(inputCol=text, outputCol=chars, pattern="(?s).", gaps=False),
+        NGram(n=3, inputCol=chars, outputCol=parts),
+        HashingTF(numFeatures=grams, inputCol=parts, outputCol=tf),
+        IDF(inputCol=tf, outputCol=weighed),
+        Normalizer(inputCol=weighed, outputCol=unit),
+        PCA(k=min(components, grams), inputCol=unit, outputCol=output),
+    ]
+
+
 def learnability(df: DataFrame, categorical: list[str], numeric: list[str], target: str, key: str, settings: Settings = SETTINGS, max_iter: int = 8) -> DataFrame:
     """Held-out r2 of a quick model against the floor and the ceiling; refuses too few rows or a constant target."""
     rows = df.where(F.col(target).isNotNull()).na.fill(0.0, numeric)
