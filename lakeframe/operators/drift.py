@@ -153,6 +153,7 @@ def drift_alerts(reports: DataFrame, settings: Settings = SETTINGS, metric_floor
         return F.when(fires, F.struct(severity.alias("severity"), F.lit(code).alias("code"), value.cast("double").alias("value"), F.lit(float(threshold)).alias("threshold")))
 
     share, warn = F.col("share"), F.lit("warn")
+    # The codes and severities of alerts, and the level of 0.01.
     rules = [
         rule(few, F.lit("info"), "drift.sample.small", F.col("n_rows"), settings.alert_min_rows),
         rule(share >= settings.drift_block, F.when(few, "info").otherwise("block"), "drift.share.block", share, settings.drift_block),

@@ -60,6 +60,7 @@ def promotion_gate(pairs: DataFrame, config: GateConfig = GateConfig()) -> DataF
         "worst_slice_not_worse": F.when(F.col("worst_slice").isNull() | sign.isNull(), no).when(delta.isNull(), True).otherwise(delta >= -config.slice_tolerance),
         "no_target_leakage": F.coalesce(F.col("n_leaks") == 0, no),
     }
+    # The names of the metrics.
     metrics = {
         "min_gain": F.lit(config.min_gain), "gain": gain, "coverage_floor": F.lit(floor), "empirical_coverage": F.col("coverage"), "coverage_gap": F.round(F.col("coverage") - config.requested_coverage, 9),
         "challenger_worst_slice": F.col("worst_slice"), "champion_worst_slice": F.when(same, F.col("champion_worst_slice")), "worst_slice_delta": delta, "leakage_findings": F.col("n_leaks").cast("double"),

@@ -93,6 +93,7 @@ def shipments(bookings: DataFrame, carrier: DataFrame, facility: DataFrame, seed
     for product, levels in PACKAGING.items():
         packaging = F.when(F.col("product_class") == product, weighted(u("packaging"), levels)).otherwise(packaging)
     low, high, least, most = (of("route_class", {k: float(v[i]) for k, v in JOURNEYS.items()}) for i in range(4))
+    # The numbers of ambient temperature, payload, gaps and dispatch.
     rows = rows.select(
         "shipment_id", "carrier_id", "facility_id", "booked_at", "delivered", "carrier_tier", "origin_region", "route_class", "product_class", packaging.alias("packaging_type"),
         F.round(low + (high - low) * u("transit"), 2).alias("transit_hours"), (least + F.floor((most - least + 1) * u("handoffs"))).alias("handoff_count"), F.round(triangular(u("ambient"), -4.0, 18.0, 40.0), 2).alias("ambient_temp_c"),
