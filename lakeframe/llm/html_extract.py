@@ -5,11 +5,13 @@ What cannot be text of an article (scripts, styles, form controls, ...) is not r
 characters per tag, raised or lowered by how few or many of them are in links, relative to the page. The node with the
 greatest sum of its children's densities is the core of the article; the least density on the path from it up to the
 body is the threshold, and within every node that reaches it, seen from the body, the subtree of the greatest sum is
-content too. An article element (or a main one without any) is one piece: no subtree within it is taken instead of it.
+content too. Text with nothing below it has no sum and is content only within what is chosen. Prose (headings and
+paragraphs, nothing loose, few links) next to what is chosen belongs to it, however short it is.
 
-Kinds (nav, footer, ...), roles, classes and ids only weigh: the density of a node that they mark, and of all below it,
-counts MARKED times as much. So it is content only where it beats the rest of the page by that much. A mark on what holds the title and most of the page's text tells of the layout and
-weighs nothing. Within content, a block below the threshold goes if it is marked, or is nothing but links.
+Kinds (footer, aside, ...), roles, classes and ids only weigh: the density of a node that they mark, and of all below
+it, counts MARKED times as much; menus are left to their links. A mark on what holds the title and most of the page's
+text tells of the layout and weighs nothing. Within content, a block below the threshold goes if it is marked, or is
+nothing but links.
 """
 
 from __future__ import annotations
@@ -52,6 +54,15 @@ THREAD_WORDS = frozenset("comment comments disqus replies reply respond".split()
 #: Elements whose class, id or role says nothing.
 UNMARKED = frozenset("html body main article p h1 h2 h3 h4 h5 h6".split())
 
+#: Kinds and roles that name links alone.
+MENUS = frozenset("nav menu navigation menubar".split())
+#: Elements that text of an article stands in, rather than loose in a container.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption li dt dd td th caption".split())
+#: Mark of what a class or id puts in doubt.
+DOUBTFUL = "doubtful"
+UNWEIGHED = frozenset(("", DOUBTFUL))
+_RIGHTS = re.compile(r"\s*(?:©|\(c\)|copyright\b)", re.I)
+
 #: What a mark multiplies a density with.
 MARKED = 1 / 1000
 #: Links from which a block of nothing but links is a menu.
@@ -78,6 +89,12 @@ def is_beside_name(mark: str) -> bool:
     return bool(words & NOISE_WORDS or words & WEAK_WORDS and words & CONTROL_WORDS)
 
 
+def is_doubtful_name(mark: str) -> bool:
+    """Whether a class or id may name such a part, so that what it marks is not article by being prose alone."""
+    words = set(_WORD.findall(mark))
+    return bool(words & WEAK_WORDS) and words <= WEAK_WORDS | SIDE_WORDS
+
+
 def marks_of(tag: str, attributes: str) -> list[str]:
     """What marks an element as beside the article: its kind, its role, a class or id, or that it is hidden."""
     found = [tag] if tag in BESIDE else []
@@ -92,7 +109,8 @@ def marks_of(tag: str, attributes: str) -> list[str]:
         elif name == "role":
             found += BESIDE_ROLES.intersection(value.split())
         elif name in ("class", "id"):
-            found += [mark for mark in value.split() if is_beside_name(mark)]
+            names = value.split()
+            found += [mark for mark in names if is_beside_name(mark)] or [DOUBTFUL for mark in names if is_doubtful_name(mark)]
     return found
 
 
@@ -100,7 +118,7 @@ class _Page:
     """Blocks by number, in page order; pieces of text with the block and the run of text they belong to."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.mark = ["#page"], [-1], [""]  # mark: "", "thread" or "beside"
+        self.tag, self.parent, self.mark = ["#page"], [-1], [""]  # mark: "", "thread", "menu", "beside" or "doubtful"
         self.chars, self.link_chars, self.link_tags, self.tags = [0], [0], [0], [0]
         self.pieces: list[tuple[int, int, str]] = []
         self.body = 0
@@ -180,7 +198,8 @@ def parse(page: str) -> _Page:
             close(_SIBLINGS[tag], _HOLDERS)
         block, cut = stack[-1][1], stack[-1][2] or tag in CUT
         marks = [] if cut else marks_of(tag, attributes)
-        mark = "" if not marks else "thread" if any(THREAD_WORDS.intersection(_WORD.findall(x)) for x in marks) else "beside"
+        doubtful = set(marks) == {DOUBTFUL}
+        mark = "" if not marks else DOUBTFUL if doubtful else "thread" if any(THREAD_WORDS.intersection(_WORD.findall(x)) for x in marks) else "menu" if MENUS.issuperset(marks) else "beside"
         run += tag not in INLINE
         if not cut and (mark or tag not in INLINE):
             block = tree.add(tag, block, mark)
@@ -213,16 +232,26 @@ def weights(tree: _Page) -> list[float]:
 
     plain = [c - x for c, x in zip(tree.chars, tree.link_chars, strict=True)]
     for i in range(n - 1, 0, -1):
-        if not tree.mark[i] or may_hold(i):
+        if tree.mark[i] in UNWEIGHED or may_hold(i):
             plain[tree.parent[i]] += plain[i]
     weight = [1.0] * n
     for i in range(1, n):
         weight[i] = weight[tree.parent[i]]
-        if tree.mark[i] and not (may_hold(i) and (2 * plain[i] > plain[0] if titled else 4 * plain[i] > 3 * plain[0])):
+        if tree.mark[i] not in UNWEIGHED and not (may_hold(i) and (2 * plain[i] > plain[0] if titled else 4 * plain[i] > 3 * plain[0])):
             weight[i] = MARKED
     return weight if any(c and w == 1 for c, w in zip(tree.chars, weight, strict=True)) else [1.0] * n
 
 
+def chosen_weights(tree: _Page, weight: list[float]) -> list[float]:
+    """weight, but 1 within menus: that links are no article is for their density to tell."""
+    made = list(weight)
+    for i in range(1, len(made)):
+        p = tree.parent[i]
+        if tree.mark[i] == "menu" or made[p] > weight[p] and tree.mark[i] in UNWEIGHED | {"menu"}:
+            made[i] = 1.0
+    return made
+
+
 def densities(tree: _Page, weight: list[float]) -> tuple[list[float], list[float]]:
     """Weighted composite text density of each node, and the sum over its children."""
     n = len(tree.tag)
@@ -245,21 +274,40 @@ def densities(tree: _Page, weight: list[float]) -> tuple[list[float], list[float
     return density, total
 
 
+def subtree(tree: _Page, own: list[int]) -> list[int]:
+    """Own counts plus those of everything below."""
+    whole = list(own)
+    for i in range(len(whole) - 1, 0, -1):
+        whole[tree.parent[i]] += whole[i]
+    return whole
+
+
+def prose_blocks(tree: _Page, weight: list[float]) -> list[bool]:
+    """Whether a node holds headings and paragraphs and nothing else: no text loose in a container, links in the
+    minority, nothing marked, no notice of rights."""
+    chars, link_chars = subtree(tree, tree.chars), subtree(tree, tree.link_chars)
+    loose = [int(c > 0 and t not in PROSE or m == DOUBTFUL) for t, c, m in zip(tree.tag, tree.chars, tree.mark, strict=True)]
+    for block, _, text in tree.pieces:
+        if _RIGHTS.match(text):
+            loose[block] += 1
+    loose = subtree(tree, loose)
+    return [c > 0 and not loose[i] and 2 * link_chars[i] < c and weight[i] == 1 for i, c in enumerate(chars)]
+
+
 def content_blocks(tree: _Page, weight: list[float], density: list[float], total: list[float]) -> list[bool]:
-    """Which nodes are content: what the core, the threshold and the greatest sums choose, less what falls below within."""
+    """Which nodes are content: the core, the greatest sums of what reaches the threshold, and the prose around them.
+
+    A node without a sum (text and nothing below it) is never chosen by itself, only with what holds it. Beside what is
+    chosen, and beside what holds that up to the body, prose of any length belongs to the article: a headline and intro
+    of their own, a short last paragraph, a second article.
+    """
     n, body = len(tree.tag), tree.body
-    inside = [False] * n
-    inside[body] = True
-    articles = [int(t == "article") for t in tree.tag]
-    for i in range(n - 1, 0, -1):
-        articles[tree.parent[i]] += articles[i]
-    best, score = list(range(n)), list(total)  # within each subtree, the node of the greatest sum; the outermost of equals
+    best = list(range(n))  # within each subtree, the node of the greatest sum; the outermost of equals
     for i in range(n - 1, 0, -1):
         p = tree.parent[i]
-        if tree.tag[i] == "article" or tree.tag[i] == "main" and not articles[i]:
-            best[i], score[i] = i, max(score[i], score[best[i]])
-        if score[best[i]] > score[best[p]] or score[best[i]] == score[best[p]] and best[p] != p and best[i] < best[p]:
-            best[p] = best[i]
+        a, b = best[i], best[p]
+        if total[a] > total[b] or total[a] == total[b] and b != p and a < b:
+            best[p] = a
     core = best[body]
     threshold, i = density[body], core
     while i > body:
@@ -268,16 +316,16 @@ def content_blocks(tree: _Page, weight: list[float], density: list[float], total
     content, reached = [False] * n, [False] * n
     content[core] = reached[body] = True
     for i in range(body + 1, n):
-        inside[i] = inside[tree.parent[i]]
-        if inside[i] and reached[tree.parent[i]] and density[i] >= threshold - 1e-9:
+        if reached[tree.parent[i]] and density[i] >= threshold - 1e-9:
             reached[i] = True
-            content[best[i]] = True
-    chars, link_chars, link_tags = list(tree.chars), list(tree.link_chars), list(tree.link_tags)
-    for i in range(n - 1, 0, -1):
-        p = tree.parent[i]
-        chars[p] += chars[i]
-        link_chars[p] += link_chars[i]
-        link_tags[p] += link_tags[i]
+            content[best[i]] |= total[best[i]] > 0 and (weight[i] == 1 or weight[core] < 1)
+    near = [False] * n  # what holds chosen nodes, up to the body
+    for i in range(n - 1, body, -1):
+        near[tree.parent[i]] |= content[i] or near[i]
+    prose = prose_blocks(tree, weight)
+    for i in range(body + 1, n):
+        content[i] |= near[tree.parent[i]] and prose[i]
+    chars, link_chars, link_tags = subtree(tree, tree.chars), subtree(tree, tree.link_chars), subtree(tree, tree.link_tags)
     for i in range(1, n):
         p = tree.parent[i]
         menu = link_chars[i] == chars[i] > 0 and link_tags[i] >= MENU_LINKS
@@ -296,7 +344,7 @@ def extract_text(page: str | None) -> str:
     if not any(tree.chars):
         return ""
     weight = weights(tree)
-    content = content_blocks(tree, weight, *densities(tree, weight))
+    content = content_blocks(tree, weight, *densities(tree, chosen_weights(tree, weight)))
     lines: list[str] = []
     last, parts = None, []
     for block, run, text in tree.pieces:
