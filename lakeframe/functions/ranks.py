@@ -12,6 +12,8 @@ from .storage import cut
 
 #: Rows of one bracket that are ranked in one task, at most.
 AT_ONCE = 1_000_000
+#: Rows of a table of parts and groups that is broadcast, at most.
+FEW = 100_000
 #: Accuracy of the sketches that bracket a rank, and the margin added on either side.
 ACCURACY, MARGIN = 10_000, 0.0005
 #: monotonically_increasing_id() holds a row's place in its partition in so many bits.
@@ -51,12 +53,19 @@ def global_row_number(df: DataFrame, by: str | Sequence[str], ties: Sequence[str
 
 
 def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """rn: place of a row within its group by, in the order given; n: rows of the group. A group may hold all rows."""
-    numbered = global_row_number(df, [*by, *order], name="_rn")
-    first = numbered.groupBy(*by).agg(F.min("_rn").alias("_first"), F.count("*").alias("n"))
-    groups = first.select(*[F.col(c).alias(f"_{c}") for c in by], "_first", "n")
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
-    return numbered.join(groups, same).withColumn("rn", F.col("_rn") - F.col("_first") + 1).drop("_rn", "_first", *[f"_{c}" for c in by])
+    """rn: place of a row within its group by, in the order given; n: rows of the group. A group may hold all rows.
+
+    A row's place follows from its place in its part and from how many rows of its group lie in earlier parts: a table
+    of (part, group), which is broadcast up to FEW rows and met by both keys beyond, so that no group is gathered.
+    """
+    spread = in_order(df, [*by, *order])
+    counts = spread.groupBy("_p", *by).agg(F.min("_i").alias("_low"), F.count("*").alias("_c"))
+    whole, up_to = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_p")
+    before = F.sum("_c").over(up_to) - F.col("_c")
+    groups = cut(counts.select(F.col("_p").alias("_gp"), *[F.col(c).alias(f"_{c}") for c in by], (before - F.col("_low")).alias("_shift"), F.sum("_c").over(whole).alias("n")))
+    same = [F.col("_p") == F.col("_gp"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]]
+    joined = spread.join(F.broadcast(groups) if groups.count() <= FEW else groups, same)
+    return joined.withColumn("rn", (F.col("_i") + F.col("_shift") + 1).cast("long")).drop("_p", "_i", "_gp", "_shift", *[f"_{c}" for c in by])
 
 
 def running_sums(values: DataFrame, by: Sequence[str], order: str, sums: Sequence[str]) -> DataFrame:

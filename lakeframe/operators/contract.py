@@ -139,10 +139,10 @@ def unpivot_row(one: DataFrame, columns: list[str], value: str) -> DataFrame:
 
 
 def _bins(df: DataFrame, features: list[str], bins: int) -> list[Column]:
-    """(feature, bin) of each feature: numbers by approximate quantiles, levels as they are."""
+    """(feature, bin) of each feature: numbers between exact quantiles, levels as they are."""
     kinds = dict(df.dtypes)
     numeric = [c for c in features if kinds[c] in ("double", "float", "int", "bigint")]
-    edges = df.agg(*[F.percentile_approx(c, [i / bins for i in range(1, bins)], 10_000).alias(c) for c in numeric]).first().asDict() if numeric else {}  # bins numbers a feature
+    edges = exact_quantiles(df, numeric, [i / bins for i in range(1, bins)]) if numeric else {}
     binned = []
     for c in features:
         if c in numeric:
@@ -198,19 +198,76 @@ def single_feature_scores(df: DataFrame, features: list[str], target: str, fold:
     )
 
 
-def contract_verdict(df: DataFrame, problem: Problem, key: str, leaks: DataFrame, probe: DataFrame, strict: bool = False) -> DataFrame:
-    """One row: missing and undeclared columns, violations, leaks, learnability, ok and the first failure.
+def leakage_signals(df: DataFrame, problem: Problem, fold: Column, allow: tuple[str, ...] = (), bins: int = 64, settings: Settings = SETTINGS) -> DataFrame:
+    """(feature, kind, score, baseline, leaks) of every declared feature that df has, over its labelled rows.
 
-    Columns come before values, values before leaks, leaks before learnability: what comes first explains what follows.
-    strict refuses undeclared columns as well and raises the first failure.
+    duplicate: the share of rows where its text is the target's; correlation: of numbers with a numeric target;
+    single_feature: r2 or accuracy on held-out rows from its bins alone, which must also beat the baseline (the share of
+    the commonest class). Each probe measures all features in one pass; those allowed are not judged. A score that
+    cannot be computed is null and no leak.
+    """
+    target = problem.target.name
+    features = [f.name for f in problem.features if f.name in df.columns and f.name not in allow]
+    numeric = [f.name for f in problem.of_kind("numeric", "boolean", "datetime") if f.name in features]
+    rows = df.where(F.col(target).isNotNull()).select(*features, target, fold.alias("_train"))
+    rows = rows.select(*[F.col(c).cast("double").alias(c) if c in numeric else F.col(c) for c in features], target, "_train")
+    enough_for_leakage(rows, target, settings)
+    kinds = [("duplicate", duplicate_shares(rows, features, target).withColumnRenamed("share", "score"), F.lit(0.0))]
+    if problem.task == "regression":
+        if numeric:
+            kinds.append(("correlation", correlations(rows, numeric, target).withColumnRenamed("correlation", "score"), F.lit(0.0)))
+        kinds.append(("single_feature", single_feature_scores(rows, features, target, F.col("_train"), bins).withColumnRenamed("r2", "score"), F.lit(0.0)))
+    else:
+        found = single_feature_accuracy(rows, features, target, F.col("_train"), bins, settings=settings).withColumnRenamed("accuracy", "score")
+        kinds.append(("single_feature", found, F.col("majority")))
+    leaks = F.coalesce((F.col("score") >= settings.leakage_threshold) & (F.col("score") > F.col("baseline")), F.lit(False))
+    made = None
+    for kind, found, baseline in kinds:
+        part = found.select("feature", F.lit(kind).alias("kind"), "score", baseline.alias("baseline")).withColumn("leaks", leaks)
+        made = part if made is None else made.unionByName(part)
+    return made
+
+
+def contract_verdict(df: DataFrame, problem: Problem, key: str, leaks: DataFrame | None, probe: DataFrame | None, strict: bool = False, settings: Settings = SETTINGS) -> DataFrame:
+    """One row: the schema, violations, what leaks, learnability, then issues, warnings, ok and the first failure.
+
+    leaks are leakage_signals (None: too few labelled rows, which is a warning), probe is a row of learnability (None:
+    not measured, which is an issue). Columns come before values, values before leaks, leaks before learnability: what
+    comes first explains what follows. Findings of single columns and a target that is too easy are warnings. leaking
+    names feature and probe; strongest is the highest score. strict refuses undeclared columns as well and raises the
+    first failure.
     """
     missing, undeclared = compare_schema(problem, df.columns, strict=True)
     present = replace(problem, features=tuple(f for f in problem.features if f.name not in missing))
-    broken = violations(df, present, key).agg(F.count("*").alias("n_violations"))
-    one = broken.crossJoin(leaks.agg(F.count("*").alias("n_leaks"))).crossJoin(probe)  # one row each
-    schema = F.lit("missing columns" if missing else "undeclared columns" if strict and undeclared else None).cast("string")
-    first = F.coalesce(schema, F.when(F.col("n_violations") > 0, "contract"), F.when(F.col("n_leaks") > 0, "leakage"), F.when(~F.col("learnable"), "not learnable"), F.when(F.col("too_easy"), "too easy"))
-    made = one.select(F.lit(",".join(missing)).alias("missing"), F.lit(",".join(undeclared)).alias("undeclared"), "*", first.isNull().alias("ok"), first.alias("first_failure"))
+    one = violations(df, present, key).agg(F.count("*").alias("n_violations"))
+    audit = column_audit(df, present, settings).where("issues <> ''").select(F.concat_ws(": ", "column", "issues").alias("text"))
+    audit = audit.agg(F.array_sort(F.collect_list("text")).alias("_audit"))  # a text for each column
+    if leaks is None:
+        found = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("n_leaks"), F.lit("").alias("leaking"), F.lit(None).cast("string").alias("strongest"))
+    else:
+        name = F.concat_ws(": ", "feature", "kind")
+        found = leaks.where("leaks").agg(
+            F.count("*").alias("n_leaks"), F.array_join(F.array_sort(F.collect_list(name)), ", ").alias("leaking"),
+            F.max(F.struct(F.round("score", 6).alias("score"), name.alias("name")))["name"].alias("strongest"),
+        )
+    unmeasured = "n_rows long, r2 double, learnable boolean, too_easy boolean"
+    probe = df.sparkSession.createDataFrame([(None, None, None, None)], unmeasured) if probe is None else probe
+    one = one.crossJoin(found).crossJoin(audit).crossJoin(probe)  # one row each
+    columns = [f"missing columns: {', '.join(missing)}"] if missing else []
+    columns += [f"undeclared columns: {', '.join(undeclared)}"] if strict and undeclared else []
+    issues = F.array_compact(F.array(
+        *map(F.lit, columns), F.when(F.col("n_violations") > 0, F.format_string("contract: %d violations", "n_violations")),
+        F.when(F.col("n_leaks") > 0, F.format_string("leakage: %d signals, strongest is %s", "n_leaks", "strongest")),
+        F.when(F.col("learnable").isNull(), "learnability was not measured").when(~F.col("learnable"), "not learnable"),
+    ))
+    warned = [F.lit(f"{c}: absent") for c in missing] + ([F.lit("leakage was not measured")] if leaks is None else [])
+    warned.append(F.when(F.col("too_easy"), "too easy"))
+    made = one.withColumn("_issues", issues).withColumn("warnings", F.array_join(F.concat(F.array_compact(F.array(*warned)), "_audit"), " | "))
+    first = F.when(F.size("_issues") > 0, F.regexp_extract(F.col("_issues")[0], "^[^:]*", 0))
+    made = made.select(
+        F.lit(",".join(missing)).alias("missing"), F.lit(",".join(undeclared)).alias("undeclared"), (F.lit(not columns) & (F.col("n_violations") == 0)).alias("schema_ok"),
+        *[c for c in one.columns if c != "_audit"], F.array_join("_issues", " | ").alias("issues"), "warnings", (F.size("_issues") == 0).alias("ok"), first.alias("first_failure"),
+    )
     if strict and (failure := made.first().first_failure):
         raise ValueError(f"the frame breaks its contract: {failure}")
     return made

@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from lakeframe.functions import ranks
 from lakeframe.operators import contract, profile
 from lakeframe.spec import Feature, Problem, compare_schema, min_calibration_rows
 
@@ -68,3 +70,73 @@ def test_digest_is_of_the_multiset(spark):
     digest = lambda r, n: profile.frame_digest(spark.createDataFrame(r, "row string").repartition(n), "row").first().digest
     assert digest(rows, 1) == digest(rows[::-1], 13)
     assert digest(rows, 1) != digest([*rows[1:], ("x",)], 1) and digest(rows, 1) != digest(rows[1:], 1)
+
+
+LEAKY = Problem((Feature("a", "categorical", ("x", "y")), Feature("copy", "categorical", ("1.0",)), Feature("settled", "numeric"), Feature("other", "numeric"), Feature("flat", "numeric")), Feature("t", "numeric"))
+
+
+@pytest.fixture
+def leaky(spark):
+    rows = [(str(i), "xy"[i % 2], f" {float(i)} ", i * 2.0 + 1, float(i * 7919 % 101), 5.0, float(i)) for i in range(400)]
+    return spark.createDataFrame(rows, "id string, a string, copy string, settled double, other double, flat double, t double")
+
+
+def train(df):
+    return F.col("t").cast("int") % 4 != 0
+
+
+def test_signals_name_feature_and_probe(leaky):
+    found = {(r.feature, r.kind): (r.score, r.leaks) for r in contract.leakage_signals(leaky, LEAKY, train(leaky)).collect()}
+    assert {k for k, (_, leaks) in found.items() if leaks} == {("copy", "duplicate"), ("settled", "correlation"), ("settled", "single_feature")}
+    assert found["flat", "correlation"][0] is None and abs(found["other", "correlation"][0]) < 0.2
+    assert len(found) == 5 + 3 + 5
+    allowed = contract.leakage_signals(leaky, LEAKY, train(leaky), allow=("settled",)).collect()
+    assert "settled" not in {r.feature for r in allowed}
+    with pytest.raises(ValueError):
+        contract.leakage_signals(leaky.limit(39), LEAKY, train(leaky))
+
+
+def test_signals_of_classes(leaky):
+    problem = Problem((Feature("settled", "numeric"), Feature("other", "numeric")), Feature("truth", "categorical", ("no", "yes")))
+    df = leaky.withColumn("truth", F.when(F.col("t") < 100, "no").otherwise("yes"))
+    found = {(r.feature, r.kind): r for r in contract.leakage_signals(df, problem, train(df)).collect()}
+    assert {kind for _, kind in found} == {"duplicate", "single_feature"}
+    assert found["settled", "single_feature"].leaks and not found["other", "single_feature"].leaks
+    assert abs(found["other", "single_feature"].baseline - 0.75) < 0.01
+
+
+def verdict_of(df, leaks=None, probe=(400, 0.5, True, False), strict=False):
+    row = df.sparkSession.createDataFrame([probe], "n_rows long, r2 double, learnable boolean, too_easy boolean") if probe else None
+    return contract.contract_verdict(df, LEAKY, "id", leaks, row, strict)
+
+
+def test_verdict_names_what_it_finds(leaky):
+    valid = leaky.withColumn("copy", F.lit("1.0"))
+    r = verdict_of(valid).first()
+    assert r.ok and r.schema_ok and r.issues == "" and r.first_failure is None
+    assert r.warnings == "leakage was not measured | copy: constant | flat: constant"
+    r = verdict_of(valid, contract.leakage_signals(valid, LEAKY, train(valid)), (400, 0.99, True, True)).first()
+    assert (r.ok, r.first_failure, r.leaking) == (False, "leakage", "settled: correlation, settled: single_feature")
+    assert r.issues == "leakage: 2 signals, strongest is settled: correlation" and r.warnings.startswith("too easy | ")
+    assert verdict_of(valid, probe=None).first().issues == "learnability was not measured"
+    assert verdict_of(valid, probe=(400, 0.0, False, False)).first().first_failure == "not learnable"
+    r = verdict_of(leaky.drop("a")).first()
+    assert (r.missing, r.schema_ok, r.first_failure, r.n_violations) == ("a", False, "missing columns", 400)
+    assert r.issues == "missing columns: a | contract: 400 violations" and r.warnings.startswith("a: absent | ")
+    assert verdict_of(valid.limit(0)).first().ok  # an empty frame breaks nothing
+    with pytest.raises(ValueError, match="undeclared columns"):
+        verdict_of(valid, strict=True)
+
+
+def test_ranks_within_groups_of_any_size(spark, monkeypatch):
+    """One group holds most rows; null is a group; with the table of parts broadcast and joined by both keys."""
+    rows = [("hot" if i % 3 else None if i % 2 else "b", i * 7919 % 1009, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v int, id int")
+    wanted = {}
+    for g in ("hot", None, "b"):
+        members = sorted((v, i) for k, v, i in rows if k == g)
+        wanted |= {i: (nth + 1, len(members)) for nth, (_, i) in enumerate(members)}
+    for few in (ranks.FEW, 0):
+        monkeypatch.setattr(ranks, "FEW", few)
+        assert {r.id: (r.rn, r.n) for r in ranks.rank_within(df, ["g"], ["v", "id"]).collect()} == wanted
+    assert ranks.rank_within(df.limit(0), ["g"], ["v"]).collect() == []
