@@ -69,6 +69,7 @@ def _uniform(key: str, seed: int, stream: str) -> str:
 _SCORE = """30.0 + coalesce(8.0 * tanh((l_quantity - 25.0) / 10.0), 0) + coalesce(5.0 * ln(1 + greatest(l_discount / 0.05, -0.999999)), 0)
     + coalesce(3.0 * sqrt(greatest((p_size - 1.0) / 10.0, 0)), 0) + CASE l_returnflag WHEN 'A' THEN 4.0 WHEN 'R' THEN -3.0 ELSE 0 END
     + CASE o_orderpriority WHEN '1-URGENT' THEN 5.0 WHEN '2-HIGH' THEN 2.0 ELSE 0 END"""
+SIGNAL_SQL = f"({_SCORE} + coalesce(0.004 * l_quantity * p_size, 0) + CASE WHEN l_linestatus = 'O' THEN coalesce(40.0 * l_discount, 0) ELSE 0 END)"
 LINE_SQL = f"""
 line0 AS (
     SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS key,
@@ -76,7 +77,7 @@ line0 AS (
         coalesce(p_type, 'UNKNOWN') AS p_type, CAST(l_quantity AS DOUBLE) AS l_quantity, l_discount, l_tax, CAST(p_size AS DOUBLE) AS p_size, l_extendedprice, l_shipdate, o_orderdate
     FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN part ON l_partkey = p_partkey),
 line1 AS (
-    SELECT *, least(greatest({_SCORE} + coalesce(0.004 * l_quantity * p_size, 0) + CASE WHEN l_linestatus = 'O' THEN coalesce(40.0 * l_discount, 0) ELSE 0 END, 0.0), 100.0) AS signal,
+    SELECT *, least(greatest({SIGNAL_SQL}, 0.0), 100.0) AS signal,
         least(greatest({_SCORE}, 0.0), 100.0) AS pred
     FROM line0),
 line AS (

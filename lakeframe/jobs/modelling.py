@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_normal, hash_uniform, rounded, unpivot
 from ..functions.ranks import digitize, exact_quantiles, global_row_number
 from ..functions.storage import fresh_path
-from ..operators import forecast, measure, noise, profile, split, synth
+from ..operators import forecast, measure, noise, profile, realism, split, synth
 from ..operators.stress import average_ranks
 from ..sources import io
-from .frames import CLASSES, HOLES_SQL, LINE_SQL, MODEL, SCORER, SEED, SERIES_SQL, SIGMA, _uniform, holes, line, read, series
+from ..spec import Feature, Problem
+from .frames import CLASSES, HOLES_SQL, LINE, LINE_SQL, MODEL, SCORER, SEED, SERIES_SQL, SIGMA, SIGNAL_SQL, _uniform, holes, line, read, series
 from .registry import job
 
 _U_SPLIT = _uniform("key", SEED, "split")
@@ -199,18 +201,30 @@ def calibrate_noise_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BM = f"(sqrt(-2 * ln(greatest({_uniform('key', SEED, 'target.u')}, 1e-12))) * cos(2 * pi() * {_uniform('key', SEED, 'target.v')}))"
 
 
+_ATTACHED_SQL = f"""
+    g AS (SELECT p_size AS v, count(*) AS c FROM line GROUP BY 1), r AS (SELECT v, (sum(c) OVER (ORDER BY v) - c + (c + 1) / 2) / sum(c) OVER () AS pct FROM g WHERE v IS NOT NULL),
+    m AS (SELECT line.*, pow(1.5, 2 * coalesce(pct, 0.5) - 1) AS m FROM line LEFT JOIN r ON p_size = v), s AS (SELECT sqrt(avg(m * m)) AS s FROM m),
+    n AS (SELECT m.*, 1.5 * {_CONFOUNDER} AS confounder, signal + 1.5 * {_CONFOUNDER} + {SIGMA} * m / s * {_BM} AS score FROM m, s)"""
+
+
+def _hidden() -> Column:
+    return 1.5 * hash_normal("key", SEED, "confounder")
+
+
+def _attached(df: DataFrame) -> DataFrame:
+    """df with score: signal, a confounder, and noise that grows with a driver's rank, its mean square kept at one."""
+    spread = df.join(average_ranks(df, "p_size"), "p_size", "left").withColumn("m", F.pow(F.lit(1.5), 2 * F.coalesce("pct", F.lit(0.5)) - 1))
+    scale = spread.agg(F.sqrt(F.avg(F.col("m") * F.col("m"))).alias("s"))  # one row
+    noisy = F.col("signal") + _hidden() + SIGMA * F.col("m") / F.col("s") * hash_normal("key", SEED, "target")
+    return spread.join(F.broadcast(scale)).withColumn("score", noisy)
+
+
 @job(f"""
-    WITH {LINE_SQL}, g AS (SELECT p_size AS v, count(*) AS c FROM line GROUP BY 1), r AS (SELECT v, (sum(c) OVER (ORDER BY v) - c + (c + 1) / 2) / sum(c) OVER () AS pct FROM g WHERE v IS NOT NULL),
-    m AS (SELECT key, signal, pow(1.5, 2 * coalesce(pct, 0.5) - 1) AS m FROM line LEFT JOIN r ON p_size = v), s AS (SELECT sqrt(avg(m * m)) AS s FROM m),
-    n AS (SELECT key, signal + 1.5 * {_CONFOUNDER} + {SIGMA} * m / s * {_BM} AS score FROM m, s), c AS (SELECT quantile_cont(score, {_CUM[0]}) AS c1, quantile_cont(score, {_CUM[1]}) AS c2 FROM n)
+    WITH {LINE_SQL}, {_ATTACHED_SQL}, c AS (SELECT quantile_cont(score, {_CUM[0]}) AS c1, quantile_cont(score, {_CUM[1]}) AS c2 FROM n)
     SELECT key, round(least(greatest(score, 0), 100), 5) AS target, ((score >= c1)::INT + (score >= c2)::INT) AS label FROM n, c""")
 def attach_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signal, a confounder, and noise that grows with a driver's rank, its mean square kept at one; cut into classes too."""
-    df = line(spark, sf_dir)
-    spread = df.join(average_ranks(df, "p_size"), "p_size", "left").withColumn("m", F.pow(F.lit(1.5), 2 * F.coalesce("pct", F.lit(0.5)) - 1))
-    scale = spread.agg(F.sqrt(F.avg(F.col("m") * F.col("m"))).alias("s"))  # one row
-    noisy = F.col("signal") + 1.5 * hash_normal("key", SEED, "confounder") + SIGMA * F.col("m") / F.col("s") * hash_normal("key", SEED, "target")
-    scored = spread.join(F.broadcast(scale)).select("key", noisy.alias("score"))
+    scored = _attached(line(spark, sf_dir)).select("key", "score")
     cuts = exact_quantiles(scored, ["score"], _CUM)["score"]
     return scored.select("key", F.round(F.least(F.greatest("score", F.lit(0.0)), F.lit(100.0)), 5).alias("target"), digitize(F.col("score"), cuts).alias("label"))
 
@@ -220,22 +234,37 @@ def inject_missingness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holes(line(spark, sf_dir)).select("key", rounded("l_tax").alias("l_tax"))
 
 
+_REPORTED = replace(LINE, target=Feature("target", "numeric"))
+_FIGURES = ("signal_variance", "confounder_variance", "noise_variance", "noise_to_signal", "confounder_share", "ceiling", "oracle_r2", "headroom", "heteroscedasticity")
+_MISSING_SQL = ", ".join(f"CASE WHEN count({f.name}) < count(*) THEN '{f.name}=' || printf('%.6f', round(1 - count({f.name}) / count(*), 6)) END" for f in LINE.features)
+
+
 @job(f"""
-    WITH {LINE_SQL}, {HOLES_SQL}, q AS (SELECT quantile_cont(p_size, 0.25) AS lo, quantile_cont(p_size, 0.75) AS hi FROM line), e AS (SELECT y - signal AS e, * FROM holed),
-    b AS (SELECT string_agg(label || '=' || n, ',' ORDER BY label) AS class_balance FROM (SELECT CASE WHEN y < 32 THEN 'low' WHEN y < 40 THEN 'mid' ELSE 'high' END AS label, count(*) AS n FROM line GROUP BY 1))
-    SELECT count(*) AS n, round(1 - sum(e * e) / (count(*) * var_pop(y)), 6) AS oracle_r2, round(sqrt(var_pop(e) / var_pop(signal)), 6) AS noise_to_signal, round(stddev_pop(e) FILTER (p_size >= hi) / stddev_pop(e) FILTER (p_size <= lo), 6) AS heteroscedasticity,
-        round((1 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y))) / (1 - sum(e * e) / (count(*) * var_pop(y))), 6) AS headroom, round(1 - count(l_tax) / count(*), 6) AS missing_l_tax,
-        round(0.4 * var_pop(e) / (var_pop(signal) + var_pop(e)), 6) AS confounder_share, any_value(class_balance) AS class_balance FROM e, q, b""")
+    WITH {LINE_SQL}, {_ATTACHED_SQL}, holed AS (
+        SELECT * REPLACE (CASE WHEN {_uniform("key", SEED, "hole.l_tax")} >= CASE WHEN l_linestatus = 'O' THEN 0.08 ELSE 0.03 END THEN l_tax END AS l_tax,
+            {SIGNAL_SQL} AS signal), least(greatest(score, 0), 100) AS target, signal AS clamped FROM n),
+    q AS (SELECT max(v) FILTER (pct <= 0.25) AS lo, min(v) FILTER (pct >= 0.75) AS hi FROM r),
+    e AS (SELECT *, target - signal AS e, target - signal - confounder AS rest FROM holed),
+    v AS (SELECT count(*) AS n, concat_ws(',', {_MISSING_SQL}) AS missing, var_pop(signal) AS sv, var_pop(confounder) AS cv, var_pop(rest) AS nv,
+        1 - sum((target - clamped) * (target - clamped)) / (count(*) * var_pop(target)) AS oracle, 1 - sum((target - pred) * (target - pred)) / (count(*) * var_pop(target)) AS got,
+        stddev_samp(e) FILTER (p_size >= hi) / stddev_samp(e) FILTER (p_size <= lo) AS spread FROM e, q)
+    SELECT n, missing, round(sv, 6) AS signal_variance, round(cv, 6) AS confounder_variance, round(nv, 6) AS noise_variance, round(sqrt((cv + nv) / sv), 6) AS noise_to_signal,
+        round(cv / (sv + cv + nv), 6) AS confounder_share, round(sv / (sv + cv + nv), 6) AS ceiling, round(oracle, 6) AS oracle_r2, round(got / oracle, 6) AS headroom, round(spread, 6) AS heteroscedasticity,
+        'l_quantity,l_discount,p_size,l_returnflag,o_orderpriority,l_linestatus' AS driven, 'l_tax' AS undriven, '' AS turning, 2::BIGINT AS n_interactions, 'route' AS confounders FROM v""")
 def realism_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the signal explains, how wide the rest is and where, what is missing, and how classes are balanced."""
-    df = holes(line(spark, sf_dir)).withColumn("e", F.col("y") - F.col("signal")).withColumn("label", F.when(F.col("y") < 32, "low").when(F.col("y") < 40, "mid").otherwise("high"))
-    low, high = exact_quantiles(df, ["p_size"], [0.25, 0.75])["p_size"]
-    oracle, spread = measure.r2("y", "signal"), F.stddev_pop(F.when(F.col("p_size") >= high, F.col("e"))) / F.stddev_pop(F.when(F.col("p_size") <= low, F.col("e")))
-    one = df.agg(
-        F.count("*").alias("n"), rounded(oracle).alias("oracle_r2"), rounded(F.sqrt(F.var_pop("e") / F.var_pop("signal"))).alias("noise_to_signal"), rounded(spread).alias("heteroscedasticity"), rounded(measure.r2("y", "pred") / oracle).alias("headroom"),
-        rounded(1 - F.count("l_tax") / F.count("*")).alias("missing_l_tax"), rounded(0.4 * F.var_pop("e") / (F.var_pop("signal") + F.var_pop("e"))).alias("confounder_share"),
-    )
-    return one.crossJoin(profile.level_counts(df, "label").select(F.col("text").alias("class_balance")))  # one row each
+    """What drives the target that attach_target made, how wide the rest is and where, and how much a hidden cause has of it."""
+    df = holes(_attached(line(spark, sf_dir))).withColumn("target", F.least(F.greatest("score", F.lit(0.0)), F.lit(100.0)))
+    found = realism.realism_report(df, _REPORTED, MODEL, {"route": _hidden()}, "p_size", F.col("pred"))
+    return found.select("n", "missing", *[rounded(c).alias(c) for c in _FIGURES], "driven", "undriven", "turning", "n_interactions", "confounders")
+
+
+@job("""
+    WITH c AS (SELECT quality AS level, count(*) AS c FROM labels WHERE quality IS NOT NULL GROUP BY 1), b AS (SELECT string_agg(level || '=' || c, ',' ORDER BY level) AS class_balance, round(max(c) / sum(c), 6) AS majority_share FROM c)
+    SELECT n, missing, class_balance, majority_share FROM (SELECT count(*) AS n, concat_ws(',', CASE WHEN count(toxic) < count(*) THEN 'toxic=' || printf('%.6f', round(1 - count(toxic) / count(*), 6)) END) AS missing FROM labels), b""")
+def realism_report_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of a labelled table without a model: what is missing and how classes are balanced, and nothing guessed."""
+    problem = Problem((Feature("toxic", "numeric", nullable=True),), Feature("quality", "categorical", ("0", "1")))
+    return realism.realism_report(read(spark, sf_dir, "labels"), problem, None).withColumn("majority_share", rounded("majority_share"))
 
 
 @job("""
