@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_uniform, null_if_nan, rounded, sorted_json
-from ..functions.storage import fresh_path
+from ..functions.storage import fresh_path, stored
 from ..operators import contract, profile
 from ..sources import io
 from ..spec import Feature, Problem
@@ -362,7 +362,8 @@ _EDGES = ", ".join(str(i / 64) for i in range(1, 64))
     FROM c JOIN m USING (feature) WHERE n > 0 GROUP BY 1""")
 def leakage_single_feature_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for numeric features between 63 exact quantiles."""
-    found = contract.single_feature_scores(_leaky(spark, sf_dir), _BINNED, "y", hash_uniform("key", SEED, "leakage") >= 0.25)
+    df = stored(_leaky(spark, sf_dir).select("y", *_BINNED, (hash_uniform("key", SEED, "leakage") >= 0.25).alias("train")))
+    found = contract.single_feature_scores(df, _BINNED, "y", F.col("train"))
     return found.withColumn("r2", rounded("r2"))
 
 

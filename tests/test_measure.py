@@ -1,10 +1,11 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from lakeframe.functions.ranks import exact_quantiles, global_row_number, higher_rank, in_order, rank_within, running_sums
+from lakeframe.functions.ranks import exact_quantiles, global_row_number, higher_rank, in_order, order_statistics, rank_within, running_sums
 from lakeframe.operators import drift, estimate, measure
 from lakeframe.operators.registry_ops import CRITERIA, GateConfig, champion_challenger, latest_per_key, promotion_gate, rank_leaderboard, reason_codes
 from lakeframe.spec import Feature, Problem
@@ -236,3 +237,28 @@ def test_reasons_read_well(spark):
     df = spark.createDataFrame([(12.5, -3.0, 0.0604), (7.0, 0.25, None)], "a double, b double, c double")
     text = reason_codes([("a", F.col("a"), F.col("b"), "h"), ("c", F.col("c"), F.lit(0.5), "")], 2, None, "days")
     assert [r.t for r in df.select(text.alias("t")).collect()] == [["a = 12.5 h pushed the estimate down by 3 days", "c = 0.0604 pushed the estimate up by 0.5 days"], ["c = unknown pushed the estimate up by 0.5 days", "a = 7 h pushed the estimate up by 0.25 days"]]
+
+
+def test_order_statistics_of_skewed_columns(spark):
+    """Far outliers, infinities, both signs and one value for most rows: exact with any number of values at once."""
+    rng = random.Random(21)
+    rows = [(rng.gauss(0, 1) * 10.0 ** rng.randrange(-200, 200), rng.choice([1e300, 0.0, -0.0, rng.random()]), rng.choice([float("inf"), -float("inf"), 1e308, -1e308, rng.random()])) for _ in range(500)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").withColumn("d", F.lit(5.0))
+    levels = [i / 64 for i in range(65)]
+    for at_once in (1, 20):
+        found = order_statistics(df, {c: F.col(c) for c in "abcd"}, lambda _, n: [higher_rank(n, p) for p in levels], at_once)
+        for k, c in enumerate("abcd"):
+            values = sorted((*r, 5.0)[k] for r in rows)
+            assert found[c] == (500, {higher_rank(500, p): values[higher_rank(500, p) - 1] for p in levels})
+
+
+def test_many_quantiles_take_few_rows(spark):
+    """63 quantiles of four columns beyond what is ordered at once: passes are a few counts, no aggregate for each rank."""
+    df = spark.range(20_000).select(*[F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10_007)).cast("double").alias(f"x{k}") for k in range(4)])
+    levels = [i / 64 for i in range(1, 64)]
+    began = time.time()
+    found = exact_quantiles(df, df.columns, levels, at_once=500)
+    assert time.time() - began < 60  # an aggregate and two counts for each rank took minutes
+    wanted = df.agg(*[F.percentile(c, F.array(*map(F.lit, levels))).alias(c) for c in df.columns]).first()
+    for c in df.columns:
+        assert all(math.isclose(x, y, abs_tol=1e-9) for x, y in zip(found[c], wanted[c], strict=True))
