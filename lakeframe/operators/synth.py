@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import hash_normal, null_if_nan, rounded
 from ..functions.ranks import running_sums
-from ..functions.storage import cut
+from ..functions.storage import stored
 from . import drift
 
 #: A column with more distinct values is not broadcast whole; its values of more than this part of the rows are.
@@ -100,25 +100,29 @@ class Copula:
     def sample(self, n: int, seed: int = 7, key: str = "id") -> DataFrame:
         """n rows, numbered by key: hashes of the number, correlated, looked up in the distribution of each column.
 
+        Distributions of up to SMALL values are broadcast; rows are dealt out once for each of the others.
         Values that repeat are drawn as they are; between two that were seen once, draws lie between them.
         """
         if n < 0 or key in dict(self.columns):
             raise ValueError(f"n is below 0, or {key} is a column that was fitted")
-        parts = [max(d, n // DRAWS, 1) for d in self.distinct]
-        count = F.element_at(F.array(*map(F.lit, parts)), F.col("feature") + 1)
-        table = self.table.withColumn("_n", count)
-        first, last = (F.least(F.floor(_even(F.col(c)) * F.col("_n")), F.col("_n") - 1) for c in ("low", "high"))
-        table = table.withColumn("part", F.explode(F.sequence(first, last)))  # values + parts rows for each column
-        normal = self.table.sparkSession.range(n).select("id", *[hash_normal("id", seed, f"copula{k}").alias(f"_n{k}") for k in range(len(parts))])
-        drawn = [sum((float(self.root[k, j]) * F.col(f"_n{j}") for j in range(1, k + 1)), float(self.root[k, 0]) * F.col("_n0")) for k in range(len(parts))]
-        long = normal.select("id", F.posexplode(F.array(*drawn)).alias("feature", "x"))
-        long = long.withColumn("part", F.least(F.floor(_even(F.col("x")) * count), count - 1))
-        met = long.join(table, ["feature", "part"]).where("low <= x and x < high")
-        share = (F.col("x") - F.col("low")) / (F.col("high") - F.col("low"))
-        inside = (F.col("m") == 1) & (F.col("next_m") == 1) & (F.col("low") > -np.inf) & (F.col("high") < np.inf)
-        number = F.when(inside, F.col("number") + share * (F.col("next_number") - F.col("number"))).otherwise(F.col("number"))
-        value = F.struct(number.alias("number"), "text")
-        wide = met.groupBy("id").agg(*[F.max(F.when(F.col("feature") == k, value)).alias(f"_v{k}") for k in range(len(parts))])
+        k_all = range(len(self.columns))
+        normal = self.table.sparkSession.range(n).select("id", *[hash_normal("id", seed, f"copula{k}").alias(f"_n{k}") for k in k_all])
+        drawn = [sum((float(self.root[k, j]) * F.col(f"_n{j}") for j in range(1, k + 1)), float(self.root[k, 0]) * F.col("_n0")) for k in k_all]
+        wide = normal.select("id", *[x.alias(f"_x{k}") for k, x in enumerate(drawn)])
+        for k in sorted(k_all, key=lambda k: self.distinct[k] <= SMALL):  # small tables last, so that what is looked up in them is not dealt out
+            small = self.distinct[k] <= SMALL
+            parts = self.distinct[k] if small else max(self.distinct[k], n // DRAWS)
+            first, last = (F.least(F.floor(_even(F.col(c)) * parts), F.lit(parts - 1)) for c in ("low", "high"))
+            table = self.table.where(F.col("feature") == k).withColumn("_part", F.explode(F.sequence(first, last)))  # values + parts rows
+            table = table.select("_part", "low", "high", "m", "next_m", "number", "next_number", "text")
+            x = F.col(f"_x{k}")
+            wide = wide.withColumn("_part", F.least(F.floor(_even(x) * parts), F.lit(parts - 1)))
+            met = wide.join(F.broadcast(table) if small else table, "_part").where((F.col("low") <= x) & (x < F.col("high")))
+            share = (x - F.col("low")) / (F.col("high") - F.col("low"))
+            inside = (F.col("m") == 1) & (F.col("next_m") == 1) & (F.col("low") > -np.inf) & (F.col("high") < np.inf)
+            number = F.when(inside, F.col("number") + share * (F.col("next_number") - F.col("number"))).otherwise(F.col("number"))
+            kept = [c for c in wide.columns if c not in ("_part", f"_x{k}")]
+            wide = met.select(*kept, F.struct(number.alias("number"), "text").alias(f"_v{k}"))
         made = [_back(F.col(f"_v{k}.number"), F.col(f"_v{k}.text"), t).alias(c) for k, (c, t) in enumerate(self.columns)]
         return wide.select(F.col("id").alias(key), *made)
 
@@ -137,7 +141,7 @@ def fit_copula(df: DataFrame, columns: Sequence[str], min_rows: int = 50) -> Cop
     for t in kinds:
         _kind(t)
     plain = null_if_nan(df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)]))
-    rows = cut(plain.groupBy(*plain.columns).agg(F.count("*").alias("w")))
+    rows = stored(plain.groupBy(*plain.columns).agg(F.count("*").alias("w")))
     n = rows.agg(F.sum("w")).first()[0] or 0
     if n < min_rows:
         raise ValueError(f"a synthesizer needs {min_rows} rows, there are {n}")
@@ -155,7 +159,7 @@ def fit_copula(df: DataFrame, columns: Sequence[str], min_rows: int = 50) -> Cop
     table = summed.select("feature", "name", "place.number", "place.text", "m", (F.col("m") / F.col("total_m")).alias("share"), F.col("cum_one").alias("nth"), *bounds)
     table = table.withColumn("mean", _moments(1)[0] / F.col("share"))
     following = table.select("feature", (F.col("nth") - 1).alias("nth"), F.col("number").alias("next_number"), F.col("m").alias("next_m"))
-    table = cut(table.join(following, ["feature", "nth"], "left").drop("nth"))
+    table = stored(table.join(following, ["feature", "nth"], "left").drop("nth"))
     counted = {r.feature: r["count"] for r in table.groupBy("feature").count().collect()}  # a row for each column
     distinct = tuple(counted[k] for k in range(len(kinds)))
     return Copula(tuple(zip(columns, kinds)), n, distinct, table, _root(_scores(rows, table, kinds, distinct, n), table, len(kinds)))
