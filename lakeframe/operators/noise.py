@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranks import bucket_of
+from ..functions.ranks import bucket_of, order_statistics
+from ..functions.storage import stored
 
 
 def regression_budget(df: DataFrame, signal: Column, confounder: Column, r2: float, share: float) -> DataFrame:
@@ -24,20 +27,26 @@ def regression_budget(df: DataFrame, signal: Column, confounder: Column, r2: flo
     return one.select("signal_variance", "sigma", scale.alias("confounder_scale"), (F.col("budget") * given).alias("confounder_variance"), ceiling.alias("ceiling"))
 
 
-def classification_sigma(df: DataFrame, signal: Column, unit_noise: Column, cuts: list[float], accuracy: float, steps: int = 12, points: int = 10_000) -> DataFrame:
+def _quantiles(df: DataFrame, c: Column, levels: list[float]) -> list[float]:
+    """The least values that these shares of the rows do not exceed."""
+    n, found = order_statistics(df, {"v": c}, lambda _, n: [max(1, math.ceil(round(p * n, 9))) for p in levels])["v"]
+    return [found[max(1, math.ceil(round(p * n, 9)))] for p in levels]
+
+
+def classification_sigma(df: DataFrame, signal: Column, unit_noise: Column, cuts: list[float], accuracy: float, steps: int = 12) -> DataFrame:
     """(sigma, accuracy): the noise at which that share of rows keeps the class that the quantiles of the score cut.
 
-    A bisection over two columns that are kept meanwhile; cuts are quantiles within 1 / points.
+    A bisection over two columns that are written once; cuts are exact quantiles, counted in cells, so no task merges
+    what grows with the rows.
     """
-    kept = df.select(signal.cast("double").alias("s"), unit_noise.cast("double").alias("z")).persist()
-    clean = kept.agg(F.percentile_approx("s", cuts, points)).first()[0]
+    kept = stored(df.select(signal.cast("double").alias("s"), unit_noise.cast("double").alias("z")))
+    clean = _quantiles(kept, F.col("s"), cuts)
     low, high, share = 0.0, 8 * (kept.agg(F.stddev_pop("s")).first()[0] or 0.0), 0.0
     for _ in range(steps):
         sigma = (low + high) / 2
         noisy = F.col("s") + sigma * F.col("z")
-        moved = kept.agg(F.percentile_approx(noisy, cuts, points)).first()[0]
+        moved = _quantiles(kept, noisy, cuts)
         same = bucket_of(F.col("s"), sorted(clean)) == bucket_of(noisy, sorted(moved))
         share = kept.agg(F.avg(same.cast("double"))).first()[0]
         low, high = (sigma, high) if share > accuracy else (low, sigma)
-    kept.unpersist()
     return df.sparkSession.createDataFrame([(sigma, share)], "sigma double, accuracy double")
