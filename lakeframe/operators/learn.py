@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hash_uniform, unpivot
+from ..functions.storage import stored
 from ..spec import SETTINGS, Settings
 from .measure import r2
 
@@ -56,14 +57,19 @@ def string_encoder(column: str, output: str, grams: int = 512, components: int =
     ]
 
 
+def _sided(df: DataFrame, categorical: list[str], numeric: list[str], target: str, key: str, settings: Settings) -> DataFrame:
+    """The labelled rows' features and target and whether they are held out, written once: a fit reads them many times."""
+    rows = df.where(F.col(target).isNotNull()).na.fill(0.0, numeric)
+    return stored(rows.select(*dict.fromkeys([*categorical, *numeric, target]), (hash_uniform(key, settings.random_seed, "learn") < 0.25).alias("_test")))
+
+
 def learnability(df: DataFrame, categorical: list[str], numeric: list[str], target: str, key: str, settings: Settings = SETTINGS, max_iter: int = 8) -> DataFrame:
     """Held-out r2 of a quick model against the floor and the ceiling; refuses too few rows or a constant target."""
-    rows = df.where(F.col(target).isNotNull()).na.fill(0.0, numeric)
-    n, low, high = rows.agg(F.count("*"), F.min(target), F.max(target)).first()
+    sided = _sided(df, categorical, numeric, target, key, settings)
+    n, low, high = sided.agg(F.count("*"), F.min(target), F.max(target)).first()
     if n < settings.learnability_min_rows or low == high:
         raise ValueError("too few labelled rows, or a constant target")
-    sided = rows.withColumn("_test", hash_uniform(key, settings.random_seed, "learn") < 0.25)
-    fitted = feature_pipeline(rows, categorical, numeric).fit(sided.where("not _test"))
+    fitted = feature_pipeline(sided, categorical, numeric).fit(sided.where("not _test"))
     model = GBTRegressor(labelCol=target, featuresCol="features", maxIter=max_iter, maxDepth=4, seed=settings.random_seed).fit(fitted.transform(sided.where("not _test")))
     score = RegressionEvaluator(labelCol=target, metricName="r2").evaluate(model.transform(fitted.transform(sided.where("_test"))))
     return df.sparkSession.createDataFrame([(n, float(score), score >= settings.learnable_r2_floor, score > settings.too_easy_r2)], "n_rows long, r2 double, learnable boolean, too_easy boolean")
@@ -71,7 +77,7 @@ def learnability(df: DataFrame, categorical: list[str], numeric: list[str], targ
 
 def learnability_classes(df: DataFrame, categorical: list[str], numeric: list[str], target: str, key: str, settings: Settings = SETTINGS) -> DataFrame:
     """Held-out accuracy of a quick model against the floor, or two points above the commonest class, and the ceiling."""
-    rows = df.where(F.col(target).isNotNull()).na.fill(0.0, numeric)
+    rows = _sided(df, categorical, numeric, target, key, settings)
     counts = {r[target]: r["count"] for r in rows.groupBy(target).count().collect()}  # a row for each class
     n = sum(counts.values())
     if n < settings.learnability_min_rows or len(counts) < 2:
@@ -79,7 +85,7 @@ def learnability_classes(df: DataFrame, categorical: list[str], numeric: list[st
     majority = max(counts.values()) / n
     floor = max(settings.learnable_accuracy_floor, majority + 0.02)
     labels = StringIndexer(inputCol=target, outputCol="_label").fit(rows)
-    sided = labels.transform(rows).withColumn("_test", hash_uniform(key, settings.random_seed, "learn") < 0.25)
+    sided = labels.transform(rows)
     fitted = feature_pipeline(rows, categorical, numeric).fit(sided.where("not _test"))
     model = RandomForestClassifier(labelCol="_label", featuresCol="features", numTrees=20, maxDepth=6, seed=settings.random_seed).fit(fitted.transform(sided.where("not _test")))
     score = model.transform(fitted.transform(sided.where("_test"))).agg(F.avg((F.col("prediction") == F.col("_label")).cast("double"))).first()[0]
@@ -88,7 +94,7 @@ def learnability_classes(df: DataFrame, categorical: list[str], numeric: list[st
 
 def cross_validate(folded: DataFrame, estimator: Callable[[], Estimator], categorical: list[str], numeric: list[str], target: str) -> DataFrame:
     """(fold, n, r2, mae) of a fresh estimator, fitted on the other folds (by time: on what comes before)."""
-    kept = folded.persist()
+    kept = stored(folded.select(*dict.fromkeys([*categorical, *numeric, target, "fold"])))
     folds = sorted(r.fold for r in kept.select("fold").distinct().collect())  # a row for each fold
     made = None
     for k in [f for f in folds if f >= 0]:
@@ -97,9 +103,7 @@ def cross_validate(folded: DataFrame, estimator: Callable[[], Estimator], catego
         scored = estimator().fit(fitted.transform(train)).transform(fitted.transform(kept.where(F.col("fold") == k)))
         one = scored.agg(F.lit(k).alias("fold"), F.count("*").alias("n"), r2(target, "prediction").alias("r2"), F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae"))
         made = one if made is None else made.unionByName(one)
-    result = made.sparkSession.createDataFrame(made.collect(), made.schema)  # a row for each fold
-    kept.unpersist()
-    return result
+    return made.sparkSession.createDataFrame(made.collect(), made.schema)  # a row for each fold
 
 
 def nested_cv(folded: DataFrame, candidates: dict[str, Callable[[], Estimator]], target: str) -> DataFrame:
@@ -110,7 +114,7 @@ def nested_cv(folded: DataFrame, candidates: dict[str, Callable[[], Estimator]],
     to the first candidate; a fold without a score (its target does not vary) is left out of the mean. Candidates are
     pipelines on the frame's own columns. Refused are fewer than three folds, null folds and no candidates.
     """
-    kept = folded.persist()
+    kept = stored(folded)
     folds = sorted((r.fold for r in kept.select("fold").distinct().collect()), key=lambda f: -1 if f is None else f)  # a row for each fold
     if len(folds) < 3 or None in folds or not candidates:
         raise ValueError("nested folds need three folds without nulls, and a candidate")
@@ -132,6 +136,5 @@ def nested_cv(folded: DataFrame, candidates: dict[str, Callable[[], Estimator]],
         scored = candidates[chosen]().fit(kept.where(F.col("fold") != o)).transform(kept.where(F.col("fold") == o))
         n, score = scored.agg(F.count("*"), r2(target, "prediction")).first()
         rows.append((o, chosen, means[chosen], score, n))
-    kept.unpersist()
     tally = Counter(r[1] for r in rows)
     return folded.sparkSession.createDataFrame([(*r, tally[r[1]]) for r in rows], "outer_fold int, candidate string, inner_r2 double, outer_r2 double, n long, n_chosen long")
