@@ -11,9 +11,12 @@ can matter:
    multikey quicksort on 8-byte keys to a shallow depth, then blind tries for groups that still tie. Common-prefix
    lengths of sorted neighbours give, for each of the SPAN - GRAM + 1 places of a string around the anchor, the
    class of its right and of its left part; a pair of classes that occurs twice is a repeated string. An anchor with
-   more than HOT different contexts (a common line) is not gathered: each string of SPAN bytes around it goes by its
-   own hash, so that only equal strings meet, and copies in one batch are settled on the spot. The commonest of these
-   are known from a first pass, and their rows are salted by context wherever they are counted.
+   more than HOT different contexts (a common line) is not gathered. The strings around it are halved by their places:
+   all strings of a half share more bytes than the anchor, so contexts meet by those, and halves in which they are
+   still too many are halved again. A first pass tells which are common; contexts of a common line end alone mostly
+   after one halving. Where NARROW strings or fewer are left (a line of over SPAN - NARROW bytes), or the first pass
+   missed the anchor, being rare in each slice, each string goes by its own hash, so that only equal strings meet, and
+   copies in one batch are settled on the spot. Rows that are known to be such are salted by context.
 4. The ranges found are gathered by document and cut out.
 
 Sorting work is linear in the anchors but for the sort itself; no pairs are formed within a group.
@@ -37,9 +40,11 @@ GRAM = 64
 SHALLOW_WORDS = 4
 #: Contexts of one anchor that are sorted together at most.
 HOT = 20_000
-#: Anchors held to be common, at most, and their least share of a slice's contexts; this only decides which are salted.
+#: Anchors and halves held to be common, at most, and their least share of a slice's contexts; this only decides which are halved or salted.
 COMMON_LIMIT = 65_536
 COMMON_SHARE = 1 / 4096
+#: Strings around a common anchor, among which their places are not halved any more.
+NARROW = 40
 #: Contexts of hot anchors whose strings are compared before the shuffle at once.
 HOT_BATCH = 2_000
 
@@ -64,12 +69,12 @@ def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(values[: len(values) - (width - have)], values[width - have :]) if have < width else values
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Anchors of the documents in data: row, position within it, hash of the gram, hash of the context."""
+def anchors(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tuple:
+    """Anchors of the documents in data: row, position within it, hash of the gram, hash of the context, and halves().
+
+    Nodes are ranges of strings around an anchor: those that start first to last bytes before it.
+    """
     n, width = len(data), span - gram + 1
-    none = np.zeros(0, np.int64)
-    if n < span:
-        return none, none, none, none
     power, inverse = _powers(_BASE, n + 1), _powers(_INVERSE, n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE_CODE[data] * power[:n], out=sums[1:])
@@ -85,9 +90,25 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tupl
     row = np.searchsorted(offsets, at, side="right") - 1
     left = np.minimum(span - gram, at - starts[row])
     right = np.minimum(span, ends[row] - at)
-    context = (sums[at + right] - sums[at - left]) * inverse[at - left]
-    context = mix64(context + mix64((left * 1024 + right).astype(np.uint64)))
-    return row, at - starts[row], hashes[at].view(np.int64), context.view(np.int64)
+
+    def hashed(i: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from before to after anchors i, and of how many these are."""
+        start = at[i] - before
+        string = (sums[at[i] + after] - sums[start]) * inverse[start]
+        return mix64(string + mix64((before * 1024 + after).astype(np.uint64))).view(np.int64)
+
+    def halves(i: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Both halves of nodes, where a string fits: node, first, last, hash of what their strings share, hash of all their bytes."""
+        middle = (first + last) // 2
+        of, first, last = np.tile(np.arange(len(i)), 2), np.concatenate((first, middle + 1)), np.concatenate((middle, last))
+        fits = (left[i[of]] >= first) & (right[i[of]] >= span - last)
+        of, first, last = of[fits], first[fits], last[fits]
+        i = i[of]
+        shared = hashed(i, first, span - last).view(np.uint64)
+        shared = mix64(shared + mix64((first * 1024 + last).astype(np.uint64))).view(np.int64)
+        return of, first, last, shared, hashed(i, np.minimum(last, left[i]), np.minimum(span - first, right[i]))
+
+    return row, at - starts[row], hashes[at].view(np.int64), hashed(np.arange(len(at)), left, right), halves
 
 
 def blind_trie_order(strings: list[int], width: int) -> list[int]:
@@ -177,8 +198,8 @@ def neighbour_lcp(order: np.ndarray, group: np.ndarray, raw: np.ndarray, avail:
     return lcp
 
 
-def repeated_around(group: np.ndarray, left: np.ndarray, left_n: np.ndarray, right: np.ndarray, right_n: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each anchor the farthest and nearest start before it of a repeated string; -1 if there is none."""
+def repeated_around(group: np.ndarray, left: np.ndarray, left_n: np.ndarray, right: np.ndarray, right_n: np.ndarray, node: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each anchor the farthest and nearest start before it, within its node, of a repeated string; -1 if there is none."""
     n, reach = len(group), span - gram
     r_order = deep_shallow_order(group, right[:, gram:], right_n)  # the gram itself is equal
     r_lcp = neighbour_lcp(r_order, group, right, right_n)
@@ -186,10 +207,11 @@ def repeated_around(group: np.ndarray, left: np.ndarray, left_n: np.ndarray, rig
     l_lcp = neighbour_lcp(l_order, group, left, left_n)
     farthest, nearest = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     r_class, l_class = np.empty(n, np.int64), np.empty(n, np.int64)
+    first, last = node >> 10, node & 1023
     for before in range(reach + 1):
         r_class[r_order] = np.cumsum(r_lcp < span - before)
         l_class[l_order] = np.cumsum(l_lcp < before)
-        rows = np.flatnonzero((left_n >= before) & (right_n >= span - before))
+        rows = np.flatnonzero((left_n >= before) & (right_n >= span - before) & (first <= before) & (before <= last))
         key = r_class[rows] * (n + 1) + l_class[rows]
         by = np.argsort(key)
         key = key[by]
@@ -204,35 +226,63 @@ def repeated_around(group: np.ndarray, left: np.ndarray, left_n: np.ndarray, rig
     return farthest, nearest
 
 
-def _contexts(batch: pa.RecordBatch, span: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Anchors of a batch, slice by slice: row, position, hash and context's hash in order of the two, and what repeats its neighbour."""
+def _in_order(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by h and c, and what repeats both of its neighbour."""
+    order = np.lexsort((c, h))
+    h, c = h[order], c[order]
+    return order, np.concatenate(([False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])))[: len(h)]
+
+
+def _contexts(batch: pa.RecordBatch, span: int, gram: int) -> Iterator[tuple]:
+    """Anchors of a batch, slice by slice: row, position, hash, context's hash and halves()."""
     data, offsets = byte_column(batch.column("text"))
     for i, j in slices(offsets):
         if offsets[j] - offsets[i] < span:
             continue
-        row, at, h, c = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], span, gram)
+        row, at, h, c, halves = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], span, gram)
         if len(row):
-            order = np.lexsort((c, h))
-            row, at, h, c = row[order] + i, at[order], h[order], c[order]
-            yield row, at, h, c, np.concatenate(([False], (h[1:] == h[:-1]) & (c[1:] == c[:-1])))
+            yield row + i, at, h, c, halves
+
+
+def _nodes(h: np.ndarray, c: np.ndarray, halves, reach: int, common) -> Iterator[tuple[np.ndarray, ...]]:
+    """Nodes of a slice, level by level: anchor, first, last, hash of what the strings share, hash of all their bytes, what repeats both, what occurs twice.
+
+    Of equal nodes one goes on; what common(hash) holds of those is halved for the next level.
+    """
+    i, first, last = np.arange(len(h)), np.zeros(len(h), np.int64), np.full(len(h), reach)
+    twice = np.zeros(len(h), bool)
+    while len(i):
+        order, again = _in_order(h, c)
+        i, first, last, h, c = (x[order] for x in (i, first, last, h, c))
+        twice = twice[order] | again | np.append(again[1:], False)
+        often = np.zeros(len(i), bool)
+        often[~again] = common(h[~again])
+        on = often & (last - first >= NARROW)
+        yield i, first, last, h, c, again, twice, often, on
+        i, twice = i[on], twice[on]
+        of, first, last, h, c = halves(i, first[on], last[on])
+        i, twice = i[of], twice[of]
 
 
 def _emit_common(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, h, c, again in _contexts(batch, span, gram):
-                sure = np.append(again[1:], False)[~again]
-                h, c = h[~again], c[~again]
-                _, where, n = np.unique(h, return_inverse=True, return_counts=True)
-                often = n[where] >= max(4, COMMON_SHARE * len(h))
-                if often.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(x[often]) for x in (h, c, sure)], names=["h", "c", "sure"])
+            for _, _, h, c, halves in _contexts(batch, span, gram):
+                least = max(4, COMMON_SHARE * len(h))
+
+                def common(h: np.ndarray, least: float = least) -> np.ndarray:
+                    _, where, n = np.unique(h, return_inverse=True, return_counts=True)
+                    return n[where] >= least
+
+                for _, _, _, h, c, _, twice, often, _ in _nodes(h, c, halves, span - gram, common):
+                    if often.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(x[often]) for x in (h, c, twice)], names=["h", "c", "sure"])
 
     return run
 
 
 def common_anchors(keyed: DataFrame, span: int, gram: int) -> np.ndarray:
-    """Sorted hashes of anchors with more than HOT contexts, not all of which repeat: those of most contexts, COMMON_LIMIT at most.
+    """Sorted hashes of anchors, and of halves around them, with more than HOT contexts, not all of which repeat: those of most contexts, COMMON_LIMIT at most.
 
     Contexts are counted in the slices of which their anchor is a share.
     """
@@ -241,28 +291,29 @@ def common_anchors(keyed: DataFrame, span: int, gram: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in found.where((F.col("n") > HOT) & ~F.col("settled")).orderBy(F.desc("n"), "h").limit(COMMON_LIMIT).select("h").collect()], np.int64))
 
 
-def _emit_anchors(span: int, gram: int, common: np.ndarray, salts: int):
+def _emit_anchors(span: int, gram: int, hot: np.ndarray, salts: int):
+    def common(h: np.ndarray) -> np.ndarray:
+        return hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("k").to_numpy()
-            for row, at, h, c, again in _contexts(batch, span, gram):
-                row = keys[row]
-                sure = again | np.append(again[1:], False)
-                salt = np.zeros(len(h), np.int32)
-                if len(common):
-                    hot = ~again & (common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h)
-                    salt[hot] = 1 + c[hot] % salts
-                # one row speaks for a context to the others of its anchor; its copies here are settled and go anywhere
-                h = np.where(again, mix64(row.view(np.uint64) + at.astype(np.uint64)).view(np.int64), h)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, salt, c, row, at.astype(np.int32), sure)], names=["h", "salt", "c", "k", "at", "sure"])
+            for row, at, h, c, halves in _contexts(batch, span, gram):
+                for i, first, last, h, c, again, twice, often, on in _nodes(h, c, halves, span - gram, common):
+                    salt = np.where(often, 1 + c % salts, 0).astype(np.int32)
+                    k, place = keys[row[i]], at[i]
+                    # one row speaks for a node to the others of its hash; its copies here are settled and go anywhere
+                    h = np.where(again, mix64(k.view(np.uint64) + place.astype(np.uint64)).view(np.int64), h)
+                    columns = (h, salt, c, k, place.astype(np.int32), (first * 1024 + last).astype(np.int32), twice)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[~on]) for x in columns], names=["h", "salt", "c", "k", "at", "node", "sure"])
 
     return run
 
 
-def string_keys(text: bytes, h: np.ndarray, at: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each string of span bytes in text that holds one of these anchors: the anchor's number, bytes before it, hash.
+def string_keys(text: bytes, h: np.ndarray, at: np.ndarray, node: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each string of span bytes in text of one of these nodes: the node's number, bytes before its anchor, hash.
 
-    The hash covers the anchor and its place too: one string may hold several anchors and is no repeat of itself.
+    The hash covers the node's hash and the place too: one string may hold several anchors and is no repeat of itself.
     """
     n = len(text)
     power, inverse = _powers(_BASE, n + 1), _powers(_INVERSE, n + 1)
@@ -270,7 +321,7 @@ def string_keys(text: bytes, h: np.ndarray, at: np.ndarray, span: int, gram: int
     np.cumsum(_BYTE_CODE[np.frombuffer(text, np.uint8)] * power[:n], out=sums[1:])
     before = np.arange(span - gram + 1)
     start = at[:, None] - before
-    row, before = np.nonzero((start >= 0) & (start + span <= n))
+    row, before = np.nonzero((start >= 0) & (start + span <= n) & (node[:, None] >> 10 <= before) & (before <= node[:, None] & 1023))
     start = at[row] - before
     string = (sums[start + span] - sums[start]) * inverse[start]
     return row, before, mix64(string + mix64(h[row].view(np.uint64) + before.astype(np.uint64))).view(np.int64)
@@ -294,27 +345,28 @@ def _settle_strings(found: list[tuple[np.ndarray, ...]], span: int) -> pa.Record
     anywhere = mix64(k[settled].view(np.uint64) + at[settled].astype(np.uint64)).view(np.int64)
     columns = [np.concatenate(x) for x in ((h[one], anywhere), (k[one], k[settled]), (lo[one].astype(np.int32), low.astype(np.int32)), (hi[one].astype(np.int32), high.astype(np.int32)))]
     n = len(columns[0])
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.arange(n) >= one.sum()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["h", "k", "at", "hi", "sure", "left", "right"])
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns[:3]), pa.nulls(n, pa.int32()), pa.array(columns[3]), pa.array(np.arange(n) >= one.sum()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["h", "k", "at", "node", "hi", "sure", "left", "right"])
 
 
 def _emit_contexts(span: int, gram: int):
-    """Contexts to be sorted have no hi; a string around a hot anchor has its range as at and hi instead of a context."""
+    """Contexts to be sorted have no hi; a string of a hot node has its range as at and hi instead of a context."""
 
-    def contexts(h: list, k: list, at: list, left: list, right: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(at, pa.int32()), pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.bool_()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["h", "k", "at", "hi", "sure", "left", "right"])
+    def contexts(h: list, k: list, at: list, node: list, left: list, right: list) -> pa.RecordBatch:
+        columns = [pa.array(h, pa.int64()), pa.array(k, pa.int64()), pa.array(at, pa.int32()), pa.array(node, pa.int32())]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.bool_()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["h", "k", "at", "node", "hi", "sure", "left", "right"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n_hot = [], 0
         for batch in batches:
-            h, k, at, left, right = [], [], [], [], []
+            h, k, at, node, left, right = [], [], [], [], [], []
             texts = batch.column("text")
             for i, wanted in enumerate(batch.column("wanted").to_pylist()):
                 text = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
                 key = batch.column("k")[i].as_py()
-                hot = [(x["h"], x["at"]) for x in wanted if x["hot"]]
+                hot = [(x["h"], x["at"], x["node"]) for x in wanted if x["hot"]]
                 for j in range(0, len(hot), HOT_BATCH):
-                    hs, places = (np.array(x, np.int64) for x in zip(*hot[j : j + HOT_BATCH], strict=True))
-                    row, before, strings = string_keys(text, hs, places, span, gram)
+                    hs, places, nodes = (np.array(x, np.int64) for x in zip(*hot[j : j + HOT_BATCH], strict=True))
+                    row, before, strings = string_keys(text, hs, places, nodes, span, gram)
                     found.append((row + n_hot, np.full(len(row), key), places[row], before, strings))
                     n_hot += len(hs)
                     if n_hot >= HOT_BATCH:
@@ -327,13 +379,14 @@ def _emit_contexts(span: int, gram: int):
                     h.append(x["h"])
                     k.append(key)
                     at.append(p)
+                    node.append(x["node"])
                     left.append(text[max(0, p - span + gram) : p][::-1])
                     right.append(text[p : p + span])
                 if len(h) >= 20_000:
-                    yield contexts(h, k, at, left, right)
-                    h, k, at, left, right = [], [], [], [], []
+                    yield contexts(h, k, at, node, left, right)
+                    h, k, at, node, left, right = [], [], [], [], [], []
             if h:
-                yield contexts(h, k, at, left, right)
+                yield contexts(h, k, at, node, left, right)
         if found:
             yield _settle_strings(found, span)
 
@@ -364,7 +417,7 @@ def _sort_contexts(span: int, gram: int):
             group = np.unique(rows.column("h").to_numpy(), return_inverse=True)[1].astype(np.int64)
             left, left_n = _matrix(rows.column("left"), left_width)
             right, right_n = _matrix(rows.column("right"), span)
-            far, near = repeated_around(group, left, left_n, right, right_n, span, gram)
+            far, near = repeated_around(group, left, left_n, right, right_n, rows.column("node").to_numpy().astype(np.int64), span, gram)
             hit = np.flatnonzero(far >= 0)
             at = rows.column("at").to_numpy()[hit]
             yield pa.RecordBatch.from_arrays([pa.array(rows.column("k").to_numpy()[hit]), pa.array((at - far[hit]).astype(np.int32)), pa.array((at + span - near[hit]).astype(np.int32))], names=["k", "lo", "hi"])
@@ -410,16 +463,16 @@ def _cut_out(with_text: bool, columns: list[str]):
 
 
 def open_contexts(keyed: DataFrame, near: DataFrame, span: int, gram: int) -> DataFrame:
-    """What has to meet by h: contexts of anchors with up to HOT different ones, strings around the anchors with more."""
-    by_anchor = Window.partitionBy("h", "salt")
-    salted = F.col("salt") > 0  # a part of an anchor that is known to be hot
-    # of a context that occurs often one row is enough for the others of its anchor to be compared with
+    """What has to meet by h: contexts of nodes with up to HOT different ones, strings of the nodes with more."""
+    by_node = Window.partitionBy("h", "salt")
+    salted = F.col("salt") > 0  # a part of a node that is known to be hot
+    # of a context that occurs often one row is enough for the others of its node to be compared with
     unsettled = near.where(F.col("varied") | salted).select(
-        "*", (F.max(~F.col("settled")).over(by_anchor) | salted).alias("open"), ((F.count_if(~F.col("as_last")).over(by_anchor) > HOT) | salted).alias("hot")
+        "*", (F.max(~F.col("settled")).over(by_node) | salted).alias("open"), ((F.count_if(~F.col("as_last")).over(by_node) > HOT) | salted).alias("hot")
     ).where("open and not as_last")
-    wanted = unsettled.groupBy("k").agg(F.collect_list(F.struct("h", "at", "hot")).alias("wanted"))
+    wanted = unsettled.groupBy("k").agg(F.collect_list(F.struct("h", "at", "node", "hot")).alias("wanted"))
     # all columns, though few are needed: so this join and the last one read the same shuffle of the texts
-    return keyed.join(wanted, "k").select(*keyed.columns, "wanted").mapInArrow(_emit_contexts(span, gram), "h long, k long, at int, hi int, sure boolean, left binary, right binary")
+    return keyed.join(wanted, "k").select(*keyed.columns, "wanted").mapInArrow(_emit_contexts(span, gram), "h long, k long, at int, node int, hi int, sure boolean, left binary, right binary")
 
 
 def suffix_array_dedup(documents: DataFrame, span: int = SPAN, gram: int = GRAM, with_text: bool = False) -> DataFrame:
@@ -436,16 +489,16 @@ def suffix_array_dedup(documents: DataFrame, span: int = SPAN, gram: int = GRAM,
     keyed = bounded(documents).select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("k"), F.col("text").cast("binary").alias("text"), *row)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     common = common_anchors(keyed, span, gram)
-    found = keyed.select("k", "text").mapInArrow(_emit_anchors(span, gram, common, parts), "h long, salt int, c long, k long, at int, sure boolean")
-    by_anchor = Window.partitionBy("h", "salt")
-    in_order = by_anchor.orderBy("c")
+    found = keyed.select("k", "text").mapInArrow(_emit_anchors(span, gram, common, parts), "h long, salt int, c long, k long, at int, node int, sure boolean")
+    by_node = Window.partitionBy("h", "salt")
+    in_order = by_node.orderBy("c")
     near = found.select(
-        "h", "salt", "c", "k", "at", "sure",
+        "h", "salt", "c", "k", "at", "node", "sure",
         (F.lag("c").over(in_order) == F.col("c")).alias("as_last"),
         (F.lead("c").over(in_order) == F.col("c")).alias("as_next"),
-        (F.min("c").over(by_anchor) < F.max("c").over(by_anchor)).alias("varied"),
-    ).select("h", "salt", "k", "at", "varied", F.coalesce("as_last", F.lit(False)).alias("as_last"), (F.col("sure") | F.coalesce("as_last", F.lit(False)) | F.coalesce("as_next", F.lit(False))).alias("settled"))
-    settled = near.where("settled").select("k", (F.col("at") - (span - gram)).alias("lo"), (F.col("at") + span).alias("hi"))
+        (F.min("c").over(by_node) < F.max("c").over(by_node)).alias("varied"),
+    ).select("h", "salt", "k", "at", "node", "varied", F.coalesce("as_last", F.lit(False)).alias("as_last"), (F.col("sure") | F.coalesce("as_last", F.lit(False)) | F.coalesce("as_next", F.lit(False))).alias("settled"))
+    settled = near.where("settled").select("k", (F.col("at") - F.col("node").bitwiseAND(1023)).alias("lo"), (F.col("at") + span - F.shiftright("node", 10)).alias("hi"))
     contexts = open_contexts(keyed, near, span, gram)
     ranged = contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_sort_contexts(span, gram), "k long, lo int, hi int")
     ranges = settled.unionByName(ranged).groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))

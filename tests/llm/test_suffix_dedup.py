@@ -75,6 +75,27 @@ def test_hot_anchors(spark, seed, hot, monkeypatch):
     assert len(common) == 1 and len(common[0]) > 0  # what the first pass found has been salted
 
 
+@pytest.mark.parametrize("n", [40, 240])
+def test_common_line_makes_no_more_rows_past_hot(spark, n, monkeypatch):
+    """A line with up to HOT contexts and with more: at most two rows a context have to meet; strings across it are found."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 30)
+    rng = random.Random(n)
+    other = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    line, head, tail = other(110), other(125), other(115)
+    texts = [other(150) + line + other(150) for _ in range(n)]
+    texts[3::20] = [other(150) + line + tail + other(50) for _ in texts[3::20]]
+    texts[7::20] = [other(50) + head + line + other(150) for _ in texts[7::20]]
+    texts[11::20] = [other(50) + head[-60:] + line + tail[:55] + other(150) for _ in texts[11::20]]
+    seen = []
+    real = suffix_dedup.open_contexts
+    monkeypatch.setattr(suffix_dedup, "open_contexts", lambda *a: seen.append(real(*a)) or seen[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array_dedup(docs).collect()}
+    assert [found[i] for i in range(n)] == brute([t.encode() for t in texts], 200)
+    assert sum(removed > 0 for _, removed, _, _ in found.values()) == 3 * n // 20
+    assert seen[0].count() <= 2 * n
+
+
 def test_empty_table_and_null_id(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_array_dedup(docs).collect() == []
