@@ -8,6 +8,7 @@ import test_jaccard_join
 from test_suffix_dedup import brute as cut_by_brute_force
 
 import corpus_pipeline
+from lakeframe.llm import suffix_dedup
 from lakeframe.llm.decontaminate import words_of
 from lakeframe.llm.toxicity import toxicity
 
@@ -95,3 +96,20 @@ def test_stages(spark, tmp_path):
         results.append(docs.count())
     assert corpus_pipeline.run(spark, path).count() == results[-1]
     assert words_of("A-b, É!") == ["a", "b", "é"]
+
+
+def test_common_line_of_passages(spark, monkeypatch):
+    """A line with more contexts than are gathered makes at most two rows a context in repeated_passages; what repeats across it goes."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 30)
+    rng = random.Random(240)
+    other = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    line, tail = other(110), other(115)
+    texts = [other(150) + line + (tail if i % 20 == 3 else other(115)) + other(50) for i in range(240)]
+    seen = []
+    real = suffix_dedup.open_contexts
+    monkeypatch.setattr(suffix_dedup, "open_contexts", lambda *a: seen.append(real(*a)) or seen[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
+    assert [i for i, t in enumerate(texts) if found[i] != t] == list(range(3, 240, 20))
+    assert all((line + tail) not in t for t in found.values())
+    assert seen[0].count() <= 2 * len(texts)
