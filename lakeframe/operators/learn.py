@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable
 from itertools import combinations
@@ -9,7 +10,6 @@ from itertools import combinations
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.base import Transformer
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import IDF, PCA, HashingTF, NGram, Normalizer, OneHotEncoder, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -63,16 +63,41 @@ def _sided(df: DataFrame, categorical: list[str], numeric: list[str], target: st
     return stored(rows.select(*dict.fromkeys([*categorical, *numeric, target]), (hash_uniform(key, settings.random_seed, "learn") < 0.25).alias("_test")))
 
 
+def _counted(df: DataFrame, features: list[str], target: str, key: str, settings: Settings) -> DataFrame:
+    """Labelled rows with equal features, held out (_test) or not, as one: their number, and the target's mean, variance and ends."""
+    y = F.col(target).cast("double")
+    rows = df.where(F.col(target).isNotNull()).select(*features, y.alias("_y"), (hash_uniform(key, settings.random_seed, "learn") < 0.25).alias("_test"))
+    counted = rows.groupBy(*features, "_test").agg(F.count("*").cast("double").alias("_n"), F.avg("_y").alias("_mean"), F.var_pop("_y").alias("_var"), F.min("_y").alias("_low"), F.max("_y").alias("_high"))
+    return stored(counted)
+
+
+def _each(counted: DataFrame, at_once: int = 10_000) -> DataFrame:
+    """Every row as often as it was counted, dealt out at_once of them at a time, so that no task has all copies of one."""
+    n = F.col("_n").cast("long")
+    parts = counted.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / at_once)))).repartition(F.xxhash64(*counted.columns, "_part"))
+    return parts.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(at_once).cast("long"), n - F.col("_part") * at_once)))).drop("_part", "_copy")
+
+
 def learnability(df: DataFrame, categorical: list[str], numeric: list[str], target: str, key: str, settings: Settings = SETTINGS, max_iter: int = 8) -> DataFrame:
-    """Held-out r2 of a quick model against the floor and the ceiling; refuses too few rows or a constant target."""
-    sided = _sided(df, categorical, numeric, target, key, settings)
-    n, low, high = sided.agg(F.count("*"), F.min(target), F.max(target)).first()
-    if n < settings.learnability_min_rows or low == high:
+    """Held-out r2 of a quick model against the floor and the ceiling; refuses too few rows or a constant target.
+
+    Rows with equal features are counted first. Trees on the means of their targets, weighed by the counts, split as trees
+    on the rows do (what the target varies among equal rows is in every node the same), and r2 is that of the rows. Encoders
+    of spellings have no weights, so they are fitted on each row again.
+    """
+    counted = _counted(df.na.fill(0.0, numeric), list(dict.fromkeys([*categorical, *numeric])), target, key, settings)
+    n, low, high = counted.agg(F.sum("_n"), F.min("_low"), F.max("_high")).first()
+    if (n or 0) < settings.learnability_min_rows or low == high:
         raise ValueError("too few labelled rows, or a constant target")
-    fitted = feature_pipeline(sided, categorical, numeric).fit(sided.where("not _test"))
-    model = GBTRegressor(labelCol=target, featuresCol="features", maxIter=max_iter, maxDepth=4, seed=settings.random_seed).fit(fitted.transform(sided.where("not _test")))
-    score = RegressionEvaluator(labelCol=target, metricName="r2").evaluate(model.transform(fitted.transform(sided.where("_test"))))
-    return df.sparkSession.createDataFrame([(n, float(score), score >= settings.learnable_r2_floor, score > settings.too_easy_r2)], "n_rows long, r2 double, learnable boolean, too_easy boolean")
+    train, test = counted.where("not _test"), counted.where("_test")
+    pipeline = feature_pipeline(counted, categorical, numeric)
+    fitted = pipeline.fit(_each(train) if any(isinstance(stage, IDF) for stage in pipeline.getStages()) else train)
+    model = GBTRegressor(labelCol="_mean", weightCol="_n", featuresCol="features", maxIter=max_iter, maxDepth=4, seed=settings.random_seed).fit(fitted.transform(train))
+    weight, mean = F.col("_n"), test.agg(F.sum(F.col("_n") * F.col("_mean")) / F.sum("_n")).first()[0]
+    off = [F.sum(weight * (F.col("_var") + F.pow(F.col("_mean") - c, F.lit(2)))) for c in (F.col("prediction"), F.lit(mean))]
+    error, spread = model.transform(fitted.transform(test)).agg(*off).first()
+    score = 1 - error / spread if spread else -math.inf
+    return df.sparkSession.createDataFrame([(int(n), float(score), score >= settings.learnable_r2_floor, score > settings.too_easy_r2)], "n_rows long, r2 double, learnable boolean, too_easy boolean")
 
 
 def learnability_classes(df: DataFrame, categorical: list[str], numeric: list[str], target: str, key: str, settings: Settings = SETTINGS) -> DataFrame:
