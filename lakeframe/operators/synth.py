@@ -3,26 +3,26 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
-from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import hash_normal, null_if_nan, rounded
-from ..functions.ranks import running_sums
-from ..functions.storage import cut
+from ..functions.storage import stored
 from . import drift
 
-#: A column with more distinct values is not broadcast whole; its values of more than this part of the rows are.
+#: A column with more distinct values is not kept whole in each task; its values of more than this part of the rows are.
 SMALL = 10_000
-#: Draws that meet in one key of the join with the distributions, about.
+#: Draws and values of a column that meet in one group, about.
 DRAWS = 50_000
+#: So much more of the even scale a value is dealt to, in case two processors round an exponential differently.
+SLACK = 1e-12
 #: Terms of the series of a correlation.
 TERMS = 9
 
@@ -65,155 +65,413 @@ def _back(number: Column, text: Column, dtype: str) -> Column:
     return (F.round(number) if _kind(dtype) == "whole" else number).cast(dtype)
 
 
-def _name_of(c: Column, dtype: str) -> Column:
-    """Equal for equal values alone, and never null."""
-    text = c if _kind(dtype) == "level" and dtype != "boolean" else _number(c, dtype)
-    return F.coalesce(F.concat(F.lit("="), text.cast("string")), F.lit("null"))
+#: Numerators and denominators of Wichura's AS 241 for the middle, the sides and the tails, highest powers first.
+_AS241 = (
+    (2509.0809287301227, 33430.57558358813, 67265.7709270087, 45921.95393154987, 13731.69376550946, 1971.5909503065513, 133.14166789178438, 3.3871328727963665),
+    (5226.495278852854, 28729.085735721943, 39307.89580009271, 21213.794301586597, 5394.196021424751, 687.1870074920579, 42.31333070160091, 1.0),
+    (0.0007745450142783414, 0.022723844989269184, 0.2417807251774506, 1.2704582524523684, 3.6478483247632045, 5.769497221460691, 4.630337846156546, 1.4234371107496835),
+    (1.0507500716444169e-09, 0.0005475938084995345, 0.015198666563616457, 0.14810397642748008, 0.6897673349851, 1.6763848301838038, 2.053191626637759, 1.0),
+    (2.0103343992922881e-07, 2.7115555687434876e-05, 0.0012426609473880784, 0.026532189526576124, 0.29656057182850487, 1.7848265399172913, 5.463784911164114, 6.657904643501103),
+    (2.0442631033899397e-15, 1.421511758316446e-07, 1.8463183175100548e-05, 0.0007868691311456133, 0.014875361290850615, 0.1369298809227358, 0.599832206555888, 1.0),
+)
 
 
-@F.pandas_udf(T.DoubleType())
-def _normal_quantile(shares: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    inverse = NormalDist().inv_cdf
-    for s in shares:
-        yield s.map(lambda p: -np.inf if p <= 0 else np.inf if p >= 1 else inverse(p))
+def _quantile(p: np.ndarray) -> np.ndarray:
+    """Quantiles of the standard normal distribution, as NormalDist has them; infinite at 0 and 1."""
+    q = p - 0.5
+    middle = np.abs(q) <= 0.425
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.sqrt(-np.log(np.minimum(p, 1 - p)))
+    made = np.copysign(np.inf, q)
+    for which, x, (num, den), factor in (
+        (middle, 0.180625 - q * q, _AS241[:2], q), (~middle & (r <= 5), r - 1.6, _AS241[2:4], np.sign(q)), (~middle & (r > 5) & (r < np.inf), r - 5, _AS241[4:], np.sign(q))
+    ):
+        made[which] = factor[which] * np.polyval(num, x[which]) / np.polyval(den, x[which])
+    return made
 
 
-def _even(z: Column) -> Column:
-    """Rises from 0 to 1 and deals normal numbers about evenly; the same on both sides of a join."""
-    return 1 / (1 + F.exp(-1.702 * z))
+def _even(z: np.ndarray) -> np.ndarray:
+    """Rises from 0 to 1 and deals normal numbers about evenly."""
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-1.702 * z))
+
+
+def _part(even: np.ndarray, parts: int) -> np.ndarray:
+    return np.clip(np.floor(even * parts), 0, parts - 1).astype(np.int64)
+
+
+def _moments(low: np.ndarray, high: np.ndarray, terms: int) -> list[np.ndarray]:
+    """The integrals of the first Hermite polynomials, times the normal density, from low to high."""
+
+    def ends(z: np.ndarray) -> list[np.ndarray]:
+        z = np.where(np.isfinite(z), z, 0.0) if (far := ~np.isfinite(z)).any() else z
+        density = np.where(far, 0.0, np.exp(-z * z / 2) / math.sqrt(2 * math.pi))
+        found = [np.ones_like(z), z]
+        while len(found) < terms:
+            found.append(z * found[-1] - (len(found) - 1) * found[-2])
+        return [h * density for h in found[:terms]]
+
+    return [a - b for a, b in zip(ends(low), ends(high))]
+
+
+def _numbers(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False)  # null is NaN
+
+
+def _nullable(numbers: np.ndarray) -> pa.Array:
+    return pa.array(numbers, pa.float64(), mask=np.isnan(numbers))
+
+
+def _drawn(values: pa.Array, m: np.ndarray, low: np.ndarray, high: np.ndarray, x: np.ndarray) -> pa.Array:
+    """The value whose interval holds each x; between two numbers that were seen once, a number between them."""
+    at = np.minimum(np.searchsorted(high, x, side="right"), len(high) - 1)
+    if not pa.types.is_floating(values.type):
+        return values.take(pa.array(at))
+    following = np.minimum(at + 1, len(high) - 1)
+    inside = (m[at] == 1) & (m[following] == 1) & (low[at] > -np.inf) & (high[at] < np.inf)
+    numbers = _numbers(values)
+    found, at, following = numbers[at], at[inside], following[inside]
+    found[inside] += (x[inside] - low[at]) / (high[at] - low[at]) * (numbers[following] - numbers[at])
+    return _nullable(found)
 
 
 @dataclass(frozen=True)
-class Copula:
-    """table: (feature, name, number, text, m, share, low, high, mean, next_number, next_m), a row for each distinct value.
+class _Few:
+    """All distinct values of a column in order, null first: rows of each, bounds of its share on the normal scale, mean there."""
+
+    values: pa.Array
+    m: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    mean: np.ndarray
+
+    @staticmethod
+    def of(values: list, m: list[int], text: bool) -> _Few:
+        m, upto = np.array(m, np.int64), np.cumsum(m)
+        low, high = _quantile((upto - m) / upto[-1]), _quantile(upto / upto[-1])
+        return _Few(pa.array(values, pa.string() if text else pa.float64()), m, low, high, _moments(low, high, 1)[0] / (m / upto[-1]))
+
+    def series(self) -> np.ndarray:
+        return np.array([np.sum(self.mean * c) for c in _moments(self.low, self.high, TERMS)])
+
+
+@dataclass(frozen=True)
+class _Ordered:
+    """A column of many values. runs: (v, p, place, m, s0, ...), a row for each distinct value in each part p of its order.
 
-    low and high bound a value's share on the normal scale, where mean is its mean. root is the Cholesky root of the
-    correlation of the normal numbers behind the values.
+    parts has a row for each part: p, the rows before it and in it, the rows before its first value and of it, the same of
+    its last value, both over all parts, and whether its first value began in an earlier part.
     """
 
+    runs: DataFrame
+    parts: np.ndarray
+    n_rows: int
+    text: bool
+
+    def whole(self) -> Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For a batch of runs: the rows before each value, those of it, and whether the run is the first of its value."""
+        parts = self.parts
+
+        def found(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            p, place, m = (batch.column(c).to_numpy() for c in ("p", "place", "m"))
+            of = parts[np.searchsorted(parts[:, 0], p)]
+            first, last = place == 0, place + m == of[:, 2]
+            before = np.where(last, of[:, 5], np.where(first, of[:, 3], of[:, 1] + place))
+            return before, np.where(last, of[:, 6], np.where(first, of[:, 4], m)), ~first | (of[:, 7] == 0)
+
+        return found
+
+    def summed(self, columns: int) -> np.ndarray:
+        """How many values, the Hermite coefficients, and the sums over rows of the mean times each of the columns."""
+        whole, n = self.whole(), self.n_rows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + TERMS + columns)
+            for batch in batches:
+                before, m, new = whole(batch)
+                low, high = _quantile(before / n), _quantile((before + m) / n)
+                moments = _moments(low, high, TERMS)
+                mean = moments[0] / (m / n)
+                total[0] += new.sum()
+                total[1 : 1 + TERMS] += [np.sum(mean * c * new) for c in moments]
+                total[1 + TERMS :] += [np.sum(mean * batch.column(f"s{j}").to_numpy()) for j in range(columns)]
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["total"])
+
+        return np.sum(sorted(r.total for r in self.runs.mapInArrow(run, "total array<double>").collect()), axis=0)  # a row for each task
+
+    def means(self) -> DataFrame:
+        """(v, m, mean) of each distinct value."""
+        whole, n = self.whole(), self.n_rows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                before, m, new = whole(batch)
+                mean = _moments(_quantile(before / n), _quantile((before + m) / n), 1)[0] / (m / n)
+                yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(m), pa.array(mean)], ["v", "m", "mean"]).filter(pa.array(new))
+
+        return self.runs.mapInArrow(run, f"v {_type(self.text)}, m long, mean double")
+
+    def dealt(self, parts: int) -> DataFrame:
+        """(part, v, place, m): each value in all parts of the normal scale that its interval or that of the value before reaches."""
+        whole, n = self.whole(), self.n_rows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                before, m, new = whole(batch)
+                batch, before, m = batch.filter(pa.array(new)), before[new], m[new]
+                first = _part(_even(_quantile(np.maximum(before - 1, 0) / n)) - SLACK, parts)  # - 1: draws between two values seen once need both
+                times = _part(_even(_quantile((before + m) / n)) + SLACK, parts) - first + 1
+                at = np.repeat(np.arange(len(m)), times)
+                part = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                yield pa.RecordBatch.from_arrays([pa.array(part), batch.column("v").take(pa.array(at)), pa.array(before[at]), pa.array(m[at])], ["part", "v", "place", "m"])
+
+        return self.runs.mapInArrow(run, f"part long, v {_type(self.text)}, place long, m long")
+
+
+def _type(text: bool) -> str:
+    return "string" if text else "double"
+
+
+@dataclass(frozen=True)
+class Copula:
+    """few and many have what is known of each column, by its number; root is the Cholesky root of the correlation of the
+    normal numbers behind the values."""
+
     columns: tuple[tuple[str, str], ...]
     n_rows: int
     distinct: tuple[int, ...]
-    table: DataFrame
+    few: dict[int, _Few]
+    many: dict[int, _Ordered]
     root: np.ndarray
+    spark: SparkSession
 
     def sample(self, n: int, seed: int = 7, key: str = "id") -> DataFrame:
         """n rows, numbered by key: hashes of the number, correlated, looked up in the distribution of each column.
 
-        Values that repeat are drawn as they are; between two that were seen once, draws lie between them.
+        Values that repeat are drawn as they are; between two that were seen once, draws lie between them. Columns of few
+        values take no shuffle; for others, draws meet the values of their part of the normal scale, some DRAWS of both.
         """
         if n < 0 or key in dict(self.columns):
             raise ValueError(f"n is below 0, or {key} is a column that was fitted")
-        parts = [max(d, n // DRAWS, 1) for d in self.distinct]
-        count = F.element_at(F.array(*map(F.lit, parts)), F.col("feature") + 1)
-        table = self.table.withColumn("_n", count)
-        first, last = (F.least(F.floor(_even(F.col(c)) * F.col("_n")), F.col("_n") - 1) for c in ("low", "high"))
-        table = table.withColumn("part", F.explode(F.sequence(first, last)))  # values + parts rows for each column
-        normal = self.table.sparkSession.range(n).select("id", *[hash_normal("id", seed, f"copula{k}").alias(f"_n{k}") for k in range(len(parts))])
-        drawn = [sum((float(self.root[k, j]) * F.col(f"_n{j}") for j in range(1, k + 1)), float(self.root[k, 0]) * F.col("_n0")) for k in range(len(parts))]
-        long = normal.select("id", F.posexplode(F.array(*drawn)).alias("feature", "x"))
-        long = long.withColumn("part", F.least(F.floor(_even(F.col("x")) * count), count - 1))
-        met = long.join(table, ["feature", "part"]).where("low <= x and x < high")
-        share = (F.col("x") - F.col("low")) / (F.col("high") - F.col("low"))
-        inside = (F.col("m") == 1) & (F.col("next_m") == 1) & (F.col("low") > -np.inf) & (F.col("high") < np.inf)
-        number = F.when(inside, F.col("number") + share * (F.col("next_number") - F.col("number"))).otherwise(F.col("number"))
-        value = F.struct(number.alias("number"), "text")
-        wide = met.groupBy("id").agg(*[F.max(F.when(F.col("feature") == k, value)).alias(f"_v{k}") for k in range(len(parts))])
-        made = [_back(F.col(f"_v{k}.number"), F.col(f"_v{k}.text"), t).alias(c) for k, (c, t) in enumerate(self.columns)]
-        return wide.select(F.col("id").alias(key), *made)
+        k, few, many = len(self.columns), self.few, list(self.many)
+        parts = {c: max(n // DRAWS, self.distinct[c] // DRAWS, 1) for c in many}
+        normal = self.spark.range(n).select("id", *[hash_normal("id", seed, f"copula{i}").alias(f"_n{i}") for i in range(k)])
+        drawn = [sum((float(self.root[i, j]) * F.col(f"_n{j}") for j in range(1, i + 1)), float(self.root[i, 0]) * F.col("_n0")).alias(f"x{i}") for i in range(k)]
+        types = {f"v{i}": _type(self._text(i)) for i in range(k)} | {f"x{i}": "double" for i in many} | {"id": "long", "part": "long"}
+
+        def schema(names: list[str]) -> str:
+            return ", ".join(f"{c} {types[c]}" for c in names)
+
+        made = looked_up = ["id", *[f"v{i}" for i in few], *[f"x{i}" for i in many], *["part"][: len(many)]]
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = {i: batch.column(f"x{i}").to_numpy() for i in range(k)}
+                found = [batch.column("id"), *[_drawn(f.values, f.m, f.low, f.high, x[i]) for i, f in few.items()], *[pa.array(x[i]) for i in many]]
+                found += [pa.array(_part(_even(x[i]), parts[i])) for i in many[:1]]
+                yield pa.RecordBatch.from_arrays(found, looked_up)
+
+        rows = normal.select("id", *drawn).mapInArrow(look_up, schema(made))
+        for nth, c in enumerate(many):
+            made = [x for x in made if x not in (f"x{c}", "part")] + [f"v{c}"] + ["part"][: len(many) - nth - 1]
+            met = _meet(c, self.n_rows, many[nth + 1] if "part" in made else None, parts, made)
+            rows = rows.groupBy("part").cogroup(self.many[c].dealt(parts[c]).groupBy("part")).applyInArrow(met, schema(made))
+        return rows.select(F.col("id").alias(key), *[_back(F.col(f"v{i}"), F.col(f"v{i}"), t).alias(c) for i, (c, t) in enumerate(self.columns)])
+
+    def _text(self, i: int) -> bool:
+        return self.many[i].text if i in self.many else pa.types.is_string(self.few[i].values.type)
+
+
+def _meet(c: int, n: int, following: int | None, parts: dict[int, int], made: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a part: column c's value of each draw; then the part of the following column."""
+
+    def met(draws: pa.Table, values: pa.Table) -> pa.Table:
+        found = {name: draws.column(name) for name in draws.column_names}
+        x = found.pop(f"x{c}").to_numpy()
+        values = values.take(pa.array(np.argsort(values.column("place").to_numpy())))
+        before, m = values.column("place").to_numpy(), values.column("m").to_numpy()
+        v = values.column("v").combine_chunks()
+        v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+        found[f"v{c}"] = _drawn(v, m, _quantile(before / n), _quantile((before + m) / n), x) if len(x) else v.slice(0, 0)
+        if following is not None:
+            found["part"] = pa.array(_part(_even(found[f"x{following}"].to_numpy()), parts[following]))
+        return pa.table([found[name] for name in made], names=made)
+
+    return met
 
 
 def fit_copula(df: DataFrame, columns: Sequence[str], min_rows: int = 50) -> Copula:
     """Distributions of the columns and the correlations of the normal numbers behind them.
 
     Numbers, times, booleans, strings (in their order) and nulls (first; NaN is null) all own an interval of the normal
-    scale as wide as their share. Equal rows are counted first. Refused are fewer than min_rows rows, no columns, and
-    columns of other types.
+    scale as wide as their share. The rows are written once. Columns of up to SMALL values are counted and kept whole; each
+    other one takes a range partitioning of the rows by its values, in which those are counted in order, and sums beside
+    each value what its covariances need. Refused are fewer than min_rows rows, no columns, and columns of other types.
     """
     types = dict(df.dtypes)
     if not columns or len(set(columns)) < len(columns) or set(columns) - set(types):
         raise ValueError(f"columns {list(columns)} are none, repeated or not in the frame")
     kinds = [types[c] for c in columns]
-    for t in kinds:
-        _kind(t)
+    texts = [_kind(t) == "level" and t != "boolean" for t in kinds]
     plain = null_if_nan(df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)]))
-    rows = cut(plain.groupBy(*plain.columns).agg(F.count("*").alias("w")))
-    n = rows.agg(F.sum("w")).first()[0] or 0
+    rows = stored(plain.select(*[(F.col(f"c{k}").cast("string") if texts[k] else _number(F.col(f"c{k}"), t)).alias(f"v{k}") for k, t in enumerate(kinds)]))
+    n, *about = rows.agg(F.count("*"), *[F.approx_count_distinct(f"v{k}") for k in range(len(kinds))]).first()
     if n < min_rows:
         raise ValueError(f"a synthesizer needs {min_rows} rows, there are {n}")
-    values = []
-    for k, t in enumerate(kinds):
-        c = F.col(f"c{k}")
-        text = c if t != "boolean" and _kind(t) == "level" else F.lit(None)
-        place = F.struct(c.isNotNull().alias("known"), _number(c, t).alias("number"), text.cast("string").alias("text"))
-        values.append(F.struct(F.lit(k).alias("feature"), _name_of(c, t).alias("name"), place.alias("place")))
-    long = rows.select("w", F.explode(F.array(*values)).alias("x"))
-    cells = long.groupBy("x.feature", "x.name", "x.place").agg(F.sum("w").alias("m")).withColumn("one", F.lit(1))
-    summed = running_sums(cells, ["feature"], "place", ["m", "one"])
-    below, upto = (F.col("cum_m") - F.col("m")) / F.col("total_m"), F.col("cum_m") / F.col("total_m")
-    bounds = [_normal_quantile(s).alias(a) for s, a in ((below, "low"), (upto, "high"))]
-    table = summed.select("feature", "name", "place.number", "place.text", "m", (F.col("m") / F.col("total_m")).alias("share"), F.col("cum_one").alias("nth"), *bounds)
-    table = table.withColumn("mean", _moments(1)[0] / F.col("share"))
-    following = table.select("feature", (F.col("nth") - 1).alias("nth"), F.col("number").alias("next_number"), F.col("m").alias("next_m"))
-    table = cut(table.join(following, ["feature", "nth"], "left").drop("nth"))
-    counted = {r.feature: r["count"] for r in table.groupBy("feature").count().collect()}  # a row for each column
-    distinct = tuple(counted[k] for k in range(len(kinds)))
-    return Copula(tuple(zip(columns, kinds)), n, distinct, table, _root(_scores(rows, table, kinds, distinct, n), table, len(kinds)))
-
-
-def _scores(rows: DataFrame, table: DataFrame, kinds: list[str], distinct: tuple[int, ...], n: int) -> DataFrame:
-    """rows with the mean of each value's interval, z0, z1, ...
-
-    Small tables are broadcast, and so are the at most SMALL values that more than n / SMALL rows have; others are joined
-    by value, where rows with a broadcast value are dealt out by their hash.
+    few = _few(rows, [k for k in range(len(kinds)) if about[k] <= 2 * SMALL], texts)
+    large = [k for k in range(len(kinds)) if k not in few]
+    series = np.zeros((len(kinds), TERMS))
+    covariance, distinct = np.zeros((len(kinds), len(kinds))), {k: len(f.m) for k, f in few.items()}
+    for k, f in few.items():
+        series[k] = f.series()
+    if few:
+        covariance[np.ix_(list(few), list(few))] = _together(rows, few) / n
+    scored, many = [f"z{k}" for k in few], {}
+    state = rows.mapInArrow(_placed(few, large), ", ".join([*[f"v{k} {_type(texts[k])}" for k in large], *[f"{z} double" for z in scored]])) if large else rows
+    for k in large:
+        many[k] = _ordered(state, f"v{k}", scored, n, texts[k])
+        count, *found = many[k].summed(len(scored))
+        distinct[k], series[k] = int(count), found[:TERMS]
+        for z, s in zip(scored, found[TERMS:]):
+            covariance[k, int(z[1:])] = covariance[int(z[1:]), k] = s / n
+        if k != large[-1]:
+            state, scored = _joined(state, k, many[k].means(), n), [*scored, f"z{k}"]
+    return Copula(tuple(zip(columns, kinds)), n, tuple(distinct[k] for k in range(len(kinds))), few, many, _root(covariance, series), df.sparkSession)
+
+
+def _few(rows: DataFrame, candidates: list[int], texts: list[bool]) -> dict[int, _Few]:
+    """Those of the columns that have SMALL values at most."""
+    if not candidates:
+        return {}
+    each = [F.struct(F.lit(k).alias("k"), (F.lit(None) if texts[k] else F.col(f"v{k}")).cast("double").alias("number"), (F.col(f"v{k}") if texts[k] else F.lit(None)).cast("string").alias("text")) for k in candidates]
+    cells = stored(rows.select(F.explode(F.array(*each)).alias("x")).groupBy("x.k", "x.number", "x.text").agg(F.count("*").alias("m")))
+    counted = {r.k: r["count"] for r in cells.groupBy("k").count().collect()}  # a row for each column
+    kept = [k for k in candidates if counted[k] <= SMALL]
+    found: dict[int, list] = {k: [] for k in kept}
+    for r in cells.where(F.col("k").isin(kept)).collect():  # SMALL rows for each column at most
+        found[r.k].append((r.text if texts[r.k] else r.number, r.m))
+    made = {}
+    for k, cells_ in found.items():
+        cells_.sort(key=lambda c: (c[0] is not None, c[0] if c[0] is not None else 0))
+        made[k] = _Few.of([v for v, _ in cells_], [m for _, m in cells_], texts[k])
+    return made
+
+
+def _mean_of(f: _Few, column: pa.Array) -> np.ndarray:
+    return f.mean[pc.index_in(column, value_set=f.values).to_numpy(zero_copy_only=False)]
+
+
+def _together(rows: DataFrame, few: dict[int, _Few]) -> np.ndarray:
+    """The sums over rows of the products of any two columns' means."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(few), len(few)))
+        for batch in batches:
+            z = np.array([_mean_of(f, batch.column(f"v{k}")) for k, f in few.items()])
+            total += z @ z.T
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()])], ["total"])
+
+    read = rows.select(*[f"v{k}" for k in few])
+    return np.sum(sorted(r.total for r in read.mapInArrow(run, "total array<double>").collect()), axis=0).reshape(len(few), len(few))  # a row for each task
+
+
+def _placed(few: dict[int, _Few], large: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Columns of many values as they are, of others the means."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [*[batch.column(f"v{k}") for k in large], *[pa.array(_mean_of(f, batch.column(f"v{k}"))) for k, f in few.items()]]
+            yield pa.RecordBatch.from_arrays(found, [*[f"v{k}" for k in large], *[f"z{k}" for k in few]])
+
+    return run
+
+
+def _ordered(state: DataFrame, column: str, scored: list[str], n: int, text: bool) -> _Ordered:
+    """The distinct values of a column in order, with the sums of the scored columns beside each.
+
+    Rows are dealt by ranges of the value and a salt, so rows of one value may lie in many parts; each part has a run of
+    them, and what the parts' first and last values have in all is told from a row for each part.
     """
-    for k, t in enumerate(kinds):
-        part = table.where(F.col("feature") == k).select(F.col("name").alias("_name"), F.col("mean").alias(f"z{k}"), "m")
-        rows = rows.withColumn("_name", _name_of(F.col(f"c{k}"), t))
-        if distinct[k] <= SMALL:
-            rows = rows.join(F.broadcast(part.drop("m")), "_name").drop("_name")
-            continue
-        frequent = F.col("m") * SMALL > n
-        known = part.where(frequent).select("_name", F.col(f"z{k}").alias("_z"))
-        rest = part.where(~frequent).select("_name", F.lit(0).cast("long").alias("_salt"), f"z{k}")
-        rows = rows.join(F.broadcast(known), "_name", "left")
-        rows = rows.withColumn("_salt", F.when(F.col("_z").isNull(), 0).otherwise(F.xxhash64(*[f"c{i}" for i in range(len(kinds))]).bitwiseOR(F.lit(1))))
-        rows = rows.join(rest, ["_name", "_salt"], "left").withColumn(f"z{k}", F.coalesce("_z", f"z{k}")).drop("_name", "_z", "_salt")
-    return rows
-
-
-def _moments(terms: int) -> list[Column]:
-    """The integrals of the first Hermite polynomials, times the normal density, from low to high."""
-
-    def ends(z: Column) -> list[Column]:
-        density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-        found = [F.lit(1.0), z]
-        while len(found) < terms:
-            found.append(z * found[-1] - (len(found) - 1) * found[-2])
-        return [F.when(F.abs(z) < np.inf, h * density).otherwise(0.0) for h in found[:terms]]
-
-    return [a - b for a, b in zip(ends(F.col("low")), ends(F.col("high")))]
+    salted = state.select(F.col(column).alias("v"), *[F.col(z).alias(f"s{j}") for j, z in enumerate(scored)], F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("smallint").alias("_salt"))
+    spread = salted.repartitionByRange("v", "_salt").sortWithinPartitions("v", "_salt").drop("_salt").withColumn("p", F.spark_partition_id())
+    schema = ", ".join([f"v {_type(text)}, p int, place long, m long", *[f"s{j} double" for j in range(len(scored))]])
+    runs = stored(spread.mapInArrow(_counted(len(scored)), schema))
+    least, most = (lambda c: F.min_by(c, "place")), (lambda c: F.max_by(c, "place"))
+    ends = runs.groupBy("p").agg(F.sum("m").alias("n"), least("v").alias("v"), least("m").alias("m"), most("v").alias("last_v"), most("m").alias("last_m"), F.count("*").alias("runs"))
+    made, before, last = [], 0, None
+    for r in sorted(ends.collect(), key=lambda r: r.p):  # a row for each part
+        goes_on = last is not None and last[0] == r.v
+        first = last[1] if goes_on else [before, 0]  # rows before the value and of it; the latter grows by each part
+        first[1] += r.m
+        end = first if r.runs == 1 else [before + r.n - r.last_m, r.last_m]
+        made.append((r.p, before, r.n, first, end, int(goes_on)))
+        before, last = before + r.n, (r.last_v, end)
+    return _Ordered(runs, np.array([(p, b, size, *first, *end, goes_on) for p, b, size, first, end, goes_on in made], np.int64), n, text)
+
+
+def _counted(columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs of equal values in sorted rows: the rows of the part before them, how many they are, sums of the other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, place, p = None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, p = batch.column("v"), batch.column("p")[0].as_py()
+            a, b = v.slice(1), v.slice(0, len(v) - 1)
+            differ = pc.coalesce(pc.not_equal(a, b), pc.xor(pc.is_null(a), pc.is_null(b)))
+            starts = np.append(0, np.flatnonzero(differ.to_numpy(zero_copy_only=False)) + 1)
+            values, m = v.take(pa.array(starts)), np.diff(np.append(starts, len(v)))
+            sums = [np.add.reduceat(batch.column(f"s{j}").to_numpy(), starts) for j in range(columns)]
+            if held:
+                if held[0][0].as_py() == values[0].as_py():
+                    m[0] += held[1]
+                    for s, more in zip(sums, held[2]):
+                        s[0] += more
+                else:
+                    values, m = pa.concat_arrays([held[0], values]), np.append(held[1], m)
+                    sums = [np.append(more, s) for s, more in zip(sums, held[2])]
+            held = values.slice(len(values) - 1), m[-1], [s[-1] for s in sums]
+            yield made(values.slice(0, len(values) - 1), p, place, m[:-1], [s[:-1] for s in sums])
+            place += int(m[:-1].sum())
+        if held:
+            yield made(held[0], p, place, np.array([held[1]]), [np.array([s]) for s in held[2]])
+
+    def made(values: pa.Array, p: int, place: int, m: np.ndarray, sums: list[np.ndarray]) -> pa.RecordBatch:
+        m = m.astype(np.int64)
+        found = [values, pa.array(np.full(len(m), p, np.int32)), pa.array(place + np.cumsum(m) - m), pa.array(m), *map(pa.array, sums)]
+        return pa.RecordBatch.from_arrays(found, ["v", "p", "place", "m", *[f"s{j}" for j in range(columns)]])
+
+    return run
+
+
+def _joined(state: DataFrame, k: int, means: DataFrame, n: int) -> DataFrame:
+    """state with the mean z<k> of each value in place of v<k>.
+
+    The at most SMALL values that more than n / SMALL rows have are broadcast; others are joined by value, where rows with a
+    broadcast value are dealt out by their hash.
+    """
+    frequent = F.col("m") * SMALL > n
+    known = means.where(frequent).select(F.col("v").alias("_known"), F.col("mean").alias("_z"))
+    rest = means.where(~frequent).select(F.col("v").alias("_v"), F.lit(0).cast("long").alias("_nth"), F.col("mean").alias("_mean"))
+    rows = state.join(F.broadcast(known), F.col(f"v{k}").eqNullSafe(F.col("_known")), "left")
+    rows = rows.withColumn("_salt", F.when(F.col("_z").isNull(), 0).otherwise(F.xxhash64(*state.columns).bitwiseOR(F.lit(1))))
+    rows = rows.join(rest, [F.col(f"v{k}").eqNullSafe(F.col("_v")), F.col("_salt") == F.col("_nth")], "left")
+    return rows.select(*[c for c in state.columns if c != f"v{k}"], F.coalesce("_z", "_mean").alias(f"z{k}"))
 
 
-def _root(scores: DataFrame, table: DataFrame, k: int) -> np.ndarray:
+def _root(covariance: np.ndarray, series: np.ndarray) -> np.ndarray:
     """Cholesky root of the correlation of the normal numbers, of which only the values' means are seen.
 
     The covariance of two columns' means is a power series in that correlation, whose terms are each column's Hermite
     coefficients; the correlation is what gives the covariance found (for columns without repeats, the covariance).
     """
-    pairs = [(i, j) for i in range(k) for j in range(i)]
-    w, z = F.col("w").cast("double"), [F.col(f"z{i}") for i in range(k)]
-    found = scores.agg(F.sum(w), *[F.sum(w * z[i] * z[j]) for i, j in pairs]).first()  # means are 0
-    sums = table.groupBy("feature").agg(*[F.sum(F.col("mean") * c) for c in _moments(TERMS)]).collect()  # a row for each column
-    series = np.zeros((k, TERMS))
-    for feature, *c in sums:
-        series[feature] = c
     tried = np.linspace(-1, 1, 4001)
     powers = np.array([tried**t / math.factorial(t) for t in range(1, TERMS + 1)])
-    correlation = np.eye(k)
-    for (i, j), s in zip(pairs, found[1:]):
+    correlation = np.eye(len(series))
+    for i, j in combinations(range(len(series)), 2):
         if min(series[i, 0], series[j, 0]) > 1e-9:  # a column of one value goes with nothing
-            correlation[i, j] = correlation[j, i] = tried[np.argmin(np.abs((series[i] * series[j]) @ powers - s / found[0]))]
+            correlation[i, j] = correlation[j, i] = tried[np.argmin(np.abs((series[i] * series[j]) @ powers - covariance[i, j]))]
     size, axes = np.linalg.eigh(correlation)
     correlation = axes * np.maximum(size, 1e-6) @ axes.T  # pairs that were found one by one may not go together
     scale = np.sqrt(np.diag(correlation))
