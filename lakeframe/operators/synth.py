@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -13,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import hash_normal, null_if_nan, rounded
+from ..functions.exprs import null_if_nan, rounded
 from ..functions.storage import stored
 from . import drift
 
@@ -21,6 +22,8 @@ from . import drift
 SMALL = 10_000
 #: Draws and values of a column that meet in one group, about.
 DRAWS = 50_000
+#: Rows that a task numbers, about.
+TASK = 1_000_000
 #: So much more of the even scale a value is dealt to, in case two processors round an exponential differently.
 SLACK = 1e-12
 #: Terms of the series of a correlation.
@@ -90,6 +93,23 @@ def _quantile(p: np.ndarray) -> np.ndarray:
     return made
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Steele, Lea and Flood's mixing of 64 bits (splitmix64), one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _stream(seed: int, name: str) -> int:
+    return int.from_bytes(hashlib.md5(f"{seed}:{name}".encode(), usedforsecurity=False).digest()[:8], "big")
+
+
+def _normal(ids: np.ndarray, stream: int) -> np.ndarray:
+    """Standard normal numbers that depend on id and stream alone."""
+    bits = _mixed(_mixed(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(stream))
+    return _quantile(((bits >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53)
+
+
 def _even(z: np.ndarray) -> np.ndarray:
     """Rises from 0 to 1 and deals normal numbers about evenly."""
     with np.errstate(over="ignore"):
@@ -111,9 +131,20 @@ def _moments(low: np.ndarray, high: np.ndarray, terms: int) -> list[np.ndarray]:
             found.append(z * found[-1] - (len(found) - 1) * found[-2])
         return [h * density for h in found[:terms]]
 
+    if len(low) and np.array_equal(low[1:], high[:-1]):  # each end is the next one's beginning
+        return [h[:-1] - h[1:] for h in ends(np.append(low, high[-1]))]
     return [a - b for a, b in zip(ends(low), ends(high))]
 
 
+def _bounds(before: np.ndarray, m: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The intervals on the normal scale of values with so many rows before them and of them."""
+    upto = before + m
+    if len(m) and np.array_equal(before[1:], upto[:-1]):
+        z = _quantile(np.append(before, upto[-1]) / n)
+        return z[:-1], z[1:]
+    return _quantile(before / n), _quantile(upto / n)
+
+
 def _numbers(values: pa.Array) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False)  # null is NaN
 
@@ -148,7 +179,7 @@ class _Few:
     @staticmethod
     def of(values: list, m: list[int], text: bool) -> _Few:
         m, upto = np.array(m, np.int64), np.cumsum(m)
-        low, high = _quantile((upto - m) / upto[-1]), _quantile(upto / upto[-1])
+        low, high = _bounds(upto - m, m, upto[-1])
         return _Few(pa.array(values, pa.string() if text else pa.float64()), m, low, high, _moments(low, high, 1)[0] / (m / upto[-1]))
 
     def series(self) -> np.ndarray:
@@ -189,8 +220,7 @@ class _Ordered:
             total = np.zeros(1 + TERMS + columns)
             for batch in batches:
                 before, m, new = whole(batch)
-                low, high = _quantile(before / n), _quantile((before + m) / n)
-                moments = _moments(low, high, TERMS)
+                moments = _moments(*_bounds(before, m, n), TERMS)
                 mean = moments[0] / (m / n)
                 total[0] += new.sum()
                 total[1 : 1 + TERMS] += [np.sum(mean * c * new) for c in moments]
@@ -206,7 +236,7 @@ class _Ordered:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 before, m, new = whole(batch)
-                mean = _moments(_quantile(before / n), _quantile((before + m) / n), 1)[0] / (m / n)
+                mean = _moments(*_bounds(before, m, n), 1)[0] / (m / n)
                 yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(m), pa.array(mean)], ["v", "m", "mean"]).filter(pa.array(new))
 
         return self.runs.mapInArrow(run, f"v {_type(self.text)}, m long, mean double")
@@ -255,8 +285,7 @@ class Copula:
             raise ValueError(f"n is below 0, or {key} is a column that was fitted")
         k, few, many = len(self.columns), self.few, list(self.many)
         parts = {c: max(n // DRAWS, self.distinct[c] // DRAWS, 1) for c in many}
-        normal = self.spark.range(n).select("id", *[hash_normal("id", seed, f"copula{i}").alias(f"_n{i}") for i in range(k)])
-        drawn = [sum((float(self.root[i, j]) * F.col(f"_n{j}") for j in range(1, i + 1)), float(self.root[i, 0]) * F.col("_n0")).alias(f"x{i}") for i in range(k)]
+        root, streams = self.root, [_stream(seed, f"copula{i}") for i in range(k)]
         types = {f"v{i}": _type(self._text(i)) for i in range(k)} | {f"x{i}": "double" for i in many} | {"id": "long", "part": "long"}
 
         def schema(names: list[str]) -> str:
@@ -266,12 +295,14 @@ class Copula:
 
         def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = {i: batch.column(f"x{i}").to_numpy() for i in range(k)}
+                normal = [_normal(batch.column("id").to_numpy(), stream) for stream in streams]
+                x = [sum((root[i, j] * normal[j] for j in range(1, i + 1)), root[i, 0] * normal[0]) for i in range(k)]
                 found = [batch.column("id"), *[_drawn(f.values, f.m, f.low, f.high, x[i]) for i, f in few.items()], *[pa.array(x[i]) for i in many]]
                 found += [pa.array(_part(_even(x[i]), parts[i])) for i in many[:1]]
                 yield pa.RecordBatch.from_arrays(found, looked_up)
 
-        rows = normal.select("id", *drawn).mapInArrow(look_up, schema(made))
+        tasks = max(self.spark.sparkContext.defaultParallelism, n // TASK)
+        rows = self.spark.range(0, n, 1, tasks).mapInArrow(look_up, schema(made))
         for nth, c in enumerate(many):
             made = [x for x in made if x not in (f"x{c}", "part")] + [f"v{c}"] + ["part"][: len(many) - nth - 1]
             met = _meet(c, self.n_rows, many[nth + 1] if "part" in made else None, parts, made)
@@ -290,9 +321,8 @@ def _meet(c: int, n: int, following: int | None, parts: dict[int, int], made: li
         x = found.pop(f"x{c}").to_numpy()
         values = values.take(pa.array(np.argsort(values.column("place").to_numpy())))
         before, m = values.column("place").to_numpy(), values.column("m").to_numpy()
-        v = values.column("v").combine_chunks()
-        v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
-        found[f"v{c}"] = _drawn(v, m, _quantile(before / n), _quantile((before + m) / n), x) if len(x) else v.slice(0, 0)
+        v = pa.concat_arrays(values.column("v").chunks)
+        found[f"v{c}"] = _drawn(v, m, *_bounds(before, m, n), x) if len(x) else v.slice(0, 0)
         if following is not None:
             found["part"] = pa.array(_part(_even(found[f"x{following}"].to_numpy()), parts[following]))
         return pa.table([found[name] for name in made], names=made)
@@ -324,18 +354,18 @@ def fit_copula(df: DataFrame, columns: Sequence[str], min_rows: int = 50) -> Cop
     covariance, distinct = np.zeros((len(kinds), len(kinds))), {k: len(f.m) for k, f in few.items()}
     for k, f in few.items():
         series[k] = f.series()
-    if few:
-        covariance[np.ix_(list(few), list(few))] = _together(rows, few) / n
-    scored, many = [f"z{k}" for k in few], {}
-    state = rows.mapInArrow(_placed(few, large), ", ".join([*[f"v{k} {_type(texts[k])}" for k in large], *[f"{z} double" for z in scored]])) if large else rows
+    state, joined, many = rows, [], {}
     for k in large:
-        many[k] = _ordered(state, f"v{k}", scored, n, texts[k])
-        count, *found = many[k].summed(len(scored))
+        many[k], together = _ordered(state, k, few, joined, n, texts[k], k == large[0])
+        count, *found = many[k].summed(len(few) + len(joined))
         distinct[k], series[k] = int(count), found[:TERMS]
-        for z, s in zip(scored, found[TERMS:]):
-            covariance[k, int(z[1:])] = covariance[int(z[1:]), k] = s / n
+        covariance[k, [*few, *joined]] = covariance[[*few, *joined], k] = np.array(found[TERMS:]) / n
+        if few and k == large[0]:
+            covariance[np.ix_(list(few), list(few))] = together / n
         if k != large[-1]:
-            state, scored = _joined(state, k, many[k].means(), n), [*scored, f"z{k}"]
+            state, joined = _joined(state, k, many[k].means(), n), [*joined, k]
+    if few and not large:
+        covariance[np.ix_(list(few), list(few))] = _together(rows, few) / n
     return Copula(tuple(zip(columns, kinds)), n, tuple(distinct[k] for k in range(len(kinds))), few, many, _root(covariance, series), df.sparkSession)
 
 
@@ -361,68 +391,77 @@ def _mean_of(f: _Few, column: pa.Array) -> np.ndarray:
     return f.mean[pc.index_in(column, value_set=f.values).to_numpy(zero_copy_only=False)]
 
 
+def _means_of(few: dict[int, _Few], batch: pa.RecordBatch) -> np.ndarray:
+    return np.array([_mean_of(f, batch.column(f"v{k}")) for k, f in few.items()]).reshape(len(few), batch.num_rows)
+
+
+def _added(totals: list[list[float]], columns: int) -> np.ndarray:
+    return np.sum(sorted(totals), axis=0).reshape(columns, columns)
+
+
 def _together(rows: DataFrame, few: dict[int, _Few]) -> np.ndarray:
     """The sums over rows of the products of any two columns' means."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(few), len(few)))
         for batch in batches:
-            z = np.array([_mean_of(f, batch.column(f"v{k}")) for k, f in few.items()])
+            z = _means_of(few, batch)
             total += z @ z.T
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()])], ["total"])
 
-    read = rows.select(*[f"v{k}" for k in few])
-    return np.sum(sorted(r.total for r in read.mapInArrow(run, "total array<double>").collect()), axis=0).reshape(len(few), len(few))  # a row for each task
-
+    found = rows.select(*[f"v{k}" for k in few]).mapInArrow(run, "total array<double>").collect()  # a row for each task
+    return _added([r.total for r in found], len(few))
 
-def _placed(few: dict[int, _Few], large: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Columns of many values as they are, of others the means."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [*[batch.column(f"v{k}") for k in large], *[pa.array(_mean_of(f, batch.column(f"v{k}"))) for k, f in few.items()]]
-            yield pa.RecordBatch.from_arrays(found, [*[f"v{k}" for k in large], *[f"z{k}" for k in few]])
-
-    return run
-
-
-def _ordered(state: DataFrame, column: str, scored: list[str], n: int, text: bool) -> _Ordered:
-    """The distinct values of a column in order, with the sums of the scored columns beside each.
+def _ordered(state: DataFrame, k: int, few: dict[int, _Few], joined: list[int], n: int, text: bool, pairs: bool) -> tuple[_Ordered, np.ndarray | None]:
+    """The distinct values of column k in order, with the sums of other columns' means beside each; if asked, _together().
 
     Rows are dealt by ranges of the value and a salt, so rows of one value may lie in many parts; each part has a run of
     them, and what the parts' first and last values have in all is told from a row for each part.
     """
-    salted = state.select(F.col(column).alias("v"), *[F.col(z).alias(f"s{j}") for j, z in enumerate(scored)], F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("smallint").alias("_salt"))
+    others = [*[f"v{j}" for j in few], *[f"z{j}" for j in joined]]
+    salted = state.select(F.col(f"v{k}").alias("v"), *[c for c in others], F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("smallint").alias("_salt"))
     spread = salted.repartitionByRange("v", "_salt").sortWithinPartitions("v", "_salt").drop("_salt").withColumn("p", F.spark_partition_id())
-    schema = ", ".join([f"v {_type(text)}, p int, place long, m long", *[f"s{j} double" for j in range(len(scored))]])
-    runs = stored(spread.mapInArrow(_counted(len(scored)), schema))
+    sums = len(few) + len(joined)
+    schema = ", ".join([f"v {_type(text)}, p int, place long, m long", *[f"s{j} double" for j in range(sums)], "total array<double>"])
+    made = stored(spread.mapInArrow(_counted(few, joined, pairs), schema))
+    runs = made.where("m > 0").drop("total")
     least, most = (lambda c: F.min_by(c, "place")), (lambda c: F.max_by(c, "place"))
     ends = runs.groupBy("p").agg(F.sum("m").alias("n"), least("v").alias("v"), least("m").alias("m"), most("v").alias("last_v"), most("m").alias("last_m"), F.count("*").alias("runs"))
-    made, before, last = [], 0, None
+    found, before, last = [], 0, None
     for r in sorted(ends.collect(), key=lambda r: r.p):  # a row for each part
         goes_on = last is not None and last[0] == r.v
         first = last[1] if goes_on else [before, 0]  # rows before the value and of it; the latter grows by each part
         first[1] += r.m
         end = first if r.runs == 1 else [before + r.n - r.last_m, r.last_m]
-        made.append((r.p, before, r.n, first, end, int(goes_on)))
+        found.append((r.p, before, r.n, first, end, int(goes_on)))
         before, last = before + r.n, (r.last_v, end)
-    return _Ordered(runs, np.array([(p, b, size, *first, *end, goes_on) for p, b, size, first, end, goes_on in made], np.int64), n, text)
+    parts = np.array([(p, b, size, *first, *end, goes_on) for p, b, size, first, end, goes_on in found], np.int64)
+    together = _added([r.total for r in made.where("m = 0").select("total").collect()], len(few)) if pairs and few else None  # a row for each part
+    return _Ordered(runs, parts, n, text), together
 
 
-def _counted(columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Runs of equal values in sorted rows: the rows of the part before them, how many they are, sums of the other columns."""
+def _counted(few: dict[int, _Few], joined: list[int], pairs: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs of equal values in sorted rows: the rows of the part before them, how many they are, sums of the other columns' means.
+
+    pairs: then a row with m = 0 and the sums of the products of any two of few.
+    """
+    columns = len(few) + len(joined)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, place, p = None, 0, 0
+        held, place, p, total = None, 0, 0, np.zeros((len(few), len(few)))
         for batch in batches:
             if not batch.num_rows:
                 continue
+            z = _means_of(few, batch)
+            if pairs:
+                total += z @ z.T
             v, p = batch.column("v"), batch.column("p")[0].as_py()
             a, b = v.slice(1), v.slice(0, len(v) - 1)
             differ = pc.coalesce(pc.not_equal(a, b), pc.xor(pc.is_null(a), pc.is_null(b)))
             starts = np.append(0, np.flatnonzero(differ.to_numpy(zero_copy_only=False)) + 1)
             values, m = v.take(pa.array(starts)), np.diff(np.append(starts, len(v)))
-            sums = [np.add.reduceat(batch.column(f"s{j}").to_numpy(), starts) for j in range(columns)]
+            sums = [np.add.reduceat(c, starts) for c in [*z, *[batch.column(f"z{j}").to_numpy() for j in joined]]]
             if held:
                 if held[0][0].as_py() == values[0].as_py():
                     m[0] += held[1]
@@ -436,11 +475,13 @@ def _counted(columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             place += int(m[:-1].sum())
         if held:
             yield made(held[0], p, place, np.array([held[1]]), [np.array([s]) for s in held[2]])
+            if pairs:
+                yield made(held[0], p, -1, np.zeros(1), [np.zeros(1)] * columns, total.ravel().tolist())
 
-    def made(values: pa.Array, p: int, place: int, m: np.ndarray, sums: list[np.ndarray]) -> pa.RecordBatch:
+    def made(values: pa.Array, p: int, place: int, m: np.ndarray, sums: list[np.ndarray], total: list[float] | None = None) -> pa.RecordBatch:
         m = m.astype(np.int64)
-        found = [values, pa.array(np.full(len(m), p, np.int32)), pa.array(place + np.cumsum(m) - m), pa.array(m), *map(pa.array, sums)]
-        return pa.RecordBatch.from_arrays(found, ["v", "p", "place", "m", *[f"s{j}" for j in range(columns)]])
+        found = [values, pa.array(np.full(len(m), p, np.int32)), pa.array(place + np.cumsum(m) - m), pa.array(m), *map(pa.array, sums), pa.array([total] * len(m), pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(found, ["v", "p", "place", "m", *[f"s{j}" for j in range(columns)], "total"])
 
     return run
 
